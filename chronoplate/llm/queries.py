@@ -7,12 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe
-from chronoplate.llm.common import table
+from chronoplate.llm import bpe, rules, wordpiece
+from chronoplate.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = written(rules.features(table(spark, sf_dir, "documents")), "measures")
+    learned = rules.learn(written(rules.labelled(measured, table(spark, sf_dir, "labels")), "labelled"))
+    return measured.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        rules.base_failed().alias("base_failed"),
+        (~rules.base_failed() & rules.verdict(learned)).alias("kept"),
+        rules.fired(learned).alias("rule"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return coded.select(
@@ -24,7 +44,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_byte_bpe": op7_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
