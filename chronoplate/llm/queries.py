@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, minhash, rules, wordpiece
+from chronoplate.llm import bpe, minhash, rules, suffix_dedup, wordpiece
 from chronoplate.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -52,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_duplicates": op9_near_duplicates,
     }
 
