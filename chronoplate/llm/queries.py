@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, minhash, rules, suffix_dedup, wordpiece
+from chronoplate.llm import bpe, langid, minhash, rules, suffix_dedup, wordpiece
 from chronoplate.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op7_byte_bpe": op7_byte_bpe,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_language_id": op10_language_id,
     }
 
 
