@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, langid, minhash, rules, suffix_dedup, wordpiece
+from chronoplate.llm import bpe, decontaminate, langid, minhash, rules, suffix_dedup, url_filter, wordpiece
 from chronoplate.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(rules.features(table(spark, sf_dir, "documents")), "measures")
     learned = rules.learn(written(rules.labelled(measured, table(spark, sf_dir, "labels")), "labelled"))
@@ -33,6 +37,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the query.
+URL_RULES = [
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return coded.select(
@@ -59,7 +77,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_url_filter": op6_url_filter,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_duplicates": op9_near_duplicates,
