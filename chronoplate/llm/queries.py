@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, decontaminate, langid, minhash, rules, suffix_dedup, url_filter, wordpiece
+from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, minhash, rules, suffix_dedup, url_filter, wordpiece
 from chronoplate.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.cotrain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no file names, so a tree is laid out by their columns: source/thousands/hundreds/doc_id. Documents whose
+    id is divisible by 10 and that state a licence stand for licence files of their directory."""
+    docs = table(spark, sf_dir, "documents")
+    step = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    files = docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), step(10_000), step(1_000), F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan.scan(files, key="doc_id", is_license=F.col("doc_id") % 10 == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
@@ -77,6 +90,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_cotrained_quality": op2_cotrained_quality,
+        "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
         "op6_url_filter": op6_url_filter,
