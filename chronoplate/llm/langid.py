@@ -182,10 +182,15 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _machines(rows: DataFrame, per_language: int) -> list[Machine]:
+    """`rows` has (key, text, lang)."""
+    return learn(rows.filter(~held_out(F.col("key"))).select("text", "lang", F.xxhash64("key").alias("draw")), per_language)
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500) -> DataFrame:
     """`key`, `held_out`, `lang_pred`, `score` of every row; learns from the rows that aren't held out."""
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")).withColumn("held_out", held_out(F.col("key")))
-    machines = learn(rows.filter(~F.col("held_out")).select("text", "lang", F.xxhash64("key").alias("draw")), per_language)
+    machines = _machines(rows, per_language)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = Judge(machines)(batch.column(2).to_pylist())
@@ -193,3 +198,14 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     kind = docs.schema[key].dataType.simpleString()
     return arrow_map(rows.select("key", "held_out", "text"), "text", f"key {kind}, held_out boolean, lang_pred string, score double", work).withColumnRenamed("key", key)
+
+
+def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500) -> DataFrame:
+    """All columns of `docs` and `language` struct<pred, score>, for a stage that passes documents on; the columns may not hold a `language`."""
+    machines = _machines(docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")), per_language)
+
+    @F.pandas_udf("pred string, score double")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(Judge(machines)(texts.tolist()), columns=["pred", "score"])
+
+    return docs.withColumn("language", judged(docs[text]))

@@ -22,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoplate.llm.common import slices, written
@@ -111,9 +112,9 @@ def _joined(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(values), np.uint8), np.cumsum([len(x) for x in values], dtype=np.int64)
 
 
-def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _documents(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataFrame:
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    return docs.select(docs[key].alias("id"), F.xxhash64(t).alias("th"), F.encode(t, "UTF-8").alias("data"))
+    return docs.select(docs[key].alias("id"), F.xxhash64(t).alias("th"), F.encode(t, "UTF-8").alias("data"), F.struct(F.lit(0).alias("_"), *(docs[c].alias(c) for c in carry)).alias("rest"))
 
 
 def _id(df: DataFrame) -> str:
@@ -130,7 +131,7 @@ def all_regions(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 rows = pa.array(doc.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(p0.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16))], names=["id", "th", "anchor", "whole", "p0", "n", "off"])
 
-    return docs.filter(F.octet_length("data") >= least).mapInArrow(run, f"id {_id(docs)}, th bigint, anchor bigint, whole bigint, p0 int, n smallint, off smallint")
+    return docs.select("id", "th", "data").filter(F.octet_length("data") >= least).mapInArrow(run, f"id {_id(docs)}, th bigint, anchor bigint, whole bigint, p0 int, n smallint, off smallint")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -274,14 +275,14 @@ def repeats(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """`key`, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `spans` array<struct<start, end>> and `kept` binary (the remaining bytes), a row for every row of `docs`.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`key`, the columns `carry` of the row, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `spans` array<struct<start, end>> and `kept` binary (the remaining bytes), a row for every row of `docs`.
 
     `least` is the length of a repeat in bytes, `gram` (at most `least`) that of an anchor."""
-    docs = _documents(docs, key, text)
+    docs = _documents(docs, key, text, carry)
     # One shuffle by document serves the lists; windows of a list are bounded by its text.
     lists = repeats(docs, least, gram).groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    both = docs.join(lists, docs["id"].eqNullSafe(F.col("wid")) & (docs["th"] == F.col("wth")), "left").select("id", "data", "runs")
+    both = docs.join(lists, docs["id"].eqNullSafe(F.col("wid")) & (docs["th"] == F.col("wth")), "left").select("id", "data", "runs", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,6 +302,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                         at = b
                     rows.append((len(data), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, data[at:]])))
                 n, removed, count, lists, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "rest", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return both.mapInArrow(run, f"id {_id(docs)}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").withColumnRenamed("id", key)
+    rest = docs.schema["rest"].dataType.simpleString()
+    out = both.mapInArrow(run, f"id {_id(docs)}, rest {rest}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return out.select(F.col("id").alias(key), *(F.col("rest")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "spans", "kept")
+
+
+def text_of(kept: str) -> Column:
+    """Remaining bytes as text: a character of which a cut took some bytes is left out whole."""
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+    return decoded(kept)
