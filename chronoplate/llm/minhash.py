@@ -8,9 +8,10 @@ fewer than T posts that others share too has no partner. Pairs that meet keep on
 in `T` places, and are confirmed on the full sets.
 
 Only components are asked for, so a long posting list isn't expanded to pairs. Lists up to `SMALL` give their pairs;
-in longer ones every member is paired with a pivot. Confirmed links are contracted to components; lists that still
-hold more than one component get further pivots, and at last their remaining pairs of different components, without any
-cap. No link between two components is lost by this: any two that share a listed post are in one component or were compared.
+in longer ones every member is paired with a pivot. Confirmed links are contracted to components. In lists that still
+hold more than one, members most of whose shingles no other component has can't link with it and are done with; all
+others are compared in blocks, by matrix products that emit links only. There is no cap: any two that share a listed post are
+in one component or were compared.
 
 Nulls: null texts and texts without words have an empty set, link with nothing and are their own component. Rows with a null
 key link with nothing and have a null component. Rows that repeat a key count as one vertex. Extra columns don't pass.
@@ -18,8 +19,6 @@ key link with nothing and have a null component. Rows that repeat a key count as
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +30,8 @@ from chronoplate.llm.graph import components
 
 K, T = 32, 12
 SMALL = 12
-PIVOT_ROUNDS = 6
+#: Vertices of a crowd that are compared with as many others in one task.
+BLOCK = 400
 #: Ids of compared documents that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -138,50 +138,95 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "compared")
-    few = ids.count() <= BROADCAST_IDS
-    sets = shingle_sets(docs.join(F.broadcast(ids) if few else ids, docs[key] == ids["v"], "left_semi"), key, text, width)
+    sets = shingle_sets(docs.join(_few(ids), docs[key] == ids["v"], "left_semi"), key, text, width)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     met = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y")
     return both.filter(100 * met >= percent * (total - met)).select("a", "b").distinct()
 
 
+def _between(at: DataFrame) -> DataFrame:
+    """(post, v, root) of posts that more than one component shares."""
+    shared = at.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("post")
+    return at.join(shared, "post")
+
+
+def _linkable(at: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(v, root, n, gs) of vertices that may still link with another component: `percent` of their n shingles, at least, stand in sets of other components (gs).
+
+    A link takes at least that share of either set. Most members of a crowd of near copies that no pivot is linked with have
+    edits of their own, and need no comparison after this."""
+    who = written(at.select("v", "root").distinct(), "who")
+    sets = shingle_sets(docs.join(_few(who.select("v")), docs[key] == F.col("v"), "left_semi"), key, text, width)
+    each = sets.join(_few(who), sets["key"] == who["v"]).select("v", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    shared = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
+    met = each.join(shared, "g").groupBy("v", "root", "n").agg(F.collect_list("g").alias("gs"))
+    return met.filter(100 * F.size("gs") >= percent * F.col("n"))
+
+
+def _block_links(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among the vertices of `sets` (v, root, n, gs), at least one for each two components that have any.
+
+    Vertices that posts connect form a crowd. A crowd is dealt into blocks of about BLOCK vertices, and each two blocks
+    meet in a task that counts all intersections by a matrix product: pairs are neither joined nor emitted."""
+    first = at.groupBy("post").agg(F.min("v").alias("b"))
+    crowds = components(at.join(first, "post").select(F.col("v").alias("a"), "b")).withColumnRenamed("root", "crowd")
+    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = sets.join(crowds, "v").join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = spread.select("v", "root", "n", "gs", "own", "crowd", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    kind = at.schema["v"].dataType.simpleString()
+
+    def compare(rows: pa.Table) -> pa.Table:
+        v, root = rows.column("v").combine_chunks(), rows.column("root").to_pylist()
+        n = rows.column("n").to_numpy().astype(np.int64)
+        own = rows.column("own").to_numpy()
+        lists = rows.column("gs").combine_chunks()
+        owner = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+        values, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        _, group = np.unique(np.array(root, dtype=object).astype(str), return_inverse=True)
+        met = np.zeros((len(n), len(n)), np.float32)
+        for at in range(0, len(values), 4096):  # so many columns of the incidence matrix at a time
+            some = (column >= at) & (column < at + 4096)
+            part = np.zeros((len(n), min(4096, len(values) - at)), np.float32)
+            part[owner[some], column[some] - at] = 1
+            met += part @ part.T
+        met = np.rint(met).astype(np.int64)
+        linked = (100 * met >= percent * (n[:, None] + n[None, :] - met)) & (group[:, None] < group[None, :])
+        if own.min() < own.max():
+            linked &= own[:, None] != own[None, :]
+        a, b = np.nonzero(linked)
+        if len(a):
+            _, one = np.unique(group[a] * len(n) + group[b], return_index=True)
+            a, b = a[one], b[one]
+        return pa.table({"a": v.take(pa.array(a)), "b": v.take(pa.array(b))})
+
+    return meeting.groupBy("crowd", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if its rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, k: int = K, t: int = T) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to connect every component."""
     posts = written(prefix_posts(classes, k, t), "posts")
     sizes = posts.groupBy("post").agg(F.count("*").alias("size"))
     small = posts.join(sizes.filter(F.col("size").between(2, SMALL)), "post")
     pairs = small.select("post", F.col("v").alias("a")).join(small.select("post", F.col("v").alias("b")), "post").filter("a < b").select("a", "b").distinct()
-    tested, found = [], []
-
-    def test(pairs: DataFrame) -> None:
-        pairs = written(reduce(lambda p, old: p.join(old, ["a", "b"], "left_anti"), tested, pairs), "pairs")
-        tested.append(pairs)
-        agreeing = written(_agreeing(pairs, classes, t), "agreeing")
-        found.append(written(_confirmed(agreeing, docs, key, text, width, percent), "links"))
-
-    def ordered(a: Column, b: Column) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
     large = written(posts.join(sizes.filter(F.col("size") > SMALL), "post").select("post", "v"), "large")
     pivot = large.groupBy("post").agg(F.min("v").alias("pivot"))
-    test(pairs.union(large.join(pivot, "post").filter("v <> pivot").select(*ordered(F.col("v"), F.col("pivot"))).distinct()).distinct())
-    for turn in range(PIVOT_ROUNDS + 1):
-        labels = components(reduce(DataFrame.union, found))
-        at = large.join(labels, "v", "left").select("post", "v", F.coalesce("root", "v").alias("root"))
-        mixed_posts = at.groupBy("post").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "root")).alias("pivot"), F.count("*").alias("size")).filter("lo < hi")
-        at = written(at.join(mixed_posts.select("post", "pivot"), "post"), "mixed")
-        parts = at.groupBy("post", "root").agg(F.count("*").alias("n")).groupBy("post").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-        total = parts.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs")).first()
-        if not total["n"]:
-            break
-        if total["pairs"] > 2 * SMALL * total["n"] and turn < PIVOT_ROUNDS:
-            test(at.filter(F.col("root") != F.col("pivot.root")).select(*ordered(F.col("v"), F.col("pivot.v"))).distinct())
-            continue
-        one, two = (at.select("post", F.col("v").alias(v), F.col("root").alias(f"r{v}")) for v in "ab")
-        test(one.join(two, "post").filter("ra < rb").select(*ordered(F.col("a"), F.col("b"))).distinct())
-        break
-    return reduce(DataFrame.union, found)
+    star = large.join(pivot, "post").filter("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b"))
+    agreeing = written(_agreeing(pairs.union(star.distinct()).distinct(), classes, t), "agreeing")
+    found = written(_confirmed(agreeing, docs, key, text, width, percent), "links")
+    labels = components(found)
+    at = written(_between(large.join(labels, "v", "left").select("post", "v", F.coalesce("root", "v").alias("root"))), "open")
+    if at.isEmpty():
+        return found
+    sets = written(_linkable(at, docs, key, text, width, percent), "linkable")
+    at = written(_between(at.join(sets.select("v"), "v", "left_semi")), "meeting")
+    return found.union(_block_links(at, sets, percent)) if not at.isEmpty() else found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = K, t: int = T) -> DataFrame:
