@@ -1 +1 @@
-"""Operators of the plate analytics library."""
+"""Operators: DataFrames in, DataFrames out."""
