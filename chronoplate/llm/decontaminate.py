@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplate.llm.common import slices, words_of, written
+from chronoplate.llm.common import slices, written
 from chronoplate.llm.minhash import mixed
 
 WIDTH = 5
+#: Words that a task remembers (some 100 MB at most).
+KNOWN = 600_000
 #: Benchmark windows that tasks may get in a closure (8 bytes each); beyond, all windows of all texts go to the join.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -38,10 +40,10 @@ UNITS = frozenset(
     "pounds liter liters litre litres degree degrees percent % ° °c °f $ € £ usd eur gbp dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz "
     "w kw mw v a j kj cal kcal pa kpa bar mph km/h m/s".split()
 )
-_EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
+_EDGES = "".join(c for c in map(chr, range(33, 127)) if not (c.isalnum() or c in "_$%+-")) + "“”‘’«»¿¡…"
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?(?:st|nd|rd|th)?")
 _GLUED = re.compile(r"[+-]?\d[\d.,]*([^\W\d]{1,3})")
-_ENDS = re.compile(r"[.!?:]['\")\]]*$")
+_QUOTES = "'\")]”’»"
 
 _U = np.uint64
 _CODES = {k: _U(xxhash.xxh3_64_intdigest(f"\0{k}".encode()) & ~7) for k in (NUMBER, UNIT, NAME)}
@@ -51,20 +53,20 @@ class Tokens(dict):
     """Words as numbers: a hash of the plain word with the kind in the low two bits and bit 2 set where a sentence ends."""
 
     def __missing__(self, word: str) -> int:
-        ends = 4 if _ENDS.search(word) else 0
-        plain = _EDGE.sub("", word)
-        low = plain.lower()
-        if _NUMBER.fullmatch(low) or ((m := _GLUED.fullmatch(low)) and m[1] in UNITS):
-            kind = NUMBER
-        elif low in UNITS:
+        ends = 4 if word.rstrip(_QUOTES)[-1:] in (".", "!", "?", ":") else 0
+        plain = word.strip(_EDGES)
+        low, head = plain.lower(), plain[:1]
+        kind = PLAIN
+        if low in UNITS:
             kind = UNIT
-        elif plain[:1].isupper() and plain[1:].islower():
-            kind = NAME
-        else:
-            kind = PLAIN
+        elif head.isalpha():
+            if head.isupper() and plain[1:].islower():
+                kind = NAME
+        elif _NUMBER.fullmatch(low) or ((m := _GLUED.fullmatch(low)) and m[1] in UNITS):
+            kind = NUMBER
         code = (xxhash.xxh3_64_intdigest(low.encode()) & ~7) | ends | kind
         if len(word) <= 64:
-            if len(self) >= 200_000:
+            if len(self) >= KNOWN:
                 self.clear()
             self[word] = code
         return code
@@ -91,22 +93,24 @@ def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarra
         return np.empty(0, np.int64), np.empty(0, _U)
     h = np.full(n, width, _U)
     for i in range(width):
-        h = mixed(h * _U(0x9E3779B97F4A7C15) + codes[i : i + n])
+        h = h * _U(0x9E3779B97F4A7C15) + codes[i : i + n]
+    h = mixed(h)
+    if not slots.any():
+        return np.arange(n), h
     filled = np.concatenate([[0], np.cumsum(slots)])
     ok = np.flatnonzero(width - (filled[width:] - filled[:-width])[:n] >= min(2, width))
     return ok, h[ok]
 
 
 def _slot_values(words: list[str], slots: np.ndarray, start: int, width: int) -> list[str]:
-    return [_EDGE.sub("", words[i]).lower() for i in range(start, start + width) if slots[i]]
+    return [words[i].strip(_EDGES).lower() for i in range(start, start + width) if slots[i]]
 
 
 _HIT = "h bigint, pos int, slots array<string>"
-_ARROW = [("h", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string()))]
 
 
 def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows as `total`. `wanted`: only windows with these hashes."""
+    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows as `total`. `wanted`: only windows with these hashes. Each text gives a row at pos -1 too, so that the texts needn't be read again to list them."""
     bits = None
     if wanted is not None:
         bits = np.zeros(1 << 22, bool)
@@ -116,9 +120,15 @@ def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray
         known = Tokens()
         for batch in batches:
             for part in slices(batch, "text") if batch.num_rows else ():
-                row, hs, pos, values, total = [], [], [], [], []
+                row, hs, pos, values, total, wide = [], [], [], [], [], []
                 for r, text in enumerate(part.column(2).to_pylist()):
-                    words = words_of(text)
+                    row.append(r)
+                    hs.append(np.zeros(1, _U))
+                    pos.append(-1)
+                    values.append([])
+                    total.append(0)
+                    wide.append(0)
+                    words = text.split() if text else []
                     if not words:
                         continue
                     codes, slots = canonical(words, known)
@@ -134,23 +144,25 @@ def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray
                         pos += at.tolist()
                         values += [_slot_values(words, slots, i, width) for i in at.tolist()]
                         total += [count] * len(at)
+                        wide += [width] * len(at)
                 rows = pa.array(row, pa.int64())
                 h = np.concatenate([*hs, np.empty(0, _U)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32())], names=["id", "th", "h", "pos", "slots", "total"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32())], names=["id", "th", "h", "pos", "slots", "total", "width"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int")
+    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int, width int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, consistency: float) -> DataFrame:
-    """(id, th, item, covered, consistent): texts that hold an item."""
-    items = written(benchmark.select(benchmark[item].alias("id"), F.xxhash64(item_text).alias("th"), F.size(F.filter(F.split(F.coalesce(item_text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"), benchmark[item_text].alias("text")), "items")
-    widths = [r[0] for r in items.filter("words > 0").select(F.least("words", F.lit(WIDTH)).alias("w")).distinct().orderBy("w").collect()] or [WIDTH]
-    asked = written(text_windows(items.select("id", "th", "text"), None, None), "item_windows")
+def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, consistency: float) -> tuple[DataFrame, DataFrame]:
+    """(id, th) of every text, and (id, th, item, covered, consistent) of texts that hold an item."""
+    items = written(benchmark.select(benchmark[item].alias("id"), F.xxhash64(item_text).alias("th"), benchmark[item_text].alias("text")), "items")
+    asked = written(text_windows(items, None, None).filter("pos >= 0"), "item_windows")
+    widths = [r[0] for r in asked.select("width").distinct().orderBy("width").collect()] or [WIDTH]
     few = asked.count() <= BROADCAST_WINDOWS
     wanted = np.unique(np.array([r[0] for r in asked.select("h").distinct().collect()], np.int64).view(_U)) if few else None
     texts = docs.select(docs[key].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("th"), docs[text].alias("text"))
-    hits = text_windows(texts, widths, wanted).drop("total")
+    windows_ = written(text_windows(texts, widths, wanted), "windows")
+    hits = windows_.filter("pos >= 0").drop("total", "width")
     theirs = asked.select("h", F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total")
     met = hits.join(F.broadcast(theirs) if few else theirs, "h")
     # Repeated rows of a text don't count twice: a window of an item counts once for a text.
@@ -159,14 +171,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     # Bindings beyond one text value for an item value are conflicts.
     sources = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     consistent = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(sources / F.size("pairs"))
-    return whole.select("id", "th", "item", (F.col("n") / F.col("total")).alias("covered"), consistent.alias("consistent")).filter((F.col("covered") >= coverage) & (F.col("consistent") >= consistency))
+    return windows_.filter("pos < 0").select("id", "th"), whole.select("id", "th", "item", (F.col("n") / F.col("total")).alias("covered"), consistent.alias("consistent")).filter((F.col("covered") >= coverage) & (F.col("consistent") >= consistency))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = 0.5, consistency: float = 0.5) -> DataFrame:
     """`key`, `th` (hash of the text), `contaminated`, `items` (sorted ids of the items held) and `coverage` (of the best one, 0 if none), a row for every row of `docs`."""
-    found = matches(docs, benchmark, key, text, item, item_text, coverage, consistency)
+    rows, found = matches(docs, benchmark, key, text, item, item_text, coverage, consistency)
     by = found.groupBy(F.col("id").alias("fid"), F.col("th").alias("fth")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("covered").alias("covered"))
-    rows = docs.select(docs[key].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("th"))
     out = rows.join(by, rows["id"].eqNullSafe(F.col("fid")) & (rows["th"] == F.col("fth")), "left")
     none = F.array().cast(f"array<{benchmark.schema[item].dataType.simpleString()}>")
     return out.select(F.col("id").alias(key), "th", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("coverage"))
