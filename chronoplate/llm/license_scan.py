@@ -1,7 +1,7 @@
 """Licence scans in DataFrame functions only: TF-IDF cosine to templates, then inheritance down directories.
 
-Headers are the lines of a text with a licence word. A header, and the whole of a licence file, becomes a sparse vector of
-its words, weighted by term frequency times inverse document frequency among the templates; words that no template has get the
+Headers are the lines of a text with a licence word; of a licence file the paragraphs with one (the whole text, if it has
+no blank line) are units as well. A unit becomes a sparse vector of its words, weighted by term frequency times inverse document frequency among the templates; words that no template has get the
 largest weight, and so lower the cosine. Terms are joined with the templates' terms, and products are summed by (unit,
 template). The best template at `least` or more is the unit's licence. A file's own licence is that of its best header; a file
 without one inherits from the nearest ancestor directory (its own included) with a licence file, found by joining the file's
@@ -57,24 +57,26 @@ def _template_weights(spark, templates: dict[str, list[str]]) -> tuple[DataFrame
 
 
 def match(units: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
-    """(unit, template, cosine) of the best template of each distinct `unit` string, where it reaches `least`.
+    """(id, template, cosine) of the best template of each distinct `unit` string, where it reaches `least`; id is the string's SHA-256.
 
     The same notice stands in very many files, so distinct strings are matched, once each."""
     weights, unseen = _template_weights(units.sparkSession, templates)
     weights = F.broadcast(written(weights, "templates"))  # bounded by the given templates
-    counted = units.select("unit").distinct().select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    # Strings are known by their hash from here on, so that a long one isn't repeated with each of its terms.
+    named = units.select("unit").distinct().withColumn("id", F.sha2("unit", 256))
+    counted = named.select("id", F.explode(terms(F.col("unit"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    known = written(counted.join(idf, "term", "left").select("unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")), "terms")
-    norms = known.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = known.join(weights, "term").groupBy("unit", "template", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, "unit").select("unit", "template", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
-    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b"))
-    return best.select("unit", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"))
+    known = written(counted.join(idf, "term", "left").select("id", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")), "terms")
+    norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = known.join(weights, "term").groupBy("id", "template", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dots.join(norms, "id").select("id", "template", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
+    best = cosine.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b"))
+    return best.select("id", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"))
 
 
-def headers(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, unit): the distinct header lines of every whole text."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(HEADER_WORDS))
+def headers(files: DataFrame, key: str, text: str, between: str = "\n") -> DataFrame:
+    """(key, unit): the distinct lines, or parts between another pattern, of every whole text that have a header word."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), between), lambda x: x.rlike(HEADER_WORDS))
     return files.filter(F.col(text).rlike(HEADER_WORDS)).select(key, F.explode(F.array_distinct(F.transform(lines, lambda x: F.trim(x)))).alias("unit"))
 
 
@@ -94,9 +96,9 @@ def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "te
     `is_license` says which rows are licence files; by default their names do."""
     named = is_license if is_license is not None else F.element_at(F.split(F.col(path), "/"), -1).rlike(LICENSE_FILE)
     files = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"), F.coalesce(named, F.lit(False)).alias("named"))
-    lines = headers(files, "path", "text").unionByName(files.filter("named and text is not null").select("path", F.col("text").alias("unit"))).filter("path is not null")
-    units = written(lines, "headers")
-    found = units.join(F.broadcast(w) if (w := written(match(units, templates, least), "matches")).count() <= 100_000 else w, "unit")
+    units = headers(files, "path", "text").unionByName(headers(files.filter("named"), "path", "text", r"\n\s*\n")).filter("path is not null")
+    units = written(units.withColumn("id", F.sha2("unit", 256)), "headers")
+    found = units.select("path", "id").join(F.broadcast(w) if (w := written(match(units, templates, least), "matches")).count() <= 100_000 else w, "id")
     own = written(found.groupBy("path").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b")).select("path", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine")), "own")
     rows = files.select("key", "path", "named")
     stated = rows.filter("named").join(own, "path").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b"))
