@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 #: Ages of features without a valid time.
 DISTANT_PAST, DISTANT_FUTURE = 999999.0, -999.0
 
-#: Feature types by the way they are drawn.
-AREA_TYPES = ["ClosedContinentalBoundary", "ClosedPlateBoundary", "OceanicCrust", "ContinentalCrust", "Craton", "Basin", "TerraneBoundary", "TopologicalClosedPlateBoundary", "Island", "UnclassifiedFeature"]
-LINE_TYPES = ["MidOceanRidge", "SubductionZone", "Fault", "Transform", "Isochron", "FractureZone", "OrogenicBelt", "Suture", "PassiveContinentalBoundary"]
+#: Feature types that are filled, and that are drawn as lines.
+AREA_TYPES = ["Basin", "ClosedContinentalBoundary", "ContinentalFragment", "Craton", "IslandArc"]
+LINE_TYPES = ["Coastline", "TerraneBoundary", "InferredPaleoBoundary", "PassiveContinentalBoundary"]
+AREA, LINE, UNKNOWN = "area", "line-like", "unknown"
 
 
 def visible(age: Column, begin: str = "begin_age", end: str = "end_age") -> Column:
@@ -37,18 +38,17 @@ def duplicate_ids(features: DataFrame) -> DataFrame:
     return counts.agg(F.count_if(F.col("n") > 1).alias("duplicate_ids"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
 
 
-def intent(property_name: Column, feature_type: Column, attribute_type: Column, polygons: Column) -> Column:
-    """How a feature is drawn: a centre line first, then by its type (the attribute wins over the element), then by its geometry."""
-    kind = F.coalesce(F.nullif(attribute_type, F.lit("")), feature_type)
-    kind = F.substring_index(kind, ":", -1)
-    return (
-        F.when(property_name == "centerLineOf", "boundary-line")
-        .when(kind.isin(AREA_TYPES), "area")
-        .when(kind.isin(LINE_TYPES) | kind.endswith("Boundary"), "boundary-line")
-        .when(kind == "Coastline", F.when(polygons > 0, "area").otherwise("boundary-line"))
-        .when(polygons > 0, "area")
-        .otherwise("unsupported")
+def intent(property_name: Column, feature_type: Column, attribute_type: Column, polygons: Column, all_areas: bool = False) -> Column:
+    """How a feature is drawn: a centre line first, then by its type (the attribute wins over the element), then an area if it has polygons. `all_areas` fills whatever has polygons."""
+    kind = F.substring_index(F.coalesce(F.nullif(attribute_type, F.lit("")), feature_type), ":", -1)
+    found = (
+        F.when(property_name == "centerLineOf", LINE)
+        .when(kind.isin(AREA_TYPES), AREA)
+        .when(kind.isin(LINE_TYPES) | kind.contains("Boundary") | kind.contains("Coastline"), LINE)
+        .when(polygons > 0, AREA)
+        .otherwise(UNKNOWN)
     )
+    return F.when(polygons > 0, AREA).otherwise(found) if all_areas else found
 
 
 def import_diagnostics(features: DataFrame) -> DataFrame:
@@ -59,8 +59,8 @@ def import_diagnostics(features: DataFrame) -> DataFrame:
         F.count_if(F.col("plate_id").isNull()).alias("without_plate"),
         F.count_if(F.col("polygon_count") == 0).alias("without_polygons"),
         F.count_if(ok).alias("imported"),
-        F.count_if(ok & (F.col("intent") == "area")).alias("areas"),
-        F.count_if(ok & (F.col("intent") == "boundary-line")).alias("lines"),
+        F.count_if(ok & (F.col("intent") == AREA)).alias("areas"),
+        F.count_if(ok & (F.col("intent") == LINE)).alias("lines"),
         F.count_if(F.col("begin_age").isNull()).alias("without_begin"),
         F.coalesce(F.sum(F.when(ok, F.col("polygon_count"))), F.lit(0)).alias("polygons"),
         F.count_distinct(F.when(ok, F.col("feature_id"))).alias("distinct_ids"),

@@ -1,6 +1,6 @@
 """All registered queries: importing this module registers them."""
 
-from chronoplate.plans import domain_queries, geometry_queries, measurement_queries, rotation_queries  # noqa: F401
+from chronoplate.plans import domain_queries, geometry_queries, measurement_queries, rotation_queries, source_queries  # noqa: F401
 from chronoplate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -24,9 +24,8 @@ FEATURES = """feat AS (SELECT p_partkey, (p_partkey % 50)::VARCHAR AS feature_id
   CASE WHEN p_partkey % 23 = 0 THEN 'centerLineOf' ELSE 'outlineOf' END AS property_name,
   CASE WHEN p_partkey % 5 <> 0 THEN (p_partkey % 600)::DOUBLE END AS begin_age, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 40)::DOUBLE END AS end_age FROM part)"""
 
-INTENT_SQL = f"""CASE WHEN property_name = 'centerLineOf' THEN 'boundary-line' WHEN k IN ({", ".join(f"'{x}'" for x in D.AREA_TYPES)}) THEN 'area'
-  WHEN k IN ({", ".join(f"'{x}'" for x in D.LINE_TYPES)}) OR k LIKE '%Boundary' THEN 'boundary-line' WHEN k = 'Coastline' THEN CASE WHEN polygon_count > 0 THEN 'area' ELSE 'boundary-line' END
-  WHEN polygon_count > 0 THEN 'area' ELSE 'unsupported' END"""
+INTENT_SQL = f"""CASE WHEN property_name = 'centerLineOf' THEN 'line-like' WHEN k IN ({", ".join(f"'{x}'" for x in D.AREA_TYPES)}) THEN 'area'
+  WHEN k IN ({", ".join(f"'{x}'" for x in D.LINE_TYPES)}) OR k LIKE '%Boundary%' OR k LIKE '%Coastline%' THEN 'line-like' WHEN polygon_count > 0 THEN 'area' ELSE 'unknown' END"""
 WITH_FEATURES = f"WITH {FEATURES}, typed AS (SELECT *, {INTENT_SQL} AS intent FROM (SELECT *, split_part(coalesce(nullif(attribute_type, ''), feature_type), ':', -1) AS k FROM feat))"
 
 
@@ -79,7 +78,7 @@ _OK = "(plate_id IS NOT NULL AND polygon_count > 0)"
     "A4_import_diagnostics",
     WITH_FEATURES
     + f""" SELECT count(*) AS parsed, count(*) FILTER (plate_id IS NULL) AS without_plate, count(*) FILTER (polygon_count = 0) AS without_polygons, count(*) FILTER {_OK.replace("(", "(", 1)} AS imported,
-    count(*) FILTER ({_OK} AND intent = 'area') AS areas, count(*) FILTER ({_OK} AND intent = 'boundary-line') AS lines, count(*) FILTER (begin_age IS NULL) AS without_begin,
+    count(*) FILTER ({_OK} AND intent = 'area') AS areas, count(*) FILTER ({_OK} AND intent = 'line-like') AS lines, count(*) FILTER (begin_age IS NULL) AS without_begin,
     coalesce(sum(polygon_count) FILTER {_OK}, 0)::BIGINT AS polygons, count(DISTINCT feature_id) FILTER {_OK} AS distinct_ids, count(DISTINCT plate_id) FILTER {_OK} AS plates,
     (SELECT list(struct_pack(feature_type := feature_type, n := n) ORDER BY feature_type)::VARCHAR FROM (SELECT feature_type, count(*) AS n FROM typed WHERE NOT {_OK} GROUP BY 1)) IS NOT NULL AS has_skipped FROM typed""",
 )
