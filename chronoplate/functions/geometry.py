@@ -30,23 +30,23 @@ def from_flat(flat: Column) -> Column:
 
 def closed(ring: Column) -> Column:
     """The ring with its first point at its end too; rings under two points stay."""
-    return F.when((F.size(ring) < 2) | same(F.get(ring, F.lit(0)), F.try_element_at(ring, F.lit(-1))), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    return let(ring, lambda r: F.when((F.size(r) < 2) | same(F.get(r, F.lit(0)), F.try_element_at(r, F.lit(-1))), r).otherwise(F.concat(r, F.slice(r, 1, 1))))
 
 
 def opened(ring: Column) -> Column:
     """The ring without a repeated end."""
-    return F.when((F.size(ring) > 1) & same(F.get(ring, F.lit(0)), F.try_element_at(ring, F.lit(-1))), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+    return let(ring, lambda r: F.when((F.size(r) > 1) & same(F.get(r, F.lit(0)), F.try_element_at(r, F.lit(-1))), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
 def without_repeats(ring: Column) -> Column:
     """Points that equal the one before them are left out."""
-    return F.filter(F.transform(ring, lambda p, i: F.when((i == 0) | ~same(p, F.get(ring, i - 1)), p)), lambda p: p.isNotNull())
+    return let(ring, lambda r: F.filter(F.transform(r, lambda p, i: F.when((i == 0) | ~same(p, F.get(r, i - 1)), p)), lambda p: p.isNotNull()))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area, positive if counter-clockwise; open and closed rings alike."""
-    terms = F.transform(ring, lambda p, i: let(F.get(ring, (i + 1) % F.size(ring)), lambda q: p["x"] * q["y"] - q["x"] * p["y"]))
-    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2
+    terms = lambda r: F.transform(r, lambda p, i: let(F.get(r, (i + 1) % F.size(r)), lambda q: p["x"] * q["y"] - q["x"] * p["y"]))
+    return F.aggregate(let(ring, terms), F.lit(0.0), lambda a, t: a + t) / 2
 
 
 def valid(ring: Column) -> Column:
@@ -120,3 +120,46 @@ def polygon_area(exterior: Column, interiors: Column) -> Column:
 def clip_key(rings: Column) -> Column:
     """A hash of rings rounded to six digits, whatever their order."""
     return F.xxhash64(F.array_sort(F.transform(rings, lambda r: F.array_join(F.transform(r, lambda p: F.concat_ws(",", F.format_number(p["x"], 6), F.format_number(p["y"], 6))), ";"))))
+
+#: Latitudes within this of 90 degrees are a pole's.
+POLE = 1e-6
+
+
+def pole(lat: Column) -> Column:
+    """1 at the north pole, -1 at the south pole, 0 elsewhere."""
+    return F.when(F.abs(F.abs(lat) - 90) > POLE, 0).when(lat >= 0, 1).otherwise(-1)
+
+
+def from_first(ring: Column, wanted) -> Column:
+    """An open ring turned so that it starts at its first point for which `wanted` holds; as it is if there is none."""
+
+    def turned(r: Column) -> Column:
+        at = F.array_position(F.transform(r, wanted), F.lit(True)).cast("int")
+        return F.when(at <= 1, r).otherwise(F.concat(F.slice(r, at, F.size(r)), F.slice(r, F.lit(1), at - 1)))
+
+    return let(ring, turned)
+
+
+def with_pole_edges(ring: Column) -> Column:
+    """An open ring of degrees whose runs of polar points become two points on the pole's edge, at the longitudes of the points before and after the run: a pole has no longitude of its own. A ring of nothing but polar points is empty."""
+
+    def edges(r: Column) -> Column:
+        sign = lambda i: pole(F.get(r, (i + F.size(r)) % F.size(r))["y"])
+
+        def at(p: Column, i: Column) -> Column:
+            here = pole(p["y"])
+            before, after = F.get(r, (i - 1 + F.size(r)) % F.size(r)), F.get(r, (i + 1) % F.size(r))
+            starts, ends = (here != 0) & (sign(i - 1) != here), (here != 0) & (sign(i + 1) != here)
+            side = lambda q: point(q["x"], here * F.lit(90.0))
+            return F.array_compact(F.array(F.when(here == 0, p), F.when(starts, side(before)), F.when(ends, side(after))))
+
+        return F.when(F.exists(r, lambda p: pole(p["y"]) == 0), F.flatten(F.transform(r, at))).otherwise(F.filter(r, lambda p: F.lit(False)))
+
+    return let(from_first(ring, lambda p: pole(p["y"]) == 0), edges)
+
+
+def to_tile_clip(ring: Column, rect: Column) -> Column:
+    """A ring of degrees as an open ring of tile shares, cut to the tile; empty where they don't meet."""
+    shares = to_tile(with_pole_edges(opened(ring)), rect)
+    cut = let(opened(without_repeats(shares)), lambda r: clip(r, F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)))
+    return let(cut, lambda r: F.when((F.size(r) >= 3) & (F.abs(signed_area(r)) >= EPSILON), r).otherwise(F.filter(r, lambda p: F.lit(False))))

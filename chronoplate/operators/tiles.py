@@ -139,3 +139,47 @@ def grid(spark, level: int, scheme: str = T.GEOGRAPHIC) -> DataFrame:
     """All tiles (x, y, l) of a level."""
     nx, ny = (2 if scheme == T.GEOGRAPHIC else 1) << level, 1 << level
     return spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"), F.lit(level).alias("l"))
+
+
+def tiles_of_rings(domains: DataFrame, level: int, scheme: str = T.GEOGRAPHIC) -> DataFrame:
+    """A row for each domain (`ring` in degrees) and tile of a level that its ring meets: x, y, l, `clip` (open ring of tile shares, null where the tile is full) and `status`.
+
+    Tiles follow level by level: the roots are cut, and only children of tiles that are cut are cut again; a full tile's
+    descendants are full and follow by arithmetic at the end. Rings are not wrapped at the antimeridian."""
+    from chronoplate.functions import geometry as G
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rect = T.rectangle(F.col("x"), F.col("y"), F.col("l"), scheme)
+        # A generator is where the planner stops to merge expressions: a ring is cut once for its filter, status and value.
+        found = F.transform(F.array(G.to_tile_clip(F.col("ring"), rect)), lambda c: F.struct(c.alias("clip"), F.when(F.abs(G.signed_area(c)) >= 1 - EPSILON, "FULL").otherwise("CLIP").alias("status")))
+        return rows.select("*", F.inline(F.filter(found, lambda f: F.size(f["clip"]) > 0)))
+
+    roots = F.array(*(F.struct(F.lit(i).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("l")) for i in range(2 if scheme == T.GEOGRAPHIC else 1)))
+    at = cut(domains.select("*", F.inline(roots)))
+    full = at.filter("status = 'FULL'")
+    part = at.filter("status = 'CLIP'")
+    out = descend(full, level) if level else full
+    for down in range(1, level + 1):
+        four = F.array(*(F.struct((F.col("x") * 2 + i).alias("_x"), (F.col("y") * 2 + j).alias("_y")) for i in (0, 1) for j in (0, 1)))
+        children = part.drop("clip", "status").select("*", F.inline(four)).withColumns({"x": F.col("_x"), "y": F.col("_y"), "l": F.col("l") + 1}).drop("_x", "_y")
+        at = cut(children)
+        full, part = at.filter("status = 'FULL'"), at.filter("status = 'CLIP'")
+        out = out.unionByName(descend(full, level - down) if level > down else full)
+    return out.withColumn("clip", F.lit(None).cast(part.schema["clip"].dataType)).unionByName(part)
+
+
+def effective_level(tiles: DataFrame) -> DataFrame:
+    """(feature_id, level): the first level at which a feature has more than one tile, or a full one; tiles of several levels."""
+    by = tiles.groupBy("feature_id", "l").agg(F.count("*").alias("n"), F.bool_or(F.col("status") == "FULL").alias("full"))
+    return by.groupBy("feature_id").agg(F.coalesce(F.min(F.when((F.col("n") > 1) | F.col("full"), F.col("l"))), F.max("l")).alias("level"))
+
+
+def runtime_stats(tasks: DataFrame, pixels: int = 256) -> DataFrame:
+    """One row: retained tasks, distinct images and the bytes of their RGBA pixels."""
+    return tasks.agg(F.count("*").alias("retained"), F.count_distinct("x", "y", "l").alias("images"), (F.count("*") * (pixels * pixels * 4)).alias("rgba_bytes"))
+
+
+def generation_report(outcomes: DataFrame) -> DataFrame:
+    """(phase, completed, failed, cancelled) of task outcomes."""
+    count = lambda x: F.count_if(F.col("outcome") == x).alias(x)
+    return outcomes.groupBy("phase").agg(count("completed"), count("failed"), count("cancelled"))

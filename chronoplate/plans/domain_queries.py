@@ -382,3 +382,57 @@ def template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "https://a.example/{z}/{x}/{y}.png", 0, 5), (2, "ftp://a", 3, 1), (3, "", -1, 4), (4, "/tiles/{z}/{x}.png", 0, 0)]
     given = spark.createDataFrame(rows, "id INT, template STRING, low INT, high INT")
     return given.select("id", F.size(providers.template_errors(F.col("template"), F.col("low"), F.col("high"))).alias("errors"))
+
+
+# --- Rings through the tile tree --------------------------------------------------------------------------------------
+
+_RING_DOMAINS = f"{DOMAINS}, rdom AS (SELECT * FROM dom WHERE north < 88)"
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    return domains(spark, sf_dir).filter("north < 88").withColumn("ring", F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south")))
+
+
+def _ring_tiles_sql(level: int) -> str:
+    return f"""WITH {_RING_DOMAINS}, t AS (SELECT a.x AS x, b.y AS y, -180 + a.x * 180 / pow(2, {level}) AS tw, -180 + (a.x + 1) * 180 / pow(2, {level}) AS te, 90 - (b.y + 1) * 180 / pow(2, {level}) AS ts, 90 - b.y * 180 / pow(2, {level}) AS tn FROM range({2 << level}) a(x), range({1 << level}) b(y)),
+    c AS (SELECT feature_id, x, y, (least(east, te) - greatest(west, tw)) / (te - tw) AS w, (least(north, tn) - greatest(south, ts)) / (tn - ts) AS h FROM rdom, t WHERE least(east, te) > greatest(west, tw) AND least(north, tn) > greatest(south, ts))"""
+
+
+@query("G13_G22_G26_ring_tiles", _ring_tiles_sql(3) + " SELECT feature_id, x::INT AS x, y::INT AS y, CASE WHEN w * h >= 1 - 1e-9 THEN 'FULL' ELSE 'CLIP' END AS status, round(w * h, 6) AS area FROM c")
+def ring_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoplate.functions.geometry import signed_area
+
+    tiles = O.tiles_of_rings(_rings(spark, sf_dir).select("feature_id", "ring"), 3)
+    return rounded(tiles.select("feature_id", "x", "y", "status", F.coalesce(F.abs(signed_area(F.col("clip"))), F.lit(1.0)).alias("area")), "area")
+
+
+@query(
+    "G28_effective_level",
+    " ".join(_ring_tiles_sql(0).split())
+    + "".join(f", {_ring_tiles_sql(n).split('), t AS ')[1].join(['t%d AS ' % n, '']).replace('FROM rdom, t ', 'FROM rdom, t%d ' % n).replace('c AS (SELECT', 'c%d AS (SELECT' % n)}" for n in (1, 2, 3))
+    + ", a AS (SELECT feature_id, 0 AS l, w * h AS s FROM c UNION ALL SELECT feature_id, 1, w * h FROM c1 UNION ALL SELECT feature_id, 2, w * h FROM c2 UNION ALL SELECT feature_id, 3, w * h FROM c3), g AS (SELECT feature_id, l, count(*) AS n, max(s) AS m FROM a GROUP BY ALL) SELECT feature_id, coalesce(min(l) FILTER (n > 1 OR m >= 1 - 1e-9), max(l))::INT AS level FROM g GROUP BY feature_id",
+)
+def effective_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = [O.tiles_of_rectangles(domains(spark, sf_dir).filter("north < 88"), n).select("feature_id", "l", "status") for n in range(4)]
+    return O.effective_level(levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]))
+
+
+@query("G10_G11_pole_edges", "SELECT * FROM (VALUES (1, 4, 1800.0::DOUBLE), (2, 4, 1800.0::DOUBLE), (3, 0, 0.0::DOUBLE), (4, 4, 2400.0::DOUBLE)) t(id, points, area)")
+def pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoplate.functions import geometry as G
+
+    rows = [(1, [10.0, 60.0, 70.0, 60.0, 40.0, 90.0]), (2, [33.0, -90.0, 10.0, -60.0, 70.0, -60.0, 5.0, -90.0, 170.0, -90.0]), (3, [0.0, 90.0, 50.0, 90.0, 100.0, 90.0]), (4, [0.0, 10.0, 60.0, 10.0, 60.0, 50.0, 0.0, 50.0])]
+    ring = G.with_pole_edges(G.from_flat(F.col("flat")))
+    return spark.createDataFrame(rows, "id INT, flat ARRAY<DOUBLE>").select("id", F.size(ring).alias("points"), F.abs(G.signed_area(ring)).alias("area"))
+
+
+@query("A8_runtime_stats", _tiles_sql(T.GEOGRAPHIC) + " SELECT count(*) AS retained, count(DISTINCT (x, y, l)) AS images, count(*) * 262144 AS rgba_bytes FROM tasks")
+def runtime_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.runtime_stats(O.composites(_tiles(spark, sf_dir)))
+
+
+@query("A9_generation_report", _tiles_sql(T.GEOGRAPHIC) + " SELECT CASE WHEN 550.0 BETWEEN end_age AND begin_age THEN 0 ELSE 1 END AS phase, count(*) FILTER ((x + y) % 5 > 1) AS completed, count(*) FILTER ((x + y) % 5 = 0) AS failed, count(*) FILTER ((x + y) % 5 = 1) AS cancelled FROM tasks GROUP BY 1")
+def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("x") + F.col("y")) % 5
+    return O.generation_report(O.phases(O.composites(_tiles(spark, sf_dir)), 550.0).withColumn("outcome", F.when(k == 0, "failed").when(k == 1, "cancelled").otherwise("completed")))
