@@ -118,6 +118,7 @@ def brute_near(texts, width, percent):
 def test_near_duplicates_equal_all_pairs(spark, texts, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)  # 2: posts of three go through pivots and blocks
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0 if small == 2 else 1000)
     want, sizes = brute_near(texts, 4, 80)
     got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), width=4).collect()}
     assert [(got[i].component_id, got[i].n_shingles, got[i].kept) for i in range(len(texts))] == [(want[i], sizes[i], want[i] == i) for i in range(len(texts))]
@@ -151,6 +152,7 @@ def brute_repeats(texts, least):
 @pytest.mark.parametrize(("least", "hot"), [(200, 5000), (60, 5000), (60, 1)])
 def test_repeats_equal_all_windows(spark, texts, least, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0 if hot == 1 else 1000)
     want = brute_repeats(texts, least)
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame(spark, texts), least=least, carry=("lang",)).collect()}
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) for i in range(len(texts))] == want
@@ -183,7 +185,9 @@ def test_chunks_of_long_texts_keep_matches(monkeypatch):
     assert all(at[900 + i] == at[900 + 600 + 1333 + i] for i in range(401))
 
 
-def test_decontamination_catches_other_numbers_and_names(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination_catches_other_numbers_and_names(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     item = "A train leaves the northern station at 9 o'clock and Miller drives 120 km towards the harbour with 45 sacks of grain while Miller waits"
     other = item.replace("9", "7").replace("Miller", "Becker").replace("120", "300").replace("45", "80")
     mixed = item.replace("9", "7").replace("drives", "steers").replace("northern", "rusty").replace("harbour", "pier").replace("sacks", "crates").replace("waits", "sleeps").replace("while", "until").replace("station", "depot")
