@@ -22,9 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoplate.llm.common import slices, written
@@ -34,11 +33,11 @@ from chronoplate.llm.suffix_array import suffix_array
 LEAST, GRAM = 200, 32
 HOT = 5_000
 #: Window starts handled at once; positions in a chunk take this many low bits of a packed minimum.
-CHUNK_BITS = 20
+CHUNK_BITS = 18
 #: Rows of two or three numbers that may be broadcast (some 50 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 #: Bytes of regions that one suffix array takes, and so the memory of a task.
-SORTED_BYTES = 2_000_000
+SORTED_BYTES = 1_000_000
 
 _U = np.uint64
 
@@ -126,7 +125,7 @@ def all_regions(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "data", 8_000_000) if batch.num_rows else ():
+            for part in slices(batch, "data", 4_000_000) if batch.num_rows else ():
                 doc, p0, n, off, anchor, whole = regions(*_joined(part, 2), least, gram)
                 rows = pa.array(doc.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(p0.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16))], names=["id", "th", "anchor", "whole", "p0", "n", "off"])
@@ -275,10 +274,11 @@ def repeats(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """`key`, the columns `carry` of the row, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `spans` array<struct<start, end>> and `kept` binary (the remaining bytes), a row for every row of `docs`.
 
-    `least` is the length of a repeat in bytes, `gram` (at most `least`) that of an anchor."""
+    `least` is the length of a repeat in bytes, `gram` (at most `least`) that of an anchor. With `as_text`, `kept` is a string: a
+    character of which a cut took some bytes is left out whole."""
     docs = _documents(docs, key, text, carry)
     # One shuffle by document serves the lists; windows of a list are bounded by its text.
     lists = repeats(docs, least, gram).groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "data") if batch.num_rows else ():
+            for part in slices(batch, "data", 4_000_000) if batch.num_rows else ():
                 rows = []
                 for data, runs in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     spans: list[list[int]] = []
@@ -300,20 +300,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                     for a, b in spans:
                         kept.append(data[at:a])
                         at = b
-                    rows.append((len(data), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, data[at:]])))
+                    left = b"".join([*kept, data[at:]])
+                    rows.append((len(data), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], left.decode("utf-8", "ignore") if as_text else left))
                 n, removed, count, lists, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "rest", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], names=["id", "rest", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     rest = docs.schema["rest"].dataType.simpleString()
-    out = both.mapInArrow(run, f"id {_id(docs)}, rest {rest}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    out = both.mapInArrow(run, f"id {_id(docs)}, rest {rest}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start: bigint, end: bigint>>, kept {'string' if as_text else 'binary'}")
     return out.select(F.col("id").alias(key), *(F.col("rest")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "spans", "kept")
-
-
-def text_of(kept: str) -> Column:
-    """Remaining bytes as text: a character of which a cut took some bytes is left out whole."""
-
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
-
-    return decoded(kept)

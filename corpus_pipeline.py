@@ -43,8 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 200 bytes that start twice or more; a character that loses bytes goes whole. A text that is cut to nothing goes."""
-    cut = suffix_dedup.remove_repeats(docs, carry=("lang", "source", "n_chars"))
-    whole = cut.select("doc_id", suffix_dedup.text_of("kept").alias("text"), "lang", "source", "n_chars", "n_removed")
+    cut = suffix_dedup.remove_repeats(docs, carry=("lang", "source", "n_chars"), as_text=True)
+    whole = cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars", "n_removed")
     left = whole.filter((F.col("n_removed") == 0) | (F.col("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
