@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of every word-based contract: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -65,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose strings in a column take about `most` bytes, at least a row each; null rows count nothing."""
     import pyarrow.compute as pc
 
@@ -80,14 +81,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16_000_000) -> Iterat
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 16_000_000) -> DataFrame:
-    """mapInArrow over parts of bounded text size."""
+def arrow_map(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 4_000_000) -> DataFrame:
+    """mapInArrow over parts of bounded text size; a worker gives back what Arrow holds once its partition ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 for part in slices(batch, column, most):
                     yield work(part)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

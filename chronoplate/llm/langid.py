@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from chronoplate.llm.common import arrow_map, written
 
@@ -203,9 +204,13 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def with_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500) -> DataFrame:
     """All columns of `docs` and `language` struct<pred, score>, for a stage that passes documents on; the columns may not hold a `language`."""
     machines = _machines(docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang")), per_language)
+    names = [*docs.columns, "language"]
 
-    @F.pandas_udf("pred string, score double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(Judge(machines)(texts.tolist()), columns=["pred", "score"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = Judge(machines)(batch.column(text).to_pylist())
+        judged = pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, judged], names=names)
 
-    return docs.withColumn("language", judged(docs[text]))
+    # One pass that a filter on its result can't repeat, as it would a UDF column.
+    schema = StructType([*docs.schema.fields, StructField("language", StructType.fromDDL("pred string, score double"))])
+    return arrow_map(docs, text, schema, work)
