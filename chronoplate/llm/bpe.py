@@ -62,17 +62,26 @@ def encode_text(enc, text: str | None) -> list[int]:
     return [i for part in parts(text) for i in enc.encode_ordinary(part)]
 
 
+def _encoded(enc, texts: pa.Array) -> pa.ListArray:
+    lists = [np.array(encode_text(enc, t), dtype=np.int32) for t in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _decoded(enc, ids: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """(packed, decoded) of lists of ids."""
+    values = [np.asarray(x.values if x.is_valid else [], dtype="<u4") for x in ids]
+    return pa.array([v.tobytes() for v in values], pa.binary()), pa.array([enc.decode_bytes(v.tolist()) for v in values], pa.binary())
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """`key` and `ids` array<int> of every whole text. Repeated and null keys are kept as they are; other columns don't pass."""
     given = default_ranks()
     rank_file, pattern = rank_file or given[0], pattern or given[1]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoding(rank_file, pattern)
-        lists = [np.array(encode_text(enc, t), dtype=np.int32) for t in batch.column(1).to_pylist()]
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _encoded(encoding(rank_file, pattern), batch.column(1))], names=["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return arrow_map(docs.select(docs[key].alias("key"), docs[text].alias("text")), "text", f"key {kind}, ids array<int>", work).withColumnRenamed("key", key)
@@ -88,10 +97,21 @@ def decode(coded: DataFrame, key: str = "doc_id", ids: str = "ids", rank_file: s
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                values = [np.asarray(x.values if x.is_valid else [], dtype="<u4") for x in batch.column(1)]
-                packed = [v.tobytes() for v in values]
-                decoded = [enc.decode_bytes(v.tolist()) for v in values]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], names=["key", "ids", "packed", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_decoded(enc, batch.column(1))], names=["key", "ids", "packed", "decoded"])
 
     kind = coded.schema[key].dataType.simpleString()
     return coded.select(coded[key].alias("key"), coded[ids].alias("ids")).mapInArrow(run, f"key {kind}, ids array<int>, packed binary, decoded binary").withColumnRenamed("key", key)
+
+
+def encode_and_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """What decode(encode(docs)) returns, by one Python worker a task instead of two that each hold the ranks."""
+    given = default_ranks()
+    rank_file, pattern = rank_file or given[0], pattern or given[1]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoding(rank_file, pattern)
+        ids = _encoded(enc, batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, *_decoded(enc, ids)], names=["key", "ids", "packed", "decoded"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(docs[key].alias("key"), docs[text].alias("text")), "text", f"key {kind}, ids array<int>, packed binary, decoded binary", work).withColumnRenamed("key", key)

@@ -65,7 +65,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -57,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.encode_and_decode(docs)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -64,7 +64,8 @@ def test_wordpiece_counts_equal_a_search(spark, texts):
 def test_bpe_equals_tiktoken_and_decodes_back(spark, texts):
     enc = bpe.encoding(*bpe.default_ranks())
     more = [*texts, "word " * 40_000, "x" * 70_000 + " y\n" * 3, "<|endoftext|> it's 12ab  \n\n "]
-    for r in bpe.decode(bpe.encode(frame(spark, more))).collect():
+    both = bpe.encode_and_decode(frame(spark, more))
+    for r in bpe.decode(bpe.encode(frame(spark, more))).union(both).collect():
         text = more[r.doc_id] or ""
         assert r.ids == enc.encode_ordinary(text)
         assert bytes(r.decoded) == text.encode() and bytes(r.packed) == b"".join(i.to_bytes(4, "little") for i in r.ids)
