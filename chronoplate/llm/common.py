@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch: some megabytes of texts.
+BATCH_ROWS = 1_000
+
 #: Translation that leaves only plain spaces between words, so that str.split(" ") and bytes.split() agree with the contract.
 _TO_SPACE = {ord(c): " " for c in BLANKS[1:]}
 
@@ -46,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage, and survives the loss of executors. Removed when the driver's JVM ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.parquet(path)
@@ -63,9 +67,16 @@ def dropped(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches of `BATCH_ROWS` rows where the session has Spark's default of 10,000: the JVM and Python each hold whole batches of texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose strings in a column take about `most` bytes, at least a row each; null rows count nothing."""
     import pyarrow.compute as pc
@@ -84,6 +95,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
 def arrow_map(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = 4_000_000) -> DataFrame:
     """mapInArrow over parts of bounded text size; a worker gives back what Arrow holds once its partition ends."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
