@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chronoplate.operators import tables
+
 #: Word separators of every word-based contract: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -37,25 +37,10 @@ def words_lower(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (a local test) one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='chronoplate-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage, and survives the loss of executors. Removed when the driver's JVM ends."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/{name}"
-    schema = df.schema
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(schema).parquet(path)
+    """tables.written(), with small Arrow batches from here on."""
+    small_batches(df.sparkSession)
+    return tables.written(df, name)
 
 
 def dropped(df: DataFrame) -> None:

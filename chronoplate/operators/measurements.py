@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoplate.operators.tables import written
+
+#: Requests of a cache that one task replays at most, about.
+RANGE_ROWS = 1_000_000
+
 
 def quartiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """n, median, q1 and q3 (linear interpolation) of finite values by group; a long table of (keys, value)."""
@@ -160,32 +165,64 @@ def shuffled_blocks(items: list[str], blocks: int, seed: int) -> list[list[str]]
     return out
 
 
-def lru_replay(requests: DataFrame, capacity: int, by: str = "cache", order: str = "seq", key: str = "key") -> DataFrame:
+def _newest_keys(seen: DataFrame, capacity: int, by: str, order: str, key: str) -> DataFrame:
+    """The `capacity` keys of each (cache, range) that were asked for last, with the place of that request and the cache's last range."""
+    w = Window.partitionBy(by, "_range").orderBy(F.desc(order), F.desc(key))
+    last = seen.groupBy(by, "_range", key).agg(F.max(order).alias(order), F.max("_last").alias("_last"))
+    return last.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= capacity).drop("_rank")
+
+
+def _states_before(rows: DataFrame, capacity: int, by: str, order: str, key: str) -> DataFrame:
+    """(by, _range, order, key): what each cache holds where a range of its requests begins, unless it is the cache's first.
+
+    States are combined over 1, 2, 4, ... ranges, so that no task sees all ranges of a cache."""
+    # A range's ends cut one cache each at most, so there are no more of these caches than ranges.
+    spans = written(rows.groupBy(by).agg(F.min("_range").alias("_from"), F.max("_range").alias("_last")).filter("_from < _last"), "spans")
+    longest = spans.agg(F.max(F.col("_last") - F.col("_from"))).first()[0] or 0
+    cut = rows.join(F.broadcast(spans.withColumnRenamed(by, "_by")), F.col(by).eqNullSafe(F.col("_by"))).drop("_by", "_from")
+    state = written(_newest_keys(cut, capacity, by, order, key), "states")
+    step = 1
+    while step < longest:
+        moved = state.withColumn("_range", F.col("_range") + step).filter("_range <= _last")
+        state = written(_newest_keys(state.unionByName(moved), capacity, by, order, key), "states")
+        step *= 2
+    return state.withColumn("_range", F.col("_range") + 1).filter("_range <= _last").select(by, "_range", order, key)
+
+
+def lru_replay(requests: DataFrame, capacity: int, by: str = "cache", order: str = "seq", key: str = "key", ranges: int | None = None) -> DataFrame:
     """Requests with `hit` under a least-recently-used cache: a request hits if fewer than `capacity` other keys came since its key's last request.
 
-    One task replays one cache in order, with an ordered table of at most `capacity` keys; memory doesn't grow with the requests."""
+    Requests are dealt into `ranges` of (cache, order), by default of RANGE_ROWS rows at most, and no fewer than shuffle partitions.
+    A range is replayed from what its cache held before it, with an ordered table of at most `capacity` keys. Requests of one
+    place are taken in the order of their keys."""
     from collections import OrderedDict
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
     names = [by, order, key]
+    spark = requests.sparkSession
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-requests.count() // RANGE_ROWS))
+    rows = written(requests.select(*names).repartitionByRange(ranges, *names).withColumn("_range", F.spark_partition_id()), "ranges")
+    both = rows.withColumn("_asked", F.lit(True)).unionByName(_states_before(rows, capacity, *names).withColumn("_asked", F.lit(False)))
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict = OrderedDict()
-        cache = object()
+        at = None
         for batch in batches:
             hits = []
-            for c, k in zip(batch[by], batch[key], strict=True):
-                if c != cache:
+            for c, k, r, asked in zip(*(batch.column(x).to_pylist() for x in (by, key, "_range", "_asked")), strict=True):
+                if (r, c) != at:
                     held.clear()
-                    cache = c
-                hits.append(k in held)
+                    at = (r, c)
+                if asked:
+                    hits.append(k in held)
                 held[k] = True
                 held.move_to_end(k)
                 if len(held) > capacity:
                     held.popitem(last=False)
-            yield batch.assign(hit=hits)
+            out = batch.filter(batch.column("_asked"))
+            yield pa.RecordBatch.from_arrays([*(out.column(x) for x in names), pa.array(hits, pa.bool_())], names=[*names, "hit"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*names).schema) + ", hit boolean"
-    return requests.select(*names).repartition(by).sortWithinPartitions(by, order).mapInPandas(replay, schema)
+    return both.repartition(ranges, "_range").sortWithinPartitions("_range", by, "_asked", order, key).mapInArrow(replay, schema)

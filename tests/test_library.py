@@ -2,7 +2,9 @@
 
 import gzip
 import io
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,34 @@ def test_process_tree_with_a_cycle_ends(spark):
         assert got == {(1, 1), (1, 2), (1, 3)}
 
 
+@pytest.mark.parametrize("capacity", [1, 3, 8])
+def test_cache_replay_by_ranges_equals_a_replay_in_order(spark, capacity):
+    rng = random.Random(capacity)
+    # One hot cache over many ranges, with a long stretch of one key, small caches and a null one.
+    rows = [("hot", i, 5 if 400 < i < 900 else rng.randrange(12)) for i in range(1500)] + [(c, i, rng.choice([None, 1, 2, 3, 4])) for c in ("a", "b", None) for i in range(40)]
+    want = Counter()
+    for cache in ("hot", "a", "b", None):
+        held = []
+        for c, i, k in rows:
+            if c == cache:
+                want[c, i, k, k in held] += 1
+                held = ([k] + [x for x in held if x != k])[:capacity]
+    rng.shuffle(rows)
+    requests = spark.createDataFrame(rows, "cache STRING, seq LONG, key LONG")
+    for ranges in (1, 23):
+        done = measurements.lru_replay(requests, capacity, ranges=ranges)
+        assert Counter(tuple(r) for r in done.collect()) == want
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+        assert ranges == 1 or max(sizes) < len(rows) / 2
+
+
+def test_registered_replay_takes_all_events(spark):
+    from chronoplate.plans import catalog
+
+    row = catalog.QUERIES["W6_A21_lru_replay_all"](spark, "/root/testdata/sf0.01").agg(F.sum(F.col("hits") + F.col("misses"))).first()
+    assert row[0] == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() > 1500
+
+
 def test_csv_is_read_back(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a "q", b'), (2, None), (3, "x\ny")], "id INT, t STRING")
     artifacts.write_csv(rows.filter("id < 3"), str(tmp_path / "c"))
