@@ -2,11 +2,13 @@
 
 Words of texts and benchmark items are lower-cased and stripped of outer punctuation; numbers, names (a capitalised word
 inside a sentence) and units (after a number) become typed placeholders. Windows of `WIDTH` such tokens are hashed and
-joined. A text holds an item if it has `coverage` of the item's windows, and the slots are consistent: within the match, a
+joined. A text holds an item if an occurrence has `coverage` of the item's windows, and its slots are consistent: within it, a
 value of the item stands for one value of the text everywhere, so that a question with other numbers or names is caught and
-chance meetings of placeholders aren't.
+chance meetings of placeholders aren't. Occurrences are told apart by alignment (place in the text less place in the
+item): each alignment by itself, alignments that differ by half an item at most (words put in or left out), and the whole text.
 
-Windows with fewer than two plain words are not used; an item shorter than `WIDTH` words is one window of its own length.
+Of placeholders, windows with fewer than two plain words are not used. Windows of the plain words themselves are joined too,
+without that bound, so that a verbatim copy always counts. An item shorter than `WIDTH` words is one window of its own length.
 Null and empty texts and items match nothing. Items with the same words are each reported. Keys may repeat: their
 rows are told apart by a hash of the text. Extra columns don't pass.
 """
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplate.llm.common import slices, written
@@ -72,18 +74,27 @@ class Tokens(dict):
         return code
 
 
-def canonical(words: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, slots) of a text's words: slots are true where a placeholder stands."""
+def canonical(words: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, slots, plain) of a text's words: slots are true where a placeholder stands, `plain` are codes without placeholders."""
     raw = np.fromiter(map(known.__getitem__, words), _U, len(words))
     kind = raw & _U(3)
+    plain = raw & ~_U(7)
     if not kind.any():
-        return raw & ~_U(7), np.zeros(len(raw), bool)
+        return plain, np.zeros(len(raw), bool), plain
     starts = np.concatenate([[True], (raw[:-1] & _U(4)) > 0])
     number = kind == NUMBER
     unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])
     name = (kind == NAME) & ~starts
-    codes = np.where(number, _CODES[NUMBER], np.where(unit, _CODES[UNIT], np.where(name, _CODES[NAME], raw & ~_U(7))))
-    return codes, number | unit | name
+    codes = np.where(number, _CODES[NUMBER], np.where(unit, _CODES[UNIT], np.where(name, _CODES[NAME], plain)))
+    return codes, number | unit | name, plain
+
+
+def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(codes) - width + 1)
+    h = np.full(n, width, _U)
+    for i in range(width):
+        h = h * _U(0x9E3779B97F4A7C15) + codes[i : i + n]
+    return mixed(h)
 
 
 def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +102,7 @@ def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarra
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, _U)
-    h = np.full(n, width, _U)
-    for i in range(width):
-        h = h * _U(0x9E3779B97F4A7C15) + codes[i : i + n]
-    h = mixed(h)
+    h = _hashes(codes, width)
     if not slots.any():
         return np.arange(n), h
     filled = np.concatenate([[0], np.cumsum(slots)])
@@ -102,6 +110,16 @@ def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarra
     return ok, h[ok]
 
 
+def plain_windows(plain: np.ndarray, slots: np.ndarray, width: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of windows of the words themselves: all, or those with a placeholder; the others have the same hash either way."""
+    h = _hashes(plain, width)
+    if all_:
+        return np.arange(len(h)), h
+    filled = np.concatenate([[0], np.cumsum(slots)])
+    at = np.flatnonzero(filled[width:] > filled[:-width]) if len(h) else np.empty(0, np.int64)
+    return at, h[at]
+
+
 def _slot_values(words: list[str], slots: np.ndarray, start: int, width: int) -> list[str]:
     return [words[i].strip(_EDGES).lower() for i in range(start, start + width) if slots[i]]
 
@@ -110,7 +128,7 @@ _HIT = "h bigint, pos int, slots array<string>"
 
 
 def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows as `total`. `wanted`: only windows with these hashes. Each text gives a row at pos -1 too, so that the texts needn't be read again to list them."""
+    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows of a kind (`plain` or not) as `total` and its words as `size`. `wanted`: only windows with these hashes. Each text gives a row at pos -1 too, so that the texts needn't be read again to list them."""
     bits = None
     if wanted is not None:
         bits = np.zeros(1 << 22, bool)
@@ -120,7 +138,7 @@ def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray
         known = Tokens()
         for batch in batches:
             for part in slices(batch, "text") if batch.num_rows else ():
-                row, hs, pos, values, total, wide = [], [], [], [], [], []
+                row, hs, pos, values, total, wide, kinds, sizes = [], [], [], [], [], [], [], []
                 for r, text in enumerate(part.column(2).to_pylist()):
                     row.append(r)
                     hs.append(np.zeros(1, _U))
@@ -128,29 +146,35 @@ def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray
                     values.append([])
                     total.append(0)
                     wide.append(0)
+                    kinds.append(False)
+                    sizes.append(0)
                     words = text.split() if text else []
                     if not words:
                         continue
-                    codes, slots = canonical(words, known)
+                    codes, slots, plain = canonical(words, known)
+                    some = slots.any()
                     for width in widths or [min(WIDTH, len(words))]:
-                        at, h = windows(codes, slots, width)
-                        count = len(at)
-                        if bits is not None and count:
-                            near = np.flatnonzero(bits[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                            near = near[np.isin(h[near], wanted)] if len(near) else near
-                            at, h = at[near], h[near]
-                        row += [r] * len(at)
-                        hs.append(h)
-                        pos += at.tolist()
-                        values += [_slot_values(words, slots, i, width) for i in at.tolist()]
-                        total += [count] * len(at)
-                        wide += [width] * len(at)
+                        for as_plain in (False, True) if some else (False,):
+                            at, h = plain_windows(plain, slots, width, widths is None) if as_plain else windows(codes, slots, width)
+                            count = len(at)
+                            if bits is not None and count:
+                                near = np.flatnonzero(bits[(h & _U((1 << 22) - 1)).astype(np.int64)])
+                                near = near[np.isin(h[near], wanted)] if len(near) else near
+                                at, h = at[near], h[near]
+                            row += [r] * len(at)
+                            hs.append(h)
+                            pos += at.tolist()
+                            values += [[] if as_plain else _slot_values(words, slots, i, width) for i in at.tolist()]
+                            total += [count] * len(at)
+                            wide += [width] * len(at)
+                            kinds += [as_plain] * len(at)
+                            sizes += [len(words)] * len(at)
                 rows = pa.array(row, pa.int64())
                 h = np.concatenate([*hs, np.empty(0, _U)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32())], names=["id", "th", "h", "pos", "slots", "total", "width"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(sizes, pa.int32())], names=["id", "th", "h", "pos", "slots", "total", "width", "plain", "size"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int, width int")
+    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int, width int, plain boolean, size int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, consistency: float) -> tuple[DataFrame, DataFrame]:
@@ -162,12 +186,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     wanted = np.unique(np.array([r[0] for r in asked.select("h").distinct().collect()], np.int64).view(_U)) if few else None
     texts = docs.select(docs[key].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("th"), docs[text].alias("text"))
     windows_ = written(text_windows(texts, widths, wanted), "windows")
-    hits = windows_.filter("pos >= 0").drop("total", "width")
-    theirs = asked.select("h", F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total")
-    met = hits.join(F.broadcast(theirs) if few else theirs, "h")
-    # Repeated rows of a text don't count twice: a window of an item counts once for a text.
-    seen = met.groupBy("id", "th", "item", "item_th", "item_pos").agg(F.first("total").alias("total"), F.collect_set(F.arrays_zip("item_slots", "slots")).alias("sets"))
-    whole = seen.groupBy("id", "th", "item", "item_th").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.flatten(F.collect_list("sets")))).alias("pairs"))
+    hits = windows_.filter("pos >= 0").select("id", "th", "h", "pos", "slots")
+    theirs = asked.select("h", F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total", "plain", "size")
+    # Slot values of a plain window are the same on both sides. A window of an item without slots may meet a plain one of a text.
+    pairs = F.when(F.col("plain") | (F.size("item_slots") != F.size("slots")), F.array().cast("array<struct<item_slots: string, slots: string>>")).otherwise(F.arrays_zip("item_slots", "slots"))
+    met = hits.join(F.broadcast(theirs) if few else theirs, "h").select("id", "th", "item", "item_th", "plain", "total", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("d"), pairs.alias("pairs"))
+    # Repeated rows of a text don't count twice.
+    met = written(met.distinct(), "met")
+    kind = ["id", "th", "item", "item_th", "plain"]
+    # What the whole text doesn't have, no occurrence in it has.
+    enough = met.groupBy(*kind).agg(F.count_distinct("item_pos").alias("n"), F.first("total").alias("total")).filter(F.col("n") / F.col("total") >= coverage)
+    enough = written(enough.select(*(F.col(c).alias(f"_{c}") for c in kind)), "enough")
+    met = met.join(enough, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in kind]).drop(*enough.columns)
+    met = met.withColumn("along", F.count("*").over(Window.partitionBy(*kind, "d")))
+    near = F.floor(F.col("d") / F.col("size"))
+    between = F.floor((F.col("d") + F.col("size") / 2) / F.col("size"))
+    as_key = lambda name, at: F.struct(F.lit(name).alias("by"), at.cast("bigint").alias("at"))
+    spread = met.withColumn("occurrence", F.explode(F.array(as_key("one", F.col("d")), as_key("near", near), as_key("between", between), as_key("text", F.lit(0)))))
+    # A window of an item counts once for an occurrence, by the alignment that has most; over a whole text every pair counts.
+    best = F.max_by("pairs", F.struct("along", -F.abs("d"), "d"))
+    seen = spread.groupBy(*kind, "occurrence", "item_pos").agg(F.first("total").alias("total"), F.when(F.col("occurrence.by") == "text", F.flatten(F.collect_set("pairs"))).otherwise(best).alias("pairs"))
+    whole = seen.groupBy(*kind, "occurrence").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     # Bindings beyond one text value for an item value are conflicts.
     sources = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     consistent = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(sources / F.size("pairs"))

@@ -200,6 +200,22 @@ def test_decontamination_catches_other_numbers_and_names(spark, most, monkeypatc
     assert decontaminate.decontaminate(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "A train leaves the station at 5 o'clock and then drives 40 km towards the harbour with grain"
+    variants = " ".join(f"Question. {item.replace('5', x).replace('40', y)}." for x, y in (("7", "50"), ("9", "60"), ("11", "70")))
+    chance = " ".join(f"Then leaves the station at {i} o'clock and then drives {i + 50} km towards the harbour." for i in range(12, 40))
+    slots = "17 23 42 Anna Berta 99 km 12 kg Carla 7 8"
+    short = "Lisbon lies in the west"
+    longer = item.replace("and then", "and after some more minutes of waiting then").replace("40", "80")
+    docs = [
+        variants, f"{chance} {item}. {chance}", f"We read: {slots} and so on.", f"They say that {short} of it.", longer, "There are 18 24 43 Dora Emil 98 km 13 kg Frida 9 6 things.", "They say that it lies in the east of Lisbon.",
+        item.replace("train leaves", "bus enters").replace("drives", "flies").replace("towards the harbour", "over a hill").replace("at 5", "after 5"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, slots), (3, short)], "item_id BIGINT, text STRING")
+    got = {r.doc_id: r.items for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()}
+    assert [got[i] for i in range(len(docs))] == [[1], [1], [2], [3], [1], [], [], []]
+
+
 def test_url_rules_and_templates(spark):
     R = url_filter.Rule
     urls = ["http://A.Example.com/en/71?x", "https://a.example.com/en/8", "x", None, "http://b.net/de/1", "http://example.net/de/81#t", "http://org/es/", "http://borg/es/1", "http://com", "ftp://u@com:8/en/", "http://q.org/es/9"]
