@@ -20,9 +20,15 @@ LEAST_SCORE = 0.2
 BROADCAST_IDS = 1_000_000
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents with `key`, which is never null and tells texts of one id apart: ids may be null, and sources may use the same ids. Keys sort by id, null last."""
+    return docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
+
+
 def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
-    gone = written(gone.distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")
+    gone = written(gone.distinct().select(*(F.col(c).alias(f"gone_{c}") for c in on)), "gone")
+    same = [docs[c].eqNullSafe(gone[f"gone_{c}"]) for c in on]
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +39,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id. Rows that repeat an id count as one document."""
-    found = written(minhash.near_duplicates(docs, width=5, percent=80), "near")
-    left = _without(docs, found.filter("not kept").select("doc_id"), ["doc_id"])
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One document of each group of near-duplicates stays: that of the smallest key. Rows of the same id and text count as one document."""
+    keyed = _keyed(docs)
+    found = written(minhash.near_duplicates(keyed, key="key", width=5, percent=80), "near")
+    left = _without(keyed, found.filter("not kept").select("key"), ["key"])
+    if found.groupBy("key").count().filter("count > 1").isEmpty():
         return left.select(*COLUMNS)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null")).select(*COLUMNS)
+    return left.dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

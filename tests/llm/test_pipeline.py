@@ -2,6 +2,8 @@
 
 from conftest import DATA
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from chronoplate.llm.minhash import words_lower
 
@@ -34,3 +36,17 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_null_and_repeated_ids_are_told_apart(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("ab", "cd", "ef", "gh"))
+    near = f"{two} tail"
+    rows = [(1, one), (1, two), (2, one), (None, near), (None, three), (None, three), (3, four), (3, four), (4, three.upper() + " x" * 9)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").to(schema)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()), key=str)
+    assert kept == sorted([(1, one), (1, two), (4, three.upper() + " x" * 9), (3, four)], key=str)
+    held = [(None, f"Intro. {item} End."), (None, one), (7, f"Intro. {item} End."), (7, two)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in held], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").to(schema)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, DATA).collect()} == {(None, one), (7, two)}
