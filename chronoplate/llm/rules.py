@@ -3,7 +3,8 @@
 `features` measures every whole text by built-in functions. `learn` runs sequential covering over the labelled rows: a rule
 grows by the threshold test that most raises its smoothed precision for low quality, is pruned by dropping tests that
 don't pay on a held-back third of the labels, and then the rows that it covers are set aside; this repeats until no rule is
-precise enough. Candidate tests are quantile thresholds of every measure, and one aggregation over the labelled rows counts
+precise enough. Candidate tests are thresholds of every measure among the rows that no rule covers yet: zero, the least positive
+value and quantiles of what isn't zero, finer in the tails. One aggregation over the labelled rows counts
 all of them at once, so only counts reach the driver. `verdict` is the ordered list as one Spark conditional expression.
 
 Nulls: a null text has no words (all measures 0). A null measure can't occur; labels that are null or not 0/1 are left out.
@@ -140,7 +141,7 @@ def learn(
     measures: tuple[str, ...] = MEASURES,
     precision: float = 0.9,
     least: int = 10,
-    most_rules: int = 8,
+    most_rules: int | None = None,
     most_tests: int = 3,
     quantiles: int = 20,
 ) -> list[Rule]:
@@ -148,17 +149,21 @@ def learn(
 
     Counts are smoothed by one row of the base rate. Each step is one aggregation: rows that the rule so far covers are
     counted by (measure, number of cuts at or below the value), and running sums over those counts give every threshold
-    test. The driver gets a few hundred counts a step, whatever the size of the labels."""
-    levels = [i / quantiles for i in range(1, quantiles)] + [0.99]
-    found = rows.filter(~F.col("held")).agg(*(F.percentile_approx(m, levels, 1000).alias(m) for m in measures)).first()
-    cuts = {m: sorted({float(v) for v in found[m] or ()}) for m in measures}
-    below = F.array(*(F.struct(F.lit(m).alias("m"), reduce(lambda a, b: a + b, ((F.col(m) >= F.lit(v)).cast("int") for v in cuts[m]), F.lit(0)).alias("cut")) for m in measures))
-    rows = rows.withColumn("_below", below)
+    test. The driver gets a few hundred counts a step, whatever the size of the labels. Without `most_rules`, precision and support
+    alone end the list: each rule takes `least` bad rows at least from what is left."""
+    tails = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03]
+    levels = sorted({*tails, *(i / quantiles for i in range(1, quantiles)), *(1 - t for t in tails)})
     rules: list[Rule] = []
 
     def left(held: bool) -> DataFrame:
         return reduce(lambda d, r: d.filter(~covers(r)), rules, rows.filter(F.col("held") == held))
 
+    def thresholds() -> dict[str, list[float]]:
+        """Cuts of each measure, from the rows that no rule covers yet."""
+        some = lambda m: F.percentile_approx(F.when(F.col(m) != 0, F.col(m)), levels, 10_000)
+        found = left(False).agg(*(x for m in measures for x in (some(m).alias(m), F.min(F.when(F.col(m) > 0, F.col(m))).alias(f"least_{m}")))).first()
+        return {m: sorted({0.0, *(float(v) for v in (*(found[m] or ()), found[f"least_{m}"]) if v is not None)}) for m in measures}
+
     def count(held: bool, *options: Rule) -> list[tuple[int, int]]:
         """(bad, all) of each of a few rules among the rows that no earlier rule covers."""
         got = left(held).agg(*(x for i, r in enumerate(options) for x in (F.count_if(covers(r) & F.col(label)).alias(f"b{i}"), F.count_if(covers(r)).alias(f"n{i}")))).first()
@@ -166,7 +171,8 @@ def learn(
 
     def extensions(rule: Rule) -> list[tuple[Test, int, int]]:
         """Every threshold test that could join the rule, with (bad, all) of the rule joined by it."""
-        by = left(False).filter(covers(rule)).select(F.explode("_below").alias("x"), label).groupBy("x.m", "x.cut").agg(F.count_if(label).alias("b"), F.count("*").alias("n")).collect()
+        below = F.array(*(F.struct(F.lit(m).alias("m"), reduce(lambda a, b: a + b, ((F.col(m) >= F.lit(v)).cast("int") for v in cuts[m]), F.lit(0)).alias("cut")) for m in measures))
+        by = left(False).filter(covers(rule)).select(F.explode(below).alias("x"), label).groupBy("x.m", "x.cut").agg(F.count_if(label).alias("b"), F.count("*").alias("n")).collect()
         out = []
         for m in measures:
             own = {r["cut"]: (r["b"], r["n"]) for r in by if r["m"] == m}
@@ -179,11 +185,12 @@ def learn(
     def precise(bad: int, n: int, rate: float) -> float:
         return (bad + rate) / (n + 1)
 
-    while len(rules) < most_rules:
+    while most_rules is None or len(rules) < most_rules:
         ((bad, n),) = count(False, ())
         if bad < least or bad == n:
             break
         rate, rule, best = bad / n, (), bad / n
+        cuts = thresholds()
         while len(rule) < most_tests and best < 0.995:
             options = [(precise(b, k, rate), b, t) for t, b, k in extensions(rule) if b >= least]
             top = max((p for p, _, _ in options), default=0)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoplate.llm import bpe, cotrain, decontaminate, graph, langid, license_scan, minhash, rules, suffix_dedup, url_filter, wordpiece
 from chronoplate.llm.suffix_array import suffix_array
@@ -94,6 +95,13 @@ def test_decision_list_finds_a_planted_rule(spark):
     assert df.limit(0).select(rules.verdict([]).alias("x")).count() == 0
 
 
+def test_decision_list_cuts_few_nonzero_values(spark):
+    rng = random.Random(6)
+    few = spark.createDataFrame([(i, rng.random() if i % 40 == 0 else 0.0, rng.random()) for i in range(3000)], "doc_id INT, symbol_share DOUBLE, n_words DOUBLE")
+    learned = rules.learn(few.selectExpr("*", "symbol_share > 0 as bad", "doc_id % 3 = 0 as held"), measures=("symbol_share", "n_words"))
+    assert few.filter(rules.verdict(learned) != (F.col("symbol_share") == 0)).count() == 0
+
+
 def brute_near(texts, width, percent):
     sets = []
     for t in texts:
