@@ -9,20 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (a local test) one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, a cluster one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='chronoplate-')}"
+        local = spark.sparkContext.master.partition("[")[0] == "local"
+        path = f"file://{tempfile.mkdtemp(prefix='chronoplate-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _delete_at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place.getParent()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage, and survives the loss of executors. Removed when the driver's JVM ends."""
+    """Writes a table to the shared folder and reads it again: cuts lineage, and survives the loss of executors. Removed by dropped(), or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(schema).parquet(path)
+    files, place = _delete_at(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables made by written() that nothing will read any more."""
+    for df in tables:
+        files, place = _delete_at(df.sparkSession, df._written_at)
+        files.delete(place, True)
