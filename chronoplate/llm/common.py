@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -43,12 +43,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return tables.written(df, name)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def dropped(*made: DataFrame) -> None:
+    """Removes tables made by written() that nothing will read any more."""
+    tables.dropped(*made)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, broadcast if it has `most` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def looked_up(rows: DataFrame, names: DataFrame, on: list[str], spread: Column, most: int = 200_000, salts: int = 16) -> DataFrame:
+    """Left join of rows with a written table of distinct keys, whose columns are those of `on` and others that rows lack.
+
+    Up to `most` keys are broadcast. Beyond, keys are repeated for each of `salts` parts that a hash of the column `spread` deals
+    rows to, so that the rows of a hot key don't meet in one task."""
+    if names.count() <= most:
+        return rows.join(F.broadcast(names), on, "left")
+    part = fresh(rows, "part")[0]
+    salted = names.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*on, part], "left").drop(part)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

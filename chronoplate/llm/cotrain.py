@@ -2,22 +2,23 @@
 
 Two views of a document: what its text is like (shares of symbols, repeats, capitals, words of a kind) and what is known about
 it (source, language, lengths and lines). Each view has its own logistic regression, fitted on the labelled rows. In each
-round either classifier scores the rows without labels, and the ones it is surest of, per class in the proportion of the
-labels, become pseudo-labels for the other; then both are fitted again. At the end each view's log-odds are calibrated on
-held-back labels, and the combined score is the logistic of their sum, weighted by how well each did there.
+round either classifier scores all rows without labels, and the ones it is surest of, per class in the proportion of the
+labels, become pseudo-labels for the other; then both are fitted again. The share that is exchanged grows from round to round, and
+each round's pseudo-labels replace those before, so that one given in error can be taken back. At the end each view's log-odds
+are calibrated on held-back labels, and the combined score is the logistic of their sum, weighted by how well each did there.
 
-Training rows are a sample bounded by `most_rows` in expectation; scores are of all documents. Measures come from
-built-in functions over every whole text; they are written once and read by each round.
+Labelled rows beyond `most_labels` are sampled down to it, in expectation; no other row is ever left out: quantiles and pseudo-labels
+come from all unlabelled rows, scores are of all documents. Measures come from built-in functions over every whole
+text; they are written once and read by each round.
 
-A null or empty text has measures of 0 and is scored like any other; null metadata is a category of its own. Without both
+A null or empty text has measures of 0 and is scored like any other; null metadata is a category of its own. Rows with a null key
+are scored and have no label; rows that repeat a key share its label. Without both
 classes among the labels (an empty table too) every score is null and all documents are kept. Labels other than 0 and 1, null
 labels and keys with contradicting labels are left out. Extra columns don't pass.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoplate.llm import rules
-from chronoplate.llm.common import written
+from chronoplate.llm.common import dropped, few, written
 
 TEXT_VIEW = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "distinct_share", "log_words", "log_mean_word", "flat_share", "squeezed")
 SLOTS = 32
+#: Labels (two numbers each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
@@ -84,46 +87,50 @@ def cotrain(
     rounds: int = 3,
     exchanged: float = 0.05,
     threshold: float = 0.5,
-    most_rows: int = 50_000,
+    most_labels: int = 50_000,
 ) -> DataFrame:
     """`key`, `p_text`, `p_meta`, `score` (probability of good quality) and `kept` (score >= threshold or null) of every row.
 
-    `exchanged` is the share of the unlabelled sample that each view labels for the other in a round."""
+    `exchanged` is the share of the unlabelled rows that each view labels for the other in the first round; in round r it is r times that."""
     rows = measured(docs, key, text, source, lang, n_chars)
     assemble = lambda df: VectorAssembler(inputCols=list(META_VIEW), outputCol="meta").transform(VectorAssembler(inputCols=list(TEXT_VIEW), outputCol="view").transform(df)).select("key", "view", "meta")
-    rows = written(assemble(rows), "views")
     truth = labels.groupBy(labels[key].alias("lkey")).agg(F.min(label).alias("label"), F.max(label).alias("hi")).filter(F.col("label").isin(0, 1) & (F.col("label") == F.col("hi"))).select("lkey", F.col("label").cast("double").alias("label"))
-    total = rows.count()
-    share = min(1.0, most_rows / max(total, 1))
-    drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
-    sample = written(drawn.join(truth, drawn["key"] == truth["lkey"], "left").drop("lkey").withColumn("held", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(4)) == 0), "sample")
-    known = sample.filter("label is not null and not held").withColumn("weight", F.lit(1.0)).select("view", "meta", "label", "weight")
+    truth = few(written(truth.filter("lkey is not null"), "truth"), BROADCAST_LABELS)
+    views = assemble(rows)
+    rows = written(views.join(truth, views["key"] == truth["lkey"], "left").drop("lkey"), "views")
+    labelled = rows.filter("label is not null")
+    share = min(1.0, most_labels / max(labelled.count(), 1))
+    drawn = labelled.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).withColumn("held", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(4)) == 0)
+    sample = written(drawn, "sample")
+    known = sample.filter("not held").withColumn("weight", F.lit(1.0)).select("view", "meta", "label", "weight")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         none = F.lit(None).cast("double")
         return rows.select(F.col("key").alias(key), none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("kept"))
     good = counts[1.0] / (counts[0.0] + counts[1.0])
-    open_ = sample.filter("label is null").select("view", "meta")
-    given: dict[str, list[DataFrame]] = {"view": [], "meta": []}
-    other = {"view": "meta", "meta": "view"}
-    models = {v: _fit(known, v) for v in given}
-    for _ in range(rounds):
-        gifts = {}
-        for v in given:
-            scored = _odds(models[v], open_, v, "odds")
-            low, high = scored.agg(F.percentile_approx("odds", [exchanged * (1 - good), 1 - exchanged * good], 10_000).alias("q")).first()["q"] or (0.0, 0.0)
-            # Sure means far out among the unlabelled and on the right side; what is given weighs less than a label.
-            sure = scored.filter(((F.col("odds") <= low) & (F.col("odds") < -1)) | ((F.col("odds") >= high) & (F.col("odds") > 1)))
-            gifts[other[v]] = sure.select("view", "meta", (F.col("odds") > 0).cast("double").alias("label"), F.lit(0.3).alias("weight"))
-        for v, gift in gifts.items():
-            given[v] = [written(gift, "gift")]
-            models[v] = _fit(reduce(DataFrame.union, given[v], known), v)
-    held = written(_odds(models["meta"], _odds(models["view"], sample.filter("label is not null and held"), "view", "a"), "meta", "b").select("a", "b", "label", F.lit(1.0).alias("weight")), "held")
+    open_ = rows.filter("label is null").select("view", "meta")
+    both = lambda models, df: _odds(models["meta"], _odds(models["view"], df, "view", "a"), "meta", "b")
+    models = {v: _fit(known, v) for v in ("view", "meta")}
+    for r in range(1, rounds + 1):
+        scored = both(models, open_)
+        part = min(0.5, r * exchanged)
+        ends = F.array(F.lit(part * (1 - good)), F.lit(1 - part * good))
+        cut = scored.agg(*(F.percentile_approx(c, ends, 10_000).alias(c) for c in ("a", "b"))).first()
+        if cut["a"] is None:
+            break
+        # Sure means far out among the unlabelled and on the right side; what is given weighs less than a label.
+        sure = {c: ((F.col(c) <= cut[c][0]) & (F.col(c) < -1)) | ((F.col(c) >= cut[c][1]) & (F.col(c) > 1)) for c in ("a", "b")}
+        gifts = written(scored.filter(sure["a"] | sure["b"]).select("view", "meta", *(F.when(sure[c], (F.col(c) > 0).cast("double")).alias(c) for c in ("a", "b"))), "gifts")
+        # What one view (a: text, b: metadata) is sure of is the other's lesson.
+        models = {v: _fit(known.union(gifts.filter(f"{c} is not null").select("view", "meta", c, F.lit(0.3))), v) for v, c in (("view", "b"), ("meta", "a"))}
+        dropped(gifts)
+    held = written(both(models, sample.filter("held")).select("a", "b", "label", F.lit(1.0).alias("weight")), "held")
     both_classes = held.select("label").distinct().count() == 2
     wa, wb, c = 1.0, 0.0, 0.0
     if both_classes:
         last = _fit(VectorAssembler(inputCols=["a", "b"], outputCol="views").transform(held), "views")
         wa, wb, c = float(last.coefficients[0]), float(last.coefficients[1]), float(last.intercept)
-    scored = _odds(models["meta"], _odds(models["view"], rows, "view", "a"), "meta", "b")
+    dropped(sample, held)
+    scored = both(models, rows)
     score = _logistic(wa * F.col("a") + wb * F.col("b") + c)
     return scored.select(F.col("key").alias(key), _logistic(F.col("a")).alias("p_text"), _logistic(F.col("b")).alias("p_meta"), score.alias("score"), (score >= threshold).alias("kept"))

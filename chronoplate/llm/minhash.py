@@ -7,14 +7,17 @@ K - T + 1 posts of a class are enough to meet every such partner (prefix), the c
 fewer than T posts that others share too has no partner. Pairs that meet keep on if their whole signatures agree
 in `T` places, and are confirmed on the full sets.
 
-Only components are asked for, so a long posting list isn't expanded to pairs. Lists up to `SMALL` give their pairs;
-in longer ones every member is paired with a pivot. Confirmed links are contracted to components. In lists that still
-hold more than one, members most of whose shingles no other component has can't link with it and are done with; all
+Merging with skips. Posting lists up to `SMALL` are merged: their pairs come out with the number of lists they met in. The lists
+that the prefix leaves out are skipped, and looked up for pairs that met: collisions there are added to the count. Only components are
+asked for, so a longer list isn't expanded to pairs: every member is paired with the list's pivot, the member that stands in most long lists
+(copies of one text gather around it). Confirmed links are contracted to components. In lists that still
+hold more than one, members that can't reach the wanted similarity with shingles that other components have are done with; all
 others are compared in blocks, by matrix products that emit links only. There is no cap: any two that share a listed post are
 in one component or were compared.
 
 Nulls: null texts and texts without words have an empty set, link with nothing and are their own component. Rows with a null
-key link with nothing and have a null component. Rows that repeat a key count as one vertex. Extra columns don't pass.
+key link with nothing and have a null component. Rows that repeat a key count as one vertex: what any of their texts links with is
+linked with all of them, and each is kept if the key is its component's smallest. Extra columns don't pass.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoplate.llm.common import arrow_map, words_lower, written
+from chronoplate.llm.common import arrow_map, few, words_lower, written
 from chronoplate.llm.graph import components
 
 K, T = 32, 12
@@ -127,18 +130,19 @@ def prefix_posts(classes: DataFrame, k: int = K, t: int = T) -> DataFrame:
     return own.filter(F.size("by") >= t).select("v", F.explode(F.slice("by", F.lit(1), F.size("by") - (t - 1))).alias("x")).select("v", F.col("x.post").alias("post"))
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) whose whole signatures agree in t places."""
+def _agreeing(met: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) that collide in t coordinates. `met` has the coordinates (bits of `at`) in which a pair's lists were merged; the skipped ones are looked up."""
     sig = classes.select("v", "sig")
-    both = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return both.filter(same >= t).select("a", "b").distinct()
+    both = met.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b")
+    found = F.zip_with("sa", "sb", lambda x, y: x == y)
+    skipped = F.size(F.filter(F.transform(found, lambda x, i: x & (F.getbit("at", i) == 0)), lambda x: x))
+    return both.filter(F.bit_count("at") + skipped >= t).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "compared")
-    sets = shingle_sets(docs.join(_few(ids), docs[key] == ids["v"], "left_semi"), key, text, width)
+    sets = shingle_sets(docs.join(few(ids, BROADCAST_IDS), docs[key] == ids["v"], "left_semi"), key, text, width)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     met = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y")
@@ -151,17 +155,21 @@ def _between(at: DataFrame) -> DataFrame:
     return at.join(shared, "post")
 
 
-def _linkable(at: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(v, root, n, gs) of vertices that may still link with another component: `percent` of their n shingles, at least, stand in sets of other components (gs).
+def _linkable(at: DataFrame, sizes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(v, root, n, gs) of vertices that may still link with another component, and their shingles gs that stand in sets of other components.
 
-    A link takes at least that share of either set. Most members of a crowd of near copies that no pivot is linked with have
-    edits of their own, and need no comparison after this."""
-    who = written(at.select("v", "root").distinct(), "who")
-    sets = shingle_sets(docs.join(_few(who.select("v")), docs[key] == F.col("v"), "left_semi"), key, text, width)
-    each = sets.join(_few(who), sets["key"] == who["v"]).select("v", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    A link of sets of n and m shingles takes percent * (n + m) / (100 + percent) common ones, m being `percent` of n at least, and not
+    below the least set among those that v shares a list with. Most members of a crowd of near copies that no pivot is linked
+    with have too many edits of their own for that, and need no comparison after this."""
+    at = at.join(sizes.select("v", "n"), "v")
+    least = at.groupBy("post").agg(F.min("n").alias("m"))
+    who = written(at.join(least, "post").groupBy("v", "root").agg(F.min("m").alias("m")), "who")
+    sets = shingle_sets(docs.join(few(who.select("v"), BROADCAST_IDS), docs[key] == F.col("v"), "left_semi"), key, text, width)
+    each = sets.join(few(who, BROADCAST_IDS), sets["key"] == who["v"]).select("v", "root", "m", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("of"), F.explode("shingles").alias("g"))
     shared = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
-    met = each.join(shared, "g").groupBy("v", "root", "n").agg(F.collect_list("g").alias("gs"))
-    return met.filter(100 * F.size("gs") >= percent * F.col("n"))
+    met = each.join(shared, "g").groupBy("v", "root", "n", "m", "of").agg(F.collect_list("g").alias("gs"))
+    partner = F.greatest(F.col("m"), F.ceil(percent * F.col("n") / 100))
+    return met.filter((100 + percent) * F.size("gs") >= percent * (F.col("n") + partner)).drop("m", "of")
 
 
 def _block_links(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,27 +212,25 @@ def _block_links(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return meeting.groupBy("crowd", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A written table of ids, broadcast if its rows are few enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, k: int = K, t: int = T) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to connect every component."""
     posts = written(prefix_posts(classes, k, t), "posts")
     sizes = posts.groupBy("post").agg(F.count("*").alias("size"))
     small = posts.join(sizes.filter(F.col("size").between(2, SMALL)), "post")
-    pairs = small.select("post", F.col("v").alias("a")).join(small.select("post", F.col("v").alias("b")), "post").filter("a < b").select("a", "b").distinct()
     large = written(posts.join(sizes.filter(F.col("size") > SMALL), "post").select("post", "v"), "large")
-    pivot = large.groupBy("post").agg(F.min("v").alias("pivot"))
-    star = large.join(pivot, "post").filter("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b"))
-    agreeing = written(_agreeing(pairs.union(star.distinct()).distinct(), classes, t), "agreeing")
+    hub = large.groupBy("v").agg(F.count("*").alias("lists"))
+    pivot = large.join(hub, "v").groupBy("post").agg(F.min_by("v", F.struct(-F.col("lists"), "v")).alias("pivot"))
+    star = large.join(pivot, "post").filter("v <> pivot").select("post", F.least("pivot", "v").alias("a"), F.greatest("pivot", "v").alias("b"))
+    pairs = small.select("post", F.col("v").alias("a")).join(small.select("post", F.col("v").alias("b")), "post").filter("a < b").union(star)
+    # A post's high half is its coordinate.
+    merged = pairs.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("post", 32).cast("int"))).alias("at"))
+    agreeing = written(_agreeing(merged, classes, t), "agreeing")
     found = written(_confirmed(agreeing, docs, key, text, width, percent), "links")
     labels = components(found)
     at = written(_between(large.join(labels, "v", "left").select("post", "v", F.coalesce("root", "v").alias("root"))), "open")
     if at.isEmpty():
         return found
-    sets = written(_linkable(at, docs, key, text, width, percent), "linkable")
+    sets = written(_linkable(at, classes, docs, key, text, width, percent), "linkable")
     at = written(_between(at.join(sets.select("v"), "v", "left_semi")), "meeting")
     return found.union(_block_links(at, sets, percent)) if not at.isEmpty() else found
 
@@ -235,9 +241,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     `width` words a shingle, `percent` the least Jaccard similarity of linked sets. For another similarity choose `k` and
     `t` so that a binomial of k trials falls short of t with a small enough chance."""
     signed = written(signatures(docs, key, text, width, k), "signatures")
-    classes = written(signed.filter("n > 0 and key is not null").groupBy("n", "s1", "s2").agg(F.min("key").alias("v"), F.first("sig").alias("sig")), "classes")
-    labels = components(links(docs, classes, key, text, width, percent, k, t))
+    named = signed.filter("key is not null")
+    classes = written(named.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("v"), F.first("sig").alias("sig")), "classes")
+    found = links(docs, classes, key, text, width, percent, k, t)
+    # A key with several sets joins their classes.
+    sets = F.struct("n", "s1", "s2")
+    several = written(named.groupBy("key").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).filter("lo <> hi").select(F.col("key").alias("several")), "several")
+    rows = signed.select("key", "n", "s1", "s2")
+    mine = rows.join(few(several, BROADCAST_IDS), rows["key"] == F.col("several"), "left_semi").join(classes.drop("sig"), ["n", "s1", "s2"])
+    labels = components(found.union(mine.select(F.col("key").alias("a"), F.col("v").alias("b"))))
     by = classes.join(labels, "v", "left").select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("root", "v").alias("root"))
-    joined = signed.select("key", "n", "s1", "s2").join(by, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    joined = rows.join(by, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left").select("key", "n", "root")
+    # An empty text of such a key goes with the key's others.
+    theirs = labels.join(few(several, BROADCAST_IDS), labels["v"] == F.col("several"), "left_semi").select(F.col("v").alias("several"), F.col("root").alias("their"))
+    joined = joined.join(few(written(theirs, "theirs"), BROADCAST_IDS), joined["key"] == F.col("several"), "left").select("key", "n", F.coalesce("their", "root").alias("root"))
     root = F.when(F.col("key").isNotNull(), F.coalesce("root", "key"))
     return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("key") == root, F.lit(True)).alias("kept"))

@@ -139,6 +139,13 @@ def test_near_duplicates_of_null_keys_and_nothing(spark):
     assert minhash.near_duplicates(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_near_duplicates_unite_the_texts_of_a_key(spark):
+    x, y, z = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(3, x), (4, x), (4, y), (9, y), (9, ""), (12, z), (11, z), (11, None), (None, x), (5, "")]
+    got = minhash.near_duplicates(frame(spark, [t for _, t in rows], ids=[i for i, _ in rows]), width=4).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (3, 3, True), (4, 3, False), (4, 3, False), (5, 5, True), (9, 3, False), (9, 3, False), (11, 11, True), (11, 11, True), (12, 11, False)]
+
+
 def test_components_of_chains_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.v: r.root for r in graph.components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
@@ -260,11 +267,32 @@ def test_language_id_on_held_out_rows(spark):
 def test_cotraining_learns_from_labels(spark):
     rng = random.Random(8)
     texts = [" ".join(w + "***" for w in prose(rng, 40).split()) if i % 4 == 0 else prose(rng, 60) for i in range(200)] + [None, ""]
-    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(120)] + [(5, 0, 0), (3, None, 1)], "doc_id BIGINT, quality INT, toxic INT")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(120)] + [(5, 0, 0), (3, None, 1), (None, 1, 0)], "doc_id BIGINT, quality INT, toxic INT")
     got = {r.doc_id: r for r in cotrain.cotrain(frame(spark, texts), labels).collect()}
     assert len(got) == 202 and sum(got[i].kept == (i % 4 != 0) for i in range(120, 200)) >= 76
     none = cotrain.cotrain(frame(spark, texts[:3]), labels.limit(0)).collect()
     assert len(none) == 3 and all(r.kept and r.score is None for r in none)
+    assert cotrain.cotrain(frame(spark, ["x"]).limit(0), labels).count() == 0
+
+
+def auc(pairs):
+    good, bad = ([p for p, y in pairs if y == side] for side in (1, 0))
+    return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_cotraining_keeps_labels_and_improves_a_view(spark):
+    """Sixty labels among many rows and a cap of as many still teach; labels know half of the sources, the text view's pseudo-labels the others too."""
+    rng = random.Random(12)
+    good = [int(rng.random() < 0.5) for _ in range(1500)]
+    source = [f"s{rng.randint(*((0, 3) if i < 60 else (0, 7))) * 2 + (g if rng.random() < 0.9 else 1 - g)}" for i, g in enumerate(good)]
+    texts = [prose(rng, 40) if g else " ".join(w + "**" * rng.randint(1, 2) for w in prose(rng, 40).split()) for g in good]
+    docs = spark.createDataFrame([(i, t, "en", source[i], 200) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    labels = spark.createDataFrame([(i, good[i]) for i in range(60)], "doc_id BIGINT, quality INT")
+    run = lambda rounds, most: {r.doc_id: r for r in cotrain.cotrain(docs, labels, rounds=rounds, most_labels=most).collect()}
+    alone, taught = run(0, 60), run(2, 50)
+    open_ = range(60, 1500)
+    assert auc([(taught[i].p_meta, good[i]) for i in open_]) > auc([(alone[i].p_meta, good[i]) for i in open_]) + 0.05
+    assert auc([(taught[i].score, good[i]) for i in open_]) > 0.97
 
 
 def test_license_headers_and_inheritance(spark):
