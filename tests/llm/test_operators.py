@@ -231,10 +231,10 @@ def test_decontamination_judges_each_occurrence(spark):
     assert [got[i] for i in range(len(docs))] == [[1], [1], [2], [3], [1], [], [], []]
 
 
-def test_url_rules_and_templates(spark):
+def test_url_rules_and_templates(spark, monkeypatch):
     R = url_filter.Rule
     urls = ["http://A.Example.com/en/71?x", "https://a.example.com/en/8", "x", None, "http://b.net/de/1", "http://example.net/de/81#t", "http://org/es/", "http://borg/es/1", "http://com", "ftp://u@com:8/en/", "http://q.org/es/9"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id INT, url STRING").selectExpr("*", "'h' as host", "'p' as path", "1 as n")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id INT, url STRING").selectExpr("*", "'h' as host", "'p' as path", "1 as n", "cast(null as string) as html")
     listed = [R("block", "com/en/"), R("allow", "example.com/en/7"), R("allow", "net/de/"), R("block", "example.net/de/8"), R("block", "org/es/")]
     got = {r.page_id: r for r in url_filter.judge(pages, listed).collect()}
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(urls))] == [
@@ -242,11 +242,90 @@ def test_url_rules_and_templates(spark):
         ("org", "/es/", "org/es/"), ("borg", "/es/1", None), ("com", "", None), ("u@com:8", "/en/", None), ("q.org", "/es/9", "org/es/"),
     ]
     assert got[0].verdict == "allow" and got[1].verdict == "block" and got[7].verdict == "allow"
-    # A template whose labelled urls are blocked takes the unlabelled ones along.
-    more = [(i, f"http://bad.com/x/{i}/y") for i in range(30)]
-    tree = url_filter.judge(spark.createDataFrame(more, "page_id INT, url STRING"), [R("block", f"bad.com/x/{i}/") for i in range(12)]).collect()
-    assert {r.template for r in tree} == {"x/*/y"} and all(r.verdict == "block" for r in tree)
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 0)
+    other = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, [*listed, R("block", "com/en/")]).collect()}
+    assert other == {i: (r.rule, r.verdict) for i, r in got.items()}
+    tied = url_filter.judge(pages, [R("allow", "com/en/"), R("block", "com/en/")]).filter("rule = 'com/en/'").select("verdict").distinct().collect()
+    assert [r.verdict for r in tied] == ["block"]
     assert url_filter.judge(pages.limit(0), listed).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
+
+
+def brute_tree(rows, many=20, rare=0.02, similar=2.0, weight=2.0, reject=0.8):
+    """(template, purity, verdict) of (host, segments' shapes, bad or None) rows, by plain loops."""
+    import math
+
+    def alike(b1, n1, b2, n2):
+        p = (b1 + b2 + 0.5) / (n1 + n2 + 1)
+        return not n1 or not n2 or abs(b1 / n1 - b2 / n2) <= similar * math.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
+
+    def count(some):
+        return sum(r[2] is not None for r in some), sum(bool(r[2]) for r in some)
+
+    done = [[] for _ in rows]
+    for level in range(max(len(r[1]) for r in rows)):
+        slots = defaultdict(list)
+        for i, r in enumerate(rows):
+            if len(r[1]) > level:
+                slots[r[0], tuple(done[i])].append(i)
+        for members in slots.values():
+            by = defaultdict(list)
+            for i in members:
+                by[rows[i][1][level]].append(i)
+            lab, bad = count([rows[i] for i in members])
+            rate = (bad + 0.5) / (lab + 1)
+            kinds = defaultdict(list)
+            for x, m in by.items():
+                kinds["*" if x.startswith("{") or (len(by) > many and len(m) < rare * len(members)) else f"={x}"] += m
+            bins = defaultdict(list)
+            for x, m in kinds.items():
+                n, b = count([rows[i] for i in m])
+                bins[min(15, int(math.asin(math.sqrt((b + weight * rate) / (n + weight))) * 2 / math.pi * 16))].append(x)
+            groups, total = [], (0, 0)
+            for k in sorted(bins):
+                n, b = count([rows[i] for x in bins[k] for i in kinds[x]])
+                if groups and alike(total[1], total[0], b, n):
+                    groups[-1] += bins[k]
+                    total = (total[0] + n, total[1] + b)
+                else:
+                    groups.append(list(bins[k]))
+                    total = (n, b)
+            for g in groups:
+                name = "*" if "*" in g else min(g)[1:] + ("|…" if len(g) > 1 else "")
+                for x in g:
+                    for i in kinds[x]:
+                        done[i].append(name)
+    lab, bad = count(rows)
+    forms = ["/".join("*" if s.startswith("{") else s for s in r[1]) for r in rows]
+    keys = [[forms[i], (".".join(r[0].split(".")[-2:]), forms[i]), (r[0], "/".join(done[i]))] for i, r in enumerate(rows)]
+    sums = defaultdict(lambda: [0, 0])
+    for r, ks in zip(rows, keys, strict=True):
+        for j, k in enumerate(ks):
+            sums[j, k][0] += r[2] is not None
+            sums[j, k][1] += bool(r[2])
+    out = []
+    for r, ks in zip(rows, keys, strict=True):
+        p, support = bad / max(lab, 1), 0
+        for j, k in enumerate(ks):
+            n, b = sums[j, k]
+            p, support = (b + weight * p) / (n + weight), support + n
+        out.append((ks[2][1], round(p, 9), "block" if p >= reject and support and r[0] else "allow"))
+    return out
+
+
+def test_url_tree_decides_and_equals_plain_loops(spark, monkeypatch):
+    rng = random.Random(21)
+    junk, clean = "<p>" + "%% ** ## " * 30, "<script>%%%%%%%%%%%%</script><p>" + "plain words of a page " * 20
+    rows = [("a.com", f"/spam/{i}/x", junk) for i in range(14)] + [("a.com", f"/spam/{i}/x", None) for i in range(20, 24)] + [("a.com", f"/news/{i}", clean) for i in range(30)]
+    rows += [(f"h{i % 3}.net", f"/ads/{i}", junk) for i in range(40)] + [("new.net", "/ads/77", None), ("other.org", "/ads/5", None), ("new.net", "/fine/77", None)]
+    rows += [(f"{rng.choice('ab')}.org", f"/{rng.choice('uvwxyz')}/{rng.choice(['', '7', 'q', 'r2'])}", rng.choice([junk, clean, clean, None])) for _ in range(150)]
+    rows += [("many.org", f"/{chr(97 + i % 26)}{chr(97 + i // 26)}/z", clean if i % 2 else junk) for i in range(120)] + [("", "", junk)]
+    pages = spark.createDataFrame([(i, f"https://{h}{p}" if h else None, html, "c") for i, (h, p, html) in enumerate(rows)], "page_id INT, url STRING, html STRING, at STRING")
+    shaped = [(h, ["{number}" if s.isdigit() else "{mixed}" if any(map(str.isdigit, s)) else s for s in p.split("/") if s], None if html is None else html == junk) for h, p, html in rows]
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in url_filter.judge(pages, []).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_tree(shaped)
+    verdicts = {r: got[i][2] for i, r in enumerate(rows) if r[2] is None}
+    assert all(verdicts[r] == ("block" if "/spam/" in r[1] or "/ads/" in r[1] else "allow") for r in verdicts if r[0] in ("a.com", "new.net", "other.org"))
 
 
 def test_language_id_on_held_out_rows(spark):
