@@ -3,12 +3,14 @@
 Words of texts and benchmark items are lower-cased and stripped of outer punctuation; numbers, names (a capitalised word
 inside a sentence) and units (after a number) become typed placeholders. Windows of `WIDTH` such tokens are hashed and
 joined. A text holds an item if an occurrence has `coverage` of the item's windows, and its slots are consistent: within it, a
-value of the item stands for one value of the text everywhere, so that a question with other numbers or names is caught and
-chance meetings of placeholders aren't. Occurrences are told apart by alignment (place in the text less place in the
-item): each alignment by itself, alignments that differ by half an item at most (words put in or left out), and the whole text.
-
-Of placeholders, windows with fewer than two plain words are not used. Windows of the plain words themselves are joined too,
-without that bound, so that a verbatim copy always counts. An item shorter than `WIDTH` words is one window of its own length.
+value of the item stands for one value of the text everywhere, and no two values for the same, so that a question with other
+numbers or names is caught and chance meetings of placeholders aren't. Occurrences are local. They are told apart by alignment
+(place in the text less place in the item): each alignment by itself, and alignments that differ by half an item at most (words
+put in or left out).
+
+Windows come in three forms: with all placeholders; with those of numbers and units only, names being plain words (for languages that
+capitalise nouns, and texts in lower case); and of the plain words themselves, so that a verbatim copy always counts. Of windows with
+placeholders, those with fewer than two plain words are not used. An item shorter than `WIDTH` words is one window of its own length.
 Null and empty texts and items match nothing. Items with the same words are each reported. Keys may repeat: their
 rows are told apart by a hash of the text. Extra columns don't pass.
 """
@@ -30,8 +32,10 @@ from chronoplate.llm.minhash import mixed
 WIDTH = 5
 #: Words that a task remembers (some 100 MB at most).
 KNOWN = 600_000
-#: Benchmark windows that tasks may get in a closure (8 bytes each); beyond, all windows of all texts go to the join.
+#: Benchmark windows that may be broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Bits of the filter that scans look windows up in before the join: 256 for each benchmark window, up to 2^26 (8 MB packed).
+FILTER_BITS = range(16, 27)
 
 PLAIN, NUMBER, UNIT, NAME = range(4)
 
@@ -74,19 +78,47 @@ class Tokens(dict):
         return code
 
 
+FULL, NUMERIC, WORDS = range(3)
+
+
 def canonical(words: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, slots, plain) of a text's words: slots are true where a placeholder stands, `plain` are codes without placeholders."""
+    """(raw codes, where numbers and units stand, where names stand) of a text's words."""
     raw = np.fromiter(map(known.__getitem__, words), _U, len(words))
     kind = raw & _U(3)
-    plain = raw & ~_U(7)
     if not kind.any():
-        return plain, np.zeros(len(raw), bool), plain
+        none = np.zeros(len(raw), bool)
+        return raw, none, none
     starts = np.concatenate([[True], (raw[:-1] & _U(4)) > 0])
     number = kind == NUMBER
     unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])
-    name = (kind == NAME) & ~starts
-    codes = np.where(number, _CODES[NUMBER], np.where(unit, _CODES[UNIT], np.where(name, _CODES[NAME], plain)))
-    return codes, number | unit | name, plain
+    return raw, number | unit, (kind == NAME) & ~starts
+
+
+def forms(raw: np.ndarray, amounts: np.ndarray, names: np.ndarray, width: int, every: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(form, slots, starts, hashes) of a text's windows. A form leaves out windows that another form gives the same hash, unless `every` is asked for."""
+    n = len(raw) - width + 1
+    if n <= 0:
+        return
+    plain = raw & ~_U(7)
+    inside = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[width:] - c[:-width]
+    amount, name = (inside(x) if x.any() else None for x in (amounts, names))
+    codes = plain
+    if amount is not None:
+        codes = np.where(amounts, np.where((raw & _U(3)) == NUMBER, _CODES[NUMBER], _CODES[UNIT]), plain)
+    if amount is not None and name is not None:
+        at = np.arange(n) if every else np.flatnonzero((amount > 0) & (name > 0))
+        at = at[width - amount[at] >= min(2, width)]
+        yield NUMERIC, amounts, at, _hashes(codes, width)[at]
+    slots, held = amounts, amount
+    if name is not None:
+        codes, slots = np.where(names, _CODES[NAME], codes), amounts | names
+        held = name if amount is None else amount + name
+    h = _hashes(codes, width)
+    at = np.arange(n) if held is None else np.flatnonzero(width - held >= min(2, width))
+    yield FULL, slots, at, h[at]
+    if held is not None:
+        at = np.arange(n) if every else np.flatnonzero(held > 0)
+        yield WORDS, np.zeros(len(raw), bool), at, _hashes(plain, width)[at]
 
 
 def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -97,29 +129,6 @@ def _hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
-def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows of `width` tokens that have two plain words at least (one, if the width is 1)."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, _U)
-    h = _hashes(codes, width)
-    if not slots.any():
-        return np.arange(n), h
-    filled = np.concatenate([[0], np.cumsum(slots)])
-    ok = np.flatnonzero(width - (filled[width:] - filled[:-width])[:n] >= min(2, width))
-    return ok, h[ok]
-
-
-def plain_windows(plain: np.ndarray, slots: np.ndarray, width: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of windows of the words themselves: all, or those with a placeholder; the others have the same hash either way."""
-    h = _hashes(plain, width)
-    if all_:
-        return np.arange(len(h)), h
-    filled = np.concatenate([[0], np.cumsum(slots)])
-    at = np.flatnonzero(filled[width:] > filled[:-width]) if len(h) else np.empty(0, np.int64)
-    return at, h[at]
-
-
 def _slot_values(words: list[str], slots: np.ndarray, start: int, width: int) -> list[str]:
     return [words[i].strip(_EDGES).lower() for i in range(start, start + width) if slots[i]]
 
@@ -127,15 +136,25 @@ def _slot_values(words: list[str], slots: np.ndarray, start: int, width: int) ->
 _HIT = "h bigint, pos int, slots array<string>"
 
 
+def hash_filter(hashes: DataFrame, count: int) -> np.ndarray:
+    """Packed bits of a Bloom filter of two places over the column h; its size is bounded, whatever the count."""
+    bits = next((b for b in FILTER_BITS if 1 << b >= 256 * count), FILTER_BITS[-1])
+    mask = (1 << bits) - 1
+    slots = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(31).cast("int"))).alias("on")).collect()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in words:
+        out[r["w"]] = r["on"]
+    return out
+
+
 def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows of a kind (`plain` or not) as `total` and its words as `size`. `wanted`: only windows with these hashes. Each text gives a row at pos -1 too, so that the texts needn't be read again to list them."""
-    bits = None
-    if wanted is not None:
-        bits = np.zeros(1 << 22, bool)
-        bits[(wanted & _U((1 << 22) - 1)).astype(np.int64)] = True
+    """(id, th, h, pos, slots) of windows of texts (id, th, text). `widths` None: an item's own, with its number of windows of a `form` as `total` and its words as `size`. `wanted`: only windows that a hash_filter() lets pass. Each text gives a row at pos -1 too, so that the texts needn't be read again to list them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Tokens()
+        bits = None if wanted is None else np.unpackbits(wanted.view(np.uint8), bitorder="little").view(bool)
+        mask = None if bits is None else _U(len(bits) - 1)
         for batch in batches:
             for part in slices(batch, "text") if batch.num_rows else ():
                 row, hs, pos, values, total, wide, kinds, sizes = [], [], [], [], [], [], [], []
@@ -146,54 +165,51 @@ def text_windows(texts: DataFrame, widths: list[int] | None, wanted: np.ndarray
                     values.append([])
                     total.append(0)
                     wide.append(0)
-                    kinds.append(False)
+                    kinds.append(-1)
                     sizes.append(0)
                     words = text.split() if text else []
                     if not words:
                         continue
-                    codes, slots, plain = canonical(words, known)
-                    some = slots.any()
+                    coded = canonical(words, known)
                     for width in widths or [min(WIDTH, len(words))]:
-                        for as_plain in (False, True) if some else (False,):
-                            at, h = plain_windows(plain, slots, width, widths is None) if as_plain else windows(codes, slots, width)
+                        for form, slots, at, h in forms(*coded, width, widths is None):
                             count = len(at)
                             if bits is not None and count:
-                                near = np.flatnonzero(bits[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                                near = near[np.isin(h[near], wanted)] if len(near) else near
+                                near = np.flatnonzero(bits[(h & mask).astype(np.int64)])
+                                near = near[bits[((h[near] >> _U(32)) & mask).astype(np.int64)]]
                                 at, h = at[near], h[near]
                             row += [r] * len(at)
                             hs.append(h)
                             pos += at.tolist()
-                            values += [[] if as_plain else _slot_values(words, slots, i, width) for i in at.tolist()]
+                            values += [_slot_values(words, slots, i, width) for i in at.tolist()]
                             total += [count] * len(at)
                             wide += [width] * len(at)
-                            kinds += [as_plain] * len(at)
+                            kinds += [form] * len(at)
                             sizes += [len(words)] * len(at)
                 rows = pa.array(row, pa.int64())
                 h = np.concatenate([*hs, np.empty(0, _U)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(sizes, pa.int32())], names=["id", "th", "h", "pos", "slots", "total", "width", "plain", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h), pa.array(pos, pa.int32()), pa.array(values, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(wide, pa.int32()), pa.array(kinds, pa.int32()), pa.array(sizes, pa.int32())], names=["id", "th", "h", "pos", "slots", "total", "width", "form", "size"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int, width int, plain boolean, size int")
+    return texts.mapInArrow(run, f"id {kind}, th bigint, {_HIT}, total int, width int, form int, size int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, coverage: float, consistency: float) -> tuple[DataFrame, DataFrame]:
-    """(id, th) of every text, and (id, th, item, covered, consistent) of texts that hold an item."""
+    """(id, th) of every text, and (id, th, item, covered) of texts that hold an item, a row for each occurrence."""
     items = written(benchmark.select(benchmark[item].alias("id"), F.xxhash64(item_text).alias("th"), benchmark[item_text].alias("text")), "items")
     asked = written(text_windows(items, None, None).filter("pos >= 0"), "item_windows")
     widths = [r[0] for r in asked.select("width").distinct().orderBy("width").collect()] or [WIDTH]
-    few = asked.count() <= BROADCAST_WINDOWS
-    wanted = np.unique(np.array([r[0] for r in asked.select("h").distinct().collect()], np.int64).view(_U)) if few else None
+    count = asked.count()
     texts = docs.select(docs[key].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("th"), docs[text].alias("text"))
-    windows_ = written(text_windows(texts, widths, wanted), "windows")
+    windows_ = written(text_windows(texts, widths, hash_filter(asked, count)), "windows")
     hits = windows_.filter("pos >= 0").select("id", "th", "h", "pos", "slots")
-    theirs = asked.select("h", F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total", "plain", "size")
-    # Slot values of a plain window are the same on both sides. A window of an item without slots may meet a plain one of a text.
-    pairs = F.when(F.col("plain") | (F.size("item_slots") != F.size("slots")), F.array().cast("array<struct<item_slots: string, slots: string>>")).otherwise(F.arrays_zip("item_slots", "slots"))
-    met = hits.join(F.broadcast(theirs) if few else theirs, "h").select("id", "th", "item", "item_th", "plain", "total", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("d"), pairs.alias("pairs"))
+    theirs = asked.select("h", F.col("id").alias("item"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "total", "form", "size")
+    # A window of plain words has the same values on both sides, though a form with slots may give it as well.
+    pairs = F.when((F.col("form") == WORDS) | (F.size("item_slots") != F.size("slots")), F.array().cast("array<struct<item_slots: string, slots: string>>")).otherwise(F.arrays_zip("item_slots", "slots"))
+    met = hits.join(F.broadcast(theirs) if count <= BROADCAST_WINDOWS else theirs, "h").select("id", "th", "item", "item_th", "form", "total", "size", "item_pos", (F.col("pos") - F.col("item_pos")).alias("d"), pairs.alias("pairs"))
     # Repeated rows of a text don't count twice.
     met = written(met.distinct(), "met")
-    kind = ["id", "th", "item", "item_th", "plain"]
+    kind = ["id", "th", "item", "item_th", "form"]
     # What the whole text doesn't have, no occurrence in it has.
     enough = met.groupBy(*kind).agg(F.count_distinct("item_pos").alias("n"), F.first("total").alias("total")).filter(F.col("n") / F.col("total") >= coverage)
     enough = written(enough.select(*(F.col(c).alias(f"_{c}") for c in kind)), "enough")
@@ -202,18 +218,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: st
     near = F.floor(F.col("d") / F.col("size"))
     between = F.floor((F.col("d") + F.col("size") / 2) / F.col("size"))
     as_key = lambda name, at: F.struct(F.lit(name).alias("by"), at.cast("bigint").alias("at"))
-    spread = met.withColumn("occurrence", F.explode(F.array(as_key("one", F.col("d")), as_key("near", near), as_key("between", between), as_key("text", F.lit(0)))))
-    # A window of an item counts once for an occurrence, by the alignment that has most; over a whole text every pair counts.
-    best = F.max_by("pairs", F.struct("along", -F.abs("d"), "d"))
-    seen = spread.groupBy(*kind, "occurrence", "item_pos").agg(F.first("total").alias("total"), F.when(F.col("occurrence.by") == "text", F.flatten(F.collect_set("pairs"))).otherwise(best).alias("pairs"))
+    spread = met.withColumn("occurrence", F.explode(F.array(as_key("one", F.col("d")), as_key("near", near), as_key("between", between))))
+    # A window of an item counts once for an occurrence, by the alignment that has most.
+    seen = spread.groupBy(*kind, "occurrence", "item_pos").agg(F.first("total").alias("total"), F.max_by("pairs", F.struct("along", -F.abs("d"), "d")).alias("pairs"))
     whole = seen.groupBy(*kind, "occurrence").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    # Bindings beyond one text value for an item value are conflicts.
-    sources = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
-    consistent = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(sources / F.size("pairs"))
-    return windows_.filter("pos < 0").select("id", "th"), whole.select("id", "th", "item", (F.col("n") / F.col("total")).alias("covered"), consistent.alias("consistent")).filter((F.col("covered") >= coverage) & (F.col("consistent") >= consistency))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = 0.5, consistency: float = 0.5) -> DataFrame:
+    # Bindings beyond one text value for an item value, or one item value for a text value, are conflicts.
+    kinds = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    consistent = F.when(F.size("pairs") == 0, F.lit(1.0)).otherwise(F.least(kinds("item_slots"), kinds("slots")) / F.size("pairs"))
+    held = whole.select(*kind, "occurrence", (F.col("n") / F.col("total")).alias("covered"), (consistent >= consistency).alias("ok")).filter(F.col("covered") >= coverage)
+    # Where all placeholders are met and contradict each other, numbers alone don't overrule them.
+    form = F.col("form")
+    most = lambda cond: F.max(F.when(cond & F.col("ok"), F.col("covered")))
+    by = held.groupBy("id", "th", "item", "item_th", "occurrence").agg(most(form != NUMERIC).alias("sure"), most(form == NUMERIC).alias("numeric"), F.bool_or(form == FULL).alias("full"))
+    found = by.select("id", "th", "item", F.coalesce("sure", F.when(~F.col("full"), F.col("numeric"))).alias("covered")).filter("covered is not null")
+    return windows_.filter("pos < 0").select("id", "th"), found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = 0.5, consistency: float = 1.0) -> DataFrame:
     """`key`, `th` (hash of the text), `contaminated`, `items` (sorted ids of the items held) and `coverage` (of the best one, 0 if none), a row for every row of `docs`."""
     rows, found = matches(docs, benchmark, key, text, item, item_text, coverage, consistency)
     by = found.groupBy(F.col("id").alias("fid"), F.col("th").alias("fth")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("covered").alias("covered"))

@@ -1,14 +1,16 @@
 """Licence scans in DataFrame functions only: TF-IDF cosine to templates, then inheritance down directories.
 
-Headers are the lines of a text with a licence word; of a licence file the paragraphs with one (the whole text, if it has
-no blank line) are units as well. A unit becomes a sparse vector of its words, weighted by term frequency times inverse document frequency among the templates; words that no template has get the
-largest weight, and so lower the cosine. Terms are joined with the templates' terms, and products are summed by (unit,
-template). The best template at `least` or more is the unit's licence. A file's own licence is that of its best header; a file
-without one inherits from the nearest ancestor directory (its own included) with a licence file, found by joining the file's
-ancestor paths with the licence files' directories.
-
-Null texts have no headers; null paths inherit nothing. Repeated paths give a row each. Among equal matches the template first in
-name order wins, in a directory with several licence files the best match. Extra columns don't pass.
+Units of a text are what may state a licence: its lines, two lines in a row, the sentences and the paragraphs (of up to `LONG`
+words) that are left when comment marks go and lines are joined, so that wrapped notices are whole; all of them
+with a header word. Longer sentences and lines give a window of words around each header word instead. A unit with an SPDX
+identifier states that. Any other becomes a sparse vector of its words, weighted by term frequency times inverse document frequency
+among the templates; words that no template has weigh as little as a common one. Terms are joined with the templates' terms, and
+products are summed by (unit, template). The best template at `least` or more is the unit's licence. A file's own licence is that of
+its best unit; a file without one inherits from the nearest ancestor directory (its own included) with a licence file, found by
+joining the file's ancestor paths with the licence files' directories.
+
+Null and empty texts have no units; null paths inherit nothing. Repeated paths give a row each and share what any of their texts states. Among matches that
+agree to a tenth the template listed first wins, in a directory with several licence files the best match. An empty table gives none. Extra columns don't pass.
 """
 
 from __future__ import annotations
@@ -16,26 +18,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoplate.llm.common import ascii_lower_col, written
+from chronoplate.llm.common import ascii_lower_col, few, looked_up, written
 
-#: Notices by which licences are declared, under their SPDX names.
+#: Notices by which licences are declared, and openings of their texts, under their SPDX names. Of equal matches the first listed wins.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License as published by the Free Software Foundation, version 3"],
-    "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "GNU General Public License as published by the Free Software Foundation, version 2"],
-    "LGPL-3.0-only": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Apache License Version 2.0, January 2004",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "GPL-3.0-or-later": [
+        "This work is licensed under the GNU General Public License, version 3 or later.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-2.0-or-later": [
+        "This work is licensed under the GNU General Public License, version 2 or later.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0-or-later": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1-or-later": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0-or-later": [
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0-only": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+        "GNU General Public License as published by the Free Software Foundation, version 3",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ],
+    "GPL-2.0-only": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "GNU General Public License as published by the Free Software Foundation, version 2",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ],
+    "LGPL-3.0-only": ["This work is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1-only": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "AGPL-3.0-only": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+    ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0"],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal."],
+    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal"],
 }
 
-#: Words that make a line a header; every template has one.
-HEADER_WORDS = r"(?i)licen[cs]e|licensed|cc0|redistribution|permission is hereby"
+#: Words that make a unit a header; every template has one.
+HEADER_WORDS = r"(?i)licen[cs]|cc0|redistribut|permission (?:is hereby|to use)|neither the name|unencumbered|\bmpl\b"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?((?-i)[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)*)"
+#: What opens and closes lines of comments.
+COMMENT = r"(?mi)^[ \t]*(?:/\*+|\*+(?!/)|//+!?|#+!?|;+|--+|%+|<!--|dnl\b|rem\b|\"\"\"|''')?[ \t]*|[ \t\r]*(?:\*+/|-->)?[ \t\r]*$"
+
+#: Words of the longest paragraphs, and sentences, that are a unit; words of windows around a header word in longer ones.
+LONG, WINDOWS = 120, (14, 40)
+#: Weight of a word that no template has; the idf of a word in a third of the templates is about this.
+UNSEEN = 1.0
 
 _TERM = r"[^a-z0-9]+"
 
@@ -44,40 +110,56 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(ascii_lower_col(text), _TERM), lambda w: w != "")
 
 
-def _template_weights(spark, templates: dict[str, list[str]]) -> tuple[DataFrame, float]:
-    """(term, idf, template, variant, weight) with unit-length weights, and the idf of words that no template has."""
-    rows = spark.createDataFrame([(name, i, t) for name, ts in templates.items() for i, t in enumerate(ts)], "template string, variant int, text string").repartition(1)
+def _template_weights(spark, templates: dict[str, list[str]]) -> DataFrame:
+    """(term, idf, template, variant, rank, weight) with unit-length weights."""
+    rows = spark.createDataFrame([(name, i, t, k) for k, (name, ts) in enumerate(templates.items()) for i, t in enumerate(ts)], "template string, variant int, text string, rank int").repartition(1)
     n = sum(map(len, templates.values()))
-    counts = rows.select("template", "variant", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "variant", "term").agg(F.count("*").alias("tf"))
-    idf = counts.groupBy("term").agg((F.log(F.lit(n + 1.0) / (F.count("*") + 1)) + 1).alias("idf"))
+    one = ["template", "variant", "rank"]
+    counts = rows.select(*one, F.explode(terms(F.col("text"))).alias("term")).groupBy(*one, "term").agg(F.count("*").alias("tf"))
+    idf = counts.groupBy("term").agg(F.log(F.lit(n + 1.0) / (F.count("*") + 0.5)).alias("idf"))
     weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("template", "variant").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unseen = spark.range(1).select((F.log(F.lit(n + 1.0)) + 1).alias("x")).first()["x"]
-    return weighted.join(norms, ["template", "variant"]).select("term", "idf", "template", "variant", (F.col("w") / F.col("norm")).alias("weight")), unseen
+    norms = weighted.groupBy(*one).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, one).select("term", "idf", *one, (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def match(units: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
-    """(id, template, cosine) of the best template of each distinct `unit` string, where it reaches `least`; id is the string's SHA-256.
+    """(id, template, cosine, rank) of the best template of each distinct `unit` string, where it reaches `least`; id is the string's SHA-256.
 
     The same notice stands in very many files, so distinct strings are matched, once each."""
-    weights, unseen = _template_weights(units.sparkSession, templates)
-    weights = F.broadcast(written(weights, "templates"))  # bounded by the given templates
+    weights = F.broadcast(written(_template_weights(units.sparkSession, templates), "templates"))  # bounded by the given templates
     # Strings are known by their hash from here on, so that a long one isn't repeated with each of its terms.
-    named = units.select("unit").distinct().withColumn("id", F.sha2("unit", 256))
-    counted = named.select("id", F.explode(terms(F.col("unit"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    named = written(units.select("unit").distinct().select("unit", F.sha2("unit", 256).alias("id"), F.regexp_extract("unit", SPDX, 1).alias("said")), "units")
+    counted = named.filter("said = ''").select("id", F.explode(terms(F.col("unit"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(weights.select("term", "idf").distinct())
-    known = written(counted.join(idf, "term", "left").select("id", "term", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w")), "terms")
+    known = written(counted.join(idf, "term", "left").select("id", "term", (F.col("tf") * F.coalesce("idf", F.lit(UNSEEN))).alias("w")), "terms")
     norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = known.join(weights, "term").groupBy("id", "template", "variant").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, "id").select("id", "template", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
-    best = cosine.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b"))
-    return best.select("id", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"))
-
-
-def headers(files: DataFrame, key: str, text: str, between: str = "\n") -> DataFrame:
-    """(key, unit): the distinct lines, or parts between another pattern, of every whole text that have a header word."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), between), lambda x: x.rlike(HEADER_WORDS))
-    return files.filter(F.col(text).rlike(HEADER_WORDS)).select(key, F.explode(F.array_distinct(F.transform(lines, lambda x: F.trim(x)))).alias("unit"))
+    dots = known.join(weights, "term").groupBy("id", "template", "variant", "rank").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    cosine = dots.join(norms, "id").select("id", "template", "rank", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
+    best = cosine.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "rank", "template", "cosine")).alias("b"))
+    # Names that SPDX has given up stand for these.
+    said = F.regexp_replace(F.regexp_replace("said", r"\b([AL]?GPL-\d\.\d)\+", "$1-or-later"), r"\b([AL]?GPL-\d\.\d)(?![\w.+-])", "$1-only")
+    stated = named.filter("said <> ''").select("id", F.regexp_replace(said, r"[ \t]+", " ").alias("template"), F.lit(1.0).alias("cosine"), F.lit(-1).alias("rank"))
+    return best.select("id", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"), F.col("b.rank").alias("rank")).unionByName(stated)
+
+
+def headers(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, unit): the distinct units of every whole text that have a header word."""
+    is_header = lambda x: x.rlike(HEADER_WORDS)
+    spaced = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    n_words = lambda x: F.size(F.split(x, " "))
+    bare = files.filter(is_header(F.col(text))).select(key, F.regexp_replace(text, COMMENT, "").alias("bare"))
+    cut = bare.select(key, F.split("bare", "\n").alias("lines"), F.transform(F.filter(F.split("bare", r"\n\s*\n"), is_header), spaced).alias("paragraphs"))
+    two = F.transform("lines", lambda x, i: F.when(is_header(x), F.concat_ws(" ", x, F.get("lines", i + 1))))
+    sentences = F.flatten(F.transform("paragraphs", lambda p: F.split(p, r"(?<=[.!?])\s+(?=[\p{Lu}\"(])")))
+    short = F.filter("paragraphs", lambda p: n_words(p) <= LONG)
+    units = F.array_distinct(F.transform(F.filter(F.concat(F.filter("lines", is_header), F.filter(two, lambda x: x.isNotNull()), sentences, short), is_header), spaced))
+
+    def around(x: Column) -> Column:
+        words = F.split(x, " ")
+        at = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(r"(?i)licen[cs]|cc0|redistribut|permission|neither|unencumbered|^mpl$"), i)), lambda i: i.isNotNull())
+        return F.when(F.size(words) <= LONG, F.array(x)).otherwise(F.flatten(F.transform(at, lambda i: F.array(*(F.array_join(F.slice(words, F.greatest(i - n // 2, F.lit(0)) + 1, n), " ") for n in WINDOWS)))))
+
+    return cut.select(key, F.explode(F.array_distinct(F.flatten(F.transform(units, around)))).alias("unit"))
 
 
 def directory(path: Column) -> Column:
@@ -96,17 +178,17 @@ def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "te
     `is_license` says which rows are licence files; by default their names do."""
     named = is_license if is_license is not None else F.element_at(F.split(F.col(path), "/"), -1).rlike(LICENSE_FILE)
     files = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"), F.coalesce(named, F.lit(False)).alias("named"))
-    units = headers(files, "path", "text").unionByName(headers(files.filter("named"), "path", "text", r"\n\s*\n")).filter("path is not null")
-    units = written(units.withColumn("id", F.sha2("unit", 256)), "headers")
-    found = units.select("path", "id").join(F.broadcast(w) if (w := written(match(units, templates, least), "matches")).count() <= 100_000 else w, "id")
-    own = written(found.groupBy("path").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b")).select("path", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine")), "own")
+    units = written(headers(files.filter("path is not null"), "path", "text").withColumn("id", F.sha2("unit", 256)), "headers")
+    found = units.select("path", "id").join(few(written(match(units, templates, least), "matches"), 100_000), "id")
+    best = F.min(F.struct((-F.round("cosine", 1)).alias("order"), "rank", (-F.col("cosine")).alias("exact"), "template", "cosine")).alias("b")
+    own = written(found.groupBy("path").agg(best).select("path", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"), F.col("b.rank").alias("rank")), "own")
     rows = files.select("key", "path", "named")
-    stated = rows.filter("named").join(own, "path").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "template", "cosine")).alias("b"))
-    # Directories are few beside files: ancestors are looked up once a directory.
+    stated = written(rows.filter("named").join(own, "path").groupBy(directory(F.col("path")).alias("dir")).agg(best), "stated")
+    # Directories are few beside files: ancestors are looked up once a directory. All have the root above them, so it is a hot key.
     dirs = rows.filter("path is not null").select(directory(F.col("path")).alias("at"), "path").groupBy("at").agg(F.min("path").alias("some"))
-    above = dirs.select("at", F.posexplode(ancestors(F.col("some"))).alias("up", "dir")).join(stated, "dir")
-    nearest = above.groupBy("at").agg(F.min(F.struct("up", "dir", "b")).alias("near")).select("at", F.col("near.dir").alias("near_dir"), F.col("near.b.template").alias("near_template"), F.col("near.b.cosine").alias("near_cosine"))
-    full = rows.join(own, "path", "left").withColumn("at", directory(F.col("path"))).join(nearest, "at", "left")
+    above = looked_up(dirs.select("at", F.posexplode(ancestors(F.col("some"))).alias("up", "dir")), stated, ["dir"], F.col("at")).filter("b is not null")
+    nearest = written(above.groupBy("at").agg(F.min(F.struct("up", "dir", "b")).alias("near")).select("at", F.col("near.dir").alias("near_dir"), F.col("near.b.template").alias("near_template"), F.col("near.b.cosine").alias("near_cosine")), "nearest")
+    full = looked_up(rows.join(own.drop("rank"), "path", "left").withColumn("at", directory(F.col("path"))), nearest, ["at"], F.xxhash64("key", "path"))
     held = F.col("template").isNotNull()
     return full.select(
         F.col("key").alias(key),

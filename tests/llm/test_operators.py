@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, cotrain, decontaminate, graph, langid, license_scan, minhash, rules, suffix_dedup, url_filter, wordpiece
+from chronoplate.llm import bpe, common, cotrain, decontaminate, graph, langid, license_scan, minhash, rules, suffix_dedup, url_filter, wordpiece
 from chronoplate.llm.suffix_array import suffix_array
 
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key STRING, id INT, th STRING, n DOUBLE, v STRING"
@@ -210,7 +210,7 @@ def test_decontamination_catches_other_numbers_and_names(spark, most, monkeypatc
     docs = [None, "", f"Intro words here. {item}. More.", f"Some text. {other}", mixed, "Nothing of the kind is written in this text at all, it has only plain words.", item.upper()]
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "two words"), (1, item)], "item_id BIGINT, text STRING")
     got = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()}
-    assert [got[i].contaminated for i in range(7)][:6] == [False, False, True, True, False, False]
+    assert [got[i].contaminated for i in range(7)] == [False, False, True, True, False, False, True]
     assert got[2].items == [1] and got[3].items == [1]
     assert decontaminate.decontaminate(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
 
@@ -231,6 +231,24 @@ def test_decontamination_judges_each_occurrence(spark):
     assert [got[i] for i in range(len(docs))] == [[1], [1], [2], [3], [1], [], [], []]
 
 
+def test_decontamination_needs_slots_one_to_one_and_in_one_place(spark):
+    rng = random.Random(15)
+    item = "A train leaves the northern station and Miller drives 120 km towards the harbour with 45 sacks of grain while Miller waits for 45 minutes"
+    german = "Ein langer Zug verlässt den alten Bahnhof und der Fahrer sieht nach 40 Minuten einen Hafen mit Schiffen, deren Ladung 300 Tonnen wiegt"
+    filler = " ".join(prose(rng, 20) for _ in range(150))
+    half = len(item.split()) // 2
+    docs = [
+        item.replace("120", "7").replace("45", "7"),  # two values on one
+        item.replace("45 sacks", "80 sacks").replace("45 minutes", "90 minutes").replace("and Miller", "and Becker"),  # one value turned to two
+        item.replace("120", "45").replace("45 sacks", "120 sacks").replace("for 45", "for 120"),  # swapped: still one to one
+        " ".join(item.split()[:half]) + f" {filler} " + " ".join(item.split()[half:]),
+        german.lower(), german.lower().replace("40", "55").replace("300", "80"), f"{filler} {german} {filler}", "Das Haus " + german.replace("40", "6").replace("300", "9"), filler,
+    ]
+    bench = spark.createDataFrame([(1, item), (2, german)], "item_id BIGINT, text STRING")
+    got = {r.doc_id: r.items for r in decontaminate.decontaminate(frame(spark, docs), bench).collect()}
+    assert [got[i] for i in range(len(docs))] == [[], [], [1], [], [2], [2], [2], [2], []]
+
+
 def test_url_rules_and_templates(spark, monkeypatch):
     R = url_filter.Rule
     urls = ["http://A.Example.com/en/71?x", "https://a.example.com/en/8", "x", None, "http://b.net/de/1", "http://example.net/de/81#t", "http://org/es/", "http://borg/es/1", "http://com", "ftp://u@com:8/en/", "http://q.org/es/9"]
@@ -389,6 +407,42 @@ def test_license_headers_and_inheritance(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+NOTICES = {
+    "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n//\n// This program is distributed in the hope that it will be useful,\nint x;": "GPL-3.0-or-later",
+    "/*\n * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version.\n */": "GPL-2.0-or-later",
+    "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+    "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */": "MPL-2.0",
+    "#!/bin/sh\n# SPDX-License-Identifier: MIT\necho": "MIT",
+    "/* SPDX-License-Identifier: GPL-2.0+ OR BSD-3-Clause */": "GPL-2.0-or-later OR BSD-3-Clause",
+    "// SPDX-License-Identifier: GPL-2.0": "GPL-2.0-only",
+    "All text on this page, unless otherwise noted, is licensed under CC BY 4.0.": "CC-BY-4.0",
+    "We wrote it in May. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. We like it.": "MIT",
+    "This work is licensed under the GNU General Public License,\nversion 3. And more words follow here": "GPL-3.0-only",
+    "Copyright 2020 The Authors\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0": "Apache-2.0",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain it.\n\n3. Neither the name of the Big Company nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": "BSD-2-Clause",
+    "filler words all along " * 400 + "it is licensed under CC BY-SA 4.0 as they say " + "filler words all along " * 400: "CC-BY-SA-4.0",
+    "He has a driving license and a licensed gun, which is odd.": None,
+    "": None,
+}
+
+
+def test_license_notices(spark):
+    """Wrapped, in comments, by identifier, inside sentences and long lines; as headers of files, and in a licence file."""
+    rows = [(i, f"d{i}/{name}", text) for i, text in enumerate(NOTICES) for name in ("x.c", "COPYING")]
+    got = license_scan.scan(spark.createDataFrame(rows, "key INT, path STRING, text STRING")).collect()
+    assert {(r.key, r.license) for r in got} == set(enumerate(NOTICES.values()))
+
+
+def test_license_ties_and_hot_directories(spark, monkeypatch):
+    templates = {"B": ["licensed under terms one"], "A": ["licensed under terms one"], "C": ["licensed under terms two"]}
+    files = spark.createDataFrame([(i, f"d/{i}.c", "no words") for i in range(40)] + [(90, "LICENSE", "licensed under terms one"), (91, "d/LICENSE.txt", "licensed under terms two"), (92, "d/LICENSE", "licensed under terms one")], "key INT, path STRING, text STRING")
+    few = {r.key: (r.license, r.origin_dir) for r in license_scan.scan(files, templates=templates).collect()}
+    assert few[0] == ("B", "d") and few[90] == ("B", None) and len(few) == 43
+    monkeypatch.setattr(license_scan, "looked_up", lambda rows, names, on, spread: common.looked_up(rows, names, on, spread, most=0))
+    assert {r.key: (r.license, r.origin_dir) for r in license_scan.scan(files, templates=templates).collect()} == few
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.decode(bpe.encode(frame(spark, ["x"]).limit(0))).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
