@@ -5,11 +5,14 @@ one-versus-rest linear support vector machines choose the language family, then
 family's languages. Margins are turned into probabilities by a logistic curve; the score is the family's probability times
 that of the winner against its relatives.
 
-Training takes a sample bounded by `per_language` rows of each language in expectation, drawn by a hash, and at most twice that
-in all; each machine is fitted in a task of its own. Prediction reads every whole text; only the text is its input.
+Training takes a sample bounded by `per_language` rows of each language in expectation, drawn by a hash, and at most twice that:
+keys and hashes of texts are drawn first, and only then are their texts read. Each machine is fitted in a task of its own, on sparse vectors;
+a family's machine takes at most `PER_POSITIVE` times its own rows from the other families. Prediction reads every whole text; only the
+text is its input.
 
 Texts that are null or have no letter are `und` with score 0, as all are if there is nothing to learn from. A single language
-gets all others with score 1. Extra columns don't pass; repeated and null keys are kept.
+gets all others with score 1. Rows with a null key are judged, but neither held out nor learnt from; rows with the same key and text teach
+once. Repeated keys are kept. Extra columns don't pass.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from chronoplate.llm.common import arrow_map, written
+from chronoplate.llm.common import arrow_map, few, written
 
 UNKNOWN = "und"
 BITS = 12
 GRAMS = (2, 3, 4)
+PER_POSITIVE = 4
 
 #: Families of common languages; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -80,17 +84,36 @@ class Machine:
     shift: float
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float, float, float]:
+class Sparse:
+    """Rows of a matrix by their places and values, with a last column of ones."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray], width: int):
+        sizes = np.array([len(p) for p in places])
+        self.width = width + 1
+        self.rows = np.repeat(np.arange(len(sizes)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        self.at, self.values = np.concatenate(places).astype(np.int64), np.concatenate(values).astype(np.float64)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.values * w[self.at], self.starts) + w[-1]
+
+    def across(self, g: np.ndarray) -> np.ndarray:
+        """The transpose times a vector."""
+        out = np.bincount(self.at, weights=self.values * g[self.rows], minlength=self.width)
+        out[-1] = g.sum()
+        return out
+
+
+def fit(x: Sparse, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float, float, float]:
     """Squared-hinge linear machine by accelerated gradient, and its logistic curve; y is ±1, classes count alike."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = v = np.zeros(x.shape[1], np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    w = v = np.zeros(x.width)
     step = 1 / (penalty + 4)
     for i in range(rounds):
         gap = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (penalty * v - 2 * x.T @ (weight * y * gap))
+        new = v - step * (penalty * v - 2 * x.across(weight * y * gap))
         w, v = new, new + i / (i + 3) * (new - w)
-    margin = (x @ w).astype(float)
+    margin = x @ w
     slope, shift = 1.0, 0.0
     for _ in range(100):  # logistic regression on the margin, slightly shrunk
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
@@ -102,33 +125,51 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300)
 
 
 def learn(rows: DataFrame, per_language: int = 500) -> list[Machine]:
-    """Machines from `rows` (text, lang, draw): `draw` is a column of uniform hashes that samples are taken by."""
-    rows = rows.filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """Machines from `rows` (key, text, lang), none of which is null; a hash of key and text draws the sample."""
+    rows = rows.filter("key is not null and text is not null and lang is not null").withColumn("th", F.xxhash64("text"))
+    named = rows.select("key", "th", "lang")
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
     if len(sizes) < 2:
         return [_sole(x) for x in sizes]
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()))
-    drawn = rows.filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).orderBy("draw", "text").limit(2 * per_language * len(sizes))
+    draw = F.xxhash64("key", "th")
+    drawn = named.filter(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30)).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "key", "th"))
+    drawn = written(drawn.withColumn("nth", nth).filter(F.col("nth") <= 2 * per_language).select("key", "th", "lang"), "drawn")
+    texts = rows.join(few(drawn, 1_000_000), ["key", "th", "lang"], "left_semi")
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [(lang, v) for t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (v := gram_counts(t)) is not None]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([v.tolist() for _, v in got], pa.list_(pa.float32()))], names=["lang", "x"])
-
-    sample = written(arrow_map(drawn.select("text", "lang"), "text", "lang string, x array<float>", vectors, 4_000_000), "sample")
+        got = [(k, th, lang, v) for k, th, t, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (v := gram_counts(t)) is not None]
+        at = [np.flatnonzero(v) for *_, v in got]
+        return pa.RecordBatch.from_arrays([
+            pa.array([k for k, *_ in got], batch.schema.field(0).type), pa.array([th for _, th, *_ in got], pa.int64()), pa.array([x for *_, x, _ in got], pa.string()),
+            pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([v[a].tolist() for (*_, v), a in zip(got, at, strict=True)], pa.list_(pa.float32())),
+        ], names=["key", "th", "lang", "at", "x"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    sample = written(arrow_map(texts.select("key", "th", "text", "lang"), "text", f"key {kind}, th bigint, lang string, at array<int>, x array<float>", vectors, 4_000_000), "sample")
+    sample = sample.dropDuplicates(["key", "th", "lang"])
     langs = sorted(sizes)
     families = sorted({family(x) for x in langs})
     jobs = [("family", f, "") for f in families] if len(families) > 1 else []
     jobs += [("pair", a, b) for a, b in combinations(langs, 2) if family(a) == family(b)]
-    taken = {x: [j for j, (kind, a, b) in enumerate(jobs) if kind == "family" or x in (a, b)] for x in langs}
-    by = F.coalesce(*(F.when(F.col("lang") == x, F.array(*map(F.lit, taken[x])).cast("array<int>")) for x in langs))
+    # For each language, the jobs that take its rows and the share of the rows that they take.
+    drawn_of = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    of_family = {f: sum(n for x, n in drawn_of.items() if family(x) == f) for f in families}
+    total = sum(drawn_of.values())
+    some = lambda f: min(1.0, PER_POSITIVE * of_family[f] / max(total - of_family[f], 1))
+    taken = {x: [(j, 1.0 if kind == "pair" or family(x) == a else some(a)) for j, (kind, a, b) in enumerate(jobs) if kind == "family" or x in (a, b)] for x in langs}
+    as_jobs = lambda got: F.array(*(F.struct(F.lit(j).alias("job"), F.lit(float(part)).alias("part")) for j, part in got)) if got else F.array().cast("array<struct<job: int, part: double>>")
+    by = F.coalesce(*(F.when(F.col("lang") == x, as_jobs(taken[x])) for x in langs))
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         kind, a, _ = jobs[int(rows["job"].iloc[0])]
-        y = np.array([1.0 if (family(x) if kind == "family" else x) == a else -1.0 for x in rows["lang"]], np.float32)
-        w, b, slope, shift = fit(np.stack(rows["x"].tolist()).astype(np.float32), y)
+        y = np.array([1.0 if (family(x) if kind == "family" else x) == a else -1.0 for x in rows["lang"]])
+        w, b, slope, shift = fit(Sparse(rows["at"].tolist(), rows["x"].tolist(), 1 << BITS), y)
         return pd.DataFrame({"job": [int(rows["job"].iloc[0])], "w": [w.tolist()], "b": [b], "slope": [slope], "shift": [shift]})
 
-    fitted = sample.select("lang", "x", F.explode(by).alias("job")).groupBy("job").applyInPandas(train, "job int, w array<float>, b double, slope double, shift double").collect()
+    dealt = sample.withColumn("by", F.explode(by)).filter(F.pmod(F.xxhash64("key", "th", "by.job"), F.lit(1 << 20)) < F.col("by.part") * (1 << 20))
+    fitted = dealt.select("lang", "at", "x", F.col("by.job").alias("job")).groupBy("job").applyInPandas(train, "job int, w array<float>, b double, slope double, shift double").collect()
     out = []
     for r in sorted(fitted):
         kind, a, b = jobs[r["job"]]
@@ -185,7 +226,7 @@ def held_out(key: Column) -> Column:
 
 def _machines(rows: DataFrame, per_language: int) -> list[Machine]:
     """`rows` has (key, text, lang)."""
-    return learn(rows.filter(~held_out(F.col("key"))).select("text", "lang", F.xxhash64("key").alias("draw")), per_language)
+    return learn(rows.filter(~held_out(F.col("key"))).select("key", "text", "lang"), per_language)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 500) -> DataFrame:

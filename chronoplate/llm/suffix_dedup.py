@@ -3,18 +3,22 @@
 Where equal strings meet. Every window of `LEAST` bytes has an anchor: the least hash among its `GRAM`-byte grams, the
 leftmost where equal. Equal windows have equal anchors at the same place, so that they meet under the anchor's hash; each
 window start belongs to one anchor. An anchor with its run of window starts is a region (the bytes of those windows).
-Anchors that occur once are done with. Regions that are equal in whole are settled together: all of their windows
-repeat, and one region stands for the class. What is left are regions under a shared anchor that differ somewhere.
+Anchors that occur once are done with. Regions of an anchor with the same bytes form a class (known by two hashes of different
+kinds, the anchor's and one of the region's bytes); one region stands for it, with the number of its members.
 
-How they are compared. Regions of an anchor go to one task, which sorts the suffixes of many anchors' regions at once: bytes
+How they are compared. The classes of an anchor go to one task, which sorts the suffixes of many anchors' regions at once: bytes
 are grouped to eight-byte symbols aligned at the anchor, `suffix_array` orders them by grouping, and neighbours' common
 prefixes cut the order into runs that share the wanted length. A window that starts between two symbols is judged in the
-run of the next symbol, by its few bytes before it. Windows that fall into one class twice repeat. An anchor with more than
-`HOT` different regions doesn't go to one task: its windows are counted by a 128-bit hash over the cluster instead.
+run of the next symbol, by its few bytes before it. Windows of a run repeat if they come from two regions, two places or a
+class of several. What a class's windows are found to be holds for all of its members.
+
+An anchor with more than `HOT` classes (a passage of very many documents, where it meets their own words) is too much for one
+task: of its windows those whose first or last gram no other has are done with, the others are grouped by their bytes over the
+cluster.
 
 Texts are UTF-8 bytes; null is empty. Matches don't cross documents; overlapping matches in one document count. A document
 is known by its key and a hash of its text, so that repeated keys with other texts stay apart, and repeated rows are each
-other's copies. Null keys are allowed. Extra columns don't pass.
+other's copies. Null keys are allowed. An empty table gives none. Extra columns don't pass.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoplate.llm.common import slices, written
+from chronoplate.llm.common import dropped, few, looked_up, slices, written
 from chronoplate.llm.minhash import mixed
 from chronoplate.llm.suffix_array import suffix_array
 
@@ -98,7 +103,8 @@ def regions(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[
         first, a, doc = p[new], anchor[new], doc[new]
         count = np.diff(np.append(new, len(p)))
         last = first + count - 1 + least
-        whole = mixed((total[last] - total[first]) * down[first] + (a - first).astype(_U) * _U(0x632BE59BD9B4E019) + count.astype(_U))
+        held = memoryview(part)
+        whole = np.fromiter((xxhash.xxh3_64_intdigest(held[x:y], seed=z) for x, y, z in zip(first.tolist(), last.tolist(), (a - first).tolist(), strict=True)), _U, len(first))
         found.append((doc, lo + first - starts[doc], count, a - first, grams[a], whole))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(6))
@@ -133,23 +139,19 @@ def all_regions(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return docs.select("id", "th", "data").filter(F.octet_length("data") >= least).mapInArrow(run, f"id {_id(docs)}, th bigint, anchor bigint, whole bigint, p0 int, n smallint, off smallint")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A written side of a join: broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def with_bytes(wanted: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(id, th, anchor, alone, p0, off, n, bytes) of wanted regions, cut from the texts."""
-    lists = written(wanted.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("p0", "n", "off", "anchor", "alone")).alias("list")), "wanted")
+    """(anchor, whole, times, off, n, bytes) of wanted regions, cut from the texts."""
+    lists = written(wanted.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("p0", "n", "off", "anchor", "whole", "times")).alias("list")), "wanted")
     # The same shuffle of the texts as that of the last join, so that Spark does it once.
-    both = docs.join(lists, docs["id"].eqNullSafe(F.col("wid")) & (docs["th"] == F.col("wth"))).select("id", "th", "data", "list")
-    cut = both.select("id", "th", "data", F.explode("list").alias("r"))
+    both = docs.join(lists, docs["id"].eqNullSafe(F.col("wid")) & (docs["th"] == F.col("wth"))).select("data", "list")
+    cut = both.select("data", F.explode("list").alias("r"))
     piece = F.substring(F.col("data"), F.col("r.p0") + 1, F.col("r.n") + (least - 1))
-    return cut.select("id", "th", "r.anchor", "r.alone", "r.p0", "r.off", "r.n", piece.alias("bytes"))
+    # Repeated rows of a document give a region again.
+    return cut.select("r.anchor", "r.whole", "r.times", "r.off", "r.n", piece.alias("bytes"))
 
 
-def repeated_windows(parts: list[bytes], counts: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(region, window) of every window of the regions that another window among them equals, by one suffix array."""
+def repeated_windows(parts: list[bytes], counts: np.ndarray, offs: np.ndarray, least: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(region, window) of every window of the regions that another window among them equals, or that stands for several, by one suffix array."""
     lead = (offs % 8).astype(np.int64)  # bytes before the first aligned symbol
     lens = np.array([len(x) for x in parts], np.int64)
     blocks = (lens - lead + 7) // 8
@@ -192,7 +194,7 @@ def repeated_windows(parts: list[bytes], counts: np.ndarray, offs: np.ndarray, l
         by = np.lexsort((tail, run))
         same = np.concatenate([[False], (np.diff(run[by]) == 0) & (tail[by][1:] == tail[by][:-1])])
         same[:-1] |= same[1:]
-        hit = ok[by[same]]
+        hit = ok[by[same | (times[owner[order[ok[by]]]] > 1)]]
         out_r.append(owner[order[hit]])
         out_w.append(window[hit])
     return (np.concatenate(out_r), np.concatenate(out_w)) if out_r else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -207,71 +209,70 @@ def _runs(region: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def by_suffix_array(cut: DataFrame, least: int, tasks: int) -> DataFrame:
-    """Repeated window starts (id, th, s, e) of regions that are alone in their class; an anchor's regions meet in one task."""
+    """Repeated windows (anchor, whole, s, e) of classes; those of an anchor meet in one task."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        ids, ths, _, alone, p0, off, n, parts = zip(*rows, strict=True)
-        region, window = repeated_windows(list(parts), np.array(n, np.int64), np.array(off, np.int64), least)
-        keep = np.array(alone, bool)[region]
-        region, window = region[keep], window[keep]
+        anchors, wholes, times, off, n, parts = zip(*rows, strict=True)
+        region, window = repeated_windows(list(parts), np.array(n, np.int64), np.array(off, np.int64), least, np.array(times, np.int64))
+        last = window
         if len(region):
             region, window, last = _runs(region, window)
-        else:
-            last = window
-        p0 = np.array(p0, np.int64)[region]
         rows = pa.array(region)
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(rows), pa.array(ths, pa.int64()).take(rows), pa.array((p0 + window).astype(np.int32)), pa.array((p0 + last).astype(np.int32))], names=["id", "th", "s", "e"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(cut.schema["id"].dataType)
+        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()).take(rows), pa.array(wholes, pa.int64()).take(rows), pa.array(window.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "whole", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SORTED_BYTES and row[2] != last:
+                if rows and row[:2] == rows[-1][:2]:
+                    continue  # a document that is there twice
+                if size >= SORTED_BYTES and row[0] != last:
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[7])
-                last = row[2]
+                size += len(row[5])
+                last = row[0]
         if rows:
             yield settle(rows)
 
-    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(run, f"id {_id(cut)}, th bigint, s int, e int")
+    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "whole").mapInArrow(run, "anchor bigint, whole bigint, s int, e int")
 
 
-def by_window_counts(cut: DataFrame, least: int) -> DataFrame:
-    """The same for anchors with very many different regions: windows are counted by hash over the cluster."""
-    windows = cut.select("id", "th", "alone", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"), "p0", "bytes")
+def by_window_counts(cut: DataFrame, least: int, gram: int) -> DataFrame:
+    """The same for anchors with very many classes: windows whose ends meet others are grouped by their bytes over the cluster."""
+    cut = written(cut.dropDuplicates(["anchor", "whole"]), "hot")
+    end = lambda at: F.substring("bytes", F.col("w") + 1 + at, F.lit(gram))
+    places = cut.select("anchor", "whole", "times", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"))
+    ends = places.select("anchor", "whole", "times", "w", F.xxhash64(end(F.lit(0)), end(F.lit(least - gram))).alias("ends"))
+    met = written(ends.groupBy("anchor", "ends").agg(F.sum("times").alias("all")).filter("all > 1").select("anchor", "ends"), "ends")
+    left = looked_up(ends, met.withColumn("met", F.lit(True)), ["anchor", "ends"], F.xxhash64("whole", "w"), BROADCAST_ROWS).filter("met").select("anchor", "whole", "w")
+    windows = written(left.groupBy("anchor", "whole").agg(F.collect_list("w").alias("ws")), "windows").join(cut, ["anchor", "whole"]).select("anchor", "whole", "times", "bytes", F.explode("ws").alias("w"))
     piece = F.substring("bytes", F.col("w") + 1, F.lit(least))
-    hashed = written(windows.select("id", "th", "alone", (F.col("p0") + F.col("w")).alias("s"), F.xxhash64(piece).alias("h1"), F.xxhash64(piece, F.lit(1)).alias("h2")), "windows")
-    twice = hashed.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1")
-    return hashed.filter("alone").join(twice, ["h1", "h2"]).select("id", "th", "s", F.col("s").alias("e"))
+    windows = written(windows.select("anchor", "whole", "times", "w", piece.alias("piece")), "pieces")
+    twice = windows.groupBy("anchor", "piece").agg(F.sum("times").alias("all")).filter("all > 1").select("anchor", "piece")
+    found = looked_up(windows, written(twice, "twice").withColumn("found", F.lit(True)), ["anchor", "piece"], F.xxhash64("whole", "w")).filter("found")
+    return found.select("anchor", "whole", F.col("w").alias("s"), F.col("w").alias("e"))
 
 
 def repeats(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(id, th, s, e): the windows that start from s to e repeat. `docs` has (id, th, data)."""
     spark = docs.sparkSession
     found = written(all_regions(docs, least, gram), "regions")
-    shared = written(found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("times > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("differ")), "shared")
-    met = written(found.join(_sized(shared), "anchor"), "met")
-    mixed_ = met.filter("differ")
+    shared = written(found.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1").select("anchor"), "shared")
+    met = written(found.join(few(shared, BROADCAST_ROWS), "anchor"), "met")
+    dropped(found)
     # first() of several columns takes them from one row; any row of a class may stand for it.
     one = [F.first(c).alias(c) for c in ("id", "th", "p0", "n", "off")]
-    classes = written(mixed_.groupBy("anchor", "whole").agg(F.count("*").alias("times"), *one), "classes")
-    twice = classes.filter("times > 1").select("anchor", "whole")
-    settled = met.filter("not differ").unionByName(mixed_.join(_sized(written(twice, "twice")), ["anchor", "whole"])).select("id", "th", F.col("p0").alias("s"), (F.col("p0") + F.col("n") - 1).alias("e"))
-    open_ = classes.groupBy("anchor").agg(F.min("times").alias("least"), F.count("*").alias("kinds")).filter("least = 1").select("anchor", (F.col("kinds") > HOT).alias("hot"))
-    wanted = classes.join(open_, "anchor").select("id", "th", "p0", "n", "off", "anchor", (F.col("times") == 1).alias("alone"), "hot")
-    wanted = written(wanted, "open")
+    classes = written(met.groupBy("anchor", "whole").agg(F.count("*").alias("times"), *one), "classes")
+    hot = written(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("anchor"), "hot_anchors")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    out = settled.unionByName(by_suffix_array(with_bytes(wanted.filter("not hot"), docs, least), least, tasks))
-    if not wanted.filter("hot").isEmpty():
-        out = out.unionByName(by_window_counts(with_bytes(wanted.filter("hot"), docs, least), least))
-    return out
+    runs = by_suffix_array(with_bytes(classes.join(few(hot, BROADCAST_ROWS), "anchor", "left_anti"), docs, least), least, tasks)
+    if not hot.isEmpty():
+        runs = runs.unionByName(by_window_counts(with_bytes(classes.join(few(hot, BROADCAST_ROWS), "anchor", "left_semi"), docs, least), least, gram))
+    runs = written(runs, "runs")
+    dropped(classes)
+    return met.join(few(runs, BROADCAST_ROWS), ["anchor", "whole"]).select("id", "th", (F.col("p0") + F.col("s")).alias("s"), (F.col("p0") + F.col("e")).alias("e"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
