@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoplate.operators.tables import written
+from chronoplate.operators.tables import before_by_ranges, dropped, written
 
 #: Requests of a cache that one task replays at most, about.
 RANGE_ROWS = 1_000_000
+#: How much wider buckets get for rows that have found nothing near.
+WIDER = 64
 
 
 def quartiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -71,7 +73,7 @@ def process_summary(samples: DataFrame, processors: int) -> DataFrame:
 
     Rows are processes at a sample; sums by sample come first, so that what the ordered step sees is a row for each sample."""
     w = Window.partitionBy("pid").orderBy("epoch_ms")
-    times = samples.select("epoch_ms").distinct().select("epoch_ms", F.lag("epoch_ms").over(Window.orderBy("epoch_ms")).alias("before_ms"))
+    times = before_by_ranges(samples, "epoch_ms", "before_ms")
     # A process counts against the sample right before; one that wasn't there has no baseline.
     deltas = samples.withColumns({"_p": F.lag("cpu_seconds").over(w), "_t": F.lag("epoch_ms").over(w)}).join(times, "epoch_ms")
     counted = F.when(F.col("_t") == F.col("before_ms"), F.greatest(F.lit(0.0), F.col("cpu_seconds") - F.col("_p"))).otherwise(F.lit(0.0))
@@ -97,21 +99,40 @@ def gpu_summary(rows: DataFrame) -> DataFrame:
 def upper_median_interval(samples: DataFrame, by: list[str], at: str = "epoch_ms") -> DataFrame:
     """Upper median of the steps between a series' samples (no interpolation)."""
     steps = samples.select(*by, (F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy(at))).alias("step")).filter("step is not null")
-    # Counted values keep the state small: repeated steps are one entry.
-    return steps.groupBy(*by).agg(F.percentile("step", 0.5).alias("_m"), F.sort_array(F.collect_list("step")).alias("_s")).select(*by, F.get("_s", F.floor(F.size("_s") / 2).cast("int")).alias("interval"))
+    # Steps are counted, and the counts added up in ascending order: a repeated step is one row, and no list of a series is built.
+    counted = steps.groupBy(*by, "step").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    summed = counted.withColumns({"_upto": F.sum("_n").over(w.orderBy("step")), "_all": F.sum("_n").over(w)})
+    return summed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("step").alias("interval"))
 
 
 def nearest(left: DataFrame, right: DataFrame, left_at: str, right_at: str, bucket: float) -> DataFrame:
-    """Each left row with the nearest right row in time (the earlier of equals) within `bucket`; null beyond.
-
-    Times are cut into buckets and a left row meets its own and both adjacent ones by an equi-join, so that the as-of join
-    shuffles by bucket and no side is broadcast or collected."""
-    l = left.withColumn("_id", F.xxhash64(*left.columns)).withColumn("_b", F.explode(F.array(*(F.floor(F.col(left_at) / bucket) + d for d in (-1, 0, 1)))))
-    r = right.withColumn("_b", F.floor(F.col(right_at) / bucket))
-    r = r.select("_b", F.struct(*right.columns).alias("_r"), F.col(right_at).alias("_at"))
-    gap = F.abs(F.col(left_at) - F.col("_at"))
-    close = l.join(r, "_b").filter(gap <= bucket).groupBy(*left.columns).agg(F.min_by("_r", F.struct(gap, F.col("_at"))).alias("_r"))
-    return left.join(close, left.columns, "left").select(*left.columns, *(F.col(f"_r.{c}").alias(f"near_{c}") for c in right.columns))
+    """Each left row with the nearest right row in time, the earlier of equals, however far it is; null only if there is no right row, or the left row has no time.
+
+    Times are cut into buckets and a left row meets its own and both adjacent ones by an equi-join, so that the as-of join shuffles by
+    bucket and no side is broadcast or collected. Left rows that meet none within a bucket's width go on with buckets of WIDER
+    times the width; for them only the first and last right row of each narrower bucket matter."""
+    own = [f"_l{i}" for i in range(len(left.columns))]
+    open_ = written(left.toDF(*own).withColumn("_id", F.monotonically_increasing_id()), "left")
+    at = own[left.columns.index(left_at)]
+    r = right.filter(F.col(right_at).isNotNull()).select(F.col(right_at).cast("double").alias("_at"), F.struct(*right.columns).alias("_r"))
+    found, ends = [], r.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
+    while ends["lo"] is not None:
+        meets = open_.withColumn("_b", F.explode(F.array(*(F.floor(F.col(at) / bucket) + d for d in (-1, 0, 1)))))
+        gap = F.abs(F.col(at) - F.col("_at"))
+        close = meets.join(r.withColumn("_b", F.floor(F.col("_at") / bucket)), "_b").filter(gap <= bucket).groupBy("_id").agg(F.min(F.struct(gap.alias("gap"), "_at", "_r"))["_r"].alias("_r"))
+        both = written(open_.join(close, "_id", "left"), "met")
+        found.append(both.filter("_r is not null"))
+        open_ = both.filter("_r is null").drop("_r")
+        if open_.filter(F.col(at).isNotNull()).isEmpty():
+            break
+        edges = r.groupBy(F.floor(F.col("_at") / bucket).alias("_b")).agg(F.min(F.struct("_at", "_r")).alias("lo"), F.max(F.struct("_at", "_r")).alias("hi"))
+        r = written(edges.select(F.explode(F.array("lo", "hi")).alias("e")).select("e._at", "e._r").distinct(), "edges")
+        bucket *= WIDER
+    out = open_.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType))
+    for part in found:
+        out = out.unionByName(part)
+    return out.select(*(F.col(o).alias(c) for o, c in zip(own, left.columns, strict=True)), *(F.col(f"_r.{c}").alias(f"near_{c}") for c in right.columns))
 
 
 def in_windows(samples: DataFrame, windows: DataFrame, at: str, start: str, end: str, bucket: float) -> DataFrame:
@@ -127,18 +148,21 @@ def since_baseline(samples: DataFrame, by: list[str], counters: list[str], order
 
 
 def process_tree(processes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, pid) of all descendants of root pids, themselves included; `processes` has (pid, parent). Cycles end, as pairs are distinct."""
-    return processes.sparkSession.sql(
-        """
-        WITH RECURSIVE tree(root, pid, depth) AS (
-          SELECT pid, pid, 0 FROM {roots}
-          UNION ALL
-          SELECT t.root, p.pid, t.depth + 1 FROM tree t JOIN {processes} p ON p.parent = t.pid AND p.pid <> t.root AND t.depth < 90
-        ) SELECT DISTINCT root, pid FROM tree
-        """,
-        processes=processes,
-        roots=roots,
-    )
+    """(root, pid) of all descendants of root pids, themselves included; `processes` has (pid, parent).
+
+    Steps up are doubled: a round knows the roots among 2^k ancestors of every process, and where 2^k steps lead, so that rounds grow with
+    the logarithm of the depth. They end when no step leads on, or after as many as there are processes (cycles)."""
+    up = written(processes.filter("parent is not null and parent <> pid").select("pid", F.col("parent").alias("up")).distinct(), "up")
+    asked = roots.select(F.col("pid").alias("root")).distinct()
+    found = written(up.join(asked, up["up"] == asked["root"]).select("root", "pid"), "found")
+    steps, total = 1, up.count()
+    while steps <= total and not up.isEmpty():
+        above = found.select("root", F.col("pid").alias("up"))
+        more = written(found.unionByName(up.join(above, "up").select("root", "pid")).distinct(), "found")
+        further = written(up.join(up.select(F.col("pid").alias("up"), F.col("up").alias("top")), "up").select("pid", F.col("top").alias("up")).distinct(), "up")
+        dropped(found, up)
+        found, up, steps = more, further, 2 * steps
+    return found.unionByName(asked.select("root", F.col("root").alias("pid"))).distinct()
 
 
 def shift_percent(off: Column, on: Column) -> Column:
@@ -152,17 +176,28 @@ def metric(value: Column, unit: str, valid: Column) -> Column:
     return F.struct(F.when(ok, "measured").otherwise("invalid").alias("status"), F.when(ok, value).alias("value"), F.when(ok, F.lit(unit)).alias("unit"), F.when(~ok, "insufficient-samples").alias("reason"))
 
 
-def shuffled_blocks(items: list[str], blocks: int, seed: int) -> list[list[str]]:
-    """A seeded order of conditions for each block: Fisher-Yates by a 32-bit linear congruential generator."""
-    state, out = seed & 0xFFFFFFFF, []
-    for _ in range(blocks):
-        row = list(items)
-        for i in range(len(row) - 1, 0, -1):
-            state = (1664525 * state + 1013904223) & 0xFFFFFFFF
-            j = state * (i + 1) >> 32
-            row[i], row[j] = row[j], row[i]
-        out.append(row)
-    return out
+def shuffled_blocks(blocks: DataFrame, items: list[str], seed: int, block: str = "block") -> DataFrame:
+    """(block, position, item): a seeded order of the items for each block, numbered from 0: Fisher-Yates by a 32-bit linear congruential generator.
+
+    The generator runs on from block to block; a block begins where those before it would have left it, so that blocks are computed apart."""
+    # Multiplier and increment of the generator.
+    grown = lambda state: F.pmod(F.lit(1664525) * state + F.lit(1013904223), F.lit(1 << 32))
+    last = len(items) - 1
+    numbers = lambda a, b, step: F.sequence(a.cast("bigint"), b.cast("bigint"), F.lit(step).cast("bigint"))
+    if last < 1:
+        return blocks.select(block, F.posexplode(F.array(*map(F.lit, items))).alias("position", "item"))
+    n = F.col(block) * last
+    start = F.when(n > 0, F.aggregate(numbers(F.lit(1), F.greatest(n, F.lit(1)), 1), F.lit(seed & 0xFFFFFFFF).cast("bigint"), lambda s, _: grown(s))).otherwise(F.lit(seed & 0xFFFFFFFF).cast("bigint"))
+
+    def step(acc: Column, i: Column) -> Column:
+        state = grown(acc["state"])
+        j = F.shiftright(state * (i + 1), 32)
+        swapped = F.transform(acc["row"], lambda x, k: F.when(k == i, F.get(acc["row"], j.cast("int"))).when(k == j, F.get(acc["row"], i.cast("int"))).otherwise(x))
+        return F.struct(state.alias("state"), swapped.alias("row"))
+
+    first = F.struct(start.alias("state"), F.array(*map(F.lit, items)).alias("row"))
+    row = F.aggregate(numbers(F.lit(last), F.lit(1), -1), first, step, lambda acc: acc["row"])
+    return blocks.select(block, F.posexplode(row).alias("position", "item"))
 
 
 def _newest_keys(seen: DataFrame, capacity: int, by: str, order: str, key: str) -> DataFrame:

@@ -1,18 +1,23 @@
 """Plate rotations at given ages: interpolation in a plate's series, and composition along related plates.
 
-A rotation model is a dimension of some thousand records, so its side of a join is small; points, domains and tiles are the
-large side, and are joined with the finished plate rotations by (plate, age).
+A rotation model is a dimension of some thousand records: its plates, each with its records in a row, meet what is asked for by an
+equi-join on the plate. Points, domains and tiles are the large side, and are joined with the finished plate rotations by (plate, age).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplate.functions import rotation as R
+from chronoplate.operators.tables import dropped, few, written
 
 #: Plates that a chain of related plates may have.
 MAX_DEPTH = 100
+#: Steps up the chains between two writes.
+HOPS = 4
+#: Plates (with their records) that may be broadcast; more are joined by a shuffle.
+BROADCAST_PLATES = 20_000
 
 
 def intervals(series: DataFrame) -> DataFrame:
@@ -31,56 +36,75 @@ def intervals(series: DataFrame) -> DataFrame:
     )
 
 
-def own_rotations(series: DataFrame, ages: DataFrame) -> DataFrame:
-    """(plate_id, age, q, related_id): each plate's own rotation at each age of `ages`.
+def spans_by_plate(series: DataFrame) -> DataFrame:
+    """(plate_id, spans): the records of intervals() of each plate in file order, as an array. A plate has some hundred records at most."""
+    names = ("i", "n", "age", "q", "related_id", "next_age", "next_q", "next_related", "first_age", "last_age")
+    return intervals(series).groupBy("plate_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("spans"))
 
-    Ages are clamped to the plate's records. The related plate is that of the first record at or above the age. A
-    plate of a single record has no rotation of its own (q is null) and passes its related plate on."""
-    spans = intervals(series)
-    # Both sides are parameters of a few thousand rows, whatever the data to be rotated.
-    both = spans.withColumnRenamed("age", "from_age").crossJoin(ages.select("age").distinct())
-    t = F.greatest("first_age", F.least("last_age", "age"))
+
+def _own(spans: Column, age: Column) -> Column:
+    """struct<q, related_id> of a plate's own rotation at an age, null without spans."""
+    first = F.get(spans, F.lit(0))
+    at = F.greatest(first["first_age"], F.least(first["last_age"], age))
     # The span whose end is the first record at or above the age; the first span also takes what lies at its start.
-    inside = F.when(F.col("n") == 1, F.lit(True)).otherwise(F.col("next_age").isNotNull() & (t <= F.col("next_age")) & ((t > F.col("from_age")) | (F.col("i") == 1)))
-    related = F.when((F.col("n") == 1) | (t <= F.col("from_age")), F.col("related_id")).otherwise(F.col("next_related"))
-    width = F.col("next_age") - F.col("from_age")
-    share = F.when(width != 0, (t - F.col("from_age")) / width).otherwise(F.lit(0.0))
-    q = F.when(F.col("n") > 1, R.slerp(F.col("q"), F.col("next_q"), share))
     # Where ages of a series don't ascend, more than one span may fit: the first in file order holds.
-    picked = both.filter(inside).select("plate_id", F.col("age"), "i", q.alias("q"), related.alias("related_id"))
-    return picked.groupBy("plate_id", "age").agg(F.min_by(F.struct("q", "related_id"), "i").alias("p")).select("plate_id", "age", "p.q", "p.related_id")
+    inside = lambda s: (s["n"] == 1) | (s["next_age"].isNotNull() & (at <= s["next_age"]) & ((at > s["age"]) | (s["i"] == 1)))
+
+    def turned(p: Column) -> Column:
+        width = p["next_age"] - p["age"]
+        share = F.when(width != 0, (at - p["age"]) / width).otherwise(F.lit(0.0))
+        q = F.when(p["n"] > 1, R.slerp(p["q"], p["next_q"], share))
+        related = F.when((p["n"] == 1) | (at <= p["age"]), p["related_id"]).otherwise(p["next_related"])
+        return F.when(p.isNotNull(), F.struct(q.alias("q"), related.alias("related_id")))
+
+    # A lambda over an array of one computes the span once a row.
+    return F.get(F.transform(F.array(F.get(F.filter(spans, inside), F.lit(0))), turned), F.lit(0))
+
+
+def _asked(plates: DataFrame, asked: DataFrame) -> DataFrame:
+    """`plates` at the asked ages: pairs (plate_id, age) are joined by plate; ages alone are a parameter of every plate."""
+    if "plate_id" in asked.columns:
+        return asked.select("plate_id", "age").distinct().join(few(plates, BROADCAST_PLATES), "plate_id")
+    every = sorted(r["age"] for r in asked.select("age").distinct().collect())
+    return plates.withColumn("age", F.explode(F.array(*map(F.lit, every)).cast("array<double>")))
+
+
+def own_rotations(series: DataFrame, asked: DataFrame) -> DataFrame:
+    """(plate_id, age, q, related_id): each plate's own rotation at each age of `asked` (age), or at the pairs of `asked` (plate_id, age).
+
+    Ages are clamped to the plate's records. The related plate is that of the first record at or above the age. A
+    plate of a single record has no rotation of its own (q is null) and passes its related plate on."""
+    plates = written(spans_by_plate(series), "plates")
+    return _asked(plates, asked).select("plate_id", "age", _own(F.col("spans"), F.col("age")).alias("p")).filter("p is not null").select("plate_id", "age", "p.q", "p.related_id")
 
 
-def plate_rotations(series: DataFrame, ages: DataFrame, anchor: str | None = "0") -> DataFrame:
-    """(plate_id, age, q): total rotation of each plate, the product of own rotations from the root of its chain to the plate.
+def plate_rotations(series: DataFrame, asked: DataFrame, anchor: str | None = "0") -> DataFrame:
+    """(plate_id, age, q): total rotation of each plate, the product of own rotations from the root of its chain to the plate, at the ages or pairs of `asked`.
 
     The chain ends at the anchor (identity) or at a plate that the model lacks. A plate whose chain meets neither the anchor nor
-    a plate with a rotation of its own has a null q. A chain of more than MAX_DEPTH plates (a cycle) is an error."""
-    own = own_rotations(series, ages)
-    spark = series.sparkSession
-    step = own.select(F.col("plate_id").alias("own_plate"), F.col("age").alias("own_age"), F.col("q").alias("own_q"), F.col("related_id").alias("up"), R.is_anchor(F.col("plate_id"), anchor).alias("stop"))
-    start = own.select("plate_id", "age").distinct()
-    walk = spark.sql(
-        """
-        WITH RECURSIVE walk(plate_id, age, at, q, met, depth) AS (
-          SELECT plate_id, age, plate_id, named_struct('x', 0D, 'y', 0D, 'z', 0D, 'w', 1D), false, 0 FROM {start}
-          UNION ALL
-          SELECT w.plate_id, w.age, s.up,
-            CASE WHEN s.own_q IS NULL THEN w.q ELSE named_struct(
-              'x', s.own_q.w * w.q.x + s.own_q.x * w.q.w + s.own_q.y * w.q.z - s.own_q.z * w.q.y,
-              'y', s.own_q.w * w.q.y - s.own_q.x * w.q.z + s.own_q.y * w.q.w + s.own_q.z * w.q.x,
-              'z', s.own_q.w * w.q.z + s.own_q.x * w.q.y - s.own_q.y * w.q.x + s.own_q.z * w.q.w,
-              'w', s.own_q.w * w.q.w - s.own_q.x * w.q.x - s.own_q.y * w.q.y - s.own_q.z * w.q.z) END,
-            w.met OR s.own_q IS NOT NULL, w.depth + 1
-          FROM walk w JOIN {step} s ON s.own_plate = w.at AND s.own_age = w.age AND NOT s.stop
-        )
-        SELECT plate_id, age, max_by(struct(at, q, met), depth) AS end FROM walk GROUP BY plate_id, age
-        """,
-        start=start,
-        step=step,
-    )
-    arrived = R.is_anchor(F.col("end.at"), anchor) | F.col("end.met")
-    return walk.select("plate_id", "age", F.when(arrived, F.col("end.q")).alias("q"))
+    a plate with a rotation of its own has a null q. A chain of more than MAX_DEPTH plates (a cycle) is an error.
+
+    All chains go up together, a plate at a step, by joins with the model's plates, which hold their records in a row: own rotations come from
+    the row that a chain has reached. Every HOPS steps what has been reached is written."""
+    plates = written(spans_by_plate(series), "plates")
+    up = few(plates.select(F.col("plate_id").alias("_plate"), "spans"), BROADCAST_PLATES)
+    start = _asked(plates, asked).select("plate_id", "age", F.col("plate_id").alias("at"), R.identity().alias("q"), F.lit(False).alias("met"), F.lit(False).alias("done"))
+    # Plates without a span at an age are no plates of the model.
+    walk = written(start, "walk")
+    for _ in range(0, MAX_DEPTH, HOPS):
+        before = walk
+        for _ in range(HOPS):
+            goes = ~F.col("done") & ~F.coalesce(R.is_anchor(F.col("at"), anchor), F.lit(False))
+            own = walk.withColumn("_at", F.when(goes, F.col("at"))).join(up, F.col("_at") == F.col("_plate"), "left").withColumn("own", _own(F.col("spans"), F.col("age"))).drop("spans")
+            moved = F.col("own").isNotNull()
+            q = F.when(F.col("own.q").isNotNull(), R.multiply(F.col("own.q"), F.col("q"))).otherwise(F.col("q"))
+            walk = own.select("plate_id", "age", F.when(moved, F.col("own.related_id")).otherwise(F.col("at")).alias("at"), q.alias("q"), (F.col("met") | F.col("own.q").isNotNull()).alias("met"), (~moved).alias("done"))
+        walk = written(walk, "walk")
+        dropped(before)
+        if walk.filter("not done").isEmpty():
+            arrived = F.coalesce(R.is_anchor(F.col("at"), anchor), F.lit(False)) | F.col("met")
+            return walk.select("plate_id", "age", F.when(arrived, F.col("q")).alias("q"))
+    raise ValueError(f"a chain of plates has more than {MAX_DEPTH} members")
 
 
 def plate_matrices(rotations: DataFrame) -> DataFrame:
@@ -102,8 +126,7 @@ def interval_rotation(records: DataFrame, ages: DataFrame) -> DataFrame:
     """(plate_id, age, pole_lat, pole_lon, angle): the record used without interpolation or chain: the first one at or above the age whose predecessor (0 before the first) is at or below it; else the first."""
     order = Window.partitionBy("plate_id").orderBy("line_no")
     ranked = records.select("*", F.lag("age", 1, 0.0).over(order).alias("before"), F.row_number().over(order).alias("i"))
-    asked = ages.select(F.col("age").alias("t")).distinct()
-    both = ranked.crossJoin(asked)
-    fits = (F.col("age") >= F.col("t")) & (F.col("before") <= F.col("t"))
-    pick = F.min_by(F.struct("pole_lat", "pole_lon", "angle"), F.when(fits, F.col("i")).otherwise(F.col("i") + F.lit(1 << 30)))
-    return both.groupBy("plate_id", "t").agg(pick.alias("p")).select("plate_id", F.col("t").alias("age"), "p.*")
+    plates = written(ranked.groupBy("plate_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("age").alias("to"), "before", "pole_lat", "pole_lon", "angle"))).alias("records")), "plates")
+    both = _asked(plates, ages)
+    fits = F.filter("records", lambda r: (r["to"] >= F.col("age")) & (r["before"] <= F.col("age")))
+    return both.select("plate_id", "age", F.coalesce(F.get(fits, F.lit(0)), F.get("records", F.lit(0))).alias("p")).select("plate_id", "age", "p.pole_lat", "p.pole_lon", "p.angle")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,19 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         files, place = _delete_at(df.sparkSession, df._written_at)
         files.delete(place, True)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A written table, broadcast if it has `most` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def before_by_ranges(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Distinct values of a column with the value before each, by ranges that are sorted apart; each range takes over the last value of the one before."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(rows.select(order).distinct().repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # A row for each range.
+    ends = cut.groupBy("_range").agg(F.max(order).alias("_end")).withColumn("_carried", F.lag("_end").over(Window.orderBy("_range"))).select("_range", "_carried")
+    inside = F.lag(order).over(Window.partitionBy("_range").orderBy(order))
+    return cut.join(F.broadcast(ends), "_range").select(order, F.coalesce(inside, "_carried").alias(name))

@@ -122,13 +122,13 @@ def sampler_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "J11_nearest_sample",
-    """WITH l AS (SELECT event_id, (event_id * 10)::DOUBLE AS t FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS rid, (event_id * 10 + 3)::DOUBLE AS rt FROM events WHERE event_id % 6 = 0)
-    SELECT event_id, arg_min(rid, (abs(t - rt), rt)) AS near_rid FROM l, r WHERE abs(t - rt) <= 1000 GROUP BY event_id""",
+    """WITH l AS (SELECT event_id, (event_id * 10)::DOUBLE AS t FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS rid, (event_id * 10 + 3)::DOUBLE AS rt FROM events WHERE event_id % 6 = 0 AND event_id % 1000 < 700)
+    SELECT event_id, arg_min(rid, (abs(t - rt), rt)) AS near_rid FROM l, r GROUP BY event_id""",
 )
 def nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     left = ev.filter("event_type = 'error'").select("event_id", (F.col("event_id") * 10).cast("double").alias("t"))
-    right = ev.filter("event_id % 6 = 0").select(F.col("event_id").alias("rid"), (F.col("event_id") * 10 + 3).cast("double").alias("rt"))
+    right = ev.filter("event_id % 6 = 0 and event_id % 1000 < 700").select(F.col("event_id").alias("rid"), (F.col("event_id") * 10 + 3).cast("double").alias("rt"))
     return O.nearest(left, right, "t", "rt", 100.0).select("event_id", "near_rid")
 
 
@@ -159,30 +159,41 @@ def metric_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("condition_id", O.metric(F.col("v"), "bytes", F.col("ok")).alias("m")).select("condition_id", "m.status", "m.value", "m.unit"), "value", digits=2)
 
 
-@query("O5_U6_shuffled_blocks")
+@query(
+    "O5_U6_shuffled_blocks",
+    """WITH RECURSIVE given AS (SELECT ['init', 'L0', 'L1', 'L2', 'L3', 'L4'] AS items), s AS (
+      SELECT 0 AS step, 42::BIGINT AS state, items AS r FROM given
+      UNION ALL
+      SELECT step + 1, g, list_transform(base, lambda x, k: CASE WHEN k = i + 1 THEN base[j + 1] WHEN k = j + 1 THEN base[i + 1] ELSE x END)
+      FROM (SELECT step, g, i, base, (g * (i + 1)) >> 32 AS j FROM (SELECT step, (1664525 * state + 1013904223) % 4294967296 AS g, 5 - step % 5 AS i, CASE WHEN step % 5 = 0 THEN items ELSE r END AS base FROM s, given WHERE step < 200))
+    ) SELECT block, position, items[position + 1] AS condition_id FROM (SELECT (step // 5 - 1)::BIGINT AS block, unnest(range(0, 6))::INT AS position, r AS items FROM s WHERE step > 0 AND step % 5 = 0)""",
+)
 def shuffled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(b, i, c) for b, row in enumerate(O.shuffled_blocks(["init", "L0", "L1", "L2", "L3", "L4"], 4, 42)) for i, c in enumerate(row)]
-    return spark.createDataFrame(rows, "block INT, position INT, condition_id STRING")
+    """Forty blocks of the distinct conditions, each in its own seeded order."""
+    return O.shuffled_blocks(spark.range(40).withColumnRenamed("id", "block"), ["init", "L0", "L1", "L2", "L3", "L4"], 42).withColumnRenamed("item", "condition_id")
 
 
-@query(
-    "W6_A21_lru_replay",
-    """WITH r AS (SELECT user_id % 5 AS cache, event_id AS seq, (event_id * 7) % 60 AS key FROM events), p AS (SELECT *, max(seq) OVER (PARTITION BY cache, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r)
-    SELECT cache, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT p.cache, p.seq, p.prev IS NOT NULL AND (SELECT count(DISTINCT key) FROM r q WHERE q.cache = p.cache AND q.seq > p.prev AND q.seq < p.seq) < 8 AS hit FROM p WHERE seq < 1500) GROUP BY cache""",
-)
+_LRU = """WITH r AS (SELECT user_id % 5 AS cache, event_id AS seq, (event_id * 7) % 60 AS key FROM events), p AS (SELECT *, max(seq) OVER (PARTITION BY cache, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
+    c AS (SELECT p.cache, p.seq, count(DISTINCT q.key) AS others FROM p JOIN r q ON q.cache = p.cache AND q.seq > p.prev AND q.seq < p.seq GROUP BY ALL), h AS (SELECT p.cache, p.seq, p.prev IS NOT NULL AND coalesce(others, 0) < 8 AS hit FROM p LEFT JOIN c USING (cache, seq))"""
+
+
+@query("W6_A21_lru_replay", _LRU + " SELECT cache, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM h GROUP BY cache")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache_hits(table(spark, sf_dir, "events").filter("event_id < 1500"))
+    return cache_hits(table(spark, sf_dir, "events"))
 
 
-@query("W6_A21_lru_replay_all")
+@query("W6_A21_lru_replay_all", _LRU + " SELECT cache, seq, hit FROM h")
 def lru_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events. The SQL above counts keys between requests, with the square of the rows, and so has the first 1,500 only."""
-    return cache_hits(table(spark, sf_dir, "events"))
+    """Every request of all events."""
+    return O.lru_replay(cache_requests(table(spark, sf_dir, "events")), 8).select("cache", "seq", "hit")
+
+
+def cache_requests(events: DataFrame) -> DataFrame:
+    return events.select((F.col("user_id") % 5).alias("cache"), F.col("event_id").alias("seq"), ((F.col("event_id") * 7) % 60).alias("key"))
 
 
 def cache_hits(events: DataFrame) -> DataFrame:
-    rows = events.select((F.col("user_id") % 5).alias("cache"), F.col("event_id").alias("seq"), ((F.col("event_id") * 7) % 60).alias("key"))
-    return O.lru_replay(rows, 8).groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return O.lru_replay(cache_requests(events), 8).groupBy("cache").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 @query("P23_record_id", f"WITH {RECORDS} SELECT DISTINCT 'paper:' || condition_id || ':' || CASE WHEN warmup THEN 'warmup' ELSE 'measured' END || ':replicate-' || block AS record_id FROM rec")

@@ -84,20 +84,55 @@ def test_holes_count_against_an_area(spark):
     assert spark.range(1).select(G.polygon_area(square(0.0, 4.0), F.array(square(1.0, 2.0)))).first()[0] == 15.0
 
 
-def test_shuffled_blocks_are_seeded_permutations():
-    a, b = measurements.shuffled_blocks(list("abcdef"), 3, 7), measurements.shuffled_blocks(list("abcdef"), 3, 7)
-    assert a == b and all(sorted(x) == list("abcdef") for x in a) and a != measurements.shuffled_blocks(list("abcdef"), 3, 8)
-
-
-def test_process_tree_with_a_cycle_ends(spark):
-    p = spark.createDataFrame([(2, 1), (3, 2), (2, 3)], "pid LONG, parent LONG")
-    roots = spark.createDataFrame([(1,)], "pid LONG")
-    try:
-        got = {(r.root, r.pid) for r in measurements.process_tree(p, roots).collect()}
-    except Exception as e:  # a cycle beyond the recursion's limit is an error, not an endless run
-        assert "RECURSION" in str(e)
-    else:
-        assert got == {(1, 1), (1, 2), (1, 3)}
+def test_shuffled_blocks_are_seeded_permutations(spark):
+    def plain(items, blocks, seed):
+        out = []
+        for _ in range(blocks):
+            row = list(items)
+            for i in range(len(row) - 1, 0, -1):
+                seed = (1664525 * seed + 1013904223) % 2**32
+                j = seed * (i + 1) // 2**32
+                row[i], row[j] = row[j], row[i]
+            out.append(row)
+        return out
+
+    for items, seed in (("abcdef", 7), ("ab", 8), ("x", 9), ("abcde", 2**32 - 1)):
+        rows = measurements.shuffled_blocks(spark.range(9).withColumnRenamed("id", "block"), list(items), seed).orderBy("block", "position").collect()
+        assert [r.item for r in rows] == [x for row in plain(items, 9, seed) for x in row]
+
+
+def test_process_tree_with_cycles_and_deep_chains(spark):
+    chain = [(i + 1, i) for i in range(100, 400)]
+    p = spark.createDataFrame([(2, 1), (3, 2), (2, 3), (9, 9), (7, None), (None, 1), *chain], "pid LONG, parent LONG")
+    roots = spark.createDataFrame([(1,), (100,), (150,), (77,)], "pid LONG")
+    got = {(r.root, r.pid) for r in measurements.process_tree(p, roots).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (77, 77), *((100, i) for i in range(100, 401)), *((150, i) for i in range(150, 401))}
+    assert measurements.process_tree(p.limit(0), roots).count() == 4
+
+
+def test_nearest_has_no_bound(spark):
+    rng = random.Random(3)
+    left = [(i, rng.choice([rng.uniform(0, 100), rng.uniform(5_000, 900_000)])) for i in range(200)] + [(900, None), (901, 50.0), (901, 50.0)]
+    right = [(i, rng.choice([rng.uniform(0, 100), rng.uniform(2_000_000, 2_000_100)])) for i in range(60)] + [(99, None)]
+    l, r = spark.createDataFrame(left, "id INT, t DOUBLE"), spark.createDataFrame(right, "rid INT, rt DOUBLE")
+    want = Counter((i, None if t is None else min((abs(t - u), u, j) for j, u in right if u is not None)[2]) for i, t in left)
+    assert Counter((x.id, x.near_rid) for x in measurements.nearest(l, r, "t", "rt", 10.0).collect()) == want
+    assert {x.near_rid for x in measurements.nearest(l, r.limit(0), "t", "rt", 10.0).collect()} == {None}
+
+
+def test_rotations_of_pairs_and_many_plates(spark):
+    """Chains of a large model by pairs equal those by ages; a cycle is an error."""
+    rows = [(str(i), float(a), 10.0 + i % 7, 20.0, a / (3 + i % 5), str(i // 3), i * 3 + k) for i in range(1, 400) for k, a in enumerate((0, 50, 120))]
+    model = spark.createDataFrame(rows, "plate_id STRING, age DOUBLE, pole_lat DOUBLE, pole_lon DOUBLE, angle DOUBLE, related_id STRING, line_no LONG")
+    ages = spark.createDataFrame([(float(a),) for a in range(0, 120, 10)], "age DOUBLE")
+    every = {(r.plate_id, r.age): r.q for r in rotations.plate_rotations(rot.series(model), ages).collect()}
+    assert len(every) == 399 * 12 and all(abs(sum(x * x for x in q) - 1) < 1e-9 for q in every.values())
+    some = spark.createDataFrame([("333", 30.0), ("5", 110.0), ("nowhere", 10.0), ("5", 110.0)], "plate_id STRING, age DOUBLE")
+    got = {(r.plate_id, r.age): r.q for r in rotations.plate_rotations(rot.series(model), some).collect()}
+    assert got == {k: every[k] for k in (("333", 30.0), ("5", 110.0))}
+    cycle = model.filter("plate_id in ('4', '5')").withColumn("related_id", F.when(F.col("plate_id") == "4", "5").otherwise("4"))
+    with pytest.raises(ValueError):
+        rotations.plate_rotations(cycle, ages).collect()
 
 
 @pytest.mark.parametrize("capacity", [1, 3, 8])
