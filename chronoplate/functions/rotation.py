@@ -90,6 +90,17 @@ def apply(m: Column, v: Column) -> Column:
     return vector(*(reduce(lambda a, b: a + b, (at(i, j) * v[c] for j, c in enumerate("xyz"))) for i in range(3)))
 
 
+def moved_sphere(sphere: Column, m: Column) -> Column:
+    """A bounding sphere (x, y, z, r) turned by a matrix: its centre moves, its radius stays."""
+    c = apply(m, sphere)
+    return F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), sphere["r"].alias("r"))
+
+
+def in_degrees(rect: Column) -> Column:
+    """A rectangle (west, south, east, north) of radians in degrees."""
+    return F.struct(*(F.degrees(rect[c]).alias(c) for c in ("west", "south", "east", "north")))
+
+
 def rotate_about(v: Column, pole_lon: Column, pole_lat: Column, angle_deg: Column) -> Column:
     """One point turned about an axis."""
     return apply(matrix(from_pole(pole_lon, pole_lat, angle_deg)), v)

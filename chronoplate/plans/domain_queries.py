@@ -372,7 +372,10 @@ def domains_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.in_view(items, seen, totals(spark)).select("view_id", "feature_id")
 
 
-@query("S12_providers", "SELECT * FROM (VALUES " + ", ".join(f"('{p[0]}', '{p[1]}', {p[2]}, {p[3]}, '{p[4]}')" for p in providers.PROVIDERS) + ") t(key, kind, min_level, max_level, scheme)")
+_SQL = lambda v: "NULL" if v is None else repr(v)
+
+
+@query("S12_providers", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_SQL, p)) + ")" for p in providers.PROVIDERS) + ") t(key, kind, min_level, max_level, scheme, url)")
 def provider_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.table(spark)
 

@@ -40,14 +40,27 @@ def decode_archive(data: bytes) -> str:
     return data.decode("utf-8")
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, text) of files that may be compressed; only Spark reads them."""
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, text) of files (path, content) that may be compressed."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "text": [decode_archive(bytes(b)) for b in batch["content"]]})
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(decode, "path STRING, text STRING")
+    return files.select("path", "content").mapInPandas(decode, "path STRING, text STRING")
+
+
+def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, text) of files that may be compressed; only Spark reads them."""
+    return decoded(spark.read.format("binaryFile").load(list(paths)))
+
+
+def property_name(xml: Column) -> Column:
+    """Name of the nearest known geometry property around a member's first polygon, else "geometry"; null without a polygon."""
+    known = " or ".join(f'local-name()="{n}"' for n in GEOMETRY_NAMES)
+    first = '(//*[local-name()="Polygon"])[1]'
+    found = F.xpath_string(xml, F.lit(f"local-name({first}/ancestor::*[{known}][1])"))
+    return F.when(F.xpath_int(xml, F.lit(f"count({first})")) > 0, F.coalesce(F.nullif(F.element_at(F.split(found, ":"), -1), F.lit("")), F.lit("geometry")))
 
 
 def kind_of(path: Column, text: Column) -> Column:
