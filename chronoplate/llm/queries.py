@@ -87,6 +87,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op5, which SQL can give."""
+    return rules.features(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
+
+
+def url_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op6 without the tree."""
+    url = F.col("url")
+    urls = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("key"), url_filter.host_of(url).alias("host"), url_filter.path_of(url).alias("path"))
+    return url_filter.ruled(urls, URL_RULES).select("page_id", "host", "path", F.col("rule.rule").alias("rule"), F.col("rule.verdict").alias("verdict"))
+
+
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents op10 keeps from learning."""
+    return table(spark, sf_dir, "documents").select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -99,13 +116,80 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
+        "quality_base_counts": quality_base_counts,
+        "url_rule_matches": url_rule_matches,
+        "language_held_out": language_held_out,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_near_duplicates": OP9_SQL}
+    return {
+        "op8_suffix_dedup": OP8_SQL,
+        "op9_near_duplicates": OP9_SQL,
+        "quality_base_counts": BASE_SQL,
+        "url_rule_matches": RULES_SQL,
+        "language_held_out": HELD_OUT_SQL,
+    }
+
+
+BASE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)
+), twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+inside AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM windows JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN inside USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+"""
+
+RULES_SQL = """
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+), r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS domain, rule[strpos(rule, '/'):] AS start FROM (VALUES """ + ", ".join(f"('{r.verdict}', '{r.rule}')" for r in URL_RULES) + """) t(verdict, rule))
+SELECT page_id, host, path, rule, verdict FROM u LEFT JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, verdict DESC) = 1
+"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
 
 
+HELD_OUT_SQL = f"""
+WITH t AS (SELECT {_crc_table()}::BIGINT[] AS tab)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 4 = 2 AS held_out
+FROM documents, t
+"""
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+piece AS (SELECT doc_id, p, least(1000, n - 199 - p) AS k, substr(h, 2 * p + 1, 2398) AS h FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 2 - 199, 1000)) AS p FROM d WHERE length(h) >= 400)),
+w AS (SELECT doc_id, p + j AS i, md5(substr(h, 2 * j + 1, 400)) AS s FROM (SELECT doc_id, p, h, unnest(range(0, k)) AS j FROM piece)),
+rep AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM rep),
+span AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+edge AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM span),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM edge JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
