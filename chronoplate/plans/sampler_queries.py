@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoplate.operators import samplers as P
 from chronoplate.operators.tables import shared_dir
 from chronoplate.plans.registry import query, table
-from chronoplate.sources import features, presets, rot
+from chronoplate.sources import experiments, features, presets, rot
 
 
 
@@ -184,3 +184,64 @@ def property_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = F.when(k % 4 == 2, F.lit("kept")).otherwise(F.lit("position"))
     xml = F.concat(F.lit("<m><"), outer, F.lit("><"), name, F.lit("><s>"), shape, F.lit("</s></"), name, F.lit("></"), outer, F.lit("></m>"))
     return table(spark, sf_dir, "part").select("p_partkey", features.property_name(xml).alias("name"))
+
+
+# --- Experiment documents ---------------------------------------------------------------------------------------------
+
+_ANCHORS = ['"rotationAnchorMode": "auto", "anchorPlateId": "701", ', '"rotationAnchorMode": "custom", "anchorPlateId": null, ', '"anchorPlateId": "701", ', '"anchorPlateId": "-00", ', '"anchorPlateId": null, ', '"rotationAnchorMode": "other", ']
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An experiment document for each part, with fields missing, of other types and beyond their enumerations."""
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (k % n).cast("int"))
+    sources = F.concat(
+        F.lit('"sources": {'), pick(_ANCHORS, 6), F.lit('"featurePresetKey": "'), pick(["merdith-2021-static-polygons-gpml", "gone"], 2), F.lit('", "rotUrls": ['), pick(['" ", "a.rot", 5, "b.rot"', '" ", 7'], 2),
+        F.lit('], "gplatesReferencePolygonUrl": "/gplates_ref/geojson/Merdith2021_750.00Ma.geojson", "gplatesReferencePolygonColor": "'), pick(["#12ab3F", "red"], 2),
+        F.lit('", "providerKey": "'), pick(["custom-url-template", "macrostrat-carto", "nothing"], 3), F.lit('", "customProviderConfig": {"url": "/t/{z}", "tilingSchemeKey": "geographic", "minimumLevel": 0.5, "maximumLevel": '), text(k % 9), F.lit("}}, "),
+    )
+    doc = F.concat(
+        F.lit('{"schemaVersion": '), F.when(k % 23 == 0, "2").otherwise("1"), F.lit(', "caseId": "c'), text(k), F.lit('", "timeMa": '), F.when(k % 7 == 0, '"x"').otherwise(text(k * 5)), F.lit(', "viewMode": "'), pick(["2D_RECTANGULAR", "3D_GLOBE", "MORPH"], 3),
+        F.lit('", "rotationFile": "old.rot", "platePolygonFile": "old.gpml", "extent": {"west": -'), text(k % 100), F.lit('.25, "south": -1, "east": 2.5, "north": '), F.when(k % 6 == 0, "null").otherwise("3"),
+        F.lit('}, "output": {"width": '), text(k % 4), F.lit(', "configuredCssHeight": 10.5, "height": 7, "pixelRatio": 2}, '), F.when(k % 5 == 0, "").otherwise(sources),
+        F.lit('"render": {"level": '), text(k % 4 - 2), F.lit('.5, "polygonRenderIntent": "'), pick(["classified", "x"], 2), F.lit('", "debugEnabled": true}}'),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 29 == 0, F.lit("[1]")).when(k % 31 == 0, F.lit("{broken")).otherwise(doc).alias("config"))
+
+
+_CONTROLS = """WITH k AS (SELECT p_partkey, p_partkey AS k, p_partkey % 5 <> 0 AS s, CASE WHEN p_partkey % 29 = 0 OR p_partkey % 31 = 0 THEN 'no object' WHEN p_partkey % 23 = 0 THEN 'another schema version' END AS error FROM part),
+c AS (SELECT p_partkey, error, CASE WHEN error IS NULL THEN 'c' || k END AS case_id, CASE WHEN error IS NULL AND k % 7 <> 0 THEN k * 5 END::DOUBLE AS age, CASE WHEN error IS NULL THEN ['2D_RECTANGULAR', '3D_GLOBE', NULL][k % 3 + 1] END AS view_mode,
+  CASE WHEN error IS NULL AND k % 6 <> 0 THEN -(k % 100) - 0.25 END::DOUBLE AS west, CASE WHEN error IS NULL AND k % 4 > 0 THEN k % 4 END::INT AS width, CASE WHEN error IS NULL AND k % 4 > 0 THEN 11 END::INT AS height,
+  CASE WHEN error IS NULL AND s AND k % 2 = 0 THEN 'merdith-2021-static-polygons-gpml' END AS feature_preset, CASE WHEN error IS NULL THEN 'old.gpml' END AS feature_url, CASE WHEN error IS NULL THEN CASE WHEN s AND k % 2 = 0 THEN '#12ab3F' ELSE '#E6E6E6' END END AS outline_color,
+  CASE WHEN error IS NULL THEN CASE WHEN s THEN 'merdith-2021-750' ELSE 'off' END END AS outline_key, CASE WHEN error IS NULL THEN CASE WHEN s THEN ['auto', 'custom', 'custom', 'default', 'auto', 'default'][k % 6 + 1] ELSE 'default' END END AS anchor_mode,
+  CASE WHEN error IS NULL THEN CASE WHEN s THEN [NULL, '0', '701', '-00', NULL, '0'][k % 6 + 1] ELSE '0' END END AS anchor, CASE WHEN error IS NULL THEN CASE WHEN s AND k % 2 = 0 THEN 'a.rot b.rot' ELSE 'old.rot' END END AS rotation_urls,
+  CASE WHEN error IS NULL AND s THEN ['custom-url-template', 'macrostrat-carto', NULL][k % 3 + 1] END AS provider, CASE WHEN error IS NULL AND s THEN k % 9 END::INT AS custom_max,
+  CASE WHEN error IS NULL THEN CASE k % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 END END::INT AS level, CASE WHEN error IS NULL AND k % 2 = 0 THEN 'classified' END AS render_intent, CASE WHEN error IS NULL THEN TRUE END AS debug FROM k)"""
+
+
+def _controls(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "p_partkey", "error", "case_id", "age", "view_mode", "extent.west", "output.width", "output.height", "feature_preset", "feature_url", "outline_color", "outline_key", "anchor_mode", "anchor",
+        F.array_join("rotation_urls", " ").alias("rotation_urls"), "provider", F.col("custom_provider.max_level").alias("custom_max"), "level", "render_intent", "debug",
+    )
+
+
+@query("S11_P27_P28_experiment_import", _CONTROLS + " SELECT * FROM c")
+def experiment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _controls(experiments.imported(documents(spark, sf_dir)))
+
+
+@query(
+    "K2_experiment_export",
+    _CONTROLS + """ SELECT * REPLACE (CASE WHEN provider = 'custom-url-template' THEN custom_max END AS custom_max, CASE WHEN anchor_mode <> 'custom' THEN CASE anchor_mode WHEN 'default' THEN '0' END ELSE anchor END AS anchor),
+    CASE WHEN view_mode = '3D_GLOBE' THEN 'perspective-globe' WHEN provider = 'macrostrat-carto' THEN 'web-mercator' ELSE 'geographic' END AS projection, coalesce(round((west + 2.5) / 2, 6), 0)::DOUBLE AS central_meridian FROM c WHERE error IS NULL""",
+)
+def experiment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents exported from their controls and read again."""
+    controls = experiments.imported(documents(spark, sf_dir)).filter("error is null")
+    out = controls.select("p_partkey", experiments.exported(controls).alias("config"))
+    more = F.from_json("config", "projection STRING, centralMeridian DOUBLE")
+    extra = out.select(F.col("p_partkey").alias("k"), more.alias("m"))
+    back = _controls(experiments.imported(out)).join(extra, F.col("p_partkey") == F.col("k"))
+    return back.withColumns({"projection": F.col("m.projection"), "central_meridian": F.col("m.centralMeridian")}).drop("k", "m")
