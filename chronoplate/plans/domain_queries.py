@@ -303,9 +303,9 @@ def _tile_metres_sql() -> str:
     return f"greatest({wide}, {_lat_chord('0', '(180 / pow(2, l))')})"
 
 
-@query("M14_tile_metres", WITH_VIEWS + f" SELECT view_id, l::INT AS level, round({_tile_metres_sql()}, 3) AS metres FROM cc, range(0, 7) r(l) WHERE view_id <> 3")
+@query("M14_tile_metres", WITH_VIEWS + f" SELECT view_id, l::INT AS level, round({_tile_metres_sql()}, 3) AS metres FROM cc, range(0, 7) r(l)")
 def tile_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views(spark).filter("view_id <> 3").withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("level"), V.tile_metres(i, T.GEOGRAPHIC).alias("metres")))))
+    rows = views(spark).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("level"), V.tile_metres(i, T.GEOGRAPHIC).alias("metres")))))
     return rounded(rows.select("view_id", "at.level", "at.metres"), "metres", digits=3)
 
 
@@ -323,12 +323,12 @@ def raw_view_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "O2_O3_view_level",
     WITH_VIEWS
-    + f""", lv AS (SELECT view_id, l, abs(ln({_tile_metres_sql()} / {_MPP} / 256)) AS score, {_RAW} AS raw FROM (SELECT *, 2 * pow(2, l) AS nx, pow(2, l) AS ny FROM cc, range(0, 13) r(l)) WHERE view_id <> 3),
+    + f""", lv AS (SELECT view_id, l, abs(ln({_tile_metres_sql()} / {_MPP} / 256)) AS score, {_RAW} AS raw FROM (SELECT *, 2 * pow(2, l) AS nx, pow(2, l) AS ny FROM cc, range(0, 13) r(l))),
     best AS (SELECT view_id, arg_min(l, (score, l)) AS b FROM lv GROUP BY view_id)
     SELECT view_id, max(l)::INT AS level FROM lv JOIN best USING (view_id) WHERE l <= b AND (raw <= 128 OR l = 0) GROUP BY view_id""",
 )
 def view_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.choose_level(views(spark).filter("view_id <> 3"), high=12).select("view_id", "level")
+    return V.choose_level(views(spark), high=12).select("view_id", "level")
 
 
 @query("P21_level_bounds", "SELECT * FROM (VALUES (1, 0, 18), (2, 2, 5), (3, 7, 7), (4, 0, 9)) t(id, low, high)")
@@ -389,12 +389,12 @@ def template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Rings through the tile tree --------------------------------------------------------------------------------------
 
-_RING_DOMAINS = f"{DOMAINS}, rdom AS (SELECT * FROM dom WHERE north < 88)"
+_RING_DOMAINS = f"{DOMAINS}, rdom AS (SELECT * FROM dom)"
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    return domains(spark, sf_dir).filter("north < 88").withColumn("ring", F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south")))
+    return domains(spark, sf_dir).withColumn("ring", F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south")))
 
 
 def _ring_tiles_sql(level: int) -> str:
@@ -417,7 +417,7 @@ def ring_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", a AS (SELECT feature_id, 0 AS l, w * h AS s FROM c UNION ALL SELECT feature_id, 1, w * h FROM c1 UNION ALL SELECT feature_id, 2, w * h FROM c2 UNION ALL SELECT feature_id, 3, w * h FROM c3), g AS (SELECT feature_id, l, count(*) AS n, max(s) AS m FROM a GROUP BY ALL) SELECT feature_id, coalesce(min(l) FILTER (n > 1 OR m >= 1 - 1e-9), max(l))::INT AS level FROM g GROUP BY feature_id",
 )
 def effective_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = [O.tiles_of_rectangles(domains(spark, sf_dir).filter("north < 88"), n).select("feature_id", "l", "status") for n in range(4)]
+    levels = [O.tiles_of_rectangles(domains(spark, sf_dir), n).select("feature_id", "l", "status") for n in range(4)]
     return O.effective_level(levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]))
 
 
