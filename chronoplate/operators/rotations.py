@@ -6,11 +6,12 @@ equi-join on the plate. Points, domains and tiles are the large side, and are jo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoplate.functions import rotation as R
 from chronoplate.operators.tables import dropped, few, written
+from chronoplate.sources import rot
 
 #: Plates that a chain of related plates may have.
 MAX_DEPTH = 100
@@ -130,3 +131,42 @@ def interval_rotation(records: DataFrame, ages: DataFrame) -> DataFrame:
     both = _asked(plates, ages)
     fits = F.filter("records", lambda r: (r["to"] >= F.col("age")) & (r["before"] <= F.col("age")))
     return both.select("plate_id", "age", F.coalesce(F.get(fits, F.lit(0)), F.get("records", F.lit(0))).alias("p")).select("plate_id", "age", "p.pole_lat", "p.pole_lon", "p.angle")
+
+
+class RotationModel:
+    """Records of a model with an anchor, and what is asked of them. Tables go in and out; nothing is computed until they are used."""
+
+    def __init__(self, records: DataFrame, anchor: str | None = "0"):
+        self.records, self.anchor = records, anchor
+
+    @classmethod
+    def read(cls, spark: SparkSession, *paths: str, anchor: str | None = "0") -> RotationModel:
+        return cls(rot.read(spark, *paths), anchor)
+
+    def with_load(self, more: DataFrame) -> RotationModel:
+        """The model after a later load: its plates replace the same ones."""
+        return RotationModel(rot.replace_plates(self.records, more), self.anchor)
+
+    def rotations(self, asked: DataFrame) -> DataFrame:
+        """(plate_id, age, q) at ages, or at pairs of plate and age."""
+        return plate_rotations(rot.series(self.records), asked, self.anchor)
+
+    def matrices(self, asked: DataFrame, inverse: bool = False) -> DataFrame:
+        """(plate_id, age, q, m): to the age, or from it to the present."""
+        found = plate_matrices(self.rotations(asked))
+        return found.withColumn("m", R.transpose(F.col("m"))) if inverse else found
+
+    def at_age(self, points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+        """Points (plate_id, age, ...) with where they were at their age."""
+        return rotate_points(points, self.rotations(points.select("plate_id", "age")), lon, lat)
+
+    def at_present(self, points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+        """Points of their age with where they are today."""
+        return rotate_points(points, self.rotations(points.select("plate_id", "age")), lon, lat, inverse=True)
+
+
+def baked(records: DataFrame, rotations: DataFrame, age: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Records (plate_id, begin_age, end_age, lon, lat) that are visible at an age, with their points turned (`new_lon`, `new_lat`); one of an unknown plate stays where it is. What isn't visible is skipped, and not turned."""
+    seen = records.filter((F.col("end_age") <= age) & (F.col("begin_age") >= age)).withColumn("age", F.lit(float(age)))
+    moved = rotate_points(seen, rotations, lon, lat)
+    return moved.withColumns({"new_lon": F.coalesce("new_lon", lon), "new_lat": F.coalesce("new_lat", lat)}).drop("age")

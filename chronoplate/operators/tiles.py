@@ -183,3 +183,8 @@ def generation_report(outcomes: DataFrame) -> DataFrame:
     """(phase, completed, failed, cancelled) of task outcomes."""
     count = lambda x: F.count_if(F.col("outcome") == x).alias(x)
     return outcomes.groupBy("phase").agg(count("completed"), count("failed"), count("cancelled"))
+
+
+def visible_children(tiles: DataFrame, by: list[str]) -> DataFrame:
+    """(keys, x, y, l, children): how many of a tile's four children are not hidden; tiles of one level are the children."""
+    return tiles.filter("status <> 'NONE'").groupBy(*by, F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"), (F.col("l") - 1).alias("l")).agg(F.count("*").alias("children"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoplate.functions import geometry as G
 from chronoplate.functions import rotation as R
 from chronoplate.operators import areas as A
-from chronoplate.operators.rotations import plate_matrices
+from chronoplate.operators.rotations import baked, plate_matrices
 from chronoplate.plans.domain_queries import DOMAINS, domains
 from chronoplate.plans.registry import query, rounded, table
 from chronoplate.plans.rotation_queries import WITH_MODEL, totals
@@ -123,3 +123,22 @@ def moved_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     rect = F.struct(*(F.radians(c).alias(c) for c in ("west", "south", "east", "north")))
     rows = domains(spark, sf_dir).select("feature_id", F.lit("201").alias("plate_id"), sphere.alias("sphere"), R.in_degrees(rect)["west"].alias("west")).join(turned, "plate_id")
     return rounded(rows.select("feature_id", "west", R.moved_sphere(F.col("sphere"), F.col("m")).alias("s")).select("feature_id", "west", "s.*"), "west", "x", "y", "z")
+
+
+_PLATES = ["101", "201", "301", "501", "777"]
+
+
+@query(
+    "T6_baked_instances",
+    WITH_MODEL
+    + f""", {DOMAINS}, d AS (SELECT *, {_PLATES}[plate_id::INT + 1] AS plate, cos(radians(south)) * cos(radians(west)) AS x, cos(radians(south)) * sin(radians(west)) AS y, sin(radians(south)) AS z FROM dom WHERE end_age <= 5 AND begin_age >= 5),
+    t AS (SELECT plate_id AS plate, m.* EXCLUDE (plate_id) FROM m WHERE age = 75)
+    SELECT feature_id, round(CASE WHEN known THEN degrees(atan2(m3 * x + m4 * y + m5 * z, m0 * x + m1 * y + m2 * z)) ELSE west END, 5) + 0.0::DOUBLE AS new_lon,
+      round(CASE WHEN known THEN degrees(asin(greatest(-1, least(1, m6 * x + m7 * y + m8 * z)))) ELSE south END, 5) + 0.0::DOUBLE AS new_lat FROM d LEFT JOIN t USING (plate)""",
+)
+def baked_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """South-western corners of the domains that are visible at 5, turned by their plates' rotations of 75."""
+    turned = totals(spark).filter("age = 75").withColumn("age", F.lit(5.0))
+    plate = F.get(F.array(*map(F.lit, _PLATES)), F.col("plate_id").cast("int"))
+    rows = domains(spark, sf_dir).select("feature_id", plate.alias("plate_id"), "begin_age", "end_age", F.col("west").alias("lon"), F.col("south").alias("lat"))
+    return rounded(baked(rows, turned, 5.0).select("feature_id", "new_lon", "new_lat"), "new_lon", "new_lat", digits=5)

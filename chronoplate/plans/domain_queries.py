@@ -410,6 +410,11 @@ def ring_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tiles.select("feature_id", "x", "y", "status", F.coalesce(F.abs(signed_area(F.col("clip"))), F.lit(1.0)).alias("area")), "area")
 
 
+@query("G38_visible_children", _ring_tiles_sql(3) + " SELECT feature_id, (x // 2)::INT AS x, (y // 2)::INT AS y, 2 AS l, count(*) AS children FROM c GROUP BY ALL")
+def visible_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.visible_children(O.tiles_of_rings(_rings(spark, sf_dir).select("feature_id", "ring"), 3).withColumn("l", F.lit(3)), ["feature_id"])
+
+
 @query(
     "G28_effective_level",
     " ".join(_ring_tiles_sql(0).split())

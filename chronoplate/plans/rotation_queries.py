@@ -194,6 +194,15 @@ def points_to_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(moved.select("event_id", "plate_id", "age", "new_lon", "new_lat"), "new_lon", "new_lat", digits=5)
 
 
+@query("M10_there_and_back", WITH_MODEL + f", {_POINTS} SELECT event_id, CASE WHEN known THEN CASE WHEN abs(lon) > 179.9999 THEN -180 ELSE round(lon, 4) END END::DOUBLE AS lon, CASE WHEN known THEN round(lat, 4) END::DOUBLE AS lat FROM pts LEFT JOIN m USING (plate_id, age)")
+def there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points to their age and back to the present, by pairs of plate and age."""
+    own = O.RotationModel(model(spark))
+    there = own.at_age(points(spark, sf_dir)).select("event_id", "plate_id", "age", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat"))
+    back = rounded(own.at_present(there).select("event_id", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat")), "lon", "lat", digits=4)
+    return back.withColumn("lon", F.when(F.abs("lon") > 179.9999, F.lit(-180.0)).otherwise(F.col("lon")))
+
+
 @query(
     "M8_rotate_about_axis",
     f"""WITH {_POINTS}, v AS (SELECT event_id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoplate.operators import samplers as P
 from chronoplate.operators.tables import shared_dir
 from chronoplate.plans.registry import query, table
-from chronoplate.sources import experiments, features, presets, rot
+from chronoplate.sources import artifacts, experiments, features, presets, rot
 
 
 
@@ -186,6 +186,32 @@ def property_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", features.property_name(xml).alias("name"))
 
 
+_ASSETS = ["/features/a.gpml", "./tiles/{z}", "rotations/b.rot", "//geo/x", "/other/a", "https://a.example/features/x", "blob:1"]
+
+
+@query("S23_asset_urls", "SELECT p_partkey, ['/app/features/a.gpml', '/app/tiles/{z}', '/app/rotations/b.rot', '/app/geo/x', '/other/a', 'https://a.example/features/x', 'blob:1'][p_partkey % 7 + 1] AS url, CASE WHEN p_partkey % 2 = 0 THEN 'merdith-2021-rot' ELSE 'custom' END AS preset FROM part")
+def asset_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    url = F.get(F.array(*map(F.lit, _ASSETS)), (k % 7).cast("int"))
+    files = F.when(k % 2 == 0, F.array(F.lit(presets.ROTATIONS[2][1]))).otherwise(F.array(F.lit(presets.ROTATIONS[2][1]), F.lit("more.rot")))
+    return table(spark, sf_dir, "part").select("p_partkey", presets.asset_url(url, "/app/").alias("url"), presets.rotation_preset(files).alias("preset"))
+
+
+@query("P26_P27_names", "SELECT event_id, ['MORPHING', 'COLUMBUS_VIEW', 'SCENE2D', 'SCENE3D'][event_id % 4 + 1] AS scene, CASE WHEN event_id % 4 = 2 THEN '2D_RECTANGULAR' ELSE '3D_GLOBE' END AS mode, 'geographic:' || event_id % 3 || ',' || event_id % 5 || ',7' AS scheme FROM events")
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    key = presets.scheme_key(F.lit("geographic"), (e % 3).cast("string"), (e % 5).cast("string"), F.lit("7"))
+    return table(spark, sf_dir, "events").select("event_id", presets.scene_mode(e % 4).alias("scene"), presets.view_mode(e % 4).alias("mode"), key.alias("scheme"))
+
+
+@query("K5_suite_json", "SELECT event_id, event_type, value FROM events")
+def suite_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON and read again."""
+    path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/suite"
+    artifacts.write_json(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path)
+    return spark.read.schema("event_id BIGINT, event_type STRING, value DOUBLE").json(path)
+
+
 # --- Experiment documents ---------------------------------------------------------------------------------------------
 
 _ANCHORS = ['"rotationAnchorMode": "auto", "anchorPlateId": "701", ', '"rotationAnchorMode": "custom", "anchorPlateId": null, ', '"anchorPlateId": "701", ', '"anchorPlateId": "-00", ', '"anchorPlateId": null, ', '"rotationAnchorMode": "other", ']

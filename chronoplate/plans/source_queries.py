@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplate.functions import geometry as G
+from chronoplate.operators.tables import shared_dir
 from chronoplate.plans.registry import query, rounded, table
 from chronoplate.sources import artifacts, config, features
 from chronoplate.streaming import requests
@@ -33,6 +36,28 @@ def gpml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "S7_S22_member_files",
+    "SELECT 'id-' || p_partkey AS feature_id, 'Basin' AS feature_type, CASE WHEN p_partkey % 3 <> 0 THEN 'part ' || p_partkey END AS name, (p_size % 7)::VARCHAR AS plate_id, (p_partkey % 600)::DOUBLE AS begin_age, 1 AS polygons, (p_size * (p_partkey % 7 + 1))::DOUBLE AS area FROM part",
+)
+def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature member for each part, written as one file and read by members."""
+    k, w, h = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 7 + 1
+    text = lambda c: c.cast("string")
+    tag = lambda name, *inside: F.concat(F.lit(f"<{name}>"), *inside, F.lit(f"</{name}>"))
+    points = F.concat_ws(" ", F.lit("0 100 0"), text(w + 100), text(h), text(w + 100), text(h), F.lit("100 0 100"))
+    member = tag(
+        "gml:featureMember", F.lit("<gpml:Basin>"), tag("gpml:identity", F.lit("id-"), text(k)), F.when(k % 3 == 0, "<!-- no name -->").otherwise(tag("gml:name", F.lit("part "), text(k))),
+        tag("gpml:reconstructionPlateId", tag("gpml:value", text(w % 7))), tag("gml:validTime", tag("gml:begin", tag("gml:timePosition", text(k % 600)))),
+        F.lit("<gpml:outlineOf><gml:Polygon><gml:exterior>"), tag("gml:posList", points), F.lit("</gml:exterior></gml:Polygon></gpml:outlineOf></gpml:Basin>"),
+    )
+    path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/members"
+    table(spark, sf_dir, "part").select(member.alias("value")).coalesce(1).write.text(path)
+    rows = features.parse_members(features.read_members(spark, path))
+    area = F.aggregate(F.transform("polygons", lambda p: F.abs(G.signed_area(p["exterior"]))), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("feature_id", "feature_type", "name", "plate_id", "begin_age", F.size("polygons").alias("polygons"), area.alias("area"))
+
+
 LEGACY = '[{"FeatureID":"a","PlateID":"7","ValidTime":{"Begin":100,"End":0},"Polygon":[{"PosList":[{"Latitude":1,"Longitude":2},{"Latitude":3,"Longitude":2},{"Latitude":3,"Longitude":6}]},{"PosList":[]}]},{"FeatureID":"b","PlateID":"8","Polygon":[]}]'
 
 

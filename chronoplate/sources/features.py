@@ -80,10 +80,25 @@ def _ring(text: Column, dimension: Column) -> Column:
     return closed(S.positions(values, dimension, S.is_lat_lon(values, dimension)))
 
 
+_MEMBER = r"(?s)<(?:[\w.-]+:)?featureMember\b[^>]*>.*?</(?:[\w.-]+:)?featureMember>"
+
+
 def parse_gpml(files: DataFrame, text: str = "text", all_areas: bool = False) -> DataFrame:
-    """A row for each feature member that has an element: feature_id, member_index, feature_type, name, plate_id, conjugate_plate_id, begin_age, end_age, attributes, polygons (rings of at least four points) and intent."""
-    member = r"(?s)<(?:[\w.-]+:)?featureMember\b[^>]*>.*?</(?:[\w.-]+:)?featureMember>"
-    rows = files.select(F.posexplode(F.regexp_extract_all(F.col(text), F.lit(member), F.lit(0))).alias("member_index", "xml"))
+    """Members of whole texts, as parse_members() gives them. Comments are taken out before a text is cut, so that tags in them don't count."""
+    bare = F.regexp_replace(F.col(text), r"(?s)<!--.*?-->", "")
+    rows = files.select(F.posexplode(F.regexp_extract_all(bare, F.lit(_MEMBER), F.lit(0))).alias("member_index", "xml"))
+    return parse_members(rows, all_areas)
+
+
+def read_members(spark: SparkSession, *paths: str, closing: str = "</gml:featureMember>") -> DataFrame:
+    """(member_index, xml) of plain GPML files, however large: the closing tag ends a record, so that Spark splits a file among tasks. Indices ascend within a file, with gaps."""
+    rows = spark.read.option("lineSep", closing).text(list(paths)).withColumn("member_index", F.monotonically_increasing_id())
+    xml = F.regexp_extract(F.concat("value", F.lit(closing)), _MEMBER, 0)
+    return rows.select("member_index", xml.alias("xml")).filter("xml <> ''")
+
+
+def parse_members(rows: DataFrame, all_areas: bool = False) -> DataFrame:
+    """A row for each feature member (member_index, xml) that has an element: feature_id, member_index, feature_type, name, plate_id, conjugate_plate_id, begin_age, end_age, attributes, polygons (rings of at least four points) and intent."""
     # The fragments leave their document, so that name spaces are not declared: prefixes stay part of names, and local names match.
     text_at = lambda path: F.nullif(F.trim(F.xpath_string("xml", F.lit(path))), F.lit(""))
     many = lambda path: F.xpath("xml", F.lit(path))

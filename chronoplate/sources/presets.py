@@ -51,3 +51,29 @@ def resolved(source: Column, source_url: Column, source_intent: Column, old_poly
     rots = F.coalesce(rotations, old_rotations)
     error = F.when(polygon.isNull(), "no feature source").when(rots.isNull() | (F.size(rots) == 0), "no rotation source")
     return F.struct(F.when(error.isNull(), polygon).alias("polygon"), F.when(error.isNull(), rots).alias("rotations"), F.when(error.isNull(), F.coalesce(source_intent, old_intent)).alias("intent"), error.alias("error"))
+
+
+def asset_url(url: Column, base: str) -> Column:
+    """Addresses of bundled files under a base; any other address stays as it is."""
+    path = F.when(F.startswith(url, F.lit("./")), F.substr(url, F.lit(3))).otherwise(F.regexp_replace(url, "^/+", ""))
+    # Folders of bundled files.
+    return F.when(path.rlike("^(features|geo|gplates_ref|icons|rotations|tiles)/"), F.concat(F.lit(base), path)).otherwise(url)
+
+
+def rotation_preset(urls: Column) -> Column:
+    """The preset with just these files, else "custom"."""
+    return F.coalesce(*(F.when(urls == F.array(F.lit(url)), F.lit(key)) for key, url in ROTATIONS), F.lit("custom"))
+
+
+def scene_mode(code: Column) -> Column:
+    """Name of a scene's mode by its number."""
+    return F.when(code == 2, "SCENE2D").when(code == 3, "SCENE3D").when(code == 1, "COLUMBUS_VIEW").otherwise("MORPHING")
+
+
+def view_mode(code: Column) -> Column:
+    return F.when(code == 2, "2D_RECTANGULAR").otherwise("3D_GLOBE")
+
+
+def scheme_key(scheme: Column, x: Column, y: Column, z: Column) -> Column:
+    """A tiling scheme's key with its ellipsoid's radii."""
+    return F.concat_ws(":", scheme, F.concat_ws(",", x, y, z))
