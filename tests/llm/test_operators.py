@@ -443,6 +443,44 @@ def test_license_ties_and_hot_directories(spark, monkeypatch):
     assert {r.key: (r.license, r.origin_dir) for r in license_scan.scan(files, templates=templates).collect()} == few
 
 
+LABELS = "doc_id BIGINT, quality INT, toxic INT"
+
+
+def every_operator(spark, docs):
+    """(name, result of the operator over docs) of the operators on documents."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 30)], LABELS)
+    bench = spark.createDataFrame([(1, "wa5 wa6 wa7 wa8 wa9 wa10 wa11 wa12 wa13"), (2, None)], "item_id BIGINT, text STRING")
+    files = docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    measured = rules.features(docs)
+    learned = rules.learn(rules.labelled(measured, labels), least=2)
+    return {
+        "op1": wordpiece.token_counts(docs), "op2": cotrain.cotrain(docs, labels, rounds=1), "op3": license_scan.scan(files, key="doc_id"), "op4": decontaminate.decontaminate(docs, bench),
+        "op5": measured.select("doc_id", rules.verdict(learned).alias("kept")), "op7": bpe.encode_and_decode(docs), "op8": suffix_dedup.remove_repeats(docs), "op9": minhash.near_duplicates(docs, width=4), "op10": langid.identify(docs),
+    }
+
+
+def test_every_operator_on_an_empty_table(spark):
+    for name, df in every_operator(spark, frame(spark, ["x"]).limit(0)).items():
+        assert df.count() == 0, name
+
+
+def test_every_operator_on_nulls_repeats_and_very_long_texts(spark):
+    """One row for each row; repeated rows get the same; a text of 120,000 words is taken whole; extra columns with clashing names don't matter."""
+    long = " ".join(f"wa{i % 7919}" for i in range(120_000)) + " licensed under CC BY 4.0 " + "xy" * 60_000
+    texts = [None, "", " \n", long, "same words in a short text", "same words in a short text", "other text of a few words", "12 34 !", None, "ß é 漢字 😀"]
+    ids = [0, 1, 2, 3, 4, 4, None, 6, None, 8]
+    clash = {"label": "1", "view": "2", "root": "3", "at": "4", "h": "5", "pos": "6", "anchor": "7", "whole": "8", "unit": "9", "template": "10", "part": "11", "draw": "12", "held": "13"}
+    docs = frame(spark, texts, ids=ids).withColumns({k: F.lit(v) for k, v in clash.items()})
+    got = {name: df.collect() for name, df in every_operator(spark, docs).items()}
+    assert {name: len(rows) for name, rows in got.items()} == dict.fromkeys(got, len(texts))
+    assert all(len({str(r) for r in rows if r.doc_id == 4}) == 1 for name, rows in got.items() if name not in ("op2", "op3"))  # these know the rows' sources
+    one = lambda name, i: next(r for r in got[name] if r.doc_id == i)
+    assert one("op1", 3).n_words == 120_000 + 6 and one("op3", 3).license == "CC-BY-4.0" and one("op4", 3).items == [1] and not one("op4", 4).contaminated
+    assert bytes(one("op7", 3).decoded) == long.encode() and one("op8", 3).n_removed > 700_000 and one("op8", 4).n_removed == 0
+    assert one("op9", 4).component_id == 4 and {r.component_id for r in got["op9"] if r.doc_id is None} == {None}
+    assert [one("op10", i).lang_pred for i in (0, 1, 2, 6)] == ["und"] * 4 and one("op2", 0).score is not None
+
+
 def test_bpe_of_an_empty_table(spark):
     assert bpe.decode(bpe.encode(frame(spark, ["x"]).limit(0))).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
