@@ -372,6 +372,39 @@ def test_cotraining_learns_from_labels(spark):
     assert cotrain.cotrain(frame(spark, ["x"]).limit(0), labels).count() == 0
 
 
+def test_language_machines_vote_as_plain_loops(spark):
+    import math
+
+    rng = random.Random(17)
+    vocab = {"de": "und der die das ist nicht", "nl": "en de het een niet van", "en": "the and with this that", "fr": "les des est dans", "es": "los las que para"}
+    rows = [(i, prose(rng, 25, vocab[x].split()), x) for i, x in enumerate(rng.choices(list(vocab), k=300))]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], "es"), (7, rows[7][1], rows[7][2])], "key INT, text STRING, lang STRING")
+    machines = langid.learn(docs)
+
+    def grams(text):
+        raw = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} ".encode()
+        out = Counter()
+        for n in langid.GRAMS:
+            for i in range(len(raw) - n + 1):
+                out[((int.from_bytes(raw[i : i + n], "big") + n) * int(langid._MUL) % 2**64) >> (64 - langid.BITS)] += 1
+        size = math.sqrt(sum(v * v for v in out.values()))
+        return {k: v / size for k, v in out.items()}
+
+    for _, text, _ in rows[:60]:
+        x = grams(text)
+        p = [1 / (1 + math.exp(-max(-30, min(30, m.slope * (sum(v * float(m.w[k]) for k, v in x.items()) + m.b) + m.shift)))) for m in machines]
+        score, family = max((q, m.side[7:]) for q, m in zip(p, machines, strict=True) if m.side.startswith("family:"))
+        votes = defaultdict(list)
+        for q, m in zip(p, machines, strict=True):
+            if langid.family(m.side) == family:
+                votes[m.side].append(q)
+                if m.other != m.side:
+                    votes[m.other].append(1 - q)
+        best = max(sorted(votes), key=lambda v: (sum(q > 0.5 for q in votes[v]), sum(votes[v])))
+        ((got, value),) = langid.Judge(machines)([text])
+        assert got == best and abs(value - score * min(votes[best])) < 1e-4
+
+
 def auc(pairs):
     good, bad = ([p for p, y in pairs if y == side] for side in (1, 0))
     return sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))

@@ -3,6 +3,7 @@
 from conftest import DATA
 
 from pyspark.sql import functions as F
+from test_operators import brute_near, brute_repeats
 
 import corpus_pipeline
 from chronoplate.llm.minhash import words_lower
@@ -21,6 +22,13 @@ def test_stages_in_order(spark, tmp_path):
             assert docs.dtypes == columns
         if name != "suffix_dedup":
             assert all(after[k] == before[k] for k in after)
+        ids = sorted(before)
+        if name == "near_duplicates":
+            roots, _ = brute_near([before[k] for k in ids], 5, 80)
+            assert set(after) == {k for i, k in enumerate(ids) if roots[i] == i}
+        if name == "suffix_dedup":
+            left = {k: kept.decode("utf-8", "ignore") if removed else before[k] for k, (_, removed, _, kept) in zip(ids, brute_repeats([before[k] for k in ids], 200), strict=True)}
+            assert after == {k: t for k, t in left.items() if t or t == before[k]}
         if name == "near_duplicates":
             sets = {k: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for k, t in after.items() if (w := words_lower(t))}
             assert len(set(sets.values())) == len(sets)
