@@ -23,9 +23,16 @@ def local_name(name: Column) -> Column:
 
 
 def attribute(attributes: Column, *keys: str) -> Column:
-    """The first of several keys in a map, whatever their case."""
-    upper = F.transform_keys(attributes, lambda k, v: F.upper(k))
-    return F.coalesce(*(F.try_element_at(upper, F.lit(k.upper())) for k in keys))
+    """The first of several keys in a map, whatever their case; of keys that differ in case only, the first entry's."""
+    named = lambda k: F.get(F.filter(F.map_entries(attributes), lambda e: F.upper(e["key"]) == k.upper()), F.lit(0))["value"]
+    return F.coalesce(*map(named, keys))
+
+
+def last_by_key(keys: Column, values: Column) -> Column:
+    """A map of two arrays of one length; of equal keys the last holds."""
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(kept)
 
 
 def round_half_up(value: Column, digits: int = 6) -> Column:

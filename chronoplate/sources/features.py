@@ -113,7 +113,7 @@ def parse_members(rows: DataFrame, all_areas: bool = False) -> DataFrame:
         text_at(f"//{_local('conjugatePlateId')}").alias("_conjugate"),
         text_at(f"//{_local('validTime')}//{_local('begin')}").alias("_begin"),
         text_at(f"//{_local('validTime')}//{_local('end')}").alias("_end"),
-        F.when(F.size(keys) == F.size(values), F.map_from_entries(F.arrays_zip(keys.alias("k"), values.alias("v")))).otherwise(F.create_map().cast("map<string,string>")).alias("attributes"),
+        F.when(F.size(keys) == F.size(values), S.last_by_key(keys, values)).otherwise(F.create_map().cast("map<string,string>")).alias("attributes"),
         (F.size(F.regexp_extract_all("xml", F.lit(r"<(?:[\w.-]+:)?centerLineOf\b"), F.lit(0))) > 0).alias("_centre"),
         F.regexp_extract_all("xml", F.lit(r"(?s)<(?:[\w.-]+:)?Polygon\b.*?</(?:[\w.-]+:)?Polygon>"), F.lit(0)).alias("_polygons"),
     )
