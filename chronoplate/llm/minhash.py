@@ -167,7 +167,7 @@ def _linkable(at: DataFrame, sizes: DataFrame, docs: DataFrame, key: str, text:
     sets = shingle_sets(docs.join(few(who.select("v"), BROADCAST_IDS), docs[key] == F.col("v"), "left_semi"), key, text, width)
     each = sets.join(few(who, BROADCAST_IDS), sets["key"] == who["v"]).select("v", "root", "m", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("of"), F.explode("shingles").alias("g"))
     shared = each.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
-    met = each.join(shared, "g").groupBy("v", "root", "n", "m", "of").agg(F.collect_list("g").alias("gs"))
+    met = each.join(shared, "g").groupBy("v", "root", "n", "m", "of").agg(F.collect_set("g").alias("gs"))
     partner = F.greatest(F.col("m"), F.ceil(percent * F.col("n") / 100))
     return met.filter((100 + percent) * F.size("gs") >= percent * (F.col("n") + partner)).drop("m", "of")
 
@@ -238,7 +238,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int,
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = K, t: int = T) -> DataFrame:
     """`key`, `n_shingles`, `component_id` (smallest key reachable by links, itself included) and `kept` (key = component_id).
 
-    `width` words a shingle, `percent` the least Jaccard similarity of linked sets. For another similarity choose `k` and
+    `width` words a shingle, `percent` the least Jaccard similarity of linked sets. For another similarity choose `k` (63 at most) and
     `t` so that a binomial of k trials falls short of t with a small enough chance."""
     signed = written(signatures(docs, key, text, width, k), "signatures")
     named = signed.filter("key is not null")

@@ -281,8 +281,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     `least` is the length of a repeat in bytes, `gram` (at most `least`) that of an anchor. With `as_text`, `kept` is a string: a
     character of which a cut took some bytes is left out whole."""
     docs = _documents(docs, key, text, carry)
-    # One shuffle by document serves the lists; windows of a list are bounded by its text.
-    lists = repeats(docs, least, gram).groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    # One shuffle by document serves the lists; as sets they are bounded by its text, however often a row is repeated.
+    lists = repeats(docs, least, gram).groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_set(F.struct("s", "e")).alias("runs"))
     both = docs.join(lists, docs["id"].eqNullSafe(F.col("wid")) & (docs["th"] == F.col("wth")), "left").select("id", "data", "runs", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
