@@ -71,9 +71,9 @@ def import_diagnostics(features: DataFrame) -> DataFrame:
 
 
 def first_by_id(features: DataFrame) -> DataFrame:
-    """The first member of each (plate, feature id)."""
-    order = Window.partitionBy("plate_id", "feature_id").orderBy("member_index")
-    return features.withColumn("_i", F.row_number().over(order)).filter("_i = 1").drop("_i")
+    """The first member of each (plate, feature id), by partial aggregation: one id may be very frequent."""
+    first = F.min_by(F.struct(*features.columns), "member_index").alias("_first")
+    return features.groupBy(F.col("plate_id").alias("_p"), F.col("feature_id").alias("_f")).agg(first).select("_first.*")
 
 
 def draw_order(plates: DataFrame, plate: str = "plate_id") -> DataFrame:
