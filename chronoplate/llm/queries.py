@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, minhash, rules, suffix_dedup, url_filter, wordpiece
-from chronoplate.llm.common import table, written
+from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, minhash, rules, runs, suffix_dedup, url_filter, wordpiece
+from chronoplate.llm.common import WORD_SPLIT, fresh, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,42 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """The documents of op11: where the crc32 h of the id is divisible by 10, the words from a on repeat the first p of them, with
+    a = g % n, p = 1 + floor((n - a) / (3 + g % 8)) and g = floor(h / 10). A null id leaves the text as it is."""
+    h, words, a, p = fresh(docs, "h", "words", "a", "p")
+    chosen = docs.withColumn(h, F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn(
+        words, F.when(F.col(h) % 10 == 0, F.filter(F.split("text", WORD_SPLIT), lambda w: w != ""))
+    )
+    g, n = F.floor(F.col(h) / 10), F.size(words)
+    placed = chosen.withColumn(a, F.when(n > 0, g % n).cast("int")).withColumn(p, F.expr(f"int(1 + (size(`{words}`) - `{a}`) div (3 + floor(`{h}` / 10) % 8))"))
+    rest = n - F.col(a)
+    period = F.slice(words, F.col(a) + 1, F.col(p))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col(p)).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice(words, F.lit(1), F.col(a)), tail), " ")
+    return placed.withColumn("text", F.when(F.col(a).isNotNull(), made).otherwise(F.col("text"))).drop(h, words, a, p)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(with_periodic_ends(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # Runs come by start, then period: the first of the greatest length/period stays.
+    better = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
+    best = F.aggregate("runs", none, lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        "n_words",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op5, which SQL can give."""
     return rules.features(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
@@ -116,6 +152,7 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
+        "op11_periodic_runs": op11_periodic_runs,
         "quality_base_counts": quality_base_counts,
         "url_rule_matches": url_rule_matches,
         "language_held_out": language_held_out,
