@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, minhash, rules, runs, suffix_dedup, url_filter, wordpiece
-from chronoplate.llm.common import WORD_SPLIT, fresh, table, written
+from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, merkle, minhash, rules, runs, suffix_dedup, url_filter, wordpiece
+from chronoplate.llm.common import WORD_SPLIT, ascii_lower_col, fresh, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +123,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(*known, ascii_lower_col(F.col("text"))))
+    proved = merkle.manifest(docs, merkle.leaf(*known, F.col("text")), F.col("lang"), [F.col("doc_id")], [F.col("doc_id"), tampered.alias("tampered")])
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    out = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op5, which SQL can give."""
     return rules.features(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
@@ -153,6 +163,7 @@ def queries() -> dict[str, Query]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
         "op11_periodic_runs": op11_periodic_runs,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "quality_base_counts": quality_base_counts,
         "url_rule_matches": url_rule_matches,
         "language_held_out": language_held_out,
@@ -163,6 +174,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_suffix_dedup": OP8_SQL,
         "op9_near_duplicates": OP9_SQL,
+        "op13_merkle_manifest": _merkle_sql(),
         "quality_base_counts": BASE_SQL,
         "url_rule_matches": RULES_SQL,
         "language_held_out": HELD_OUT_SQL,
@@ -205,11 +217,55 @@ def _crc_table() -> list[int]:
     return out
 
 
-HELD_OUT_SQL = f"""
-WITH t AS (SELECT {_crc_table()}::BIGINT[] AS tab)
-SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 4 = 2 AS held_out
-FROM documents, t
-"""
+def _crc(column: str) -> str:
+    """SQL for the unsigned crc32 of a number's decimal text (null: null)."""
+    step = "xor(list_extract(tab, (xor(c, b) & 255) + 1), c >> 8)"
+    of = f"list_prepend(4294967295::BIGINT, list_transform(string_split({column}::VARCHAR, ''), lambda x: ascii(x)::BIGINT))"
+    return f"(SELECT xor(list_reduce({of}, lambda c, b: {step}), 4294967295::BIGINT) FROM (SELECT {_crc_table()}::BIGINT[] AS tab))"
+
+
+HELD_OUT_SQL = f"SELECT doc_id, {_crc('doc_id')} % 4 = 2 AS held_out FROM documents"
+
+#: Levels that the SQL of op13 unrolls: a language may have eight to the power of it documents.
+SQL_LEVELS = 9
+
+
+def _merkle_sql() -> str:
+    """Levels n0 to n9 of the languages' trees and t0 to t9 of the tree of their roots; then the documents c0 to c9 and d0 to d9 go up
+    them, with f the digest so far and p the proof so far. A tree of one node has no siblings left, and one that ended has no row."""
+
+    def fields(text: str) -> str:
+        return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+    def level(name: str, k: int) -> str:
+        if k == 0:
+            nodes = {"n": "SELECT tree, i, h FROM leaves", "t": "SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM subroots"}[name]
+        else:
+            nodes = f"SELECT tree, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, i // 8"
+        run = "string_agg(h, '') OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+        return f"{name}{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n, {run} UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM ({nodes}))"
+
+    def climb(name: str, levels: str, tree: str, k: int) -> str:
+        up = "CASE WHEN n > 1 THEN sha256(coalesce(a, '') || f || coalesce(b, '')) ELSE f END AS f, p || coalesce(a, '') || coalesce(b, '') AS p"
+        return f"{name}{k} AS MATERIALIZED (SELECT c.* REPLACE ({up}) FROM {name}{k - 1} c LEFT JOIN {levels}{k - 1} s ON s.tree = {tree} AND s.i = c.i // {8 ** (k - 1)})"
+
+    steps = range(SQL_LEVELS + 1)
+    roots = lambda name: " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in steps)
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"raw AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({fields('text')}) AS h, CASE WHEN {_crc('doc_id')} % 3 = 0 THEN sha256({fields(low)}) END AS low FROM documents)",
+        "leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM raw)",
+        *(level("n", k) for k in steps),
+        f"subroots AS MATERIALIZED ({roots('n')})",
+        *(level("t", k) for k in steps),
+        f"root AS MATERIALIZED ({roots('t')})",
+        "c0 AS (SELECT *, coalesce(low, h) AS f, '' AS p FROM leaves)",
+        *(climb("c", "n", "c.tree", k) for k in steps[1:]),
+        f"d0 AS (SELECT c.* REPLACE (t.i AS i), s.h AS subroot FROM c{SQL_LEVELS} c JOIN subroots s USING (tree) JOIN t0 t ON t.i = (SELECT count(*) FROM subroots o WHERE o.tree < s.tree))",
+        *(climb("d", "t", "0", k) for k in steps[1:]),
+    ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, d.h AS leaf, subroot, root.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = root.h AS verified FROM d{SQL_LEVELS} d, root"
+
 
 OP8_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
