@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, merkle, minhash, rules, runs, suffix_dedup, url_filter, wordpiece
+from chronoplate.llm import bpe, cotrain, decontaminate, langid, license_scan, merkle, minhash, rules, runs, suffix_dedup, topk, url_filter, wordpiece
 from chronoplate.llm.common import WORD_SPLIT, ascii_lower_col, fresh, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("double"))
+    finite = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", finite.alias("embedding")).withColumn("embedding", whole)
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -163,6 +170,7 @@ def queries() -> dict[str, Query]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_language_id": op10_language_id,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_top_k": op12_top_k,
         "op13_merkle_manifest": op13_merkle_manifest,
         "quality_base_counts": quality_base_counts,
         "url_rule_matches": url_rule_matches,
@@ -174,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_suffix_dedup": OP8_SQL,
         "op9_near_duplicates": OP9_SQL,
+        "op12_top_k": OP12_SQL,
         "op13_merkle_manifest": _merkle_sql(),
         "quality_base_counts": BASE_SQL,
         "url_rule_matches": RULES_SQL,
@@ -283,6 +292,15 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, (row_number() OVER best)::INT AS rank, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.r <> v.r
+WINDOW best AS (PARTITION BY q.r ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) QUALIFY row_number() OVER best <= 20
+"""
+
 OP9_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
