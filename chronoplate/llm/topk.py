@@ -5,9 +5,10 @@ weighs the term of its own sign: what that term adds to a score is at most |q| t
 shard, its bound; postings of the other sign only take away.
 
 In each shard a query sorts its terms by bound. The last ones, whose bounds together don't reach the k-th best score so far, are
-not essential: a vector in no other posting can't enter. The essential postings are traversed term by term, which gives the
+not essential: a vector in no other posting can't enter. The essential postings are traversed, which gives the
 candidates and their sums; the other terms are probed for these from the greatest bound down, and a candidate leaves as soon as
-its sum and the bounds not yet probed can't reach the k-th best. What stays has its exact score.
+its sum and the bounds not yet probed can't reach the k-th best. What stays has its exact score. Postings are bitmaps beside a matrix
+of components, as nearly every vector has nearly every dimension: traversal is an OR of bitmaps and a product with the essential terms.
 
 Vectors are dealt by hash to shards of about `SHARD_ROWS` rows, queries to blocks of `BLOCK_ROWS`; a task holds one of each.
 A block meets one shard first, which gives each of its queries a threshold, and then the others. The lists of shards are merged by
@@ -53,42 +54,41 @@ def exact(*parts: np.ndarray) -> list[np.ndarray]:
     return list(parts) if bound < 2**53 else [np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape) for x in parts]
 
 
+#: Terms that are probed between two looks at who stays.
+PROBES = 8
+
+
 class Shard:
-    """The postings of a shard: for each dimension the rows with a positive and those with a negative component."""
+    """The postings of a shard: for each dimension the rows with a positive and those with a negative component as bitmaps, and the components by dimension."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.columns = [np.ascontiguousarray(c) for c in x.T]
-        self.up = [np.flatnonzero(c > 0) for c in self.columns]
-        self.down = [np.flatnonzero(c < 0) for c in self.columns]
-        self.most = np.array([max(c.max(initial=0), 0) for c in self.columns], dtype=x.dtype)
-        self.least = np.array([min(c.min(initial=0), 0) for c in self.columns], dtype=x.dtype)
+        self.x, self.by_dimension = x, np.ascontiguousarray(x.T)
+        self.up, self.down = (np.packbits((sign * self.by_dimension > 0).astype(bool), axis=1) for sign in (1, -1))
+        self.most = np.maximum(self.by_dimension.max(axis=1, initial=0), 0)
+        self.least = np.minimum(self.by_dimension.min(axis=1, initial=0), 0)
 
     def search(self, q: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of all vectors that score `floor` or more (None: of all vectors)."""
+        if floor is None or floor <= 0:  # vectors in no posting of the query count too
+            return np.arange(len(self.x)), q @ self.by_dimension
         bounds = np.maximum(q * self.most, q * self.least)
         order = np.argsort(-bounds, kind="stable")
         rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)  # what the terms from each on can add together
-        bounded = floor is not None and floor > 0  # else vectors in no posting of the query count too
-        essential = int(np.count_nonzero(rest[:-1] >= floor)) if bounded else len(q)
-        sums, seen = np.zeros(len(self.x), self.x.dtype), np.full(len(self.x), not bounded)
-        for d in order[:essential]:
-            if q[d]:
-                for rows in (self.up[d], self.down[d]):
-                    sums[rows] += q[d] * self.columns[d][rows]
-                seen[self.up[d] if q[d] > 0 else self.down[d]] = True
-        rows = np.flatnonzero(seen)
-        sums = sums[rows]
-        for j in range(essential, len(q)):
+        essential = int(np.count_nonzero(rest[:-1] >= floor))
+        first = np.zeros(len(q), bool)
+        first[order[:essential]] = True
+        lists = np.concatenate([self.up[first & (q > 0)], self.down[first & (q < 0)]])
+        rows = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(lists, axis=0), count=len(self.x))) if len(lists) else np.arange(0)
+        sums = (np.where(first, q, 0 * q) @ self.by_dimension)[rows]
+        for j in range(essential, len(q), PROBES):
             stay = sums + rest[j] >= floor
             rows, sums = rows[stay], sums[stay]
             if not len(rows):
                 break
-            sums = sums + q[order[j]] * self.columns[order[j]][rows]
-        if bounded:
-            stay = sums >= floor
-            rows, sums = rows[stay], sums[stay]
-        return rows, sums
+            terms = order[j : j + PROBES]
+            sums = sums + self.x[np.ix_(rows, terms)] @ q[terms]
+        stay = sums >= floor
+        return rows[stay], sums[stay]
 
 
 def searched(queries: pa.Table, vectors: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
