@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from chronoplate.functions import geometry as G
+from chronoplate.operators.triangulate import triangles
 
 AREA = "array<struct<exterior: array<struct<x: double, y: double>>, interiors: array<array<struct<x: double, y: double>>>>>"
 #: Triangles whose areas differ from their polygon's by more than this share are flagged.
@@ -83,69 +84,32 @@ def prepared(ring: Column, exterior: bool) -> Column:
     return F.when(finite, G.let(bare, lambda r: F.when((F.size(r) >= 3) & (F.abs(G.signed_area(r)) >= 1e-12), G.oriented(r, exterior))))
 
 
-def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
-    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-
-
-def _crosses(a, b, c, d) -> bool:
-    """Whether two segments cross at an inner point of both."""
-    return _turn(a, b, c) * _turn(a, b, d) < 0 and _turn(c, d, a) * _turn(c, d, b) < 0
-
-
-def _bridged(outer: list, holes: list[list]) -> list:
-    """One ring: each hole, the one farthest east first, is joined by the shortest segment that crosses no edge."""
-    holes = sorted(holes, key=lambda h: -max(p[0] for p in h))
-    for k, hole in enumerate(holes):
-        edges = [(r[i], r[(i + 1) % len(r)]) for r in (outer, *holes[k:]) for i in range(len(r))]
-        pairs = sorted(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, i, j) for i, p in enumerate(outer) for j, q in enumerate(hole))
-        for _, i, j in pairs:
-            if not any(_crosses(outer[i], hole[j], a, b) for a, b in edges):
-                outer = [*outer[: i + 1], *hole[j:], *hole[: j + 1], *outer[i:]]
-                break
-    return outer
-
-
-def ears(exterior: list[tuple[float, float]], holes: list[list[tuple[float, float]]]) -> list[tuple]:
-    """Triangles of a clockwise polygon with counter-clockwise holes, by cutting ears."""
-    ring, out = _bridged(exterior, holes), []
-    while len(ring) > 3:
-        for i in range(len(ring)):
-            a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
-            # Clockwise: an ear turns right and holds no other vertex.
-            if _turn(a, b, c) < 0 and not any(p not in (a, b, c) and _turn(a, b, p) <= 0 and _turn(b, c, p) <= 0 and _turn(c, a, p) <= 0 for p in ring):
-                break
-        else:
-            i = next((i for i in range(len(ring)) if _turn(ring[i - 1], ring[i], ring[(i + 1) % len(ring)]) == 0), 0)
-        out.append((ring[i - 1], ring[i], ring[(i + 1) % len(ring)]))
-        ring = ring[:i] + ring[i + 1 :]
-    return [*out, tuple(ring)]
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _triangles(exterior: pd.Series, holes: pd.Series) -> pd.Series:
+@F.pandas_udf(StructType([StructField("flat", ArrayType(DoubleType())), StructField("unbridged", IntegerType())]))
+def _triangles(exterior: pd.Series, holes: pd.Series) -> pd.DataFrame:
     as_points = lambda flat: [(float(x), float(y)) for x, y in np.asarray(flat, float).reshape(-1, 2)]
-    return pd.Series([None if e is None else [v for t in ears(as_points(e), [as_points(h) for h in hs]) for p in t for v in p] for e, hs in zip(exterior, holes, strict=True)])
+    found = [None if e is None else triangles(as_points(e), [as_points(h) for h in hs]) for e, hs in zip(exterior, holes, strict=True)]
+    return pd.DataFrame({"flat": [None if f is None else [v for t in f[0] for p in t for v in p] for f in found], "unbridged": [0 if f is None else f[1] for f in found]})
 
 
 def triangulated(areas: DataFrame, area: str = "area") -> DataFrame:
-    """A row for each polygon of each row's area, with `interiors` (how many), `triangles`, `deviation` of the triangles' areas from the polygon's, and `skipped` where the exterior holds nothing. Rings are small; each is one call of a Python helper in Arrow batches."""
+    """A row for each polygon of each row's area, with `interiors` (how many), `triangles`, `unbridged` (holes that no triangles go round, as no edge lies east of them), `deviation` of the triangles' areas from the polygon's, and `skipped` where the exterior holds nothing. A polygon is one call of a Python helper, near to linear in its points, in Arrow batches."""
     rows = areas.withColumn("g", F.explode(area)).drop(area)
     holes = F.filter(F.transform(F.coalesce("g.interiors", F.array().cast("array<array<struct<x: double, y: double>>>")), lambda r: prepared(r, False)), lambda r: r.isNotNull())
     rows = rows.withColumns({"_e": prepared(F.col("g.exterior"), True), "_h": holes, "interiors": F.coalesce(F.size("g.interiors"), F.lit(0))})
-    rows = rows.withColumn("_t", _triangles(to_flat(F.col("_e")), F.transform("_h", to_flat)))
+    rows = rows.withColumn("_made", _triangles(to_flat(F.col("_e")), F.transform("_h", to_flat))).withColumn("_t", F.col("_made.flat"))
     corner = lambda t, i: G.point(F.get("_t", 6 * t + 2 * i), F.get("_t", 6 * t + 2 * i + 1))
     count = F.coalesce((F.size("_t") / 6).cast("int"), F.lit(0))
     sizes = F.transform(F.sequence(F.lit(0), count - 1), lambda t: F.abs(G.signed_area(F.array(*(corner(t, i) for i in range(3))))))
     whole = G.polygon_area(F.col("_e"), F.col("_h"))
     total = F.aggregate(sizes, F.lit(0.0), lambda a, b: a + b)
     deviation = F.when((count > 0) & (whole > 0), F.abs(total - whole) / whole).otherwise(F.lit(0.0))
-    return rows.withColumns({"triangles": count, "deviation": deviation, "skipped": F.col("_e").isNull()}).drop("_e", "_h", "_t", "g")
+    return rows.withColumns({"triangles": count, "deviation": deviation, "skipped": F.col("_e").isNull(), "unbridged": F.col("_made.unbridged")}).drop("_e", "_h", "_t", "_made", "g")
 
 
 def mask_report(areas: DataFrame, by: list[str], area: str = "area") -> DataFrame:
-    """Polygons, interior rings, skipped polygons, triangles, largest deviation and polygons beyond HIGH_DEVIATION, by group."""
+    """Polygons, interior rings, skipped polygons, triangles, largest deviation, polygons beyond HIGH_DEVIATION and unbridged holes, by group."""
     t = triangulated(areas.select(*by, F.col(area).alias("area")))
-    return t.groupBy(*by).agg(F.count("*").alias("polygons"), F.sum("interiors").alias("interiors"), F.count_if("skipped").alias("skipped"), F.sum("triangles").alias("triangles"), F.max("deviation").alias("deviation"), F.count_if(F.col("deviation") > HIGH_DEVIATION).alias("high"))
+    return t.groupBy(*by).agg(F.count("*").alias("polygons"), F.sum("interiors").alias("interiors"), F.count_if("skipped").alias("skipped"), F.sum("triangles").alias("triangles"), F.max("deviation").alias("deviation"), F.count_if(F.col("deviation") > HIGH_DEVIATION).alias("high"), F.sum("unbridged").alias("unbridged"))
 
 
 def root_level(effective: Column) -> Column:

@@ -87,7 +87,7 @@ def ring_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "R7_R8_A20_triangles",
     """WITH p AS (SELECT p_partkey % 11 AS grp, p_partkey % 3 AS holes, p_partkey % 13 = 0 AS flat FROM part)
-    SELECT grp, count(*) AS polygons, sum(holes)::BIGINT AS interiors, count(*) FILTER (flat) AS skipped, coalesce(sum(4 + 4 * holes + 2 * holes - 2) FILTER (NOT flat), 0)::BIGINT AS triangles, 0::DOUBLE AS deviation, 0::BIGINT AS high FROM p GROUP BY grp""",
+    SELECT grp, count(*) AS polygons, sum(holes)::BIGINT AS interiors, count(*) FILTER (flat) AS skipped, coalesce(sum(4 + 4 * holes + 2 * holes - 2) FILTER (NOT flat), 0)::BIGINT AS triangles, 0::DOUBLE AS deviation, 0::BIGINT AS high, 0::BIGINT AS unbridged FROM p GROUP BY grp""",
 )
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda x0, y0, x1, y1: G.from_flat(F.array(*map(F.lit, (x0, y0, x1, y0, x1, y1, x0, y1, x0, y0))))

@@ -83,14 +83,14 @@ hit AS (SELECT id, px, py, count(*) FILTER ((y > v) <> (ny > v) AND u < (nx - x)
 
 @query("R4_R5_mask", f"WITH {RINGS}, {_PIX} SELECT id, count(*) AS inside FROM hit WHERE h GROUP BY id")
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RA.masked(RA.pixels(rings(spark, sf_dir).select("id", F.array("ring").alias("clips")), SIZE)).groupBy("id").agg(F.count("*").alias("inside"))
+    return RA.masked(rings(spark, sf_dir).select("id", F.array("ring").alias("clips")), SIZE).groupBy("id").agg(F.count("*").alias("inside"))
 
 
 @query("U5_R11_mask_union", f"WITH {RINGS}, {_PIX} SELECT grp, count(*) AS inside FROM (SELECT id % 3 AS grp, px, py FROM hit GROUP BY ALL HAVING bool_or(h)) GROUP BY grp UNION ALL SELECT 99, {SIZE * SIZE}")
 def mask_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = rings(spark, sf_dir).groupBy((F.col("id") % 3).alias("grp")).agg(F.collect_list("ring").alias("clips"))
     whole = tiles.limit(1).select(F.lit(99).cast("bigint").alias("grp"), F.filter("clips", lambda r: F.lit(False)).alias("clips"))
-    return RA.masked(RA.pixels(tiles.unionByName(whole), SIZE)).groupBy("grp").agg(F.count("*").alias("inside"))
+    return RA.masked(tiles.unionByName(whole), SIZE).groupBy("grp").agg(F.count("*").alias("inside"))
 
 
 @query("A20_mask_statistics", f"WITH {RINGS} SELECT id % 3 AS grp, count(DISTINCT id) AS polygons, count(*) AS points, count(*) - 2 * count(DISTINCT id) AS triangles, 0::BIGINT AS skipped FROM ring GROUP BY 1")

@@ -157,10 +157,21 @@ def test_cache_replay_by_ranges_equals_a_replay_in_order(spark, capacity):
 
 
 def test_registered_replay_takes_all_events(spark):
+    from collections import OrderedDict
+
     from chronoplate.plans import catalog
 
-    row = catalog.QUERIES["W6_A21_lru_replay_all"](spark, "/root/testdata/sf0.01").agg(F.sum(F.col("hits") + F.col("misses"))).first()
-    assert row[0] == spark.read.parquet("/root/testdata/sf0.01/events.parquet").count() > 1500
+    got = {(r.cache, r.seq): r.hit for r in catalog.QUERIES["W6_A21_lru_replay_all"](spark, "/root/testdata/sf0.01").collect()}
+    held, want = {}, {}
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "user_id").orderBy("event_id").collect()
+    for r in events:
+        cache, key = held.setdefault(r.user_id % 5, OrderedDict()), (r.event_id * 7) % 60
+        want[r.user_id % 5, r.event_id] = key in cache
+        cache[key] = True
+        cache.move_to_end(key)
+        if len(cache) > 8:
+            cache.popitem(last=False)
+    assert len(events) > 1500 and got == want
 
 
 def test_csv_is_read_back(spark, tmp_path):
