@@ -61,13 +61,20 @@ def multiply(a: Column, b: Column) -> Column:
 
 def slerp(a: Column, b: Column, t: Column) -> Column:
     """Along the shorter arc from a (t = 0) to b (t = 1); nearly equal ends go straight."""
+    one = F.lit(1.0)
+
+    def weights(dot: Column) -> Column:
+        angle = F.acos(F.least(one, F.abs(dot)))
+        sign = F.when(dot < 0, -one).otherwise(one)
+        arc = lambda s: F.struct((F.sin((1 - s["t"]) * s["angle"]) / F.sin(s["angle"])).alias("a"), (F.sin(s["t"] * s["angle"]) / F.sin(s["angle"]) * s["sign"]).alias("b"))
+        straight = F.struct((1 - t).alias("a"), (t * sign).alias("b"))
+        given = F.struct(angle.alias("angle"), sign.alias("sign"), t.alias("t"))
+        return F.when(F.abs(dot) > 1 - 1e-12, straight).otherwise(F.get(F.transform(F.array(given), arc), F.lit(0)))
+
     dot = sum((a[c] * b[c] for c in "yzw"), a["x"] * b["x"])
-    sign = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    angle = F.acos(F.least(F.lit(1.0), F.abs(dot)))
-    near = F.abs(dot) > 1 - 1e-12
-    left = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    right = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
-    return quaternion(*(left * a[c] + right * b[c] for c in "xyzw"))
+    mixed = lambda w: quaternion(*(w["a"] * a[c] + w["b"] * b[c] for c in "xyzw"))
+    # Lambdas over arrays of one: the product and the weights are computed once, not once a component.
+    return F.get(F.transform(F.transform(F.array(dot), weights), mixed), F.lit(0))
 
 
 def matrix(q: Column) -> Column:

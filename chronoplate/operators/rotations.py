@@ -13,12 +13,12 @@ from chronoplate.functions import rotation as R
 from chronoplate.operators.tables import dropped, few, written
 from chronoplate.sources import rot
 
-#: Plates that a chain of related plates may have.
-MAX_DEPTH = 100
-#: Steps up the chains between two writes.
-HOPS = 4
 #: Plates (with their records) that may be broadcast; more are joined by a shuffle.
 BROADCAST_PLATES = 20_000
+#: Ages that meet a plate at a time.
+AGES_PER_BLOCK = 1_000
+#: Up to so many rows, or so many for each asked pair, every plate of the model is taken at every asked age; beyond, only the plates that chains can reach.
+ALL_PLATES_ROWS, ALL_PLATES_SHARE = 1_000_000, 20
 
 
 def intervals(series: DataFrame) -> DataFrame:
@@ -38,36 +38,56 @@ def intervals(series: DataFrame) -> DataFrame:
 
 
 def spans_by_plate(series: DataFrame) -> DataFrame:
-    """(plate_id, spans): the records of intervals() of each plate in file order, as an array. A plate has some hundred records at most."""
+    """(plate_id, spans, tops): the records of intervals() of each plate in file order, and the greatest end of a span so far, which ascends even where ages don't."""
     names = ("i", "n", "age", "q", "related_id", "next_age", "next_q", "next_related", "first_age", "last_age")
-    return intervals(series).groupBy("plate_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("spans"))
+    top = F.max("next_age").over(Window.partitionBy("plate_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = intervals(series).withColumn("_top", F.when(F.col("next_age").isNotNull(), top))
+    packed = rows.groupBy("plate_id").agg(F.array_sort(F.collect_list(F.struct(*names, "_top"))).alias("spans"))
+    return packed.withColumn("tops", F.col("spans._top"))
 
 
-def _own(spans: Column, age: Column) -> Column:
+def _first_at_or_above(tops: Column, at: Column) -> Column:
+    """Place of the first number of an ascending array that is `at` or more, by halving; the array's last place if none before it is. Nulls count as more."""
+    state = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        enough = F.coalesce(F.get(tops, middle) >= at, F.lit(True))
+        return F.when(s["low"] >= s["high"], s).when(enough, state(s["low"], middle)).otherwise(state(middle + 1, s["high"]))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(tops), F.lit(1)))).cast("int"))
+    return F.aggregate(steps, state(F.lit(0), F.size(tops) - 1), halved)["low"]
+
+
+def _own(spans: Column, tops: Column, age: Column) -> Column:
     """struct<q, related_id> of a plate's own rotation at an age, null without spans."""
     first = F.get(spans, F.lit(0))
     at = F.greatest(first["first_age"], F.least(first["last_age"], age))
-    # The span whose end is the first record at or above the age; the first span also takes what lies at its start.
-    # Where ages of a series don't ascend, more than one span may fit: the first in file order holds.
-    inside = lambda s: (s["n"] == 1) | (s["next_age"].isNotNull() & (at <= s["next_age"]) & ((at > s["age"]) | (s["i"] == 1)))
 
     def turned(p: Column) -> Column:
         width = p["next_age"] - p["age"]
         share = F.when(width != 0, (at - p["age"]) / width).otherwise(F.lit(0.0))
         q = F.when(p["n"] > 1, R.slerp(p["q"], p["next_q"], share))
         related = F.when((p["n"] == 1) | (at <= p["age"]), p["related_id"]).otherwise(p["next_related"])
-        return F.when(p.isNotNull(), F.struct(q.alias("q"), related.alias("related_id")))
+        return F.when(p.isNotNull() & ((p["n"] == 1) | p["next_age"].isNotNull()), F.struct(q.alias("q"), related.alias("related_id")))
+
+    # The span whose end is the first record at or above the age: the ends before it are all below, so where ages of a series don't ascend the first of several in file order holds.
+    return F.get(F.transform(F.array(F.get(spans, _first_at_or_above(tops, at))), turned), F.lit(0))
+
 
-    # A lambda over an array of one computes the span once a row.
-    return F.get(F.transform(F.array(F.get(F.filter(spans, inside), F.lit(0))), turned), F.lit(0))
+def _at_ages(plates: DataFrame, ages: DataFrame) -> DataFrame:
+    """Every plate at every age of a written table: blocks of ages are joined by number, and a plate's row meets one at a time."""
+    n = -(-max(ages.count(), 1) // AGES_PER_BLOCK)
+    blocks = ages.groupBy(F.pmod(F.xxhash64("age"), F.lit(n)).cast("int").alias("_block")).agg(F.collect_list("age").alias("_ages"))
+    each = plates.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "_block")
+    return each.withColumn("age", F.explode("_ages")).drop("_block", "_ages")
 
 
 def _asked(plates: DataFrame, asked: DataFrame) -> DataFrame:
-    """`plates` at the asked ages: pairs (plate_id, age) are joined by plate; ages alone are a parameter of every plate."""
+    """`plates` at the asked ages: pairs (plate_id, age) are joined by plate; ages alone are asked of every plate."""
     if "plate_id" in asked.columns:
         return asked.select("plate_id", "age").distinct().join(few(plates, BROADCAST_PLATES), "plate_id")
-    every = sorted(r["age"] for r in asked.select("age").distinct().collect())
-    return plates.withColumn("age", F.explode(F.array(*map(F.lit, every)).cast("array<double>")))
+    return _at_ages(plates, written(asked.select("age").distinct().dropna(), "ages"))
 
 
 def own_rotations(series: DataFrame, asked: DataFrame) -> DataFrame:
@@ -76,36 +96,72 @@ def own_rotations(series: DataFrame, asked: DataFrame) -> DataFrame:
     Ages are clamped to the plate's records. The related plate is that of the first record at or above the age. A
     plate of a single record has no rotation of its own (q is null) and passes its related plate on."""
     plates = written(spans_by_plate(series), "plates")
-    return _asked(plates, asked).select("plate_id", "age", _own(F.col("spans"), F.col("age")).alias("p")).filter("p is not null").select("plate_id", "age", "p.q", "p.related_id")
+    own = _asked(plates, asked).select("plate_id", "age", F.inline(F.array(F.struct(_own(F.col("spans"), F.col("tops"), F.col("age")).alias("p")))))
+    return own.filter("p is not null").select("plate_id", "age", "p.q", "p.related_id")
 
 
 def plate_rotations(series: DataFrame, asked: DataFrame, anchor: str | None = "0") -> DataFrame:
     """(plate_id, age, q): total rotation of each plate, the product of own rotations from the root of its chain to the plate, at the ages or pairs of `asked`.
 
     The chain ends at the anchor (identity) or at a plate that the model lacks. A plate whose chain meets neither the anchor nor
-    a plate with a rotation of its own has a null q. A chain of more than MAX_DEPTH plates (a cycle) is an error.
+    a plate with a rotation of its own has a null q. A cycle of related plates is an error.
 
-    All chains go up together, a plate at a step, by joins with the model's plates, which hold their records in a row: own rotations come from
-    the row that a chain has reached. Every HOPS steps what has been reached is written."""
+    Own rotations are computed once for each plate and age that chains pass. Ways up then double: each step joins what a plate's way has
+    reached with the way of the plate there, so that rounds grow with the logarithm of the longest chain. Each is written."""
     plates = written(spans_by_plate(series), "plates")
-    up = few(plates.select(F.col("plate_id").alias("_plate"), "spans"), BROADCAST_PLATES)
-    start = _asked(plates, asked).select("plate_id", "age", F.col("plate_id").alias("at"), R.identity().alias("q"), F.lit(False).alias("met"), F.lit(False).alias("done"))
-    # Plates without a span at an age are no plates of the model.
-    walk = written(start, "walk")
-    for _ in range(0, MAX_DEPTH, HOPS):
-        before = walk
-        for _ in range(HOPS):
-            goes = ~F.col("done") & ~F.coalesce(R.is_anchor(F.col("at"), anchor), F.lit(False))
-            own = walk.withColumn("_at", F.when(goes, F.col("at"))).join(up, F.col("_at") == F.col("_plate"), "left").withColumn("own", _own(F.col("spans"), F.col("age"))).drop("spans")
-            moved = F.col("own").isNotNull()
-            q = F.when(F.col("own.q").isNotNull(), R.multiply(F.col("own.q"), F.col("q"))).otherwise(F.col("q"))
-            walk = own.select("plate_id", "age", F.when(moved, F.col("own.related_id")).otherwise(F.col("at")).alias("at"), q.alias("q"), (F.col("met") | F.col("own.q").isNotNull()).alias("met"), (~moved).alias("done"))
-        walk = written(walk, "walk")
+    n_plates = plates.count()
+    wanted = written(_asked(plates.select("plate_id"), asked), "asked")
+    ages = written(wanted.select("age").distinct(), "ages")
+    if "plate_id" not in asked.columns or n_plates * ages.count() <= max(ALL_PLATES_ROWS, ALL_PLATES_SHARE * wanted.count()):
+        passed = _at_ages(plates, ages)
+    else:
+        reached = wanted.join(_ancestors(series), "plate_id").select(F.col("_to").alias("plate_id"), "age")
+        passed = _asked(plates, reached)
+    ways = _ways_up(passed, n_plates, anchor)
+    both = wanted.join(ways, ["plate_id", "age"], "left").withColumns({"at": F.coalesce("at", "plate_id"), "q": F.coalesce("q", R.identity())})
+    return both.select("plate_id", "age", F.when(_is_root(F.col("at"), anchor) | F.coalesce("met", F.lit(False)), F.col("q")).alias("q"))
+
+
+def _is_root(plate: Column, anchor: str | None) -> Column:
+    return F.coalesce(R.is_anchor(plate, anchor), F.lit(False))
+
+
+def _ancestors(series: DataFrame) -> DataFrame:
+    """(plate_id, _to): the plates that a plate's chain can pass at any age, itself included."""
+    known = series.select("plate_id").distinct()
+    step = series.select("plate_id", F.col("related_id").alias("_to")).unionByName(known.withColumn("_to", F.col("plate_id")))
+    found = written(step.distinct(), "ancestors")
+    while True:
+        further = found.join(found.select(F.col("plate_id").alias("_to"), F.col("_to").alias("_next")), "_to").select("plate_id", F.col("_next").alias("_to"))
+        more = written(further.unionByName(found).distinct(), "ancestors")
+        if more.count() == found.count():
+            return more
+        dropped(found)
+        found = more
+
+
+def _ways_up(passed: DataFrame, n_plates: int, anchor: str | None) -> DataFrame:
+    """(plate_id, age, at, q, met): where the chain of each plate (with its spans) ends, the product of rotations on the way, and whether there is any. The anchor has no way, and plates without a span at an age neither."""
+    own = passed.filter(~_is_root(F.col("plate_id"), anchor)).select("plate_id", "age", F.inline(F.array(F.struct(_own(F.col("spans"), F.col("tops"), F.col("age")).alias("own")))))
+    ways = written(own.filter("own is not null").select("plate_id", "age", F.col("own.related_id").alias("at"), F.coalesce("own.q", R.identity()).alias("q"), F.col("own.q").isNotNull().alias("met"), F.lit(False).alias("done")), "ways")
+    for _ in range(n_plates.bit_length() + 1):
+        before = ways
+        there = before.select(F.col("plate_id").alias("at"), "age", F.col("at").alias("_to"), F.col("q").alias("_q"), F.col("met").alias("_met"), F.col("done").alias("_done"))
+        both = before.filter("not done").join(there, ["at", "age"], "left")
+        end = F.col("_to").isNull()
+        on = both.select(
+            "plate_id",
+            "age",
+            F.coalesce("_to", "at").alias("at"),
+            F.when(end, F.col("q")).otherwise(R.multiply(F.col("_q"), F.col("q"))).alias("q"),
+            (F.col("met") | F.coalesce("_met", F.lit(False))).alias("met"),
+            F.coalesce("_done", F.lit(True)).alias("done"),
+        )
+        ways = written(before.filter("done").unionByName(on), "ways")
         dropped(before)
-        if walk.filter("not done").isEmpty():
-            arrived = F.coalesce(R.is_anchor(F.col("at"), anchor), F.lit(False)) | F.col("met")
-            return walk.select("plate_id", "age", F.when(arrived, F.col("q")).alias("q"))
-    raise ValueError(f"a chain of plates has more than {MAX_DEPTH} members")
+        if ways.filter("not done").isEmpty():
+            return ways.drop("done")
+    raise ValueError("related plates form a cycle")
 
 
 def plate_matrices(rotations: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def outline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT feature_id, west, round(m0 * x + m1 * y + m2 * z, 6) + 0.0::DOUBLE AS x, round(m3 * x + m4 * y + m5 * z, 6) + 0.0::DOUBLE AS y, round(m6 * x + m7 * y + m8 * z, 6) + 0.0::DOUBLE AS z, 0.5::DOUBLE AS r FROM s, m WHERE plate_id = '201' AND age = 75""",
 )
 def moved_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turned = plate_matrices(totals(spark)).filter("plate_id = '201' and age = 75").select("plate_id", "m")
+    turned = plate_matrices(totals(spark, sf_dir)).filter("plate_id = '201' and age = 75").select("plate_id", "m")
     v = R.unit_vector(F.col("west"), F.col("south"))
     sphere = F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), F.lit(0.5).alias("r"))
     rect = F.struct(*(F.radians(c).alias(c) for c in ("west", "south", "east", "north")))
@@ -138,7 +138,7 @@ _PLATES = ["101", "201", "301", "501", "777"]
 )
 def baked_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """South-western corners of the domains that are visible at 5, turned by their plates' rotations of 75."""
-    turned = totals(spark).filter("age = 75").withColumn("age", F.lit(5.0))
+    turned = totals(spark, sf_dir).filter("age = 75").withColumn("age", F.lit(5.0))
     plate = F.get(F.array(*map(F.lit, _PLATES)), F.col("plate_id").cast("int"))
     rows = domains(spark, sf_dir).select("feature_id", plate.alias("plate_id"), "begin_age", "end_age", F.col("west").alias("lon"), F.col("south").alias("lat"))
     return rounded(baked(rows, turned, 5.0).select("feature_id", "new_lon", "new_lat"), "new_lon", "new_lat", digits=5)

@@ -225,7 +225,7 @@ def task_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J8_task_matrices", _tiles_sql(T.GEOGRAPHIC).replace("WITH ", WITH_MODEL + ", ", 1) + " SELECT t.plate_id, count(*) AS tasks, round(max(coalesce(m.m0, 1)), 6) AS m0 FROM tasks t LEFT JOIN (SELECT (plate_id::INT // 100 - 1)::VARCHAR AS plate_id, m0 FROM m WHERE age = 120 AND plate_id IN ('101', '202', '301')) m USING (plate_id) GROUP BY 1")
 def task_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = totals(spark).filter("age = 120 and plate_id in ('101', '202', '301')").withColumn("plate_id", (F.floor(F.col("plate_id").cast("int") / 100) - 1).cast("string"))
+    few = totals(spark, sf_dir).filter("age = 120 and plate_id in ('101', '202', '301')").withColumn("plate_id", (F.floor(F.col("plate_id").cast("int") / 100) - 1).cast("string"))
     tasks = O.with_matrices(O.composites(_tiles(spark, sf_dir)), plate_matrices(few))
     return rounded(tasks.groupBy("plate_id").agg(F.count("*").alias("tasks"), F.max(F.get("m", F.lit(0))).alias("m0")), "m0")
 
@@ -369,7 +369,7 @@ def domains_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     plates = F.array(*map(F.lit, ("101", "201", "301", "501", "601")))
     items = domains(spark, sf_dir).select("feature_id", F.get(plates, F.col("plate_id").cast("int")).alias("plate_id"), ball((F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2, 1.5e6).alias("sphere"))
     seen = spark.createDataFrame([(1, -15.0, 10.0, 2e6), (2, 100.0, -20.0, 3e6)], "view_id INT, lon DOUBLE, lat DOUBLE, r DOUBLE").select("view_id", F.lit(120.0).alias("age"), ball(F.col("lon"), F.col("lat"), F.col("r")).alias("sphere"))
-    return V.in_view(items, seen, totals(spark)).select("view_id", "feature_id")
+    return V.in_view(items, seen, totals(spark, sf_dir)).select("view_id", "feature_id")
 
 
 _SQL = lambda v: "NULL" if v is None else repr(v)

@@ -10,34 +10,40 @@ from chronoplate.operators import rotations as O
 from chronoplate.plans.registry import q_columns, query, rounded, table
 from chronoplate.sources import rot
 
-#: A small model: a chain 301 > 201 > 101 > 0, a crossover (202 at 100), a repeated record (101 at 50), a plate of one
-#: record (401), a plate whose related plate is undefined (501), one that is spelled 000 at its root (601).
-MODEL = """VALUES
- ('101', 0.0, 0.0, 0.0, 0.0, '0', 1), ('101', 50.0, 40.0, -30.0, 12.0, '0', 2), ('101', 50.0, 40.0, -30.0, 12.0, '0', 3),
- ('101', 100.0, 55.0, -20.0, 31.0, '0', 4), ('101', 200.0, 60.0, -10.0, 55.0, '0', 5),
- ('201', 0.0, 0.0, 0.0, 0.0, '101', 6), ('201', 80.0, 10.0, 100.0, -15.0, '101', 7), ('201', 150.0, 20.0, 110.0, -42.0, '101', 8),
- ('202', 0.0, 0.0, 0.0, 0.0, '101', 9), ('202', 100.0, 30.0, 60.0, 20.0, '101', 10), ('202', 100.0, 35.0, 65.0, 22.0, '0', 11), ('202', 180.0, 38.0, 70.0, 35.0, '0', 12),
- ('301', 0.0, 0.0, 0.0, 0.0, '201', 13), ('301', 60.0, -25.0, 15.0, 8.0, '201', 14), ('301', 200.0, -35.0, 25.0, 28.0, '201', 15),
- ('401', 0.0, 5.0, 5.0, 9.0, '201', 16),
- ('501', 0.0, 0.0, 0.0, 0.0, '999', 17), ('501', 120.0, 70.0, 140.0, 18.0, '999', 18),
- ('601', 0.0, 0.0, 0.0, 0.0, '000', 19), ('601', 90.0, -60.0, 33.0, 14.0, '000', 20),
- ('701', 30.0, 12.0, 34.0, 5.0, '998', 21)"""
-COLUMNS = "plate_id, age, pole_lat, pole_lon, angle, related_id, line_no"
+#: A model of as many plates as customers, with three to five records each; plate k + 100 moves with plate k / 3 + 100, the first ones
+#: with the anchor. One in seven repeats a record, one in 13 changes its related plate at an age (a crossover), one in 11 has a single
+#: record, one in 17 a related plate that the model lacks, one in 19 an anchor spelled 000, and one in 29 begins later.
+_PLATE = "CASE WHEN k <= 3 THEN '0' WHEN k % 19 = 0 THEN '000' WHEN k % 17 = 0 THEN 'u' || k ELSE CAST(CAST(floor(k / 3) AS INT) + 100 AS {text}) END"
+_FIELDS = {
+    "plate_id": "CAST(k + 100 AS {text})",
+    "age": "CAST(j * (30 + k % 25) + CASE WHEN k % 29 = 0 THEN 30 ELSE 0 END AS DOUBLE)",
+    "pole_lat": "CAST((k * 7 + j * 13) % 170 - 85 AS DOUBLE)",
+    "pole_lon": "CAST((k * 11 + j * 29 + r * 5) % 360 - 180 AS DOUBLE)",
+    "angle": "CAST(j * (k % 23 - 10.5) AS DOUBLE)",
+    "related_id": "CASE WHEN k % 13 = 0 AND (j > 2 OR j = 2 AND r = 1) THEN '0' ELSE " + _PLATE + " END",
+    "line_no": "CAST(k * 100 + j * 10 + r AS BIGINT)",
+}
+_TWICE = "r = 0 OR (k % 7 = 0 AND k % 13 <> 0 AND j = 1) OR (k % 13 = 0 AND j = 2)"
+
+
 AGES = (0.0, 25.0, 75.0, 120.0, 250.0)
 
 
-def model(spark: SparkSession) -> DataFrame:
-    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("age", "pole_lat", "pole_lon", "angle"))
-    return spark.sql(f"SELECT plate_id, {casts}, related_id, CAST(line_no AS BIGINT) AS line_no FROM ({MODEL}) AS t({COLUMNS})")
+def model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    lines = keys.withColumn("j", F.explode(F.expr("sequence(0, CASE WHEN k % 11 = 0 THEN 0 ELSE 2 + CAST(k % 3 AS INT) END)"))).withColumn("r", F.explode(F.array(F.lit(0), F.lit(1)))).filter(_TWICE)
+    return lines.select(*(F.expr(x.format(text="STRING")).alias(c) for c, x in _FIELDS.items()))
 
 
 def ages(spark: SparkSession) -> DataFrame:
+    """The ages that queries ask for, a parameter of theirs."""
     return spark.createDataFrame([(a,) for a in AGES], "age DOUBLE")
 
 
 #: The same steps in SQL, each a common table expression.
 WITH_MODEL = f"""WITH RECURSIVE rec AS (
-  SELECT plate_id, age::DOUBLE AS age, pole_lat::DOUBLE AS pole_lat, pole_lon::DOUBLE AS pole_lon, angle::DOUBLE AS angle, related_id, line_no::BIGINT AS line_no FROM ({MODEL}) t({COLUMNS})
+  SELECT {", ".join(f"{x.format(text='VARCHAR')} AS {c}" for c, x in _FIELDS.items())}
+  FROM (SELECT c_custkey AS k, unnest(range(0, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 3 + c_custkey % 3 END)) AS j FROM customer), (VALUES (0), (1)) t(r) WHERE {_TWICE}
 ), kept AS (
   SELECT * FROM (SELECT *, lag(age) OVER w AS la, lag(related_id) OVER w AS lr FROM rec WINDOW w AS (PARTITION BY plate_id ORDER BY line_no)) WHERE la IS NULL OR NOT (la = age AND lr = related_id)
 ), ser AS (
@@ -99,9 +105,12 @@ def rot_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rot.parse_text(spark, "\n".join(TEXT))
 
 
-@query("S3_rot_replace", WITH_MODEL + "SELECT * FROM rec WHERE plate_id <> '101' UNION ALL SELECT '101', 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, '0', 0::BIGINT")
+@query("S3_rot_replace", WITH_MODEL + "SELECT * FROM rec WHERE line_no % 300 >= 100 UNION ALL SELECT DISTINCT plate_id, 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, '0', line_no // 100 FROM rec WHERE line_no % 300 < 100")
 def rot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rot.replace_plates(model(spark), rot.parse_text(spark, "101 0 1 2 3 0"))
+    """A later text brings one record for every third plate."""
+    first = model(spark, sf_dir)
+    later = first.filter("line_no % 300 < 100").select(F.concat_ws(" ", "plate_id", F.lit("0 1 2 3 0")).alias("value"), F.floor(F.col("line_no") / 100).alias("line_no")).distinct()
+    return rot.replace_plates(first, rot.parse_lines(later))
 
 
 @query("S16_rot_url_list", "SELECT ['a.rot', 'b c.rot', 'd.rot'] AS urls, 3 AS n")
@@ -111,12 +120,12 @@ def rot_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("W1_W2_series", WITH_MODEL + "SELECT * FROM ser")
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rot.series(model(spark))
+    return rot.series(model(spark, sf_dir))
 
 
 @query("W3_intervals", WITH_MODEL + "SELECT plate_id, age, i, n, na AS next_age, nr AS next_related, fa AS first_age, ea AS last_age FROM span")
 def interval_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.intervals(rot.series(model(spark))).select("plate_id", "age", F.col("i").cast("bigint").alias("i"), "n", "next_age", "next_related", "first_age", "last_age")
+    return O.intervals(rot.series(model(spark, sf_dir))).select("plate_id", "age", F.col("i").cast("bigint").alias("i"), "n", "next_age", "next_related", "first_age", "last_age")
 
 
 _ROUND_Q = ", ".join(f"round(q{c}, 6) + 0.0::DOUBLE AS q{c}" for c in "xyzw")
@@ -125,39 +134,38 @@ _ROUND_Q = ", ".join(f"round(q{c}, 6) + 0.0::DOUBLE AS q{c}" for c in "xyzw")
 @query("M1_pole_quaternion", WITH_MODEL + f"SELECT plate_id, line_no, {_ROUND_Q} FROM quat")
 def pole_quaternion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = R.from_pole(F.col("pole_lon"), F.col("pole_lat"), F.col("angle"))
-    return rounded(rot.series(model(spark)).select("plate_id", "line_no", *q_columns(q)), "qx", "qy", "qz", "qw")
+    return rounded(rot.series(model(spark, sf_dir)).select("plate_id", "line_no", *q_columns(q)), "qx", "qy", "qz", "qw")
 
 
 @query("J2_M2_own_rotation", WITH_MODEL + f"SELECT plate_id, age, related_id, {_ROUND_Q} FROM own")
 def own_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = O.own_rotations(rot.series(model(spark)), ages(spark))
+    own = O.own_rotations(rot.series(model(spark, sf_dir)), ages(spark))
     return rounded(own.select("plate_id", "age", "related_id", *q_columns(F.col("q"))), "qx", "qy", "qz", "qw")
 
 
-def totals(spark: SparkSession) -> DataFrame:
-    return O.plate_rotations(rot.series(model(spark)), ages(spark))
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.plate_rotations(rot.series(model(spark, sf_dir)), ages(spark))
 
 
 @query("J3_M3_plate_rotation", WITH_MODEL + "SELECT plate_id, age, round(x, 6) + 0.0::DOUBLE AS qx, round(y, 6) + 0.0::DOUBLE AS qy, round(z, 6) + 0.0::DOUBLE AS qz, round(w, 6) + 0.0::DOUBLE AS qw FROM total")
 def plate_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(totals(spark).select("plate_id", "age", *q_columns(F.col("q"))), "qx", "qy", "qz", "qw")
+    return rounded(totals(spark, sf_dir).select("plate_id", "age", *q_columns(F.col("q"))), "qx", "qy", "qz", "qw")
 
 
 @query("M4_M11_matrix", WITH_MODEL + "SELECT plate_id, age, " + ", ".join(f"round(m{i}, 6) + 0.0::DOUBLE AS m{i}" for i in range(9)) + " FROM m")
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"m{i}" for i in range(9)]
-    return rounded(O.plate_matrices(totals(spark)).select("plate_id", "age", *(F.get("m", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
+    return rounded(O.plate_matrices(totals(spark, sf_dir)).select("plate_id", "age", *(F.get("m", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
 
 
 @query("M5_inverse_matrix", WITH_MODEL + "SELECT plate_id, age, " + ", ".join(f"round(m{3 * (i % 3) + i // 3}, 6) + 0.0::DOUBLE AS m{i}" for i in range(9)) + " FROM m")
 def inverse_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"m{i}" for i in range(9)]
-    return rounded(O.plate_matrices(totals(spark)).withColumn("t", R.transpose(F.col("m"))).select("plate_id", "age", *(F.get("t", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
+    return rounded(O.plate_matrices(totals(spark, sf_dir)).withColumn("t", R.transpose(F.col("m"))).select("plate_id", "age", *(F.get("t", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
 
 
-PLATES = ["101", "201", "202", "301", "401", "501", "601", "777"]
 _POINTS = f"""pts AS (SELECT event_id, ((event_id * 37) % 36000)::DOUBLE / 100 - 180 AS lon, ((event_id * 53) % 17000)::DOUBLE / 100 - 85 AS lat,
-  {PLATES}[event_id % {len(PLATES)} + 1] AS plate_id, [{", ".join(map(str, AGES))}][user_id % {len(AGES)} + 1]::DOUBLE AS age FROM events)"""
+  (100 + event_id % 160)::VARCHAR AS plate_id, [{", ".join(map(str, AGES))}][user_id % {len(AGES)} + 1]::DOUBLE AS age FROM events)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +174,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         ((F.col("event_id") * 37) % 36000 / 100 - 180).alias("lon"),
         ((F.col("event_id") * 53) % 17000 / 100 - 85).alias("lat"),
-        at(PLATES, (F.col("event_id") % len(PLATES)).cast("int")).alias("plate_id"),
+        (100 + F.col("event_id") % 160).cast("string").alias("plate_id"),
         at(AGES, (F.col("user_id") % len(AGES)).cast("int")).alias("age"),
     )
 
@@ -184,20 +192,21 @@ def _moved_sql(order: str) -> str:
 @query("M6_points_at_age", _moved_sql("m0 m1 m2 m3 m4 m5 m6 m7 m8"))
 def points_at_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: where each point is at its age."""
-    moved = O.rotate_points(points(spark, sf_dir), totals(spark))
+    asked = points(spark, sf_dir)
+    moved = O.rotate_points(asked, O.plate_rotations(rot.series(model(spark, sf_dir)), asked))
     return rounded(moved.select("event_id", "plate_id", "age", "new_lon", "new_lat"), "new_lon", "new_lat", digits=5)
 
 
 @query("M7_points_to_present", _moved_sql("m0 m3 m6 m1 m4 m7 m2 m5 m8"))
 def points_to_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = O.rotate_points(points(spark, sf_dir), totals(spark), inverse=True)
+    moved = O.rotate_points(points(spark, sf_dir), totals(spark, sf_dir), inverse=True)
     return rounded(moved.select("event_id", "plate_id", "age", "new_lon", "new_lat"), "new_lon", "new_lat", digits=5)
 
 
 @query("M10_there_and_back", WITH_MODEL + f", {_POINTS} SELECT event_id, CASE WHEN known THEN CASE WHEN abs(lon) > 179.9999 THEN -180 ELSE round(lon, 4) END END::DOUBLE AS lon, CASE WHEN known THEN round(lat, 4) END::DOUBLE AS lat FROM pts LEFT JOIN m USING (plate_id, age)")
 def there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to their age and back to the present, by pairs of plate and age."""
-    own = O.RotationModel(model(spark))
+    own = O.RotationModel(model(spark, sf_dir))
     there = own.at_age(points(spark, sf_dir)).select("event_id", "plate_id", "age", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat"))
     back = rounded(own.at_present(there).select("event_id", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat")), "lon", "lat", digits=4)
     return back.withColumn("lon", F.when(F.abs("lon") > 179.9999, F.lit(-180.0)).otherwise(F.col("lon")))
@@ -223,7 +232,7 @@ def rotate_about_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT plate_id, t AS age, pole_lat, pole_lon, angle FROM r, asked QUALIFY row_number() OVER (PARTITION BY plate_id, t ORDER BY CASE WHEN age >= t AND b <= t THEN 0 ELSE 1 END, i) = 1""",
 )
 def interval_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.interval_rotation(rot.series(model(spark)), ages(spark))
+    return O.interval_rotation(rot.series(model(spark, sf_dir)), ages(spark))
 
 
 @query(
@@ -238,6 +247,6 @@ def anchor_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J1_domain_plates", WITH_MODEL + f", {_POINTS} SELECT plate_id, count(*) AS n, count(DISTINCT rec.plate_id) > 0 AS known FROM pts LEFT JOIN (SELECT DISTINCT plate_id FROM rec) rec USING (plate_id) GROUP BY plate_id")
 def domain_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which plates of the points the model knows: the points are counted by plate before the join."""
-    known = model(spark).select("plate_id").distinct().withColumn("known", F.lit(True))
+    known = model(spark, sf_dir).select("plate_id").distinct().withColumn("known", F.lit(True))
     counted = points(spark, sf_dir).groupBy("plate_id").agg(F.count("*").alias("n"))
     return counted.join(known, "plate_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))

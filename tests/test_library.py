@@ -17,8 +17,36 @@ from chronoplate.sources import artifacts, features, rot
 from chronoplate.streaming import requests
 
 
+#: A chain 301 > 201 > 101 > 0, a crossover (202), a repeated record (101), a plate of one record (401), related plates that are undefined (501, 701), a root spelled 000 (601).
+MODEL = """101 0 0 0 0 0
+101 50 40 -30 12 0
+101 50 40 -30 12 0
+101 100 55 -20 31 0
+101 200 60 -10 55 0
+201 0 0 0 0 101
+201 80 10 100 -15 101
+201 150 20 110 -42 101
+202 0 0 0 0 101
+202 100 30 60 20 101
+202 100 35 65 22 0
+202 180 38 70 35 0
+301 0 0 0 0 201
+301 60 -25 15 8 201
+301 200 -35 25 28 201
+401 0 5 5 9 201
+501 0 0 0 0 999
+501 120 70 140 18 999
+601 0 0 0 0 000
+601 90 -60 33 14 000
+701 30 12 34 5 998"""
+
+
+def small_totals(spark):
+    return rotations.plate_rotations(rot.series(rot.parse_text(spark, MODEL)), rotation_queries.ages(spark))
+
+
 def test_rotations_are_unit_and_inverse_undoes_them(spark):
-    q = rotation_queries.totals(spark).filter("q is not null")
+    q = small_totals(spark).filter("q is not null")
     m = R.matrix(F.col("q"))
     v = R.unit_vector(F.lit(33.0), F.lit(-12.0))
     back = R.apply(R.transpose(m), R.apply(m, v))
@@ -27,7 +55,7 @@ def test_rotations_are_unit_and_inverse_undoes_them(spark):
 
 
 def test_chains_pass_single_records_and_stop_at_unknown_plates(spark):
-    got = {r.plate_id: r.q for r in rotation_queries.totals(spark).filter("age = 120").collect()}
+    got = {r.plate_id: r.q for r in small_totals(spark).filter("age = 120").collect()}
     assert got["401"] == got["201"]  # one record: its related plate's rotation
     assert got["501"] is not None  # the related plate is unknown: its own rotation
     assert got["701"] is None  # neither
@@ -135,6 +163,42 @@ def test_rotations_of_pairs_and_many_plates(spark):
         rotations.plate_rotations(cycle, ages).collect()
 
 
+def test_long_chains_at_many_ages_equal_a_walk(spark, monkeypatch):
+    """A chain of 300 plates, with single records and series whose ages don't ascend, by doubled steps."""
+    rng = random.Random(8)
+    rows, line = [], 0
+    for i in range(1, 301):
+        ages = [0.0] if i % 9 == 0 else [rng.uniform(5, 60) * k for k in range(rng.randint(2, 6))]
+        for a in sorted(ages) if i % 10 or i < 50 else ages[::-1]:
+            rows.append((str(i), a, rng.uniform(-80, 80), rng.uniform(-180, 180), rng.uniform(-40, 40), str(i - 1), line))
+            line += 1
+    model = rot.series(spark.createDataFrame(rows, "plate_id STRING, age DOUBLE, pole_lat DOUBLE, pole_lon DOUBLE, angle DOUBLE, related_id STRING, line_no LONG"))
+    asked = spark.createDataFrame([(float(a),) for a in range(0, 200, 25)], "age DOUBLE")
+    own = {(r.plate_id, r.age): r for r in rotations.own_rotations(model, asked).collect()}
+    got = {(r.plate_id, r.age): r.q for r in rotations.plate_rotations(model, asked).collect()}
+    assert len(got) == 300 * 8
+    times = lambda a, b: (a.w * b[0] + a.x * b[3] + a.y * b[2] - a.z * b[1], a.w * b[1] - a.x * b[2] + a.y * b[3] + a.z * b[0], a.w * b[2] + a.x * b[1] - a.y * b[0] + a.z * b[3], a.w * b[3] - a.x * b[0] - a.y * b[1] - a.z * b[2])
+    for plate, age in rng.sample(sorted(got), 60):
+        q, at, met = (0.0, 0.0, 0.0, 1.0), plate, False
+        while (at, age) in own:
+            o = own[at, age]
+            met = met or o.q is not None
+            q = times(o.q, q) if o.q else q
+            at = o.related_id
+        assert (got[plate, age] is None) == (not met and at != "0")
+        assert got[plate, age] is None or max(abs(a - b) for a, b in zip(q, got[plate, age], strict=True)) < 1e-9
+    some = spark.createDataFrame([("299", 50.0), ("7", 175.0), ("x", 0.0)], "plate_id STRING, age DOUBLE")
+    monkeypatch.setattr(rotations, "ALL_PLATES_ROWS", 0)
+    monkeypatch.setattr(rotations, "ALL_PLATES_SHARE", 0)
+    assert {(r.plate_id, r.age): r.q for r in rotations.plate_rotations(model.filter("plate_id > '280' or length(plate_id) < 2"), some).collect()}.keys() == {("299", 50.0), ("7", 175.0)}
+    plain = {p: [r for r in model.orderBy("line_no").collect() if r.plate_id == p] for p in ("60", "70", "7")}
+    for plate, records in plain.items():
+        for age in (25.0, 100.0):
+            at = max(records[0].age, min(records[-1].age, age))
+            fits = [i for i in range(len(records) - 1) if at <= records[i + 1].age and (at > records[i].age or i == 0)]
+            assert ((plate, age) in own) == bool(fits)
+
+
 @pytest.mark.parametrize("capacity", [1, 3, 8])
 def test_cache_replay_by_ranges_equals_a_replay_in_order(spark, capacity):
     rng = random.Random(capacity)
