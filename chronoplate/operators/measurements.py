@@ -17,10 +17,26 @@ WIDER = 64
 
 
 def quartiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """n, median, q1 and q3 (linear interpolation) of finite values by group; a long table of (keys, value)."""
+    """n, median, q1 and q3 (linear interpolation) of finite values by group; a long table of (keys, value).
+
+    Ranks are selected without a task that holds a group: equal values are counted first, the counts are dealt by ranges of (group,
+    value), and each range takes over the number of values in the group's ranges before it."""
     ok = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    q = F.percentile(value, F.array(*map(F.lit, (0.5, 0.25, 0.75))))
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), q.alias("_q")).select(*by, "n", *(F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("median", "q1", "q3"))))
+    counted = ok.groupBy(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cut = written(counted.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()), "counts")
+    ranges = cut.groupBy("_g", "_range").agg(F.sum("_n").alias("_in"))
+    group = Window.partitionBy("_g")  # a row for each range
+    before = F.coalesce(F.sum("_in").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("_g", "_range", before.alias("_before"), F.sum("_in").over(group).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cut.withColumn("_upto", upto).join(offsets, ["_g", "_range"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
+    shares = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    place = lambda share, up: (F.ceil if up else F.floor)((F.col("_all") - 1) * share)
+    here = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+    ends = [F.max(F.when(here(place(s, up)), F.col("_v"))).alias(f"_{c}{int(up)}") for c, s in shares.items() for up in (False, True)]
+    found = ranked.groupBy("_g", "_all").agg(*ends)
+    between = lambda c, s: (F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * ((F.col("_all") - 1) * s - place(s, False))).alias(c)
+    return found.select(*(F.col("_g")[c].alias(c) for c in by), F.col("_all").alias("n"), *(between(c, s) for c, s in shares.items()))
 
 
 def long_metrics(records: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:

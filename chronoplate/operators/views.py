@@ -83,7 +83,9 @@ def sphere(samples: int = 8) -> Column:
     width = span(F.col("west"), F.col("east"))
     points = [R.position(F.col("west") + width * i / samples, F.col(e)) for i in range(samples + 1) for e in ("south", "north")]
     points += [R.position(F.col(e), F.col("south") + (F.col("north") - F.col("south")) * i / samples) for i in range(1, samples) for e in ("west", "east")]
-    return F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), F.greatest(*(R.distance(c, p) for p in points)).alias("r"))
+    # Lambdas over arrays: the centre and the points are computed once a row.
+    about = lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z"), F.array_max(F.transform(F.array(*points), lambda p: R.distance(c, p))).alias("r"))
+    return F.get(F.transform(F.array(c), about), F.lit(0))
 
 
 def touches(a: Column, b: Column) -> Column:
@@ -91,12 +93,45 @@ def touches(a: Column, b: Column) -> Column:
     return R.distance(a, b) <= a["r"] + b["r"]
 
 
+#: Edge of the smallest cells in metres, and how many times it is doubled at most: the largest cells hold any sphere that fits the globe.
+CELL, LEVELS = R.EARTH / 8, 5
+
+
+def _level(radius: Column) -> Column:
+    """The level of cells whose edge is the radius or more."""
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(radius, F.lit(CELL)) / CELL)).cast("int")))
+
+
+def _cells_in_reach(sphere: Column, levels: Column) -> Column:
+    """array<struct<level, cx, cy, cz>>: for each level the cells with a point within the sphere's radius and the level's edge of its centre."""
+
+    def at(level: Column) -> Column:
+        edge = F.lit(CELL) * F.pow(F.lit(2.0), level)
+        reach = sphere["r"] + edge
+        span = lambda c: F.sequence(F.floor((sphere[c] - reach) / edge), F.floor((sphere[c] + reach) / edge))
+        off = lambda i, c: F.greatest(i * edge - sphere[c], sphere[c] - (i + 1) * edge, F.lit(0.0))
+        cell = lambda x, y, z: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy"), z.alias("cz"))
+        every = F.flatten(F.transform(span("x"), lambda x: F.flatten(F.transform(span("y"), lambda y: F.transform(span("z"), lambda z: cell(x, y, z))))))
+        near = lambda c: F.pow(off(c["cx"], "x"), 2) + F.pow(off(c["cy"], "y"), 2) + F.pow(off(c["cz"], "z"), 2) <= reach * reach * (1 + 1e-9)
+        return F.filter(every, near)
+
+    return F.flatten(F.transform(levels, at))
+
+
 def in_view(items: DataFrame, views: DataFrame, rotations: DataFrame) -> DataFrame:
     """Items (plate_id, sphere at the present) that meet a view's sphere at its age: (view_id, items' columns).
 
-    The view is turned back to the present once for each plate, and items meet it there: items are joined by plate id with a few
-    view spheres each, and the spheres are compared in that join."""
+    The view is turned back to the present once for each plate. Space is cut into cells, larger ones for larger items: an item lies in
+    the cell of its centre at the level of its radius, and a view goes to the cells in its reach, so that items meet a view by
+    (plate, level, cell) and not by plate alone. Items larger than the largest cells, and what has no sphere, aren't seen."""
     q = rotations.select("plate_id", F.col("age").alias("_age"), "q")
     seen = views.join(q, views["age"] == q["_age"]).select("view_id", "plate_id", R.apply(R.transpose(R.matrix(F.coalesce("q", R.identity()))), F.col("sphere")).alias("_c"), F.col("sphere.r").alias("_r"))
     seen = seen.select("view_id", "plate_id", F.struct(F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.z").alias("z"), F.col("_r").alias("r")).alias("_s"))
-    return items.join(seen, "plate_id").filter(touches(F.col("sphere"), F.col("_s"))).drop("_s")
+    keys = ["_level", "_cx", "_cy", "_cz"]
+    level = _level(F.col("sphere.r"))
+    edge = F.lit(CELL) * F.pow(F.lit(2.0), level)
+    placed = items.withColumns({"_level": level, **{f"_c{c}": F.floor(F.col(f"sphere.{c}") / edge) for c in "xyz"}})
+    # Which levels a plate's items have is a few rows a plate.
+    levels = placed.groupBy("plate_id").agg(F.collect_set("_level").alias("_levels"))
+    cells = seen.join(levels, "plate_id").select("view_id", "plate_id", "_s", F.inline(_cells_in_reach(F.col("_s"), F.col("_levels")))).withColumnsRenamed({"level": "_level", "cx": "_cx", "cy": "_cy", "cz": "_cz"})
+    return placed.join(cells, ["plate_id", *keys]).filter(touches(F.col("sphere"), F.col("_s"))).select("view_id", *items.columns)

@@ -11,7 +11,7 @@ from chronoplate.operators import domains as D
 from chronoplate.operators import tiles as O
 from chronoplate.operators import views as V
 from chronoplate.operators.rotations import plate_matrices
-from chronoplate.plans.registry import query, rounded, table
+from chronoplate.plans.registry import dealt, dealt_sql, query, rounded, table
 from chronoplate.plans.rotation_queries import WITH_MODEL, totals
 from chronoplate.sources import providers
 
@@ -98,10 +98,12 @@ def first_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "O1_plate_draw_order",
-    "SELECT v AS plate_id, row_number() OVER (ORDER BY try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v) AS draw_order FROM (SELECT unnest(['10', '9', '101', 'b', 'a1', '2.5', '-3', '007']) AS v)",
+    "SELECT v AS plate_id, row_number() OVER (ORDER BY try_cast(v AS DOUBLE) IS NULL, try_cast(v AS DOUBLE), v) AS draw_order FROM (SELECT [s_suppkey::VARCHAR, 'b' || s_suppkey, '-' || s_suppkey, s_suppkey || '.5', '00' || s_suppkey][s_suppkey % 5 + 1] AS v FROM supplier)",
 )
 def plate_draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.createDataFrame([(x,) for x in ("10", "9", "101", "b", "a1", "2.5", "-3", "007")], "plate_id STRING")
+    k = F.col("s_suppkey").cast("string")
+    ids = F.array(k, F.concat(F.lit("b"), k), F.concat(F.lit("-"), k), F.concat(k, F.lit(".5")), F.concat(F.lit("00"), k))
+    ids = table(spark, sf_dir, "supplier").select(F.get(ids, (F.col("s_suppkey") % 5).cast("int")).alias("plate_id"))
     return D.draw_order(ids).withColumn("draw_order", F.col("draw_order").cast("bigint"))
 
 
@@ -236,22 +238,27 @@ def full_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_sql(scheme: str) -> str:
-    return f"SELECT x.x::INT AS x, y.y::INT AS y, round(tw, 6) AS west, round(ts, 6) + 0.0::DOUBLE AS south, round(te, 6) AS east, round(tn, 6) + 0.0::DOUBLE AS north FROM (SELECT *, {_rect_sql(scheme)} FROM (SELECT x.x, y.y, 4 AS l FROM range({32 if scheme == T.GEOGRAPHIC else 16}) x(x), range(16) y(y)) g(x, y, l)) x(x, y, l, tw, ts, te, tn), (SELECT 1) z".replace("x.x::INT AS x, y.y::INT AS y", "x.x::INT AS x, x.y::INT AS y")
+    nx = 2 if scheme == T.GEOGRAPHIC else 1
+    tiles = f"SELECT p_partkey * 7 % ({nx} << l) AS x, p_partkey * 5 % (1 << l) AS y, l, p_partkey FROM (SELECT p_partkey, (1 + p_partkey % 6)::INT AS l FROM part)"
+    return f"SELECT p_partkey, l, x::INT AS x, y::INT AS y, round(tw, 6) AS west, round(ts, 6) + 0.0::DOUBLE AS south, round(te, 6) AS east, round(tn, 6) + 0.0::DOUBLE AS north FROM (SELECT *, {_rect_sql(scheme)} FROM ({tiles}) g) t(x, y, l, p_partkey, tw, ts, te, tn)"
 
 
-def _grid(spark: SparkSession, scheme: str) -> DataFrame:
-    tiles = O.grid(spark, 4, scheme).withColumn("r", T.rectangle(F.col("x"), F.col("y"), F.col("l"), scheme))
-    return rounded(tiles.select("x", "y", "r.*"), "west", "south", "east", "north")
+def _grid(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
+    """A tile for each part, of one of six levels."""
+    k = F.col("p_partkey")
+    level = table(spark, sf_dir, "part").select("p_partkey", (1 + k % 6).cast("int").alias("l"))
+    tiles = level.select("p_partkey", "l", (k * 7 % T.columns_at(F.col("l"), scheme)).cast("int").alias("x"), (k * 5 % T.rows_at(F.col("l"))).cast("int").alias("y"))
+    return rounded(tiles.withColumn("r", T.rectangle(F.col("x"), F.col("y"), F.col("l"), scheme)).select("p_partkey", "l", "x", "y", "r.*"), "west", "south", "east", "north")
 
 
 @query("D26_grid_geographic", _grid_sql(T.GEOGRAPHIC))
 def grid_geographic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, T.GEOGRAPHIC)
+    return _grid(spark, sf_dir, T.GEOGRAPHIC)
 
 
 @query("D26_grid_mercator", _grid_sql(T.MERCATOR))
 def grid_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, T.MERCATOR)
+    return _grid(spark, sf_dir, T.MERCATOR)
 
 
 @query(
@@ -269,14 +276,23 @@ def subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Views ------------------------------------------------------------------------------------------------------------
 
-VIEWS = [(1, -50.0, -25.0, 20.0, 10.0), (2, 170.5, -12.0, -165.5, 8.0), (3, -180.0, -90.0, 180.0, 90.0), (4, 12.3, 41.1, 12.9, 41.6), (5, -30.0, 70.0, 33.0, 89.0), (6, 100.1, -5.2, 101.3, -4.1)]
+#: A view of each supplier, some over the antimeridian, one in 25 the whole globe; made alike in both engines.
+_VIEW = {
+    "view_id": "CAST(k AS INT)",
+    "west": "CASE WHEN k % 25 = 0 THEN -180 ELSE k * 37 % 3600 / 10 - 180 + 0.0137 END",
+    "south": "CASE WHEN k % 25 = 0 THEN -90 ELSE k * 53 % 1500 / 10 - 80 + 0.0071 END",
+    "east": "CASE WHEN k % 25 = 0 THEN 180 WHEN k * 37 % 3600 / 10 + 0.6137 + k * k % 97 * 1.3 > 360 THEN k * 37 % 3600 / 10 + 0.6137 + k * k % 97 * 1.3 - 540 ELSE k * 37 % 3600 / 10 + 0.6137 + k * k % 97 * 1.3 - 180 END",
+    "north": "CASE WHEN k % 25 = 0 THEN 90 ELSE least(89.5, k * 53 % 1500 / 10 - 79.6 + k % 31) END",
+}
 
 
-def views(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*v, 1280.0, 720.0, 1e6) for v in VIEWS], "view_id INT, west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE, width DOUBLE, height DOUBLE, camera_height DOUBLE")
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    bounds = (F.expr(x).cast("int" if c == "view_id" else "double").alias(c) for c, x in _VIEW.items())
+    return rows.select(*bounds, *(F.lit(v).alias(c) for c, v in (("width", 1280.0), ("height", 720.0), ("camera_height", 1e6))))
 
 
-WITH_VIEWS = "WITH v AS (SELECT * FROM (VALUES " + ", ".join(str(v) for v in VIEWS) + """) t(view_id, west, south, east, north)), c AS (SELECT view_id, west::DOUBLE AS west, south::DOUBLE AS south, east::DOUBLE AS east, north::DOUBLE AS north,
+WITH_VIEWS = "WITH v AS (SELECT " + ", ".join(f"{x} AS {c}" for c, x in _VIEW.items()) + """ FROM (SELECT s_suppkey AS k FROM supplier)), c AS (SELECT view_id, west::DOUBLE AS west, south::DOUBLE AS south, east::DOUBLE AS east, north::DOUBLE AS north,
   (CASE WHEN east < west THEN east - west + 360 ELSE east - west END)::DOUBLE AS span, ((south + north) / 2)::DOUBLE AS lat FROM v), cc AS (SELECT *, CASE WHEN west + span / 2 >= 180 THEN west + span / 2 - 360 ELSE west + span / 2 END AS lon FROM c)"""
 
 
@@ -293,7 +309,7 @@ _MPP = f"greatest(CASE WHEN span >= 360 THEN 2 * pi() * {R.EARTH} * abs(cos(radi
 
 @query("M12_M13_metres_per_pixel", WITH_VIEWS + f" SELECT view_id, round({_MPP}, 3) AS metres FROM cc")
 def view_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(views(spark).select("view_id", V.metres_per_pixel().alias("metres")), "metres", digits=3)
+    return rounded(views(spark, sf_dir).select("view_id", V.metres_per_pixel().alias("metres")), "metres", digits=3)
 
 
 def _tile_metres_sql() -> str:
@@ -305,7 +321,7 @@ def _tile_metres_sql() -> str:
 
 @query("M14_tile_metres", WITH_VIEWS + f" SELECT view_id, l::INT AS level, round({_tile_metres_sql()}, 3) AS metres FROM cc, range(0, 7) r(l)")
 def tile_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views(spark).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("level"), V.tile_metres(i, T.GEOGRAPHIC).alias("metres")))))
+    rows = views(spark, sf_dir).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct(i.alias("level"), V.tile_metres(i, T.GEOGRAPHIC).alias("metres")))))
     return rounded(rows.select("view_id", "at.level", "at.metres"), "metres", digits=3)
 
 
@@ -316,7 +332,7 @@ _RAW = f"""(floor((90 - greatest(south, -90 + 1e-10)) / 180 * ny) - floor((90 -
 
 @query("M15_raw_view_tiles", WITH_VIEWS + f" SELECT view_id, l::INT AS level, ({_RAW})::INT AS raw_tiles FROM (SELECT *, 2 * pow(2, l) AS nx, pow(2, l) AS ny FROM cc, range(0, 9) r(l))")
 def raw_view_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views(spark).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("level"), V.raw_tiles(i, T.GEOGRAPHIC).cast("int").alias("raw_tiles")))))
+    rows = views(spark, sf_dir).withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("level"), V.raw_tiles(i, T.GEOGRAPHIC).cast("int").alias("raw_tiles")))))
     return rows.select("view_id", "at.*")
 
 
@@ -328,13 +344,14 @@ def raw_view_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT view_id, max(l)::INT AS level FROM lv JOIN best USING (view_id) WHERE l <= b AND (raw <= 128 OR l = 0) GROUP BY view_id""",
 )
 def view_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.choose_level(views(spark), high=12).select("view_id", "level")
+    return V.choose_level(views(spark, sf_dir), high=12).select("view_id", "level")
 
 
-@query("P21_level_bounds", "SELECT * FROM (VALUES (1, 0, 18), (2, 2, 5), (3, 7, 7), (4, 0, 9)) t(id, low, high)")
+@query("P21_level_bounds", "SELECT p_partkey, low::INT AS low, greatest(low, floor(coalesce(b, c, 18)))::INT AS high FROM (SELECT p_partkey, b, c, greatest(0, floor(coalesce(a, 0))) AS low FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 23 - 3.1 END AS a, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 17 + 0.7 END AS b, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 11 + 0.2 END AS c FROM part))")
 def level_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, None, None, None), (2, 2.9, 5.7, 9.0), (3, 7.0, 3.0, None), (4, -4.0, None, 9.0)], "id INT, a DOUBLE, b DOUBLE, c DOUBLE")
-    return rows.select("id", V.level_bounds(F.col("a"), F.col("b"), F.col("c")).alias("s")).select("id", "s.*")
+    k = F.col("p_partkey")
+    a, b, c = ((F.when(k % n > 0, k % m + F.lit(x))).cast("double") for n, m, x in ((4, 23, -3.1), (5, 17, 0.7), (3, 11, 0.2)))
+    return table(spark, sf_dir, "part").select("p_partkey", V.level_bounds(a, b, c).alias("s")).select("p_partkey", "s.*")
 
 
 @query(
@@ -345,7 +362,7 @@ def level_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT view_id, round({R.EARTH} * sqrt(max(pow(cos(radians(plat)) * cos(radians(plon)) - cos(radians(lat)) * cos(radians(lon)), 2) + pow(cos(radians(plat)) * sin(radians(plon)) - cos(radians(lat)) * sin(radians(lon)), 2) + pow(sin(radians(plat)) - sin(radians(lat)), 2))), 2) AS radius FROM p GROUP BY view_id""",
 )
 def view_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(views(spark).select("view_id", V.sphere()["r"].alias("radius")), "radius", digits=2)
+    return rounded(views(spark, sf_dir).select("view_id", V.sphere()["r"].alias("radius")), "radius", digits=2)
 
 
 _UNIT = lambda lon, lat: (f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))", f"sin(radians({lat}))")
@@ -375,16 +392,18 @@ def domains_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL = lambda v: "NULL" if v is None else repr(v)
 
 
-@query("S12_providers", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_SQL, p)) + ")" for p in providers.PROVIDERS) + ") t(key, kind, min_level, max_level, scheme, url)")
+@query("S12_providers", dealt_sql(len(providers.PROVIDERS), "SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(map(_SQL, p)) + ")" for i, p in enumerate(providers.PROVIDERS, 1)) + ") t(id, key, kind, min_level, max_level, scheme, url)"))
 def provider_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.table(spark)
+    """The provider that each part names."""
+    named = dealt(spark, sf_dir, [(i, p[0]) for i, p in enumerate(providers.PROVIDERS, 1)], "id INT, key STRING")
+    return named.join(F.broadcast(providers.table(spark)), "key")  # a dozen of providers
 
 
-@query("S13_template_errors", "SELECT * FROM (VALUES (1, 0), (2, 3), (3, 2), (4, 1)) t(id, errors)")
+@query("S13_template_errors", dealt_sql(4, "SELECT * FROM (VALUES (1, 0), (2, 3), (3, 2), (4, 1)) t(id, errors)"))
 def template_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "https://a.example/{z}/{x}/{y}.png", 0, 5), (2, "ftp://a", 3, 1), (3, "", -1, 4), (4, "/tiles/{z}/{x}.png", 0, 0)]
-    given = spark.createDataFrame(rows, "id INT, template STRING, low INT, high INT")
-    return given.select("id", F.size(providers.template_errors(F.col("template"), F.col("low"), F.col("high"))).alias("errors"))
+    given = dealt(spark, sf_dir, rows, "id INT, template STRING, low INT, high INT")
+    return given.select("p_partkey", "id", F.size(providers.template_errors(F.col("template"), F.col("low"), F.col("high"))).alias("errors"))
 
 
 # --- Rings through the tile tree --------------------------------------------------------------------------------------
@@ -426,13 +445,14 @@ def effective_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.effective_level(levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3]))
 
 
-@query("G10_G11_pole_edges", "SELECT * FROM (VALUES (1, 4, 1800.0::DOUBLE), (2, 4, 1800.0::DOUBLE), (3, 0, 0.0::DOUBLE), (4, 4, 2400.0::DOUBLE)) t(id, points, area)")
+@query("G10_G11_pole_edges", dealt_sql(4, "SELECT * FROM (VALUES (1, 4, 1800.0::DOUBLE), (2, 4, 1800.0::DOUBLE), (3, 0, 0.0::DOUBLE), (4, 4, 2400.0::DOUBLE)) t(id, points, area)"))
 def pole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoplate.functions import geometry as G
 
     rows = [(1, [10.0, 60.0, 70.0, 60.0, 40.0, 90.0]), (2, [33.0, -90.0, 10.0, -60.0, 70.0, -60.0, 5.0, -90.0, 170.0, -90.0]), (3, [0.0, 90.0, 50.0, 90.0, 100.0, 90.0]), (4, [0.0, 10.0, 60.0, 10.0, 60.0, 50.0, 0.0, 50.0])]
-    ring = G.with_pole_edges(G.from_flat(F.col("flat")))
-    return spark.createDataFrame(rows, "id INT, flat ARRAY<DOUBLE>").select("id", F.size(ring).alias("points"), F.abs(G.signed_area(ring)).alias("area"))
+    # Each part's ring is moved to the west.
+    ring = G.with_pole_edges(G.affine(G.from_flat(F.col("flat")), F.lit(1.0), -(F.col("p_partkey") % 90).cast("double"), F.lit(1.0), F.lit(0.0)))
+    return dealt(spark, sf_dir, rows, "id INT, flat ARRAY<DOUBLE>").select("p_partkey", "id", F.size(ring).alias("points"), F.abs(G.signed_area(ring)).alias("area"))
 
 
 @query("A8_runtime_stats", _tiles_sql(T.GEOGRAPHIC) + " SELECT count(*) AS retained, count(DISTINCT (x, y, l)) AS images, count(*) * 262144 AS rgba_bytes FROM tasks")

@@ -9,8 +9,7 @@ from chronoplate.functions import geometry as G
 from chronoplate.functions import scalars as S
 from chronoplate.functions import tiling as T
 from chronoplate.operators import raster as RA
-from chronoplate.operators import tiles as TL
-from chronoplate.plans.registry import query, rounded, table
+from chronoplate.plans.registry import dealt, dealt_sql, query, rounded, table
 
 #: Five-pointed rings about a centre, concave where the inner radius is small; made alike in both engines.
 _CORNERS = [(1.0, 0.1), (0.35, 0.5), (0.1, 1.0), (-0.4, 0.45), (-1.0, 0.2), (-0.5, -0.3), (-0.2, -1.0), (0.5, -0.6)]
@@ -60,11 +59,12 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parts.groupBy("id").agg(F.sum(scaled).alias("area")), "area")
 
 
-@query("G1_G3_G12_rings", "SELECT * FROM (VALUES (1, true, 5, 4), (2, false, 3, 2), (3, true, 5, 4), (4, false, 4, 3), (5, false, 0, 0)) t(id, valid, closed, distinct_points)")
+@query("G1_G3_G12_rings", dealt_sql(5, "SELECT * FROM (VALUES (1, true, 5, 4), (2, false, 3, 2), (3, true, 5, 4), (4, false, 4, 3), (5, false, 0, 0)) t(id, valid, closed, distinct_points)"))
 def ring_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, [0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0]), (2, [0.0, 0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0]), (4, [0.0, 0.0, 1.0, 1.0, 2.0, 2.0]), (5, [])]
-    given = spark.createDataFrame(rows, "id INT, flat ARRAY<DOUBLE>").withColumn("r", G.without_repeats(G.from_flat(F.col("flat"))))
-    return given.select("id", F.coalesce(G.valid(F.col("r")), F.lit(False)).alias("valid"), F.size(G.closed(F.col("r"))).alias("closed"), F.size(G.opened(F.col("r"))).alias("distinct_points"))
+    size, move = (1 + F.col("p_partkey") % 7).cast("double"), (F.col("p_partkey") % 11).cast("double")
+    given = dealt(spark, sf_dir, rows, "id INT, flat ARRAY<DOUBLE>").withColumn("r", G.without_repeats(G.affine(G.from_flat(F.col("flat")), size, move, size, move)))
+    return given.select("p_partkey", "id", F.coalesce(G.valid(F.col("r")), F.lit(False)).alias("valid"), F.size(G.closed(F.col("r"))).alias("closed"), F.size(G.opened(F.col("r"))).alias("distinct_points"))
 
 
 @query("G9_G7_tile_shares", f"WITH {RINGS} SELECT id, i::INT AS i, round((x * 40 - 10 + 45) / 90, 6) AS u, round((greatest(-90, least(90, y * 140 - 20)) - 0) / 90, 6) + 0.0::DOUBLE AS v FROM ring")
@@ -103,12 +103,14 @@ _Y = lambda lat: f"(ln((1 + sin(radians({lat}))) / (1 - sin(radians({lat})))) /
 
 @query(
     "R1_R2_R3_reproject",
-    f"""WITH t AS (SELECT x, y, 90 - (y + 1) / 4 * 180 AS south, 90 - y / 4 * 180 AS north FROM range(8) a(x), range(1, 3) b(y)), p AS (SELECT t.*, px, py, 1 - (py + 0.5) / {SIZE} AS v FROM t, range({SIZE}) r(px), range({SIZE}) s(py)),
+    f"""WITH t AS (SELECT x, y, 90 - (y + 1) / 4 * 180 AS south, 90 - y / 4 * 180 AS north FROM (SELECT DISTINCT p_partkey % 8 AS x, 1 + p_partkey // 8 % 2 AS y FROM part)), p AS (SELECT t.*, px, py, 1 - (py + 0.5) / {SIZE} AS v FROM t, range({SIZE}) r(px), range({SIZE}) s(py)),
     q AS (SELECT *, greatest(0, least({SIZE - 1}, floor((1 - ({_Y("south + v * (north - south)")} - {_Y("south")}) / ({_Y("north")} - {_Y("south")})) * {SIZE})))::INT AS sr FROM p)
     SELECT x::INT AS x, y::INT AS y, px::INT AS px, py::INT AS py, sr AS source_row, ((x * 31 + y * 17 + px * 7 + sr * 3) % 256)::INT AS r FROM q""",
 )
 def reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = TL.grid(spark, 2).filter("y between 1 and 2").withColumn("rect", T.rectangle(F.col("x"), F.col("y"), F.col("l"), T.GEOGRAPHIC)).select("x", "y", "l", "rect.south", "rect.north")
+    """The tiles that parts fall on."""
+    k = F.col("p_partkey")
+    grid = table(spark, sf_dir, "part").select((k % 8).cast("int").alias("x"), (1 + F.floor(k / 8) % 2).cast("int").alias("y"), F.lit(2).alias("l")).distinct().withColumn("rect", T.rectangle(F.col("x"), F.col("y"), F.col("l"), T.GEOGRAPHIC)).select("x", "y", "l", "rect.south", "rect.north")
     source = RA.pixels(grid.select("x", "y", "l"), SIZE).select("x", "y", "l", "px", "py", ((F.col("x") * 31 + F.col("y") * 17 + F.col("px") * 7 + F.col("py") * 3) % 256).alias("r"))
     return RA.reproject(RA.pixels(grid, SIZE), source, SIZE, True).select("x", "y", "px", "py", "source_row", "r")
 
@@ -135,25 +137,25 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "events").filter("event_id % 180 <> 0").select("event_id", S.is_power_of_two(F.col("event_id")).alias("power"), lon.alias("lon")), "lon")
 
 
-@query("P14_P15_P16_text_rules", "SELECT id, number::DOUBLE AS number, age::DOUBLE AS age, name FROM (VALUES (1, 12.5, 12.5, 'Basin'), (2, NULL, 999999, 'x'), (3, NULL, -999, 'b'), (4, -0.3, -0.3, ''), (5, NULL, NULL, 'plain'), (6, 1500, 1500, 'c')) t(id, number, age, name)")
+@query("P14_P15_P16_text_rules", dealt_sql(6, "SELECT id, number::DOUBLE AS number, age::DOUBLE AS age, name FROM (VALUES (1, 12.5, 12.5, 'Basin'), (2, NULL, 999999, 'x'), (3, NULL, -999, 'b'), (4, -0.3, -0.3, ''), (5, NULL, NULL, 'plain'), (6, 1500, 1500, 'c')) t(id, number, age, name)"))
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, " about 12.5 Ma", "gpml:Basin"), (2, "http://x/distantPast", "x"), (3, "gml:distantFuture", "a:b"), (4, "-.3", "a:"), (5, "none", "plain"), (6, "1.5e3 and 7", "a:b:c")]
-    given = spark.createDataFrame(rows, "id INT, t STRING, n STRING")
-    return given.select("id", S.first_number(F.col("t")).alias("number"), S.geo_time(F.col("t")).alias("age"), S.local_name(F.col("n")).alias("name"))
+    given = dealt(spark, sf_dir, rows, "id INT, t STRING, n STRING")
+    return given.select("p_partkey", "id", S.first_number(F.col("t")).alias("number"), S.geo_time(F.col("t")).alias("age"), S.local_name(F.col("n")).alias("name"))
 
 
-@query("P6_P7_P8_positions", "SELECT * FROM (VALUES (1, true, 3, 20.0::DOUBLE, 10.0::DOUBLE), (2, false, 2, 170.0::DOUBLE, 10.0::DOUBLE), (3, true, 2, 2.0::DOUBLE, 1.0::DOUBLE), (4, true, 2, 120.0::DOUBLE, 5.0::DOUBLE)) t(id, lat_lon, points, x, y)")
+@query("P6_P7_P8_positions", dealt_sql(4, "SELECT * FROM (VALUES (1, true, 3, 20.0::DOUBLE, 10.0::DOUBLE), (2, false, 2, 170.0::DOUBLE, 10.0::DOUBLE), (3, true, 2, 2.0::DOUBLE, 1.0::DOUBLE), (4, true, 2, 120.0::DOUBLE, 5.0::DOUBLE)) t(id, lat_lon, points, x, y)"))
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "10 20 30 x 40 50 60", 2), (2, "170 10 -171 20", 2), (3, "1 2 9 3 4 9", 3), (4, " 5 120\n6 130 ", 2)]
-    given = spark.createDataFrame(rows, "id INT, t STRING, d INT").withColumn("v", S.numbers(F.col("t"))).withColumn("lat_lon", S.is_lat_lon(F.col("v"), F.col("d")))
+    given = dealt(spark, sf_dir, rows, "id INT, t STRING, d INT").withColumn("v", S.numbers(F.col("t"))).withColumn("lat_lon", S.is_lat_lon(F.col("v"), F.col("d")))
     out = given.withColumn("p", S.positions(F.col("v"), F.col("d"), F.col("lat_lon")))
-    return out.select("id", "lat_lon", F.size("p").alias("points"), F.get("p", F.lit(0))["x"].alias("x"), F.get("p", F.lit(0))["y"].alias("y"))
+    return out.select("p_partkey", "id", "lat_lon", F.size("p").alias("points"), F.get("p", F.lit(0))["x"].alias("x"), F.get("p", F.lit(0))["y"].alias("y"))
 
 
-@query("P12_P13_attributes", "SELECT * FROM (VALUES (1, '7'), (2, '8'), (3, '9'), (4, NULL)) t(id, plate)")
+@query("P12_P13_attributes", dealt_sql(4, "SELECT * FROM (VALUES (1, '7'), (2, '8'), (3, '9'), (4, NULL)) t(id, plate)"))
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, {"PlateId1": "5", "plateid": "7"}), (2, {"PLATEID1": "8"}), (3, {"recon_plate_id": "9", "x": "1"}), (4, {})]
-    return spark.createDataFrame(rows, "id INT, a MAP<STRING, STRING>").select("id", S.attribute(F.col("a"), "PLATEID", "PLATEID1", "RECON_PLATE_ID").alias("plate"))
+    return dealt(spark, sf_dir, rows, "id INT, a MAP<STRING, STRING>").select("p_partkey", "id", S.attribute(F.col("a"), "PLATEID", "PLATEID1", "RECON_PLATE_ID").alias("plate"))
 
 
 @query("K3_export_name", "SELECT event_id, regexp_replace('Run ' || event_type || '/é#' || event_id, '[^a-zA-Z0-9._-]+', '_', 'g') || '_' || replace(regexp_replace((event_id % 40 / 4)::DOUBLE::VARCHAR, '\\.0$', ''), '.', 'p') || 'Ma_' || strftime(ts, '%Y%m%dT%H%M%SZ') AS name FROM events")
@@ -162,7 +164,7 @@ def export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.export_name(title, (F.col("event_id") % 40 / 4).cast("double"), F.col("ts")).alias("name"))
 
 
-@query("S18_S20_names", "SELECT * FROM (VALUES (1, 'area', 4321, '3D', '0x0_0x1'), (2, NULL, 7, NULL, 'unknown'), (3, 'area', NULL, NULL, NULL)) t(id, intent, pid, engine, adapter)")
+@query("S18_S20_names", dealt_sql(3, "SELECT * FROM (VALUES (1, 'area', 4321, '3D', '0x0_0x1'), (2, NULL, 7, NULL, 'unknown'), (3, 'area', NULL, NULL, NULL)) t(id, intent, pid, engine, adapter)"))
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "/f/Static%20Polygons.gpmlz", "pid_4321_luid_0x0_0x1_phys_0_engtype_3D"), (2, "/f/coast.gpml", "pid_7_x"), (3, "a/static_plate_1.json", "luid_1_2")]
-    return spark.createDataFrame(rows, "id INT, u STRING, g STRING").select("id", S.infer_intent(F.col("u")).alias("intent"), S.gpu_instance(F.col("g")).alias("i")).select("id", "intent", "i.pid", "i.engine", "i.adapter")
+    return dealt(spark, sf_dir, rows, "id INT, u STRING, g STRING").select("p_partkey", "id", S.infer_intent(F.col("u")).alias("intent"), S.gpu_instance(F.col("g")).alias("i")).select("p_partkey", "id", "intent", "i.pid", "i.engine", "i.adapter")

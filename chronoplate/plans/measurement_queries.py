@@ -147,9 +147,9 @@ def counter_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.since_baseline(ev.select("user_id", "event_id", "jobs", "event_type"), ["user_id"], ["jobs"], "event_id", F.col("event_type") == "error").select("event_id", "jobs_delta")
 
 
-@query("J15_process_tree", "WITH RECURSIVE p AS (SELECT unnest(range(1, 200)) AS pid), t AS (SELECT pid AS root, pid FROM p WHERE pid IN (3, 7, 50) UNION SELECT t.root, p.pid FROM t JOIN p ON p.pid // 2 = t.pid) SELECT root, pid FROM t")
+@query("J15_process_tree", "WITH RECURSIVE p AS (SELECT p_partkey AS pid FROM part), t AS (SELECT pid AS root, pid FROM p WHERE pid IN (3, 7, 50) UNION SELECT t.root, p.pid FROM t JOIN p ON p.pid // 2 = t.pid) SELECT root, pid FROM t")
 def process_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.range(1, 200).select(F.col("id").alias("pid"), F.floor(F.col("id") / 2).alias("parent"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.floor(F.col("p_partkey") / 2).alias("parent"))
     return O.process_tree(p, p.filter("pid in (3, 7, 50)").select("pid"))
 
 
@@ -165,12 +165,12 @@ def metric_status(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT 0 AS step, 42::BIGINT AS state, items AS r FROM given
       UNION ALL
       SELECT step + 1, g, list_transform(base, lambda x, k: CASE WHEN k = i + 1 THEN base[j + 1] WHEN k = j + 1 THEN base[i + 1] ELSE x END)
-      FROM (SELECT step, g, i, base, (g * (i + 1)) >> 32 AS j FROM (SELECT step, (1664525 * state + 1013904223) % 4294967296 AS g, 5 - step % 5 AS i, CASE WHEN step % 5 = 0 THEN items ELSE r END AS base FROM s, given WHERE step < 200))
+      FROM (SELECT step, g, i, base, (g * (i + 1)) >> 32 AS j FROM (SELECT step, (1664525 * state + 1013904223) % 4294967296 AS g, 5 - step % 5 AS i, CASE WHEN step % 5 = 0 THEN items ELSE r END AS base FROM s, given WHERE step < 5 * (SELECT count(*) FROM supplier)))
     ) SELECT block, position, items[position + 1] AS condition_id FROM (SELECT (step // 5 - 1)::BIGINT AS block, unnest(range(0, 6))::INT AS position, r AS items FROM s WHERE step > 0 AND step % 5 = 0)""",
 )
 def shuffled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty blocks of the distinct conditions, each in its own seeded order."""
-    return O.shuffled_blocks(spark.range(40).withColumnRenamed("id", "block"), ["init", "L0", "L1", "L2", "L3", "L4"], 42).withColumnRenamed("item", "condition_id")
+    """A block of the distinct conditions for each supplier, each in its own seeded order."""
+    return O.shuffled_blocks(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("block")), ["init", "L0", "L1", "L2", "L3", "L4"], 42).withColumnRenamed("item", "condition_id")
 
 
 _LRU = """WITH r AS (SELECT user_id % 5 AS cache, event_id AS seq, (event_id * 7) % 60 AS key FROM events), p AS (SELECT *, max(seq) OVER (PARTITION BY cache, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),

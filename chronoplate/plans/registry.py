@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Each part's key with one of a short list of rows: that of its key's remainder."""
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i INT, {schema}")
+    keys = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).cast("int").alias("_i"))
+    return keys.join(F.broadcast(given), "_i").drop("_i")
+
+
+def dealt_sql(n: int, results: str) -> str:
+    """What dealt() gives, from SQL of the results by `id` from 1."""
+    return f"SELECT p_partkey, t.* FROM part JOIN ({results}) t ON t.id = p_partkey % {n} + 1"
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that both engines give the same values; -0.0 becomes 0.0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})

@@ -96,13 +96,15 @@ TEXT = [
 
 @query(
     "S1_rot_parse",
-    "WITH l AS (SELECT unnest([" + ", ".join("'" + t.replace("\t", "'||chr(9)||'") + "'" for t in TEXT) + f"]) AS v, unnest(range(0, {len(TEXT)})) AS line_no), "
+    "WITH l AS (SELECT [" + ", ".join("'" + t.replace("\t", "'||chr(9)||'") + "'" for t in TEXT) + f"][p_partkey % {len(TEXT)} + 1] AS v, p_partkey AS line_no FROM part), "
     r"""f AS (SELECT string_split(trim(regexp_replace(split_part(v, '!', 1), '\s+', ' ', 'g')), ' ') AS f, line_no FROM l),
     ok AS (SELECT * FROM f WHERE len(f) >= 6 AND len(list_filter(f[2:5], lambda x: regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?'))) = 4)
     SELECT f[1] AS plate_id, f[2]::DOUBLE AS age, f[3]::DOUBLE AS pole_lat, f[4]::DOUBLE AS pole_lon, f[5]::DOUBLE AS angle, f[6] AS related_id, line_no::BIGINT AS line_no FROM ok""",
 )
 def rot_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rot.parse_text(spark, "\n".join(TEXT))
+    """A line for each part."""
+    line = F.get(F.array(*map(F.lit, TEXT)), (F.col("p_partkey") % len(TEXT)).cast("int"))
+    return rot.parse_lines(table(spark, sf_dir, "part").select(line.alias("value"), F.col("p_partkey").alias("line_no")))
 
 
 @query("S3_rot_replace", WITH_MODEL + "SELECT * FROM rec WHERE line_no % 300 >= 100 UNION ALL SELECT DISTINCT plate_id, 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, '0', line_no // 100 FROM rec WHERE line_no % 300 < 100")
@@ -113,9 +115,10 @@ def rot_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rot.replace_plates(first, rot.parse_lines(later))
 
 
-@query("S16_rot_url_list", "SELECT ['a.rot', 'b c.rot', 'd.rot'] AS urls, 3 AS n")
+@query("S16_rot_url_list", "SELECT p_partkey, ['a' || p_partkey || '.rot', 'b c.rot', 'd.rot'] AS urls, 3 AS n FROM part")
 def rot_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("  a.rot \r\n\n b c.rot\n\t\nd.rot",)], "t STRING").select(rot.url_list("t").alias("urls")).withColumn("n", F.size("urls"))
+    text = F.concat(F.lit("  a"), F.col("p_partkey").cast("string"), F.lit(".rot \r\n\n b c.rot\n\t\nd.rot"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("t")).select("p_partkey", rot.url_list("t").alias("urls")).withColumn("n", F.size("urls"))
 
 
 @query("W1_W2_series", WITH_MODEL + "SELECT * FROM ser")
@@ -237,11 +240,13 @@ def interval_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P17_anchor_test",
-    "SELECT v AS plate_id, v IN ('0', '000', ' 00 ', '+0', '-0') AS is_anchor FROM (SELECT unnest(['0', '000', ' 00 ', '+0', '-0', '1', 'a', '0x', '010', '']) AS v)",
+    "SELECT p_partkey, v AS plate_id, v IN ('0', '000', ' 00 ', '+0', '-0') AS is_anchor FROM (SELECT p_partkey, ['0', '000', ' 00 ', '+0', '-0', p_partkey::VARCHAR, 'a', '0x', '0' || p_partkey, ''][p_partkey % 10 + 1] AS v FROM part)",
 )
 def anchor_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.createDataFrame([(x,) for x in ("0", "000", " 00 ", "+0", "-0", "1", "a", "0x", "010", "")], "plate_id STRING")
-    return ids.withColumn("is_anchor", R.is_anchor(F.col("plate_id"), "0"))
+    k = F.col("p_partkey").cast("string")
+    ids = F.array(*map(F.lit, ("0", "000", " 00 ", "+0", "-0")), k, F.lit("a"), F.lit("0x"), F.concat(F.lit("0"), k), F.lit(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.get(ids, (F.col("p_partkey") % 10).cast("int")).alias("plate_id"))
+    return rows.withColumn("is_anchor", R.is_anchor(F.col("plate_id"), "0"))
 
 
 @query("J1_domain_plates", WITH_MODEL + f", {_POINTS} SELECT plate_id, count(*) AS n, count(DISTINCT rec.plate_id) > 0 AS known FROM pts LEFT JOIN (SELECT DISTINCT plate_id FROM rec) rec USING (plate_id) GROUP BY plate_id")

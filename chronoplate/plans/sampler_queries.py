@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from chronoplate.operators import samplers as P
 from chronoplate.operators.tables import shared_dir
-from chronoplate.plans.registry import query, table
+from chronoplate.plans.rotation_queries import WITH_MODEL, model
+from chronoplate.plans.registry import dealt, dealt_sql, query, table
 from chronoplate.sources import artifacts, experiments, features, presets, rot
 
 
@@ -106,9 +107,11 @@ _ALL = [("feature", *p) for p in presets.FEATURES] + [("rotation", *p) for p in
 PRESETS = "pre AS (SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_TEXT, p))})" for p in _ALL) + ") t(kind, key, url))"
 
 
-@query("S17_presets", f"WITH {PRESETS} SELECT kind, key, url, key IN ({', '.join(map(_TEXT, presets.DEFAULTS.values()))}) AS is_default FROM pre")
+@query("S17_presets", f"WITH {PRESETS}, n AS (SELECT *, row_number() OVER (ORDER BY kind, key) - 1 AS i FROM pre) SELECT p_partkey, kind, key, url, key IN ({', '.join(map(_TEXT, presets.DEFAULTS.values()))}) AS is_default FROM part JOIN n ON i = p_partkey % {len(_ALL)}")
 def preset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presets.table(spark)
+    """The preset that each part names."""
+    named = dealt(spark, sf_dir, sorted(p[:2] for p in _ALL), "kind STRING, key STRING")
+    return named.join(F.broadcast(presets.table(spark)), ["kind", "key"])  # a dozen of presets
 
 
 _KEYS = ["seton-2012-static-polygons-gpmlz", "gone", None, "merdith-2021-static-polygons-gpml"]
@@ -142,19 +145,15 @@ def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("s")).select("p_partkey", "s.polygon", F.when(F.col("s.error").isNull(), F.size("s.rotations")).alias("rotations"), "s.intent", "s.error")
 
 
-_ROTS = ["101 0.0 0 0 0 000\n101 50 10 20 5.5 000 !x", "! note\n202 0 0 0 0 101", "303 1 2 3 4 202\n\n303 2 2 3 8 202"]
-
-
-@query("S2_rot_files", "SELECT * FROM (VALUES ('101', 0::DOUBLE, 0::DOUBLE, '000', 1), ('101', 50, 5.5, '000', 2), ('202', 0, 0, '101', 3), ('303', 1, 4, '202', 4), ('303', 2, 8, '202', 5)) t(plate_id, age, angle, related_id, place)")
+@query("S2_rot_files", WITH_MODEL + "SELECT plate_id, age, pole_lat, pole_lon, angle, related_id, plate_id::INT % 3 AS file FROM rec")
 def rot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three files read as one text, in the order of their paths."""
-    from pyspark.sql import Window
-
-    paths = [f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/{i}" for i in range(len(_ROTS))]
-    for path, text in zip(paths, _ROTS, strict=True):
-        spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.text(path)
-    rows = rot.read(spark, *paths)
-    return rows.select("plate_id", "age", "angle", "related_id", F.row_number().over(Window.orderBy("line_no")).alias("place"))  # a handful of records
+    """Three files of the model's plates read as one text, in the order of their paths."""
+    names = ("plate_id", "age", "pole_lat", "pole_lon", "angle", "related_id")
+    lines = model(spark, sf_dir).select(F.col("plate_id").cast("int").alias("k"), F.concat_ws(" ", *(F.col(c).cast("string") for c in names), F.lit("! note")).alias("value"))
+    paths = [f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/{i}" for i in range(3)]
+    for i, path in enumerate(paths):
+        lines.filter(F.col("k") % 3 == i).select("value").coalesce(1).write.text(path)
+    return rot.read(spark, *paths).select(*names, F.shiftright("line_no", 40).cast("int").alias("file"))
 
 
 def _zip(*entries: tuple[str, str]) -> bytes:
@@ -165,11 +164,12 @@ def _zip(*entries: tuple[str, str]) -> bytes:
     return out.getvalue()
 
 
-@query("S4_S5_archives", "SELECT * FROM (VALUES ('a.gpml', '<plain ä/>'), ('b.gpmlz', '<gzip/>'), ('c.zip', '<second/>'), ('d.zip', 'first'), ('e.zip', '<upper/>')) t(path, text)")
+@query("S4_S5_archives", "SELECT p_partkey || '/' || path AS path, text FROM (" + dealt_sql(5, "SELECT * FROM (VALUES (1, 'a.gpml', '<plain ä/>'), (2, 'b.gpmlz', '<gzip/>'), (3, 'c.zip', '<second/>'), (4, 'd.zip', 'first'), (5, 'e.zip', '<upper/>')) t(id, path, text)") + ")")
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text, gzip, a zip with a feature file after another, one without, and one with a name in capitals."""
     files = [("a.gpml", "<plain ä/>".encode()), ("b.gpmlz", gzip.compress(b"<gzip/>")), ("c.zip", _zip(("x/readme.txt", "first"), ("x/m.gpml", "<second/>"))), ("d.zip", _zip(("one.txt", "first"), ("two.txt", "second"))), ("e.zip", _zip(("one.txt", "first"), ("M.XML", "<upper/>")))]
-    return features.decoded(spark.createDataFrame(files, "path STRING, content BINARY"))
+    rows = dealt(spark, sf_dir, files, "path STRING, content BINARY")
+    return features.decoded(rows.select(F.concat_ws("/", F.col("p_partkey").cast("string"), "path").alias("path"), "content"))
 
 
 _NAMES = ["outlineOf", "boundary", "other", "centerLineOf"]

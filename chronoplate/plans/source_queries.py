@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoplate.functions import geometry as G
 from chronoplate.operators.tables import shared_dir
-from chronoplate.plans.registry import query, rounded, table
+from chronoplate.plans.registry import dealt, dealt_sql, query, rounded, table
 from chronoplate.sources import artifacts, config, features
 from chronoplate.streaming import requests
 
@@ -24,11 +24,13 @@ GPML = """<?xml version="1.0"?><gpml:FeatureCollection xmlns:gpml="g" xmlns:gml=
 
 @query(
     "S7_P9_P11_gpml",
-    """SELECT * FROM (VALUES ('GPlates-1', 'Basin', 'North', '101', 410.5::DOUBLE, -999.0::DOUBLE, 'area', 1, 1, 400.0::DOUBLE), ('GPlates-2', 'Coastline', NULL, '202', 999999.0::DOUBLE, -999.0::DOUBLE, 'line-like', 1, 0, 6.0::DOUBLE),
+    """SELECT feature_id || '-' || p_partkey AS feature_id, t.* EXCLUDE (feature_id) FROM part, (VALUES ('GPlates-1', 'Basin', 'North', '101', 410.5::DOUBLE, -999.0::DOUBLE, 'area', 1, 1, 400.0::DOUBLE), ('GPlates-2', 'Coastline', NULL, '202', 999999.0::DOUBLE, -999.0::DOUBLE, 'line-like', 1, 0, 6.0::DOUBLE),
     ('v3', 'Volcano', NULL, NULL, 999999.0::DOUBLE, -999.0::DOUBLE, 'unknown', 0, 0, 0.0::DOUBLE)) t(feature_id, feature_type, name, plate_id, begin_age, end_age, intent, polygons, holes, area)""",
 )
 def gpml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.parse_gpml(spark.createDataFrame([(GPML,)], "text STRING"))
+    """A file for each part."""
+    text = F.regexp_replace(F.lit(GPML), F.lit("(GPlates-[12]|v3)"), F.concat(F.lit("$1-"), F.col("p_partkey").cast("string")))
+    rows = features.parse_gpml(table(spark, sf_dir, "part").select(text.alias("text")))
     return rows.select(
         "feature_id", "feature_type", "name", "plate_id", "begin_age", "end_age", "intent", F.size("polygons").alias("polygons"),
         F.aggregate(F.transform("polygons", lambda p: F.size(p["interiors"])), F.lit(0), lambda a, b: a + b).alias("holes"),
@@ -61,9 +63,10 @@ def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEGACY = '[{"FeatureID":"a","PlateID":"7","ValidTime":{"Begin":100,"End":0},"Polygon":[{"PosList":[{"Latitude":1,"Longitude":2},{"Latitude":3,"Longitude":2},{"Latitude":3,"Longitude":6}]},{"PosList":[]}]},{"FeatureID":"b","PlateID":"8","Polygon":[]}]'
 
 
-@query("S8_A5_legacy_json", "SELECT 'a' AS feature_id, '7' AS plate_id, 100.0::DOUBLE AS begin_age, 0.0::DOUBLE AS end_age, 'area' AS intent, 4.0::DOUBLE AS area")
+@query("S8_A5_legacy_json", "SELECT 'a' || p_partkey AS feature_id, '7' AS plate_id, 100.0::DOUBLE AS begin_age, 0.0::DOUBLE AS end_age, 'area' AS intent, 4.0::DOUBLE AS area FROM part")
 def legacy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.parse_legacy_json(spark.createDataFrame([(LEGACY,)], "text STRING"))
+    text = F.replace(F.lit(LEGACY), F.lit('"a"'), F.concat(F.lit('"a'), F.col("p_partkey").cast("string"), F.lit('"')))
+    rows = features.parse_legacy_json(table(spark, sf_dir, "part").select(text.alias("text")))
     return rows.select("feature_id", "plate_id", "begin_age", "end_age", "intent", F.abs(G.signed_area(F.col("exterior"))).alias("area"))
 
 
@@ -76,32 +79,32 @@ GEOJSON = [
 ]
 
 
-@query("S10_geojson_rings", "SELECT * FROM (VALUES (6.0::DOUBLE, 4), (4.0::DOUBLE, 5), (0.5::DOUBLE, 4), (1.0::DOUBLE, 5)) t(area, points)")
+@query("S10_geojson_rings", "SELECT t.area, t.points FROM part JOIN (VALUES (0, 6.0::DOUBLE, 4), (1, 4.0::DOUBLE, 5), (1, 0.5::DOUBLE, 4), (2, 1.0::DOUBLE, 5)) t(i, area, points) ON i = p_partkey % 5")
 def geojson_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.parse_geojson_rings(spark.createDataFrame([(t,) for t in GEOJSON], "text STRING"))
+    rows = features.parse_geojson_rings(dealt(spark, sf_dir, [(t,) for t in GEOJSON], "text STRING"))
     return rows.select(F.abs(G.signed_area(F.col("ring"))).alias("area"), F.size("ring").alias("points"))
 
 
-@query("S9_format_dispatch", "SELECT * FROM (VALUES (1, 'json'), (2, 'gpml'), (3, 'gpml'), (4, 'json'), (5, 'gpml'), (6, NULL)) t(id, kind)")
+@query("S9_format_dispatch", dealt_sql(6, "SELECT * FROM (VALUES (1, 'json'), (2, 'gpml'), (3, 'gpml'), (4, 'json'), (5, 'gpml'), (6, NULL)) t(id, kind)"))
 def format_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "a/b.JSON?x=1", ""), (2, "a.gpmlz#h", ""), (3, "a.xml", ""), (4, "blob:1", "  [1]"), (5, "blob:2", "\n<a/>"), (6, "a.txt", "x")]
-    return spark.createDataFrame(rows, "id INT, p STRING, t STRING").select("id", features.kind_of(F.col("p"), F.col("t")).alias("kind"))
+    return dealt(spark, sf_dir, rows, "id INT, p STRING, t STRING").select("p_partkey", "id", features.kind_of(F.col("p"), F.col("t")).alias("kind"))
 
 
 CONFIGS = ['{"timeMa": 120.5, "level": 3.6, "viewMode": "2D", "provider": "p", "anchorPlateId": null, "rotationFiles": ["a.rot", " ", "b.rot"]}', '{"age": 50, "viewMode": "4D", "level": "x", "anchorPlateId": "701", "rotationFile": "c.rot"}', "[1, 2]", "broken{"]
 
 
-@query("S11_P28_config_import", "SELECT * FROM (VALUES (1, true, 120.5::DOUBLE, 4, '2D', 'p', NULL, 2), (2, true, 50.0::DOUBLE, 4, '3D', 'local-topography', '701', 1), (3, false, 0.0::DOUBLE, 4, '3D', 'local-topography', '0', 0), (4, false, 0.0::DOUBLE, 4, '3D', 'local-topography', '0', 0)) t(id, is_config, time_ma, level, view_mode, provider, anchor, files)")
+@query("S11_P28_config_import", dealt_sql(4, "SELECT * FROM (VALUES (1, true, 120.5::DOUBLE, 4, '2D', 'p', NULL, 2), (2, true, 50.0::DOUBLE, 4, '3D', 'local-topography', '701', 1), (3, false, 0.0::DOUBLE, 4, '3D', 'local-topography', '0', 0), (4, false, 0.0::DOUBLE, 4, '3D', 'local-topography', '0', 0)) t(id, is_config, time_ma, level, view_mode, provider, anchor, files)"))
 def config_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = config.imported(spark.createDataFrame(list(enumerate(CONFIGS, 1)), "id INT, config STRING"))
+    rows = config.imported(dealt(spark, sf_dir, list(enumerate(CONFIGS, 1)), "id INT, config STRING"))
     return rows.withColumn("files", F.size("rotation_files")).drop("rotation_files")
 
 
-@query("P18_P19_extent_checks", "SELECT * FROM (VALUES (1, 0, 'web-mercator'), (2, 2, 'perspective-globe'), (3, 1, 'geographic')) t(id, errors, projection)")
+@query("P18_P19_extent_checks", dealt_sql(3, "SELECT * FROM (VALUES (1, 0, 'web-mercator'), (2, 2, 'perspective-globe'), (3, 1, 'geographic')) t(id, errors, projection)"))
 def extent_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, -50.0, -25.0, 20.0, 10.0, "2D", "web-mercator"), (2, -190.0, 10.0, 20.0, 5.0, "3D", "web-mercator"), (3, 5.0, 0.0, 5.0, 1.0, "2D", "geographic")]
-    given = spark.createDataFrame(rows, "id INT, w DOUBLE, s DOUBLE, e DOUBLE, n DOUBLE, m STRING, k STRING")
-    return given.select("id", F.size(config.extent_errors(*(F.col(c) for c in "wsen"))).alias("errors"), config.projection(F.col("m"), F.col("k")).alias("projection"))
+    given = dealt(spark, sf_dir, rows, "id INT, w DOUBLE, s DOUBLE, e DOUBLE, n DOUBLE, m STRING, k STRING")
+    return given.select("p_partkey", "id", F.size(config.extent_errors(*(F.col(c) for c in "wsen"))).alias("errors"), config.projection(F.col("m"), F.col("k")).alias("projection"))
 
 
 @query("K2_config_export", "SELECT n_nationkey AS id, n_name AS case_id, floor(n_nationkey * 10.1234567 * 1000000 + 0.5) / 1000000 AS time_ma, 2 AS files FROM nation")
