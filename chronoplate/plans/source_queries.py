@@ -128,6 +128,22 @@ def latest_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.latest_ages(rows, window="1 hour")
 
 
+@query(
+    "T1_T3_token_outcomes",
+    """WITH r AS (SELECT user_id::VARCHAR AS session, event_id AS seq, event_id // 40 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS generation, (event_id // 2)::VARCHAR AS key FROM events WHERE event_type <> 'error'),
+    d AS (SELECT user_id::VARCHAR AS session, event_id + event_id % 97 AS seq, event_id // 40 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS generation, (event_id // 2)::VARCHAR AS key FROM events WHERE event_type <> 'error' AND event_id % 3 > 0)
+    SELECT session, generation, key, seq, CASE WHEN EXISTS (SELECT 1 FROM r n WHERE n.session = r.session AND n.seq < r.seq AND n.generation > r.generation) THEN 'cancelled'
+      WHEN over IS NULL AND done IS NULL THEN 'pending' WHEN done IS NULL OR over <= done THEN 'cancelled' ELSE 'completed' END AS outcome
+    FROM (SELECT *, (SELECT min(seq) FROM r n WHERE n.session = r.session AND n.seq > r.seq AND n.generation > r.generation) AS over, (SELECT min(seq) FROM d WHERE d.session = r.session AND d.generation = r.generation AND d.key = r.key AND d.seq > r.seq) AS done FROM r) r""",
+)
+def token_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of their users, some of them of an older generation; two in three are done some time later, the same event's number further on."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").filter("event_type <> 'error'").select(F.col("user_id").cast("string").alias("session"), e.alias("seq"), (F.floor(e / 40) - F.when(e % 13 == 0, 1).otherwise(0)).alias("generation"), F.floor(e / 2).cast("string").alias("key"), "ts")
+    done = rows.filter(F.col("seq") % 3 > 0).withColumn("seq", F.col("seq") + F.col("seq") % 97).withColumn("kind", F.lit("done"))
+    return requests.token_outcomes(rows.withColumn("kind", F.lit("start")).unionByName(done)).select("session", "generation", "key", "seq", "outcome")
+
+
 @query("T1_T3_newest_generation", "SELECT user_id AS session, event_id FROM events QUALIFY event_id // 100 = max(event_id // 100) OVER (PARTITION BY user_id)")
 def newest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "event_id", F.floor(F.col("event_id") / 100).alias("generation"))
