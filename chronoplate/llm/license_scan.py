@@ -88,16 +88,54 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+    "CC-BY-NC-SA-3.0": ["Licensed under CC BY-NC-SA 3.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."],
+    "MPL-1.1": ["Licensed under the Mozilla Public License, version 1.1.", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.", "Mozilla Public License Version 1.1"],
+    "EPL-1.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", "Eclipse Public License - v 1.0"],
+    "LGPL-2.0-or-later": ["you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GFDL-1.3-or-later": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"],
+    "GFDL-1.2-or-later": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation"],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Released under the zlib License."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Licensed under the Zero-Clause BSD License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal"],
 }
 
 #: Words that make a unit a header; every template has one.
-HEADER_WORDS = r"(?i)licen[cs]|cc0|redistribut|permission (?:is hereby|to use)|neither the name|unencumbered|\bmpl\b"
+HEADER_WORDS = r"(?i)licen[cs]|cc0|redistribut|permission (?:is hereby|is granted|to use)|neither the name|unencumbered|\bmpl\b"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.-].*)?$"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?((?-i)[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)*)"
 #: What opens and closes lines of comments.
 COMMENT = r"(?mi)^[ \t]*(?:/\*+|\*+(?!/)|//+!?|#+!?|;+|--+|%+|<!--|dnl\b|rem\b|\"\"\"|''')?[ \t]*|[ \t\r]*(?:\*+/|-->)?[ \t\r]*$"
 
+#: Words that tell licences of one wording apart. A unit and a template that it is given agree in all of them.
+MODIFIERS = {
+    "lesser": r"(?i)\blesser\b|\blgpl",
+    "library": r"(?i)\blibrary general public",
+    "affero": r"(?i)\baffero\b|\bagpl",
+    "nc": r"(?i)creative commons.*non-?commercial|\bcc[ -]by[a-z -]*\bnc\b",
+    "nd": r"(?i)creative commons.*no-?deriv|\bcc[ -]by[a-z -]*\bnd\b",
+    "sa": r"(?i)creative commons.*share-?alike|\bcc[ -]by[a-z -]*\bsa\b",
+    "provided": r"(?i)with or without fee is hereby granted, provided",
+}
+#: Names of licences of which a unit may state several, and what says that it states none.
+NAMES = {
+    "MIT": r"(?i)\bMIT licen[cs]e",
+    "Apache-2.0": r"(?i)\bapache[ -]+licen[cs]e,?[ (]*(?:version|v\.?)?[ ]*2(?:\.0)?\b|\bapache[ -]2\.0\b",
+    "BSD-3-Clause": r"(?i)\bBSD[ -]3[ -]clause|\b3[ -]clause BSD",
+    "BSD-2-Clause": r"(?i)\bBSD[ -]2[ -]clause|\b2[ -]clause BSD",
+    "MPL-2.0": r"(?i)\bmozilla public licen[cs]e,?[ ]*(?:version|v\.?)?[ ]*2\.0|\bMPL[ -]2\.0",
+    "ISC": r"(?i)\bISC licen[cs]e",
+    "Zlib": r"(?i)\bzlib licen[cs]e",
+    "BSL-1.0": r"(?i)\bboost software licen[cs]e",
+}
+NEGATED = r"(?i)(?:\bnot\b|n't\b|\bnever\b|\bno longer\b)(?: \w+){0,2} (?:licen[cs]ed|released|distributed|available|covered)\b"
+#: Numbers of versions: with a point anywhere, without one after a word for it. A zero after the point says nothing.
+VERSION = r"(?i)(?<![\d.])(\d{1,2}\.\d)(?!\d)|\bv(?:ersion)?\.? ?(\d{1,2})(?![\d.]*\d)"
+
 #: Words of the longest paragraphs, and sentences, that are a unit; words of windows around a header word in longer ones.
 LONG, WINDOWS = 120, (14, 40)
 #: Weight of a word that no template has; the idf of a word in a third of the templates is about this.
@@ -122,24 +160,45 @@ def _template_weights(spark, templates: dict[str, list[str]]) -> DataFrame:
     return weighted.join(norms, one).select("term", "idf", *one, (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def versions(text: Column) -> Column:
+    """The versions that a text states, without a zero after the point."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(VERSION), F.lit(1)), F.regexp_extract_all(text, F.lit(VERSION), F.lit(2)))
+    return F.array_distinct(F.filter(F.transform(found, lambda v: F.regexp_replace(v, r"\.0$", "")), lambda v: v != ""))
+
+
+def _facts(text: Column) -> Column:
+    return F.struct(versions(text).alias("versions"), F.struct(*(text.rlike(r).alias(m) for m, r in MODIFIERS.items())).alias("modifiers"))
+
+
 def match(units: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """(id, template, cosine, rank) of the best template of each distinct `unit` string, where it reaches `least`; id is the string's SHA-256.
 
-    The same notice stands in very many files, so distinct strings are matched, once each."""
+    The same notice stands in very many files, so distinct strings are matched, once each. A template only counts where the unit has all
+    its MODIFIERS and no other, and, if it states versions, has those of the template. A negated unit states nothing, and one with
+    several NAMES joins them by OR, or by AND if it has no "or"."""
     weights = F.broadcast(written(_template_weights(units.sparkSession, templates), "templates"))  # bounded by the given templates
     # Strings are known by their hash from here on, so that a long one isn't repeated with each of its terms.
-    named = written(units.select("unit").distinct().select("unit", F.sha2("unit", 256).alias("id"), F.regexp_extract("unit", SPDX, 1).alias("said")), "units")
+    named = written(units.select("unit").distinct().select("unit", F.sha2("unit", 256).alias("id"), F.regexp_extract("unit", SPDX, 1).alias("said")).filter((F.col("said") != "") | ~F.col("unit").rlike(NEGATED)), "units")
     counted = named.filter("said = ''").select("id", F.explode(terms(F.col("unit"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     idf = F.broadcast(weights.select("term", "idf").distinct())
     known = written(counted.join(idf, "term", "left").select("id", "term", (F.col("tf") * F.coalesce("idf", F.lit(UNSEEN))).alias("w")), "terms")
     norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    kinds = units.sparkSession.createDataFrame([(name, i, t) for name, ts in templates.items() for i, t in enumerate(ts)], "template string, variant int, text string").select("template", "variant", _facts(F.col("text")).alias("must"))
     dots = known.join(weights, "term").groupBy("id", "template", "variant", "rank").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, "id").select("id", "template", "rank", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
+    near = dots.join(norms, "id").select("id", "template", "variant", "rank", F.least(F.lit(1.0), F.col("dot") / F.col("norm")).alias("cosine")).filter(F.col("cosine") >= least)
+    told = near.join(named.select("id", _facts(F.col("unit")).alias("has")), "id").join(F.broadcast(kinds), ["template", "variant"])
+    stated_version = (F.size("has.versions") == 0) | (F.size(F.array_except("must.versions", "has.versions")) == 0)
+    cosine = told.filter((F.col("has.modifiers") == F.col("must.modifiers")) & stated_version)
     best = cosine.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 9)).alias("order"), "rank", "template", "cosine")).alias("b"))
     # Names that SPDX has given up stand for these.
     said = F.regexp_replace(F.regexp_replace("said", r"\b([AL]?GPL-\d\.\d)\+", "$1-or-later"), r"\b([AL]?GPL-\d\.\d)(?![\w.+-])", "$1-only")
     stated = named.filter("said <> ''").select("id", F.regexp_replace(said, r"[ \t]+", " ").alias("template"), F.lit(1.0).alias("cosine"), F.lit(-1).alias("rank"))
-    return best.select("id", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"), F.col("b.rank").alias("rank")).unionByName(stated)
+    single = best.select("id", F.col("b.template").alias("template"), F.col("b.cosine").alias("cosine"), F.col("b.rank").alias("rank"))
+    named_here = F.array_compact(F.array(*(F.when(F.col("unit").rlike(r), F.lit(n)) for n, r in NAMES.items())))
+    joint = F.when(F.col("unit").rlike(r"(?i)\bor\b|\bdual"), F.lit(" OR ")).otherwise(F.lit(" AND "))
+    several = named.filter("said = ''").select("id", named_here.alias("names"), joint.alias("joint")).filter(F.size("names") > 1)
+    both = several.select("id", F.when(F.col("joint") == " OR ", F.array_join("names", " OR ")).otherwise(F.array_join("names", " AND ")).alias("template"), F.lit(1.0).alias("cosine"), F.lit(-1).alias("rank"))
+    return single.join(several.select("id"), "id", "left_anti").unionByName(both).unionByName(stated)
 
 
 def headers(files: DataFrame, key: str, text: str) -> DataFrame:
