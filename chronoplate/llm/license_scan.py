@@ -4,7 +4,7 @@ Units of a text are what may state a licence: its lines, two lines in a row, the
 words) that are left when comment marks go and lines are joined, so that wrapped notices are whole; all of them
 with a header word. Longer sentences and lines give a window of words around each header word instead. A unit with an SPDX
 identifier states that. Any other becomes a sparse vector of its words, weighted by term frequency times inverse document frequency
-among the templates; words that no template has weigh as little as a common one. Terms are joined with the templates' terms, and
+among the licences of the templates; words that no template has weigh as little as a common one. Terms are joined with the templates' terms, and
 products are summed by (unit, template). The best template at `least` or more is the unit's licence. A file's own licence is that of
 its best unit; a file without one inherits from the nearest ancestor directory (its own included) with a licence file, found by
 joining the file's ancestor paths with the licence files' directories.
@@ -138,8 +138,8 @@ VERSION = r"(?i)(?<![\d.])(\d{1,2}\.\d)(?!\d)|\bv(?:ersion)?\.? ?(\d{1,2})(?![\d
 
 #: Words of the longest paragraphs, and sentences, that are a unit; words of windows around a header word in longer ones.
 LONG, WINDOWS = 120, (14, 40)
-#: Weight of a word that no template has; the idf of a word in a third of the templates is about this.
-UNSEEN = 1.0
+#: Weight of a word that no template has; the idf of a word in half of the licences is about this.
+UNSEEN = 0.75
 
 _TERM = r"[^a-z0-9]+"
 
@@ -151,10 +151,12 @@ def terms(text: Column) -> Column:
 def _template_weights(spark, templates: dict[str, list[str]]) -> DataFrame:
     """(term, idf, template, variant, rank, weight) with unit-length weights."""
     rows = spark.createDataFrame([(name, i, t, k) for k, (name, ts) in enumerate(templates.items()) for i, t in enumerate(ts)], "template string, variant int, text string, rank int").repartition(1)
-    n = sum(map(len, templates.values()))
+    # Versions and modifiers of one licence share its words, which are no less telling for that: words are counted by the name's first part.
+    family = F.split("template", "-")[0]
+    n = len({name.partition("-")[0] for name in templates})
     one = ["template", "variant", "rank"]
     counts = rows.select(*one, F.explode(terms(F.col("text"))).alias("term")).groupBy(*one, "term").agg(F.count("*").alias("tf"))
-    idf = counts.groupBy("term").agg(F.log(F.lit(n + 1.0) / (F.count("*") + 0.5)).alias("idf"))
+    idf = counts.groupBy("term").agg(F.log(F.lit(n + 1.0) / (F.count_distinct(family) + 0.5)).alias("idf"))
     weighted = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(*one).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, one).select("term", "idf", *one, (F.col("w") / F.col("norm")).alias("weight"))
