@@ -45,7 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = _without(keyed, found.filter("not kept").select("key"), ["key"])
     if found.groupBy("key").count().filter("count > 1").isEmpty():
         return left.select(*COLUMNS)
-    return left.dropDuplicates(["key"]).select(*COLUMNS)
+    # Rows of one id and text may differ in the other columns: the least of them stays, nulls first.
+    return left.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

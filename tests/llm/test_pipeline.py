@@ -58,3 +58,12 @@ def test_null_and_repeated_ids_are_told_apart(spark):
     held = [(None, f"Intro. {item} End."), (None, one), (7, f"Intro. {item} End."), (7, two)]
     docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in held], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").to(schema)
     assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, DATA).collect()} == {(None, one), (7, two)}
+
+
+def test_rows_of_one_id_and_text_leave_the_least(spark):
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, text, "fr", "b", 5), (1, text, "en", "c", 9), (1, text, "en", "a", None), (1, text, None, "z", 2), (None, text + "and more of it", "en", "q", 1), (2, "something else " * 9, "de", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    for parts in (1, 5):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts, "source"), DATA).collect()
+        assert (1, text, None, "z", 2) in map(tuple, kept) and len([r for r in kept if r.doc_id == 1]) == 1
