@@ -1,6 +1,6 @@
 """Feature files: GPML and its archives, the legacy JSON form, and GeoJSON outlines.
 
-A GPML document is cut to its feature members by a pattern, and each member is read by XPath on local names, so that one large
+A GPML document is cut to its feature members by a pattern, and each member is parsed once by its local names, so that one large
 file becomes many rows that are parsed in parallel.
 """
 
@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronoplate.functions import scalars as S
 from chronoplate.functions.geometry import closed
@@ -70,10 +74,6 @@ def kind_of(path: Column, text: Column) -> Column:
     return F.when(extension == "json", "json").when(extension.isin("gpml", "gpmlz", "xml"), "gpml").when(head.isin("{", "["), "json").when(head == "<", "gpml")
 
 
-def _local(name: str) -> str:
-    return f'*[local-name()="{name}"]'
-
-
 def _ring(text: Column, dimension: Column) -> Column:
     """Closed points of a position list, in the order of axes that its numbers show."""
     values = S.numbers(text)
@@ -97,30 +97,62 @@ def read_members(spark: SparkSession, *paths: str, closing: str = "</gml:feature
     return rows.select("member_index", xml.alias("xml")).filter("xml <> ''")
 
 
+#: What is read of a member, as text: fields by their local names, attributes, and polygons with their position lists.
+_MEMBER_SCHEMA = (
+    "identity string, name string, reconstructionPlateId string, conjugatePlateId string, begin string, end string, centre boolean, "
+    "keys array<string>, values array<string>, polygons array<struct<dimension: string, exterior: string, interiors: array<string>>>"
+)
+_PREFIX = re.compile(r"[<\s/]([A-Za-z_][\w.-]*):[A-Za-z_]")
+_DECLARED = re.compile(r"\sxmlns(:[\w.-]+)?\s*=\s*(\"[^\"]*\"|'[^']*')")
+
+
+def member_fields(xml: str) -> dict:
+    """The fields of _MEMBER_SCHEMA of one member. A fragment has left its document, so its prefixes are declared anew; names are local names. Text that is no XML raises ParseError."""
+    bare = _DECLARED.sub("", xml)
+    root = ElementTree.fromstring("<r " + " ".join(f'xmlns:{p}="{p}"' for p in {*_PREFIX.findall(bare)} - {"xml"}) + f">{bare}</r>")
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    below = lambda e, *names: (x for x in e.iter() if x is not e and local(x) in names)
+    text = lambda e: None if e is None else "".join(e.itertext())
+    direct = lambda e: [t for t in (e.text, *(c.tail for c in e)) if t]
+    first = lambda e, name: None if e is None else next(below(e, name), None)
+    entries = list(below(root, "KeyValueDictionaryElement"))
+    time = first(root, "validTime")
+    out = {name: text(first(root, name)) for name in ("identity", "name", "reconstructionPlateId", "conjugatePlateId")}
+    out |= {name: text(first(time, name)) for name in ("begin", "end")}
+    out["centre"] = first(root, "centerLineOf") is not None
+    out["keys"] = [t for e in entries for k in e if local(k) == "key" for t in direct(k)]
+    out["values"] = [t for e in entries for v in below(e, "value") for t in direct(v)]
+    polygons = []
+    for polygon in below(root, "Polygon"):
+        sizes = (v for e in polygon.iter() for n, v in e.attrib.items() if n.rpartition("}")[2] == "dimension")
+        inner = [t for i in below(polygon, "interior") for p in below(i, "posList") for t in direct(p)]
+        polygons.append({"dimension": next(sizes, None), "exterior": text(first(first(polygon, "exterior"), "posList")), "interiors": inner})
+    return out | {"polygons": polygons}
+
+
+@F.pandas_udf(StringType())
+def _member(xml: pd.Series) -> pd.Series:
+    """Each member is parsed once, in Arrow batches."""
+    return xml.map(lambda x: None if x is None else json.dumps(member_fields(x)))
+
+
 def parse_members(rows: DataFrame, all_areas: bool = False) -> DataFrame:
     """A row for each feature member (member_index, xml) that has an element: feature_id, member_index, feature_type, name, plate_id, conjugate_plate_id, begin_age, end_age, attributes, polygons (rings of at least four points) and intent."""
-    # The fragments leave their document, so that name spaces are not declared: prefixes stay part of names, and local names match.
-    text_at = lambda path: F.nullif(F.trim(F.xpath_string("xml", F.lit(path))), F.lit(""))
-    many = lambda path: F.xpath("xml", F.lit(path))
-    keys, values = many(f"//{_local('KeyValueDictionaryElement')}/{_local('key')}/text()"), many(f"//{_local('KeyValueDictionaryElement')}//{_local('value')}//text()")
-    read = rows.select(
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    # A generator: the planner doesn't repeat the parse for each field that is read from it.
+    parsed = rows.select("member_index", "xml", F.inline(F.array(F.from_json(_member(F.col("xml")), _MEMBER_SCHEMA))))
+    read = parsed.select(
         "member_index",
-        "xml",
         F.regexp_extract("xml", r"(?s)featureMember\b[^>]*>\s*<(?:[\w.-]+:)?([\w.-]+)", 1).alias("feature_type"),
-        F.coalesce(text_at(f"//{_local('identity')}"), F.nullif(F.regexp_extract("xml", r"(?s)featureMember\b[^>]*>\s*<[^>]*\bid=\"([^\"]*)\"", 1), F.lit("")), F.concat(F.lit("gpml-feature-"), F.col("member_index").cast("string"))).alias("feature_id"),
-        text_at(f"//{_local('name')}").alias("_name"),
-        text_at(f"//{_local('reconstructionPlateId')}").alias("_plate"),
-        text_at(f"//{_local('conjugatePlateId')}").alias("_conjugate"),
-        text_at(f"//{_local('validTime')}//{_local('begin')}").alias("_begin"),
-        text_at(f"//{_local('validTime')}//{_local('end')}").alias("_end"),
-        F.when(F.size(keys) == F.size(values), S.last_by_key(keys, values)).otherwise(F.create_map().cast("map<string,string>")).alias("attributes"),
-        (F.size(F.regexp_extract_all("xml", F.lit(r"<(?:[\w.-]+:)?centerLineOf\b"), F.lit(0))) > 0).alias("_centre"),
-        F.regexp_extract_all("xml", F.lit(r"(?s)<(?:[\w.-]+:)?Polygon\b.*?</(?:[\w.-]+:)?Polygon>"), F.lit(0)).alias("_polygons"),
+        F.coalesce(blank(F.col("identity")), F.nullif(F.regexp_extract("xml", r"(?s)featureMember\b[^>]*>\s*<[^>]*\bid=\"([^\"]*)\"", 1), F.lit("")), F.concat(F.lit("gpml-feature-"), F.col("member_index").cast("string"))).alias("feature_id"),
+        *(blank(F.col(c)).alias(f"_{n}") for c, n in (("name", "name"), ("reconstructionPlateId", "plate"), ("conjugatePlateId", "conjugate"), ("begin", "begin"), ("end", "end"))),
+        F.when(F.size("keys") == F.size("values"), S.last_by_key(F.col("keys"), F.col("values"))).otherwise(F.create_map().cast("map<string,string>")).alias("attributes"),
+        F.col("centre").alias("_centre"),
+        F.col("polygons").alias("_polygons"),
     )
-    dimension = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"\bdimension=\"(\d+)\"", 1), F.lit("")).cast("int"), F.lit(2))
-    outer = lambda p: _ring(F.xpath_string(p, F.lit(f"//{_local('exterior')}//{_local('posList')}")), dimension(p))
-    inner = lambda p: F.transform(F.xpath(p, F.lit(f"//{_local('interior')}//{_local('posList')}/text()")), lambda t: _ring(t, dimension(p)))
-    polygons = F.filter(F.transform("_polygons", lambda p: F.struct(outer(p).alias("exterior"), F.filter(inner(p), lambda r: F.size(r) >= 4).alias("interiors"))), lambda g: F.size(g["exterior"]) >= 4)
+    dimension = lambda p: F.coalesce(p["dimension"].cast("int"), F.lit(2))
+    inner = lambda p: F.filter(F.transform(p["interiors"], lambda t: _ring(t, dimension(p))), lambda r: F.size(r) >= 4)
+    polygons = F.filter(F.transform("_polygons", lambda p: F.struct(_ring(p["exterior"], dimension(p)).alias("exterior"), inner(p).alias("interiors"))), lambda g: F.size(g["exterior"]) >= 4)
     plate = lambda c: c.cast("bigint").cast("string")
     shaped = read.filter("feature_type <> ''").withColumn("polygons", polygons)
     attribute_type = S.attribute(F.col("attributes"), "GPGIM_TYPE")
