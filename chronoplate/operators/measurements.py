@@ -16,25 +16,27 @@ RANGE_ROWS = 1_000_000
 WIDER = 64
 
 
-def quartiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """n, median, q1 and q3 (linear interpolation) of finite values by group; a long table of (keys, value).
+def _at_ranks(counted: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """(_g, _all, one column for each rank): the value of each group at ranks from 0 in ascending order. counted: (_g, _v, _n), how often a group has a value; ranks may use `_all`, the group's number of values.
 
-    Ranks are selected without a task that holds a group: equal values are counted first, the counts are dealt by ranges of (group,
-    value), and each range takes over the number of values in the group's ranges before it."""
-    ok = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    counted = ok.groupBy(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    No task holds a group: counts are dealt by ranges of (group, value), and each range takes over the number of values in the group's ranges before it."""
     cut = written(counted.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()), "counts")
-    ranges = cut.groupBy("_g", "_range").agg(F.sum("_n").alias("_in"))
     group = Window.partitionBy("_g")  # a row for each range
     before = F.coalesce(F.sum("_in").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.select("_g", "_range", before.alias("_before"), F.sum("_in").over(group).alias("_all"))
+    offsets = cut.groupBy("_g", "_range").agg(F.sum("_n").alias("_in")).select("_g", "_range", before.alias("_before"), F.sum("_in").over(group).alias("_all"))
     upto = F.sum("_n").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = cut.withColumn("_upto", upto).join(offsets, ["_g", "_range"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
+    here = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+    return ranked.groupBy("_g", "_all").agg(*(F.max(F.when(here(rank), F.col("_v"))).alias(name) for name, rank in ranks.items()))
+
+
+def quartiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """n, median, q1 and q3 (linear interpolation) of finite values by group; a long table of (keys, value). Equal values are counted first."""
+    ok = values.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+    counted = ok.groupBy(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     shares = {"median": 0.5, "q1": 0.25, "q3": 0.75}
     place = lambda share, up: (F.ceil if up else F.floor)((F.col("_all") - 1) * share)
-    here = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-    ends = [F.max(F.when(here(place(s, up)), F.col("_v"))).alias(f"_{c}{int(up)}") for c, s in shares.items() for up in (False, True)]
-    found = ranked.groupBy("_g", "_all").agg(*ends)
+    found = _at_ranks(counted, {f"_{c}{int(up)}": place(s, up) for c, s in shares.items() for up in (False, True)})
     between = lambda c, s: (F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * ((F.col("_all") - 1) * s - place(s, False))).alias(c)
     return found.select(*(F.col("_g")[c].alias(c) for c in by), F.col("_all").alias("n"), *(between(c, s) for c, s in shares.items()))
 
@@ -113,13 +115,12 @@ def gpu_summary(rows: DataFrame) -> DataFrame:
 
 
 def upper_median_interval(samples: DataFrame, by: list[str], at: str = "epoch_ms") -> DataFrame:
-    """Upper median of the steps between a series' samples (no interpolation)."""
-    steps = samples.select(*by, (F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy(at))).alias("step")).filter("step is not null")
-    # Steps are counted, and the counts added up in ascending order: a repeated step is one row, and no list of a series is built.
-    counted = steps.groupBy(*by, "step").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by)
-    summed = counted.withColumns({"_upto": F.sum("_n").over(w.orderBy("step")), "_all": F.sum("_n").over(w)})
-    return summed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("step").alias("interval"))
+    """Upper median of the steps between a series' samples (no interpolation); series of fewer than two samples have none. Steps are taken by ranges of time, so that a long series is several tasks' work."""
+    times = written(samples.filter(F.col(at).isNotNull()).groupBy(F.struct(*by).alias("_g"), F.col(at).alias("_t")).agg(F.count("*").alias("_n")), "times")
+    apart = before_by_ranges(times, "_t", "_from", "_g").filter("_from is not null").select("_g", (F.col("_t") - F.col("_from")).alias("_v"), F.lit(1).cast("bigint").alias("_n"))
+    together = times.filter("_n > 1").select("_g", (F.col("_t") - F.col("_t")).alias("_v"), (F.col("_n") - 1).alias("_n"))
+    counted = apart.unionByName(together).groupBy("_g", "_v").agg(F.sum("_n").alias("_n"))
+    return _at_ranks(counted, {"interval": F.floor(F.col("_all") / 2)}).select(*(F.col("_g")[c].alias(c) for c in by), "interval")
 
 
 def nearest(left: DataFrame, right: DataFrame, left_at: str, right_at: str, bucket: float) -> DataFrame:

@@ -49,12 +49,14 @@ def few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def before_by_ranges(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Distinct values of a column with the value before each, by ranges that are sorted apart; each range takes over the last value of the one before."""
+def before_by_ranges(rows: DataFrame, order: str, name: str, by: str | None = None) -> DataFrame:
+    """Distinct values of a column (of each `by`, a column without nulls) with the value before each, by ranges that are sorted apart; each range takes over the last value of the one before."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(rows.select(order).distinct().repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
-    # A row for each range.
-    ends = cut.groupBy("_range").agg(F.max(order).alias("_end")).withColumn("_carried", F.lag("_end").over(Window.orderBy("_range"))).select("_range", "_carried")
-    inside = F.lag(order).over(Window.partitionBy("_range").orderBy(order))
-    return cut.join(F.broadcast(ends), "_range").select(order, F.coalesce(inside, "_carried").alias(name))
+    keys = [by] if by else []
+    cut = written(rows.select(*keys, order).distinct().repartitionByRange(parts, *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # A row for each range, and for each group in it.
+    ends = cut.groupBy(*keys, "_range").agg(F.max(order).alias("_end")).withColumn("_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range"))).select(*keys, "_range", "_carried")
+    inside = F.lag(order).over(Window.partitionBy(*keys, "_range").orderBy(order))
+    ends = ends if by else F.broadcast(ends)
+    return cut.withColumn("_inside", inside).join(ends, [*keys, "_range"]).select(*keys, order, F.coalesce("_inside", "_carried").alias(name))

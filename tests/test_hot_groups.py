@@ -42,3 +42,15 @@ def test_items_in_view_by_cells_equal_a_comparison_of_all(spark):
     meets = lambda a, b: math.dist(a[:3], b[:3]) <= a[3] + b[3]
     assert got == sorted((v, i) for v, _, s in seen for i, p, t in items if p in "01" and meets(s, t))
     assert views.in_view(i_df.limit(0), v_df, still).count() == 0
+
+
+def test_upper_median_of_a_long_series_with_ties(spark):
+    rng = random.Random(3)
+    rows = [("hot", float(t)) for t in (rng.randint(0, 30_000) for _ in range(15_000))] + [("two", 5.0), ("two", 9.0), ("one", 1.0), (None, 3.0), (None, 3.0), ("null", None)]
+    got = {r.k: r.interval for r in measurements.upper_median_interval(spark.createDataFrame(rows, "k STRING, epoch_ms DOUBLE"), ["k"]).collect()}
+    want = {}
+    for k in ("hot", "two", None):
+        times = sorted(t for a, t in rows if a == k)
+        steps = sorted(b - a for a, b in zip(times, times[1:], strict=False))
+        want[k] = steps[len(steps) // 2]
+    assert got == want
