@@ -23,6 +23,12 @@ def same(a: Column, b: Column) -> Column:
     return (F.abs(a["x"] - b["x"]) <= EPSILON) & (F.abs(a["y"] - b["y"]) <= EPSILON)
 
 
+def is_finite(p: Column) -> Column:
+    """Whether both coordinates are numbers: not null, not NaN, not infinite."""
+    number = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return F.coalesce(number(p["x"]) & number(p["y"]), F.lit(False))
+
+
 def from_flat(flat: Column) -> Column:
     """x0, y0, x1, y1, ... to points."""
     return F.when(F.size(flat) < 2, F.array().cast("array<struct<x: double, y: double>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), lambda i: point(F.get(flat, 2 * i), F.get(flat, 2 * i + 1))))

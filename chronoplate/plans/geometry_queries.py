@@ -168,3 +168,18 @@ def export_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "/f/Static%20Polygons.gpmlz", "pid_4321_luid_0x0_0x1_phys_0_engtype_3D"), (2, "/f/coast.gpml", "pid_7_x"), (3, "a/static_plate_1.json", "luid_1_2")]
     return dealt(spark, sf_dir, rows, "id INT, u STRING, g STRING").select("p_partkey", "id", S.infer_intent(F.col("u")).alias("intent"), S.gpu_instance(F.col("g")).alias("i")).select("p_partkey", "id", "intent", "i.pid", "i.engine", "i.adapter")
+
+
+@query(
+    "G35_point_predicates",
+    """WITH p AS (SELECT p_partkey AS k, (p_partkey % 3)::DOUBLE AS x, (p_partkey % 4)::DOUBLE AS y, p_partkey % 2 + CASE WHEN p_partkey % 5 = 0 THEN 1e-10 ELSE 0 END AS u, (p_partkey % 4)::DOUBLE AS v FROM part)
+    SELECT k AS p_partkey, k % 7 > 2 AS finite, abs(x - u) <= 1e-9 AND abs(y - v) <= 1e-9 AS same, 3 AS points, 6 AS numbers FROM p""",
+)
+def point_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat rings of three points to points and back; whether the last is finite, and the first two are the same."""
+    k = F.col("p_partkey")
+    odd = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 7 == 1, F.lit(float("inf"))).when(k % 7 == 2, F.lit(None).cast("double")).otherwise(k.cast("double"))
+    flat = F.array((k % 3).cast("double"), (k % 4).cast("double"), k % 2 + F.when(k % 5 == 0, 1e-10).otherwise(0.0), (k % 4).cast("double"), F.lit(1.0), odd)
+    rows = table(spark, sf_dir, "part").select("p_partkey", G.from_flat(flat).alias("r"))
+    at = lambda i: F.get("r", F.lit(i))
+    return rows.select("p_partkey", G.is_finite(at(2)).alias("finite"), G.same(at(0), at(1)).alias("same"), F.size("r").alias("points"), F.size(F.flatten(F.transform("r", lambda p: F.array(p["x"], p["y"])))).alias("numbers"))

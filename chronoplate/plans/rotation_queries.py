@@ -255,3 +255,16 @@ def domain_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = model(spark, sf_dir).select("plate_id").distinct().withColumn("known", F.lit(True))
     counted = points(spark, sf_dir).groupBy("plate_id").agg(F.count("*").alias("n"))
     return counted.join(known, "plate_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+@query(
+    "M24_plate_entries",
+    WITH_MODEL + f", {_POINTS}, asked_plate AS (SELECT DISTINCT plate_id FROM pts) SELECT plate_id, coalesce(known, false) AS known, " + ", ".join(f"round(coalesce(m{i}, {int(i % 4 == 0)}), 6) + 0.0::DOUBLE AS m{i}" for i in range(9)) + " FROM asked_plate LEFT JOIN (SELECT * FROM m WHERE age = 75) m USING (plate_id)",
+)
+def plate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix for every plate of the points at an age: the identity for plates without a rotation, unknown ones included."""
+    plates = points(spark, sf_dir).select("plate_id", F.lit(75.0).alias("age")).distinct()
+    every = plates.join(O.plate_rotations(rot.series(model(spark, sf_dir)), plates), ["plate_id", "age"], "left")
+    names = [f"m{i}" for i in range(9)]
+    rows = O.plate_matrices(every).select("plate_id", F.col("q").isNotNull().alias("known"), *(F.get("m", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return rounded(rows, *names)

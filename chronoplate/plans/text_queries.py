@@ -86,3 +86,20 @@ def tile_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.when(k % 3 == 0, providers.tile_url(F.lit("/t/{z}/{x}/{y}.png"), x, y, level)).when(k % 3 == 1, providers.tile_url(F.lit("/t/{z}/{x}/{reverseY}"), x, y, level)).otherwise(providers.wmts_url(F.lit("https://a/{TileMatrixSet}/{TileMatrix}/{TileRow}/{TileCol}.jpg"), F.lit("W"), x, y, level))
     errors = providers.template_errors(F.when(k % 2 == 0, "/t/{z}/{x}/{y}").otherwise(_text("t", k)), F.lit(0), F.lit(4))
     return table(spark, sf_dir, "part").select("p_partkey", url.alias("url"), F.when(F.size(errors) == 0, 0).otherwise(1).alias("errors"))
+
+
+@query(
+    "S21_loaded_items",
+    "SELECT CASE p_partkey % 3 WHEN 0 THEN 'g' ELSE 'f' END || p_partkey AS feature_id, (p_size % 7)::VARCHAR AS plate_id, CASE p_partkey % 3 WHEN 0 THEN 'gpml' ELSE 'json' END AS kind, (p_size * (p_partkey % 7 + 1) / 2)::DOUBLE AS area FROM part WHERE p_partkey % 3 < 2",
+)
+def loaded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of files of both kinds, told apart by their first character, without diagnostics; a third kind is no file."""
+    k, w, h = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 7 + 1
+    at = lambda lat, lon: _text('{"Latitude":', lat, ',"Longitude":', lon, "}")
+    legacy = _text('[{"FeatureID":"f', k, '","PlateID":"', w % 7, '","Polygon":[{"PosList":[', at(F.lit(0), F.lit(0)), ",", at(F.lit(0), w), ",", at(h, w), "]}]}]")
+    gpml = _text("<x><gml:featureMember><gpml:Basin><gpml:identity>g", k, "</gpml:identity><gpml:reconstructionPlateId>", w % 7, "</gpml:reconstructionPlateId><gpml:outlineOf><gml:Polygon><gml:exterior><gml:posList>0 100 0 ", w + 100, " ", h, " ", w + 100, "</gml:posList></gml:exterior></gml:Polygon></gpml:outlineOf></gpml:Basin></gml:featureMember></x>")
+    text = F.when(k % 3 == 0, gpml).when(k % 3 == 1, _text("  ", legacy)).otherwise("none")
+    files = table(spark, sf_dir, "part").select(text.alias("text")).withColumn("kind", features.kind_of(F.lit("blob:1"), F.col("text")))
+    area = F.aggregate(F.transform("polygons", lambda p: F.abs(G.signed_area(p["exterior"]))), F.lit(0.0), lambda a, b: a + b)
+    one = features.parse_gpml(files.filter("kind = 'gpml'")).select("feature_id", "plate_id", F.lit("gpml").alias("kind"), area.alias("area"))
+    return one.unionByName(features.parse_legacy_json(files.filter("kind = 'json'")).select("feature_id", "plate_id", F.lit("json").alias("kind"), F.abs(G.signed_area(F.col("exterior"))).alias("area")))
