@@ -5,10 +5,14 @@ it (source, language, lengths and lines). Each view has its own logistic regress
 round either classifier scores all rows without labels, and the ones it is surest of, per class in the proportion of the
 labels, become pseudo-labels for the other; then both are fitted again. The share that is exchanged grows from round to round, and
 each round's pseudo-labels replace those before, so that one given in error can be taken back. At the end each view's log-odds
-are calibrated on held-back labels, and the combined score is the logistic of their sum, weighted by how well each did there.
+are calibrated on held-back labels by a logistic curve of its own, and the combined score is the logistic of a weighted sum of the calibrated
+log-odds, with weights by how well each did there. No slope and no weight is negative: a view that says nothing weighs nothing.
 
-Labelled rows beyond `most_labels` are sampled down to it, in expectation; no other row is ever left out: quantiles and pseudo-labels
-come from all unlabelled rows, scores are of all documents. Measures come from built-in functions over every whole
+Labels are held back within each class: a quarter by a hash of the key, but always at least one key of the class, and never its last. A class with a
+single key has it in both parts. So both classes teach and calibrate whenever both are among the labels.
+
+Labelled rows beyond `most_labels` are sampled down to it, in expectation, but a class keeps `LEAST_OF_CLASS` rows in expectation, which then
+weigh less; no other row is ever left out: quantiles and pseudo-labels come from all unlabelled rows, scores are of all documents. Measures come from built-in functions over every whole
 text; they are written once and read by each round.
 
 A null or empty text has measures of 0 and is scored like any other; null metadata is a category of its own. Rows with a null key
@@ -22,6 +26,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ TEXT_VIEW = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "b
 SLOTS = 32
 #: Labels (two numbers each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Rows of a rare class that sampling keeps, in expectation.
+LEAST_OF_CLASS = 1_000
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str, lang: str, n_chars: str) -> DataFrame:
@@ -65,6 +72,30 @@ def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", maxIter=30, regParam=1e-3, aggregationDepth=2).fit(rows)
 
 
+def _weighed(rows: DataFrame, *odds: str) -> Column:
+    """Log-odds as a weighted sum of the columns `odds`, fitted to label and weight with weights of zero or more."""
+    least = Matrices.dense(1, len(odds), [0.0] * len(odds))
+    logistic = LogisticRegression(featuresCol="odds", labelCol="label", weightCol="weight", maxIter=30, regParam=1e-3, lowerBoundsOnCoefficients=least)
+    model = logistic.fit(VectorAssembler(inputCols=list(odds), outputCol="odds").transform(rows))
+    return sum((F.col(c) * float(w) for c, w in zip(odds, model.coefficients, strict=True)), F.lit(float(model.intercept)))
+
+
+def dealt(labelled: DataFrame, most_labels: int) -> tuple[DataFrame, dict[float, int]]:
+    """The labelled rows that teach, with `weight` and the flags `known` and `held` (one of them, or both for the sole key of a class), and the number of labelled rows of each class."""
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = min(1.0, most_labels / max(sum(counts.values()), 1))
+    shares = {x: max(share, min(1.0, LEAST_OF_CLASS / n)) if share < 1 else 1.0 for x, n in counts.items()}
+    part = F.coalesce(*(F.when(F.col("label") == x, F.lit(y)) for x, y in shares.items()), F.lit(1.0))
+    drawn = labelled.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < part * (1 << 30)).withColumn("weight", share / part)
+    by_hash = drawn.withColumn("draw", F.struct(F.xxhash64("key", F.lit(11)).alias("h"), "key"))
+    # Two rows: the first and the last key of each class in the order of the hash.
+    ends = by_hash.groupBy(F.col("label").alias("of")).agg(F.min("draw").alias("first"), F.max("draw").alias("last"))
+    flags = by_hash.join(F.broadcast(ends), F.col("label") == F.col("of"))
+    last = F.col("draw") == F.col("last")
+    held = (F.col("draw") == F.col("first")) | ((F.pmod(F.col("draw.h"), F.lit(4)) == 0) & ~last)
+    return flags.withColumn("held", held).withColumn("known", ~held | last).drop("draw", "of", "first", "last"), counts
+
+
 def _odds(model: LogisticRegressionModel, rows: DataFrame, view: str, name: str) -> DataFrame:
     """Log-odds of good quality by one view, as a column."""
     done = model.setFeaturesCol(view).setRawPredictionCol("_raw").setProbabilityCol("_prob").setPredictionCol("_pred").transform(rows)
@@ -99,14 +130,12 @@ def cotrain(
     views = assemble(rows)
     rows = written(views.join(truth, views["key"] == truth["lkey"], "left").drop("lkey"), "views")
     labelled = rows.filter("label is not null")
-    share = min(1.0, most_labels / max(labelled.count(), 1))
-    drawn = labelled.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).withColumn("held", F.pmod(F.xxhash64("key", F.lit(11)), F.lit(4)) == 0)
-    sample = written(drawn, "sample")
-    known = sample.filter("not held").withColumn("weight", F.lit(1.0)).select("view", "meta", "label", "weight")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn, counts = dealt(labelled, most_labels)
     if len(counts) < 2:
         none = F.lit(None).cast("double")
         return rows.select(F.col("key").alias(key), none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("kept"))
+    sample = written(drawn, "sample")
+    known = sample.filter("known").select("view", "meta", "label", "weight")
     good = counts[1.0] / (counts[0.0] + counts[1.0])
     open_ = rows.filter("label is null").select("view", "meta")
     both = lambda models, df: _odds(models["meta"], _odds(models["view"], df, "view", "a"), "meta", "b")
@@ -124,13 +153,9 @@ def cotrain(
         # What one view (a: text, b: metadata) is sure of is the other's lesson.
         models = {v: _fit(known.union(gifts.filter(f"{c} is not null").select("view", "meta", c, F.lit(0.3))), v) for v, c in (("view", "b"), ("meta", "a"))}
         dropped(gifts)
-    held = written(both(models, sample.filter("held")).select("a", "b", "label", F.lit(1.0).alias("weight")), "held")
-    both_classes = held.select("label").distinct().count() == 2
-    wa, wb, c = 1.0, 0.0, 0.0
-    if both_classes:
-        last = _fit(VectorAssembler(inputCols=["a", "b"], outputCol="views").transform(held), "views")
-        wa, wb, c = float(last.coefficients[0]), float(last.coefficients[1]), float(last.intercept)
+    held = written(both(models, sample.filter("held")).select("a", "b", "label", "weight"), "held")
+    a, b = _weighed(held, "a"), _weighed(held, "b")
+    score = _logistic(_weighed(held.select(a.alias("a"), b.alias("b"), "label", "weight"), "a", "b"))
     dropped(sample, held)
-    scored = both(models, rows)
-    score = _logistic(wa * F.col("a") + wb * F.col("b") + c)
+    scored = both(models, rows).select("key", a.alias("a"), b.alias("b"))
     return scored.select(F.col("key").alias(key), _logistic(F.col("a")).alias("p_text"), _logistic(F.col("b")).alias("p_meta"), score.alias("score"), (score >= threshold).alias("kept"))
