@@ -10,6 +10,8 @@ keys and hashes of texts are drawn first, and only then are their texts read. Ea
 a family's machine takes at most `PER_POSITIVE` times its own rows from the other families. Prediction reads every whole text; only the
 text is its input.
 
+The `most_languages` languages with the most rows are learnt (ties: the smaller name); rows of others are judged, and teach nothing.
+
 Texts that are null or have no letter are `und` with score 0, as all are if there is nothing to learn from. A single language
 gets all others with score 1. Rows with a null key are judged, but neither held out nor learnt from; rows with the same key and text teach
 once. Repeated keys are kept. Extra columns don't pass.
@@ -124,11 +126,11 @@ def fit(x: Sparse, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> t
     return w[:-1], float(w[-1]), float(slope), float(shift)
 
 
-def learn(rows: DataFrame, per_language: int = 500) -> list[Machine]:
+def learn(rows: DataFrame, per_language: int = 500, most_languages: int = 200) -> list[Machine]:
     """Machines from `rows` (key, text, lang), none of which is null; a hash of key and text draws the sample."""
     rows = rows.filter("key is not null and text is not null and lang is not null").withColumn("th", F.xxhash64("text"))
     named = rows.select("key", "th", "lang")
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if len(sizes) < 2:
         return [_sole(x) for x in sizes]
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, per_language / n))) for x, n in sizes.items()))
