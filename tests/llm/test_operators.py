@@ -517,3 +517,47 @@ def test_every_operator_on_nulls_repeats_and_very_long_texts(spark):
 def test_bpe_of_an_empty_table(spark):
     assert bpe.decode(bpe.encode(frame(spark, ["x"]).limit(0))).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_cotraining_holds_back_within_classes(spark):
+    """Eight labels of which two are bad: both classes teach and calibrate; the sole key of a class stands in both parts."""
+    rows = spark.createDataFrame([(i, float(i > 1)) for i in range(8)] + [(0, 0.0)], "key BIGINT, label DOUBLE")
+    for got, alone in ((rows, False), (rows.filter("key <> 1"), True)):
+        dealt, counts = cotrain.dealt(got, 50_000)
+        assert counts == {0.0: 2 if alone else 3, 1.0: 6}
+        for label in (0.0, 1.0):
+            known, held = ({r.key for r in dealt.filter(f"label = {label} and {c}").collect()} for c in ("known", "held"))
+            assert known and held and (known == held == {0} if alone and label == 0 else not known & held)
+    # A rare class survives sampling, and weighs what it would have weighed.
+    many = spark.range(40_000).select(F.col("id").alias("key"), (F.col("id") >= 1_500).cast("double").alias("label"))
+    drawn, _ = cotrain.dealt(many, 4_000)
+    n, weight = drawn.filter("label = 0").agg(F.count("*"), F.sum("weight")).first()
+    assert 900 < n < 1_100 and 135 < weight < 165 and 3_500 < drawn.filter("label = 1").count() < 4_200
+    assert cotrain.dealt(many.limit(0), 10)[0].count() == 0
+
+
+def test_cotraining_calibrates_with_weights_of_zero_or_more(spark):
+    """A view that points the wrong way on held-back labels weighs nothing; few labels of both classes give scores; equal rows get equal scores."""
+    rng = random.Random(3)
+    held = spark.createDataFrame([(rng.gauss(2.0 if i % 2 else -2.0, 1.0), rng.gauss(-1.0 if i % 2 else 1.0, 1.0), float(i % 2), 1.0) for i in range(200)], "a DOUBLE, b DOUBLE, label DOUBLE, weight DOUBLE")
+    low, high = (held.limit(1).select(F.lit(x).alias("a"), F.lit(0.0).alias("b")).select(cotrain._weighed(held, "a", "b").alias("o")).first().o for x in (-2.0, 2.0))
+    assert low < -1 and high > 1
+    against = {held.limit(1).select(F.lit(x).alias("b")).select(cotrain._weighed(held, "b").alias("o")).first().o for x in (-5.0, 5.0)}
+    assert len(against) == 1
+    texts = [" ".join(w + "***" for w in prose(rng, 40).split()) if i % 4 == 0 else prose(rng, 60) for i in range(60)]
+    texts += [texts[1], texts[1]]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(8)], "doc_id BIGINT, quality INT")
+    got = {r.doc_id: r for r in cotrain.cotrain(frame(spark, texts), labels, rounds=1).collect()}
+    assert len(got) == 62 and all(r.score is not None and 0 <= r.score <= 1 for r in got.values())
+    assert len({(r.score, r.kept) for i, r in got.items() if i in (60, 61)}) == 1
+    tie = cotrain.cotrain(frame(spark, texts), labels, rounds=0, threshold=got[60].score).filter("score >= 0").count()
+    assert tie == 62
+
+
+def test_language_learning_is_bounded(spark):
+    """Beyond `most_languages` languages, those with the most rows are learnt; equal numbers go by name."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 20), x) for i, x in enumerate(["en"] * 8 + ["de"] * 6 + ["xb"] * 4 + ["xa"] * 4 + [f"q{i}" for i in range(30)])]
+    machines = langid.learn(spark.createDataFrame(rows, "key INT, text STRING, lang STRING"), most_languages=3)
+    assert {x for m in machines for x in (m.side, m.other) if not x.startswith("family:")} <= {"en", "de", "xa", ""}
+    assert "xa" in {x for m in machines for x in (m.side, m.other)} and "xb" not in {x for m in machines for x in (m.side, m.other)}
