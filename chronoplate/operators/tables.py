@@ -44,6 +44,11 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to as many tasks as a shuffle has: a file of narrow rows is few tasks, whatever is computed for each row. To be called while rows are narrow."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def few(df: DataFrame, most: int) -> DataFrame:
     """A written table, broadcast if it has `most` rows at most."""
     return F.broadcast(df) if df.count() <= most else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoplate.functions import geometry as G
 from chronoplate.functions import tiling as T
 from chronoplate.operators import flat_polygons as P
+from chronoplate.operators.tables import spread
 from chronoplate.plans.registry import query, rounded, table
 
 #: Corners of a ring about a centre, concave; and how many points a ring about a pole has.
@@ -76,7 +77,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     west, wide, south, high = (F.expr(x) for x in (_W, _E, _S, _N))
     wrap = lambda u: F.when(u > 180, u - 360).otherwise(u)
     corners = [(west, south), (west + wide, south), (west + wide, south + high), (west, south + high), (west, south)]
-    return table(spark, sf_dir, "part").select("p_partkey", F.array(*(G.point(wrap(x), y.cast("double")) for x, y in corners)).alias("ring"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.array(*(G.point(wrap(x), y.cast("double")) for x, y in corners)).alias("ring"))
 
 
 def _roots_sql() -> str:
