@@ -11,3 +11,8 @@ def tasks(df):
 
 def test_boxes_are_dealt(spark):
     assert tasks(flat_queries.boxes(spark, DATA)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_roots_of_extents_are_dealt(spark):
+    for scheme in flat_queries._SCHEMES:
+        assert tasks(flat_queries._kept(spark, DATA, scheme)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
