@@ -16,3 +16,8 @@ def test_boxes_are_dealt(spark):
 def test_roots_of_extents_are_dealt(spark):
     for scheme in flat_queries._SCHEMES:
         assert tasks(flat_queries._kept(spark, DATA, scheme)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_extents_after_splits_are_dealt(spark):
+    both = flat_queries._extents(spark, DATA, 5)
+    assert tasks(both) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
