@@ -196,15 +196,26 @@ def metric(value: Column, unit: str, valid: Column) -> Column:
 def shuffled_blocks(blocks: DataFrame, items: list[str], seed: int, block: str = "block") -> DataFrame:
     """(block, position, item): a seeded order of the items for each block, numbered from 0: Fisher-Yates by a 32-bit linear congruential generator.
 
-    The generator runs on from block to block; a block begins where those before it would have left it, so that blocks are computed apart."""
+    The generator runs on from block to block; a block begins where those before it would have left it, so that blocks are computed apart.
+    It gets there by steps of 1, 2, 4, ... numbers, 32 at most: after 2**32 numbers the generator starts anew."""
     # Multiplier and increment of the generator.
-    grown = lambda state: F.pmod(F.lit(1664525) * state + F.lit(1013904223), F.lit(1 << 32))
+    one = (1664525, 1013904223)
+    grown = lambda state: F.pmod(F.lit(one[0]) * state + F.lit(one[1]), F.lit(1 << 32))
     last = len(items) - 1
     numbers = lambda a, b, step: F.sequence(a.cast("bigint"), b.cast("bigint"), F.lit(step).cast("bigint"))
     if last < 1:
         return blocks.select(block, F.posexplode(F.array(*map(F.lit, items))).alias("position", "item"))
-    n = F.col(block) * last
-    start = F.when(n > 0, F.aggregate(numbers(F.lit(1), F.greatest(n, F.lit(1)), 1), F.lit(seed & 0xFFFFFFFF).cast("bigint"), lambda s, _: grown(s))).otherwise(F.lit(seed & 0xFFFFFFFF).cast("bigint"))
+    leaps = [one]
+    while len(leaps) < 32:
+        a, c = leaps[-1]
+        leaps.append((a * a % (1 << 32), (a + 1) * c % (1 << 32)))
+    low = F.lit((1 << 16) - 1).cast("bigint")
+    steps = F.array(*(F.struct(F.lit(1 << k).cast("bigint").alias("bit"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c")) for k, (a, c) in enumerate(leaps)))
+    # The multiplier goes in halves, since a product would need more than 63 bits.
+    times = lambda a, state: a.bitwiseAND(low) * state + (F.shiftright(a, 16) * state).bitwiseAND(low) * (1 << 16)
+    leapt = lambda state, by: F.pmod(times(by["a"], state) + by["c"], F.lit(1 << 32))
+    n = F.pmod(F.greatest(F.col(block).cast("bigint"), F.lit(0)), F.lit(1 << 32)) * last
+    start = F.aggregate(steps, F.lit(seed & 0xFFFFFFFF).cast("bigint"), lambda state, by: F.when(n.bitwiseAND(by["bit"]) != 0, leapt(state, by)).otherwise(state))
 
     def step(acc: Column, i: Column) -> Column:
         state = grown(acc["state"])
