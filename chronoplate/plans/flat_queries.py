@@ -34,7 +34,7 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = F.array(*(G.point(wrap(lon + cx * (3 + e % 17)), lat + cy * (2 + e % 13)) for cx, cy in [*_CORNERS, _CORNERS[0]]))
     way, pole = F.when(e % 2 == 0, 1).otherwise(-1), F.when(e % 3 == 0, -1).otherwise(1)
     polar = F.transform(F.sequence(F.lit(0), F.lit(_AROUND)), lambda i: G.point(wrap(way * (i * 30 + F.lit(0.37) + e % 29)), (pole * (60 + (e * 7 + i % _AROUND * 5) % 20)).cast("double")))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id")).withColumn("ring", F.when(e % 11 == 0, polar).otherwise(about))
+    return spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))).withColumn("ring", F.when(e % 11 == 0, polar).otherwise(about))
 
 
 def _size(parts: Column) -> Column:

@@ -21,3 +21,7 @@ def test_roots_of_extents_are_dealt(spark):
 def test_extents_after_splits_are_dealt(spark):
     both = flat_queries._extents(spark, DATA, 5)
     assert tasks(both) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rings_are_dealt(spark):
+    assert tasks(flat_queries.rings(spark, DATA)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
