@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplate.functions import geometry as G
-from chronoplate.operators.tables import shared_dir
+from chronoplate.operators.tables import shared_dir, spread
 from chronoplate.plans.registry import dealt, dealt_sql, query, rounded, table
 from chronoplate.sources import artifacts, config, features
 from chronoplate.streaming import requests
@@ -30,7 +30,7 @@ GPML = """<?xml version="1.0"?><gpml:FeatureCollection xmlns:gpml="g" xmlns:gml=
 def gpml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each part."""
     text = F.regexp_replace(F.lit(GPML), F.lit("(GPlates-[12]|v3)"), F.concat(F.lit("$1-"), F.col("p_partkey").cast("string")))
-    rows = features.parse_gpml(table(spark, sf_dir, "part").select(text.alias("text")))
+    rows = features.parse_gpml(spread(table(spark, sf_dir, "part").select("p_partkey")).select(text.alias("text")))
     return rows.select(
         "feature_id", "feature_type", "name", "plate_id", "begin_age", "end_age", "intent", F.size("polygons").alias("polygons"),
         F.aggregate(F.transform("polygons", lambda p: F.size(p["interiors"])), F.lit(0), lambda a, b: a + b).alias("holes"),

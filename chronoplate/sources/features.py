@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from chronoplate.functions import scalars as S
-from chronoplate.functions.geometry import closed
+from chronoplate.functions.geometry import closed, let
 from chronoplate.operators.domains import DISTANT_FUTURE, DISTANT_PAST, intent
 
 #: Element names of geometry properties.
@@ -75,9 +75,8 @@ def kind_of(path: Column, text: Column) -> Column:
 
 
 def _ring(text: Column, dimension: Column) -> Column:
-    """Closed points of a position list, in the order of axes that its numbers show."""
-    values = S.numbers(text)
-    return closed(S.positions(values, dimension, S.is_lat_lon(values, dimension)))
+    """Closed points of a position list, in the order of axes that its numbers show. Numbers and order are found once, not once a point."""
+    return let(S.numbers(text), lambda values: let(S.is_lat_lon(values, dimension), lambda lat_lon: closed(S.positions(values, dimension, lat_lon))))
 
 
 _MEMBER = r"(?s)<(?:[\w.-]+:)?featureMember\b[^>]*>.*?</(?:[\w.-]+:)?featureMember>"
@@ -154,7 +153,7 @@ def parse_members(rows: DataFrame, all_areas: bool = False) -> DataFrame:
     inner = lambda p: F.filter(F.transform(p["interiors"], lambda t: _ring(t, dimension(p))), lambda r: F.size(r) >= 4)
     polygons = F.filter(F.transform("_polygons", lambda p: F.struct(_ring(p["exterior"], dimension(p)).alias("exterior"), inner(p).alias("interiors"))), lambda g: F.size(g["exterior"]) >= 4)
     plate = lambda c: c.cast("bigint").cast("string")
-    shaped = read.filter("feature_type <> ''").withColumn("polygons", polygons)
+    shaped = read.filter("feature_type <> ''").select("*", F.inline(F.array(F.struct(polygons.alias("polygons")))))
     attribute_type = S.attribute(F.col("attributes"), "GPGIM_TYPE")
     return shaped.select(
         "feature_id",

@@ -31,3 +31,15 @@ def test_members_without_rows_or_text(spark):
     got = {r.member_index: r for r in features.parse_members(rows).collect()}
     assert set(got) == {2} and got[2].feature_id == "gpml-feature-2" and got[2].polygons == [] and got[2].attributes == {}
     assert features.parse_members(rows.limit(0)).count() == 0
+
+
+def test_work_on_long_rings_is_in_proportion_to_their_points(spark):
+    import time
+
+    n = 20_000
+    xml = "<gml:featureMember><gpml:Basin><gml:Polygon><gml:exterior><gml:posList>" + " ".join(f"{i % 60} {100 + i % 50}" for i in range(n)) + "</gml:posList></gml:exterior></gml:Polygon></gpml:Basin></gml:featureMember>"
+    rows = spark.createDataFrame([(1, xml)], "member_index LONG, xml STRING").repartition(2)
+    began = time.monotonic()
+    (ring,) = (g["exterior"] for g in features.parse_members(rows).first().polygons)
+    assert time.monotonic() - began < 60
+    assert len(ring) == n + 1 and (ring[7].x, ring[7].y) == (107.0, 7.0)
