@@ -43,7 +43,7 @@ def gpml(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'id-' || p_partkey AS feature_id, 'Basin' AS feature_type, CASE WHEN p_partkey % 3 <> 0 THEN 'part ' || p_partkey END AS name, (p_size % 7)::VARCHAR AS plate_id, (p_partkey % 600)::DOUBLE AS begin_age, 1 AS polygons, (p_size * (p_partkey % 7 + 1))::DOUBLE AS area FROM part",
 )
 def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature member for each part, written as one file and read by members."""
+    """A feature member for each part, written as files by all tasks and read by members."""
     k, w, h = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 7 + 1
     text = lambda c: c.cast("string")
     tag = lambda name, *inside: F.concat(F.lit(f"<{name}>"), *inside, F.lit(f"</{name}>"))
@@ -54,7 +54,7 @@ def member_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<gpml:outlineOf><gml:Polygon><gml:exterior>"), tag("gml:posList", points), F.lit("</gml:exterior></gml:Polygon></gpml:outlineOf></gpml:Basin>"),
     )
     path = f"{shared_dir(spark)}/chronoplate/{uuid.uuid4().hex}/members"
-    table(spark, sf_dir, "part").select(member.alias("value")).coalesce(1).write.text(path)
+    spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(member.alias("value")).write.text(path)
     rows = features.parse_members(features.read_members(spark, path))
     area = F.aggregate(F.transform("polygons", lambda p: F.abs(G.signed_area(p["exterior"]))), F.lit(0.0), lambda a, b: a + b)
     return rows.select("feature_id", "feature_type", "name", "plate_id", "begin_age", F.size("polygons").alias("polygons"), area.alias("area"))

@@ -2,7 +2,7 @@
 
 from conftest import DATA
 
-from chronoplate.plans import flat_queries
+from chronoplate.plans import flat_queries, source_queries
 
 
 def tasks(df):
@@ -25,3 +25,8 @@ def test_extents_after_splits_are_dealt(spark):
 
 def test_rings_are_dealt(spark):
     assert tasks(flat_queries.rings(spark, DATA)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_members_are_written_by_all_tasks(spark):
+    rows = source_queries.member_files(spark, DATA)
+    assert len(rows.inputFiles()) > 1
