@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplate.operators import samplers as P
-from chronoplate.operators.tables import shared_dir
+from chronoplate.operators.tables import shared_dir, spread
 from chronoplate.plans.rotation_queries import WITH_MODEL, model
 from chronoplate.plans.registry import dealt, dealt_sql, query, table
 from chronoplate.sources import artifacts, experiments, features, presets, rot
@@ -233,7 +233,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('}, "output": {"width": '), text(k % 4), F.lit(', "configuredCssHeight": 10.5, "height": 7, "pixelRatio": 2}, '), F.when(k % 5 == 0, "").otherwise(sources),
         F.lit('"render": {"level": '), text(k % 4 - 2), F.lit('.5, "polygonRenderIntent": "'), pick(["classified", "x"], 2), F.lit('", "debugEnabled": true}}'),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 29 == 0, F.lit("[1]")).when(k % 31 == 0, F.lit("{broken")).otherwise(doc).alias("config"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.when(k % 29 == 0, F.lit("[1]")).when(k % 31 == 0, F.lit("{broken")).otherwise(doc).alias("config"))
 
 
 _CONTROLS = """WITH k AS (SELECT p_partkey, p_partkey AS k, p_partkey % 5 <> 0 AS s, CASE WHEN p_partkey % 29 = 0 OR p_partkey % 31 = 0 THEN 'no object' WHEN p_partkey % 23 = 0 THEN 'another schema version' END AS error FROM part),
@@ -246,10 +246,10 @@ c AS (SELECT p_partkey, error, CASE WHEN error IS NULL THEN 'c' || k END AS case
   CASE WHEN error IS NULL THEN CASE k % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 END END::INT AS level, CASE WHEN error IS NULL AND k % 2 = 0 THEN 'classified' END AS render_intent, CASE WHEN error IS NULL THEN TRUE END AS debug FROM k)"""
 
 
-def _controls(rows: DataFrame) -> DataFrame:
+def _controls(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
         "p_partkey", "error", "case_id", "age", "view_mode", "extent.west", "output.width", "output.height", "feature_preset", "feature_url", "outline_color", "outline_key", "anchor_mode", "anchor",
-        F.array_join("rotation_urls", " ").alias("rotation_urls"), "provider", F.col("custom_provider.max_level").alias("custom_max"), "level", "render_intent", "debug",
+        F.array_join("rotation_urls", " ").alias("rotation_urls"), "provider", F.col("custom_provider.max_level").alias("custom_max"), "level", "render_intent", "debug", *more,
     )
 
 
@@ -265,9 +265,11 @@ def experiment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def experiment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents exported from their controls and read again."""
-    controls = experiments.imported(documents(spark, sf_dir)).filter("error is null")
-    out = controls.select("p_partkey", experiments.exported(controls).alias("config"))
+    once = lambda df, **named: df.select("p_partkey", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))  # noqa: E731  (a generator: nothing before it is computed again after it)
+    imported = experiments.imported(documents(spark, sf_dir))
+    controls = once(imported, **{c: F.col(c) for c in imported.columns if c != "p_partkey"}).filter("error is null")
+    out = once(controls, config=experiments.exported(controls))
     more = F.from_json("config", "projection STRING, centralMeridian DOUBLE")
-    extra = out.select(F.col("p_partkey").alias("k"), more.alias("m"))
-    back = _controls(experiments.imported(out)).join(extra, F.col("p_partkey") == F.col("k"))
-    return back.withColumns({"projection": F.col("m.projection"), "central_meridian": F.col("m.centralMeridian")}).drop("k", "m")
+    back = experiments.imported(out.select("p_partkey", "config", more.alias("m")))
+    back = _controls(back, "m")
+    return back.withColumns({"projection": F.col("m.projection"), "central_meridian": F.col("m.centralMeridian")}).drop("m")

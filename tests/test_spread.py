@@ -2,7 +2,7 @@
 
 from conftest import DATA
 
-from chronoplate.plans import flat_queries, source_queries
+from chronoplate.plans import flat_queries, sampler_queries, source_queries
 
 
 def tasks(df):
@@ -30,3 +30,9 @@ def test_rings_are_dealt(spark):
 def test_members_are_written_by_all_tasks(spark):
     rows = source_queries.member_files(spark, DATA)
     assert len(rows.inputFiles()) > 1
+
+
+def test_documents_are_exported_once(spark):
+    rows = sampler_queries.experiment_export(spark, DATA)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert tasks(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
