@@ -36,3 +36,7 @@ def test_documents_are_exported_once(spark):
     rows = sampler_queries.experiment_export(spark, DATA)
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert tasks(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_experiments_are_dealt(spark):
+    assert tasks(sampler_queries.experiment_import(spark, DATA)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
