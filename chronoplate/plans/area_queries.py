@@ -10,6 +10,7 @@ from chronoplate.functions import rotation as R
 from chronoplate.operators import areas as A
 from chronoplate.operators.rotations import baked, plate_matrices
 from chronoplate.plans.domain_queries import DOMAINS, domains
+from chronoplate.operators.tables import spread
 from chronoplate.plans.registry import query, rounded, table
 from chronoplate.plans.rotation_queries import WITH_MODEL, totals
 
@@ -94,7 +95,7 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col(_K)
     outer = F.when(k % 13 == 0, G.from_flat(F.array(*map(F.lit, (0.0, 0.0, 5.0, 5.0, 9.0, 9.0))))).otherwise(box(0.0, 0.0, 10.0, 10.0))
     holes = F.slice(F.array(box(2.0, 2.0, 3.0, 3.0), box(6.0, 5.0, 7.0, 8.0)), F.lit(1), (k % 3).cast("int"))
-    rows = table(spark, sf_dir, "part").select((k % 11).alias("grp"), F.array(A.polygon(outer, holes)).alias("area"))
+    rows = spread(table(spark, sf_dir, "part").select(_K)).select((k % 11).alias("grp"), F.array(A.polygon(outer, holes)).alias("area"))
     return rounded(A.mask_report(rows, ["grp"]), "deviation")
 
 
