@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoplate.functions import geometry as G
 from chronoplate.functions import scalars as S
+from chronoplate.operators.tables import spread
 from chronoplate.plans.registry import query, rounded, table
 from chronoplate.sources import features, providers
 
@@ -99,7 +100,7 @@ def loaded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     legacy = _text('[{"FeatureID":"f', k, '","PlateID":"', w % 7, '","Polygon":[{"PosList":[', at(F.lit(0), F.lit(0)), ",", at(F.lit(0), w), ",", at(h, w), "]}]}]")
     gpml = _text("<x><gml:featureMember><gpml:Basin><gpml:identity>g", k, "</gpml:identity><gpml:reconstructionPlateId>", w % 7, "</gpml:reconstructionPlateId><gpml:outlineOf><gml:Polygon><gml:exterior><gml:posList>0 100 0 ", w + 100, " ", h, " ", w + 100, "</gml:posList></gml:exterior></gml:Polygon></gpml:outlineOf></gpml:Basin></gml:featureMember></x>")
     text = F.when(k % 3 == 0, gpml).when(k % 3 == 1, _text("  ", legacy)).otherwise("none")
-    files = table(spark, sf_dir, "part").select(text.alias("text")).withColumn("kind", features.kind_of(F.lit("blob:1"), F.col("text")))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(text.alias("text")).withColumn("kind", features.kind_of(F.lit("blob:1"), F.col("text")))
     area = F.aggregate(F.transform("polygons", lambda p: F.abs(G.signed_area(p["exterior"]))), F.lit(0.0), lambda a, b: a + b)
     one = features.parse_gpml(files.filter("kind = 'gpml'")).select("feature_id", "plate_id", F.lit("gpml").alias("kind"), area.alias("area"))
     return one.unionByName(features.parse_legacy_json(files.filter("kind = 'json'")).select("feature_id", "plate_id", F.lit("json").alias("kind"), F.abs(G.signed_area(F.col("exterior"))).alias("area")))

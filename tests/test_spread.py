@@ -2,7 +2,7 @@
 
 from conftest import DATA
 
-from chronoplate.plans import area_queries, flat_queries, sampler_queries, source_queries
+from chronoplate.plans import area_queries, flat_queries, sampler_queries, source_queries, text_queries
 
 
 def tasks(df):
@@ -42,6 +42,10 @@ def test_experiments_are_dealt(spark):
     assert tasks(sampler_queries.experiment_import(spark, DATA)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_loaded_items_are_dealt(spark):
+    assert tasks(text_queries.loaded_items(spark, DATA)) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_polygons_of_triangles_are_dealt(spark):
     plan = area_queries.triangles(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
