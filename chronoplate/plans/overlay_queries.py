@@ -10,6 +10,7 @@ from chronoplate.functions import tiling as T
 from chronoplate.operators import areas as A
 from chronoplate.operators import overlay as V
 from chronoplate.operators import raster as RA
+from chronoplate.operators.tables import spread
 from chronoplate.plans.registry import query, rounded, table
 
 #: Two boxes of each order: the first with a hole, the second beside or over it; all bounds by arithmetic on the key.
@@ -30,7 +31,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = ([F.expr(x) for x in side] for side in (_A, _B))
     hole = _box(a[0] + a[2] * 0.25, a[1] + a[3] * 0.25, a[2] * 0.5, a[3] * 0.5)
     none = F.array().cast("array<array<struct<x: double, y: double>>>")
-    return table(spark, sf_dir, "orders").select(_K, F.array(A.polygon(_box(*a), F.array(hole))).alias("a"), F.array(A.polygon(_box(*b), none)).alias("b"))
+    return spread(table(spark, sf_dir, "orders").select(_K)).select(_K, F.array(A.polygon(_box(*a), F.array(hole))).alias("a"), F.array(A.polygon(_box(*b), none)).alias("b"))
 
 
 _SIZE = {"union": "a + b - i", "intersection": "i", "difference": "a - i", "xor": "a + b - 2 * i"}
@@ -38,10 +39,8 @@ _SIZE = {"union": "a + b - i", "intersection": "i", "difference": "a - i", "xor"
 
 @query("U4_overlay_sizes", f"WITH {_BOXES} " + " UNION ALL ".join(f"SELECT {_K}, '{o}' AS operation, round({x}, 6)::DOUBLE AS size FROM s WHERE {x} > 1e-9" for o, x in _SIZE.items()))
 def overlay_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = [V.sizes(pairs(spark, sf_dir), o, _K).withColumn("operation", F.lit(o)) for o in V.OPERATIONS]
-    out = each[0]
-    for more in each[1:]:
-        out = out.unionByName(more)
+    each = F.array(*(F.struct(F.lit(o).alias("operation"), F.col(f"sizes.{o}").alias("size")) for o in V.OPERATIONS))
+    out = V.with_sizes(pairs(spark, sf_dir), _K).select(_K, F.inline(each))
     return rounded(out.filter("size > 1e-9").select(_K, "operation", "size"), "size")
 
 
@@ -49,9 +48,9 @@ def overlay_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def difference_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second area leaves of the first, as an area: its size, and whether it lies apart from the second, by sizes of overlays of the result."""
     both = pairs(spark, sf_dir)
-    left = V.overlay(both, "difference", _K)
-    shared = V.sizes(left.join(both.select(_K, "b"), _K), "intersection", _K, "area", "b").filter("size > 1e-9").select(_K, F.lit(True).alias("shared"))
-    rows = left.select(_K, A.size(F.col("area")).alias("size")).join(shared, _K, "left").select(_K, "size", F.col("shared").isNull().alias("apart"))
+    left = V.with_sizes(V.overlay(both, "difference", _K, keep=("b",)), _K, "area", "b")
+    shared = F.coalesce(F.col("sizes.intersection") > 1e-9, F.lit(False))
+    rows = left.select(_K, A.size(F.col("area")).alias("size"), (~shared).alias("apart"))
     return rounded(rows.filter("size > 1e-9"), "size")
 
 
