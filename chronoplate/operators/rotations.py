@@ -212,13 +212,16 @@ class RotationModel:
         found = plate_matrices(self.rotations(asked))
         return found.withColumn("m", R.transpose(F.col("m"))) if inverse else found
 
-    def at_age(self, points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-        """Points (plate_id, age, ...) with where they were at their age."""
-        return rotate_points(points, self.rotations(points.select("plate_id", "age")), lon, lat)
+    def at_age(self, points: DataFrame, lon: str = "lon", lat: str = "lat", rotations: DataFrame | None = None) -> DataFrame:
+        """Points (plate_id, age, ...) with where they were at their age. `rotations` are those of their plates and ages, if they are known."""
+        return rotate_points(points, self._known(points, rotations), lon, lat)
 
-    def at_present(self, points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    def at_present(self, points: DataFrame, lon: str = "lon", lat: str = "lat", rotations: DataFrame | None = None) -> DataFrame:
         """Points of their age with where they are today."""
-        return rotate_points(points, self.rotations(points.select("plate_id", "age")), lon, lat, inverse=True)
+        return rotate_points(points, self._known(points, rotations), lon, lat, inverse=True)
+
+    def _known(self, points: DataFrame, rotations: DataFrame | None) -> DataFrame:
+        return self.rotations(points.select("plate_id", "age")) if rotations is None else rotations
 
 
 def baked(records: DataFrame, rotations: DataFrame, age: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoplate.functions import rotation as R
 from chronoplate.operators import rotations as O
+from chronoplate.operators.tables import spread, written
 from chronoplate.plans.registry import q_columns, query, rounded, table
 from chronoplate.sources import rot
 
@@ -208,10 +209,11 @@ def points_to_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M10_there_and_back", WITH_MODEL + f", {_POINTS} SELECT event_id, CASE WHEN known THEN CASE WHEN abs(lon) > 179.9999 THEN -180 ELSE round(lon, 4) END END::DOUBLE AS lon, CASE WHEN known THEN round(lat, 4) END::DOUBLE AS lat FROM pts LEFT JOIN m USING (plate_id, age)")
 def there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points to their age and back to the present, by pairs of plate and age."""
-    own = O.RotationModel(model(spark, sf_dir))
-    there = own.at_age(points(spark, sf_dir)).select("event_id", "plate_id", "age", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat"))
-    back = rounded(own.at_present(there).select("event_id", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat")), "lon", "lat", digits=4)
+    """Points to their age and back to the present, by pairs of plate and age, whose rotations are found once."""
+    own, given = O.RotationModel(model(spark, sf_dir)), points(spark, sf_dir)
+    turns = written(own.rotations(given.select("plate_id", "age")), "turns")
+    there = own.at_age(spread(given), rotations=turns).select("event_id", "plate_id", "age", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat"))
+    back = rounded(own.at_present(there, rotations=turns).select("event_id", F.col("new_lon").alias("lon"), F.col("new_lat").alias("lat")), "lon", "lat", digits=4)
     return back.withColumn("lon", F.when(F.abs("lon") > 179.9999, F.lit(-180.0)).otherwise(F.col("lon")))
 
 
