@@ -92,7 +92,7 @@ def _triangles(exterior: pd.Series, holes: pd.Series) -> pd.DataFrame:
 
 
 def triangulated(areas: DataFrame, area: str = "area") -> DataFrame:
-    """A row for each polygon of each row's area, with `interiors` (how many), `triangles`, `unbridged` (holes that no triangles go round, as no edge lies east of them), `deviation` of the triangles' areas from the polygon's, and `skipped` where the exterior holds nothing. A polygon is one call of a Python helper, near to linear in its points, in Arrow batches."""
+    """A row for each polygon of each row's area, with `interiors` (how many), `triangles`, `unbridged` (holes that no triangles go round, as no edge lies east of them), `deviation` of the triangles' areas from the polygon's, and `skipped` where the exterior holds nothing. A polygon is one call of a Python helper, in Arrow batches."""
     rows = areas.withColumn("g", F.explode(area)).drop(area)
     holes = F.filter(F.transform(F.coalesce("g.interiors", F.array().cast("array<array<struct<x: double, y: double>>>")), lambda r: prepared(r, False)), lambda r: r.isNotNull())
     rows = rows.withColumns({"_e": prepared(F.col("g.exterior"), True), "_h": holes, "interiors": F.coalesce(F.size("g.interiors"), F.lit(0))})
