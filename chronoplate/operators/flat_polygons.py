@@ -1,14 +1,21 @@
 """Flat polygons in degrees: cutting at the antimeridian, bridges over the poles, roots, and the descent through their tiles.
 
 A flat polygon is one closed ring. Longitudes lie in [-180, 180] and jump where an edge crosses the antimeridian. Everything is
-made of built-in functions on the polygon's row, without a shuffle: tiles are a frontier of nodes, a row each, that goes down a level at
-a time, and the search for a branching node is a fold on its root's row.
+made on the polygon's row, without a shuffle, and of built-in functions but for one step: tiles are a frontier of nodes, a row each, that
+goes down a level at a time, and the search for branching nodes takes all roots of an Arrow batch down together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from chronoplate.functions import geometry as G
 from chronoplate.functions import tiling as T
@@ -181,27 +188,146 @@ def tiles_at(root_nodes: DataFrame, level: int, scheme: str = T.GEOGRAPHIC) -> D
     return nodes.filter("status <> 'NONE'")
 
 
-_POINTS = "array<struct<x:double,y:double>>"
 _RECTANGLE = ("west", "south", "east", "north")
+#: Children of nodes of this level have numbers that are no 32-bit integers.
+_LAST = 30
+_NONE, _CLIP, _FULL = range(3)
+
+
+class _Rings(NamedTuple):
+    """Open rings of shares, one after the other: their points, whether x is known (latitudes always are), and how many points each ring has."""
+
+    x: np.ndarray
+    y: np.ndarray
+    known: np.ndarray
+    counts: np.ndarray
+
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def after(self) -> np.ndarray:
+        """The place of the next point round its ring."""
+        places, ends, some = np.arange(1, len(self.x) + 1), np.cumsum(self.counts), self.counts > 0
+        places[ends[some] - 1] = (ends - self.counts)[some]
+        return places
+
+    def only(self, rows: np.ndarray) -> _Rings:
+        held = np.repeat(rows, self.counts)
+        return _Rings(self.x[held], self.y[held], self.known[held], self.counts[rows])
+
+
+def _rings(clips: pa.Array) -> _Rings:
+    """Rings of an Arrow batch; a null one has no points."""
+    x, y = clips.flatten().flatten()
+    counts = pc.fill_null(pc.list_value_length(clips), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _Rings(*(c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in (x, y)), x.is_valid().to_numpy(zero_copy_only=False), counts)
+
+
+def _half(rings: _Rings, axis: str, limit: np.ndarray, below: bool) -> _Rings:
+    """G.half_plane() of each ring at its own limit. As there, NaN is above all numbers, and what has no x is on no side of one."""
+    of, after = rings.of(), rings.after()
+    v, w = (rings.x, rings.y) if axis == "x" else (rings.y, rings.x)
+    at = limit[of]
+    inside = v <= at if below else ~(v < at)
+    crosses = inside != inside[after]
+    if axis == "x":
+        inside, crosses = inside & rings.known, crosses & rings.known & rings.known[after]
+    n = inside.astype(np.int64) + crosses
+    first = np.cumsum(n) - n
+    points = int(n.sum())
+    to_v, to_w, known = np.empty(points), np.empty(points), np.empty(points, bool)
+    kept, p = first[inside], np.flatnonzero(crosses)
+    to_v[kept], to_w[kept], known[kept] = v[inside], w[inside], rings.known[inside]
+    cut, q = first[p] + inside[p], after[p]
+    to_v[cut], to_w[cut], known[cut] = at[p], w[p] + (at[p] - v[p]) / (v[q] - v[p]) * (w[q] - w[p]), rings.known[p] & rings.known[q]
+    x, y = (to_v, to_w) if axis == "x" else (to_w, to_v)
+    return _Rings(x, y, known, np.bincount(of, n, len(rings.counts)).astype(np.int64))
+
+
+def _modes(rings: _Rings) -> np.ndarray:
+    """clip_mode() of each ring."""
+    x, y, of, after, n = rings.x, rings.y, rings.of(), rings.after(), len(rings.counts)
+    on = ((x == 0) | (x == 1)) & (y >= 0) & (y <= 1) | ((y == 0) | (y == 1)) & (x >= 0) & (x <= 1)
+    off = np.bincount(of, ~(on & rings.known), n) > 0
+    held = np.abs(np.bincount(of, x * y[after] - x[after] * y, n) / 2)
+    return np.select([rings.counts < 3, off, held <= G.EPSILON, held >= 1 - G.EPSILON], [_NONE, _CLIP, _NONE, _FULL], _CLIP)
+
+
+def _quarter(rings: _Rings, ratio: np.ndarray, kinds: tuple[int, ...]) -> list[_Rings]:
+    """Each ring's part in its children of these kinds, in their shares; see _quarters()."""
+    half, out = np.full(len(ratio), 0.5), []
+    sides = {east: _half(rings, "x", half, not east) for east in {k >= 2 for k in kinds}}
+    for k in kinds:
+        east, north = k >= 2, k % 2 == 1
+        part = _half(sides[east], "y", ratio, not north)
+        r = ratio[part.of()]
+        out.append(part._replace(x=(part.x - 0.5 * east) * 2, y=(part.y - r) / (1 - r) if north else part.y / r))
+    return out
 
 
-def _kids(node: Column, scheme: str) -> Column:
-    """The four children of one node, a struct<child, x, y, l, west, south, east, north, ring, status>, as an array."""
-    upper = T.rectangle(node["x"] * 2, node["y"] * 2, node["l"] + 1, scheme)
-    lower = T.rectangle(node["x"] * 2, node["y"] * 2 + 1, node["l"] + 1, scheme)
-    ratio = (lower["north"] - lower["south"]) / (upper["north"] - lower["south"])
-    x, y = (node["west"] + node["east"]) / 2, (node["south"] + node["north"]) / 2
-    full = node["status"] == "FULL"
+def _chosen(options: list[_Rings], which: np.ndarray) -> _Rings:
+    """Each row's ring from the one of the options that is its own."""
+    counts = np.choose(which, [o.counts for o in options])
+    start, points = np.cumsum(counts) - counts, int(counts.sum())
+    out = _Rings(np.empty(points), np.empty(points), np.empty(points, bool), counts)
+    for k, o in enumerate(options):
+        of, rows = o.of(), which == k
+        held = np.flatnonzero(rows[of])
+        to = start[of[held]] + held - (np.cumsum(o.counts) - o.counts)[of[held]]
+        out.x[to], out.y[to], out.known[to] = o.x[held], o.y[held], o.known[held]
+    return out
 
-    def child(k: int, ring: Column) -> Column:
-        east, north = k >= 2, k % 2 == 1
-        rect = {"west": x if east else node["west"], "south": y if north else node["south"], "east": node["east"] if east else x, "north": node["north"] if north else y}
-        status = F.when(full, "FULL").otherwise(clip_mode(ring))
-        place = (F.lit(k).alias("child"), (node["x"] * 2 + int(east)).alias("x"), (node["y"] * 2 + int(not north)).alias("y"), (node["l"] + 1).alias("l"))
-        return F.struct(*place, *(c.alias(n) for n, c in rect.items()), ring.alias("ring"), status.alias("status"))
 
-    rings = F.when(full, F.array(*[F.array().cast(_POINTS)] * 4)).otherwise(G.let(ratio, lambda r: _quarters(node["ring"], r)))
-    return G.let(rings, lambda rs: F.array(*(child(k, F.get(rs, F.lit(k))) for k in range(4))))
+def _lat(share: np.ndarray, mercator: np.ndarray) -> np.ndarray:
+    return np.where(mercator, np.degrees(np.arctan(np.sinh(np.pi * (1 - 2 * share)))), 90 - share * 180)
+
+
+def _descended(node: dict[str, np.ndarray], rings: _Rings, mercator: np.ndarray, split_to: int) -> np.ndarray:
+    """Takes each node down to where its search ends, see extents(); returns which are complete. Rings are those of nodes that are cut."""
+    done = node["status"] != _CLIP
+    complete, full = done.copy(), np.zeros(len(done), bool)
+    child = np.full(len(done), -1)
+
+    def go(rows: np.ndarray, k: np.ndarray) -> None:
+        east, north = k >= 2, k % 2 == 1
+        for low, high, upper in (("west", "east", east), ("south", "north", north)):
+            middle = (node[low][rows] + node[high][rows]) / 2
+            node[low][rows], node[high][rows] = np.where(upper, middle, node[low][rows]), np.where(upper, node[high][rows], middle)
+        node["x"][rows], node["y"][rows] = node["x"][rows] * 2 + east, node["y"][rows] * 2 + ~north
+        node["l"][rows] += 1
+        child[rows] = k
+
+    live = np.flatnonzero(~done)
+    rings = rings.only(~done)
+    for step in range(DEEPEST * (4 if split_to else 1)):
+        stage = step % 4 if split_to else 0
+        looks = node["l"][live] < _LAST if stage == 0 else (child[live] < stage) & (node["l"][live] < min(split_to, _LAST))
+        if stage == 0:  # no child is seen of those that are as deep as numbers go
+            live, rings = live[looks], rings.only(looks)
+            looks = looks[looks]
+        rows = live[looks]
+        if not len(rows):
+            if stage == 0:
+                break
+            continue
+        y, n = node["y"][rows], 2.0 ** (node["l"][rows] + 1)
+        top, middle, low = (_lat((2 * y + k) / n, mercator[rows]) for k in range(3))
+        kinds = (stage,) if stage else (0, 1, 2, 3)
+        kids = _quarter(rings.only(looks), (middle - low) / (top - low), kinds)
+        modes = np.where(full[rows], _FULL, np.stack([_modes(r) for r in kids]))
+        seen = modes != _NONE
+        one, to = seen.sum(0) == 1, seen.argmax(0)
+        moved = rows[one]
+        go(moved, np.array(kinds)[to[one]])
+        full[moved] = modes[to, np.arange(len(rows))][one] == _FULL
+        if stage == 0:
+            complete[rows] = seen.sum(0) > 1
+            live, rings = moved, _chosen(kids, to).only(one)
+        else:
+            counts, goes = np.zeros(len(live), np.int64), looks.copy()
+            counts[looks], goes[looks] = kids[0].counts, one
+            rings = _chosen([rings, kids[0]._replace(counts=counts)], goes.astype(int))
+    return complete
 
 
 def extents(root_nodes: DataFrame, scheme: str = T.GEOGRAPHIC, split_to: int = 0) -> DataFrame:
@@ -212,28 +338,20 @@ def extents(root_nodes: DataFrame, scheme: str = T.GEOGRAPHIC, split_to: int = 0
     later kinds among nodes that have been split before: those above level `split_to`, as left by tiles_at(split_to). It can so
     pass a branching node. A root under which no node branches is not `complete`: a node without children, or DEEPEST levels.
 
-    Each root goes down on its own row, with nothing to shuffle."""
-    kind = f"struct<node:struct<child:int,x:int,y:int,l:int,{','.join(f'{c}:double' for c in _RECTANGLE)},ring:{_POINTS},status:string>,stage:int,done:boolean,complete:boolean>"
-    state = lambda node, stage, done, complete: F.struct(node.alias("node"), stage.alias("stage"), done.alias("done"), complete.alias("complete")).cast(kind)
-    yes, no = F.lit(True), F.lit(False)
-
-    def looked(s: Column, kids: Column) -> Column:
-        """Stage 0 counts a node's children and goes to the only one, stages 1 to 3 look for a later kind."""
-        node, stage = s["node"], s["stage"]
-        seen = F.filter(kids, lambda c: (c["status"] != "NONE") & ((stage == 0) | (c["child"] == stage)))
-        one = F.size(seen) == 1
-        to = F.when(one, F.get(seen, F.lit(0))).otherwise(node)
-        after = (stage + 1) % 4 if split_to else F.lit(0)
-        return F.when((stage == 0) & ~one, state(node, stage, yes, F.size(seen) > 1)).otherwise(state(to, after, no, no))
-
-    def down(s: Column, _: Column) -> Column:
-        still = s["done"] | ((s["stage"] > 0) & ((s["node"]["child"] >= s["stage"]) | (s["node"]["l"] >= split_to)))
-        none = F.array().cast(f"array<{kind[12:].split(',stage')[0]}>")
-        kids = F.when(still, none).otherwise(_kids(s["node"], scheme))
-        return F.when(s["done"], s).otherwise(G.let(kids, lambda k: looked(s, k)))
-
-    whole = F.struct(F.lit(-1).alias("child"), "x", "y", "l", *_RECTANGLE, F.coalesce(G.opened(F.col("clip")), F.array().cast(_POINTS)).alias("ring"), "status")
-    start = state(whole, F.lit(0), F.col("status") != "CLIP", F.col("status") != "CLIP")
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST * (4 if split_to else 1))), start, down)
-    out = root_nodes.select("*", F.inline(F.array(F.struct(found.alias("_found")))))
-    return out.select(*[c for c in root_nodes.columns if c not in ("clip", "status")], *(F.col(f"_found.node.{c}").alias(f"to_{c}") for c in ("x", "y", "l", *_RECTANGLE)), "_found.complete")
+    Each root goes down on its own row, in Arrow batches (numpy) and with nothing to shuffle; a step is one pass over the batch's rings that are still on their way."""
+    rest = [c for c in root_nodes.columns if c not in ("clip", "status")]
+    told = [f"to_{c}" for c in ("x", "y", "l", *_RECTANGLE)]
+    number = {c: IntegerType() if c in ("to_x", "to_y", "to_l") else DoubleType() for c in told}
+    schema = StructType([*root_nodes.select(*rest).schema.fields, *(StructField(c, t) for c, t in number.items()), StructField("complete", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64 if c in ("x", "y", "l") else float) for c in ("x", "y", "l", *_RECTANGLE)}
+            node["status"] = np.where(batch.column("_cut").to_numpy(zero_copy_only=False), _CLIP, _NONE)
+            with np.errstate(all="ignore"):
+                complete = _descended(node, _rings(batch.column("_ring")), np.full(batch.num_rows, scheme == T.MERCATOR), split_to)
+            found = [pa.array(node[c[3:]], pa.int32() if number[c] == IntegerType() else pa.float64()) for c in told]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *found, pa.array(complete)], schema.names)
+
+    cut = F.col("status") == "CLIP"
+    return root_nodes.select(*rest, cut.alias("_cut"), F.when(cut, G.opened(F.col("clip"))).alias("_ring")).mapInArrow(run, schema)

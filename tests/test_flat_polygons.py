@@ -100,3 +100,32 @@ def test_extents_hold_their_rings_and_say_when_nothing_branches(spark):
     full = [(-180.0, -90.0), (0.0, -90.0), (0.0, 90.0), (-180.0, 90.0), (-180.0, -90.0)]
     got = P.extents(P.roots(P.cut_at_antimeridian(frame(spark, [corner, full])))).collect()
     assert [r.complete for r in got if r.id == 0] in ([False], [True]) and len(got) >= 2
+
+
+@pytest.mark.parametrize("scheme", [T.GEOGRAPHIC, T.MERCATOR])
+def test_extents_go_down_in_batches_as_children_do(spark, scheme):
+    rng = random.Random(3)
+    rings = [[(x / 3 ** (i % 4) + 20, y / 3 ** (i % 4) + 9) for x, y in star(rng)] for i in range(24)]
+    rings += [[(22.5 + a, 11.25 + b) for a, b in ((0.0, 0.0), (0.3, 0.0), (0.3, 0.2), (0.0, 0.0))], [(None, 3.0), (30.0, 3.0), (33.0, 4.0), (31.0, 7.0), (None, 3.0)], [(float("nan"), 3.0), (30.0, 3.0), (33.0, 4.0), (31.0, 7.0)]]
+    nodes = P.roots(P.cut_at_antimeridian(frame(spark, rings)), scheme).withColumn("root", F.col("x"))
+    found = P.extents(nodes, scheme)
+    assert "aggregate(sequence" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "MapInArrow" in plan
+    got = {(r.id, r.root): (r.to_l, r.to_x, r.to_y) for r in found.collect()}
+    kids = [r for level in range(3) for r in P.children(P.tiles_at(nodes, level, scheme), scheme).filter("status <> 'NONE'").select("id", "root", "x", "y", "l").collect()]
+    below = {}
+    for r in kids:
+        below.setdefault((r.id, r.root, r.l - 1, r.x // 2, r.y // 2), []).append((r.l, r.x, r.y))
+    ends = 0
+    for (i, root), to in got.items():
+        at = (0, root, 0)
+        while at[0] < 3 and len(some := below.get((i, root, *at), [])) == 1:
+            at = some[0]
+        assert at == to or at[0] == 3 and to[0] >= 3
+        ends += at == to
+    assert len(got) > 20 and ends > 10
+
+
+def test_a_speck_in_split_tiles_ends_where_numbers_do(spark):
+    speck = [(1e-13, 1e-13), (3e-13, 1e-13), (3e-13, 2e-13), (1e-13, 1e-13)]
+    got = P.extents(P.roots(P.cut_at_antimeridian(frame(spark, [speck]))), split_to=6).collect()
+    assert [(r.complete, r.to_l <= 30) for r in got] == [(False, True)]
