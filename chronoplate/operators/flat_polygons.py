@@ -31,6 +31,10 @@ SAME_POINT = 1e-7
 DEEPEST = 28
 
 
+_CROSSINGS = "array<struct<i:int,east:boolean,y:double>>"
+_DEALT = "array<struct<part:int,x:double,y:double>>"
+
+
 def _crossings(ring: Column) -> Column:
     """array<struct<i, east, y>>: the edges, by their first vertex, that cross the antimeridian, whether eastward, and the latitude where they do."""
 
@@ -43,7 +47,9 @@ def _crossings(ring: Column) -> Column:
         y = p["y"] + (side - p["x"]) / (step + F.when(east, 360.0).otherwise(-360.0)) * (q["y"] - p["y"])
         return F.when(crosses, F.struct(i.alias("i"), east.alias("east"), y.alias("y")))
 
-    return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), crossing))
+    # Longitudes cross only between points beyond NEAR on both sides; numbers that are none are looked at edge by edge.
+    reaches = F.exists(ring, lambda p: p["x"] > NEAR) & F.exists(ring, lambda p: p["x"] < -NEAR) | F.exists(ring, lambda p: F.abs(p["x"]) > 180)
+    return F.when(reaches, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), crossing))).otherwise(F.array().cast(_CROSSINGS))
 
 
 def _winding(ring: Column, crossings: Column) -> Column:
@@ -62,28 +68,35 @@ def _bridge(ring: Column, crossings: Column) -> Column:
 
 def _dealt(ring: Column, crossings: Column, bridge: Column) -> Column:
     """array<struct<part, x, y>>: the vertices with the bridge's, each in part 0 or 1; the points on the antimeridian are in both, on either side."""
-    left = F.filter(crossings, lambda c: bridge["i"].isNull() | (c["i"] != bridge["i"]))
-    even = F.size(left) % 2 == 0  # an odd number leaves the polygon whole
     point = lambda part, x, y: F.struct(part.alias("part"), x.alias("x"), y.alias("y"))
+    none = F.array().cast(_DEALT)
+
+    def dealt(left: Column) -> Column:
+        even = F.size(left) % 2 == 0  # an odd number leaves the polygon whole
 
-    def at(p: Column, i: Column) -> Column:
-        part = F.when(even, F.size(F.filter(left, lambda c: c["i"] < i)) % 2).otherwise(0)
-        side = F.when(bridge["east"], 180.0).otherwise(-180.0)
-        over = F.array(*(point(part, x, y) for x, y in ((side, bridge["y"]), (side, bridge["pole"] * POLAR_LIMIT), (-side, bridge["pole"] * POLAR_LIMIT), (-side, bridge["y"]))))
-        none = F.filter(over, lambda _: F.lit(False))
-        here = F.when(even, F.get(F.filter(left, lambda c: c["i"] == i), F.lit(0)))
-        edge = F.when(here["east"], 180.0).otherwise(-180.0)
-        both = F.array(point(part, edge, here["y"]), point(1 - part, -edge, here["y"]))
-        return F.concat(F.array(point(part, p["x"], p["y"])), F.when(bridge["i"] == i, over).otherwise(none), F.when(here.isNotNull(), both).otherwise(none))
+        def at(p: Column, i: Column, part: Column) -> Column:
+            side = F.when(bridge["east"], 180.0).otherwise(-180.0)
+            over = F.array(*(point(part, x, y) for x, y in ((side, bridge["y"]), (side, bridge["pole"] * POLAR_LIMIT), (-side, bridge["pole"] * POLAR_LIMIT), (-side, bridge["y"]))))
+            here = F.when(even, F.get(F.filter(left, lambda c: c["i"] == i), F.lit(0)))
+            edge = lambda h: F.when(h["east"], 180.0).otherwise(-180.0)
+            both = G.let(here, lambda h: F.when(h.isNotNull(), F.array(point(part, edge(h), h["y"]), point(1 - part, -edge(h), h["y"]))).otherwise(none))
+            return F.concat(F.array(point(part, p["x"], p["y"])), F.when(bridge["i"] == i, over).otherwise(none), both)
 
-    return F.flatten(F.transform(ring, at))
+        part = lambda i: F.when(even, F.size(F.filter(left, lambda c: c["i"] < i)) % 2).otherwise(0)
+        return F.flatten(F.transform(ring, lambda p, i: G.let(part(i), lambda k: at(p, i, k))))
+
+    return G.let(F.filter(crossings, lambda c: bridge["i"].isNull() | (c["i"] != bridge["i"])), dealt)
 
 
 def _ring_of(dealt: Column, part: int) -> Column:
     """One part, closed."""
-    mine = F.transform(F.filter(dealt, lambda p: p["part"] == part), lambda p: G.point(p["x"], p["y"]))
+    return _ended(F.transform(F.filter(dealt, lambda p: p["part"] == part), lambda p: G.point(p["x"], p["y"])))
+
+
+def _ended(ring: Column) -> Column:
+    """The ring with its first point at its end too, unless the end is nearly that."""
     apart = lambda a, b: (F.abs(a["x"] - b["x"]) > SAME_POINT) | (F.abs(a["y"] - b["y"]) > SAME_POINT)
-    return G.let(mine, lambda r: F.when((F.size(r) > 0) & apart(F.get(r, F.lit(0)), F.try_element_at(r, F.lit(-1))), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
+    return G.let(ring, lambda r: F.when((F.size(r) > 0) & apart(F.get(r, F.lit(0)), F.try_element_at(r, F.lit(-1))), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def cut_at_antimeridian(polygons: DataFrame, ring: str = "ring") -> DataFrame:
@@ -96,12 +109,14 @@ def cut_at_antimeridian(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     # A generator of one row: the planner doesn't merge what is computed before it into what comes after.
     step = lambda df, **named: df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in named.items())))))
     some = step(polygons, _r=clamped)
-    some = step(some, crossings=F.when(F.size("_r") > 1, _crossings(F.col("_r"))).otherwise(F.when(F.col("_r").isNotNull(), F.array().cast("array<struct<i:int,east:boolean,y:double>>"))))
+    some = step(some, crossings=F.when(F.size("_r") > 1, _crossings(F.col("_r"))).otherwise(F.when(F.col("_r").isNotNull(), F.array().cast(_CROSSINGS))))
     some = step(some, winding=F.when(F.size("_r") > 1, _winding(F.col("_r"), F.col("crossings"))))
     turns = (F.abs(F.abs("winding") - 360) < TURN_ACCURACY) & (F.size("crossings") > 0)
     some = step(some, _b=F.when(turns, _bridge(F.col("_r"), F.col("crossings"))))
-    some = step(some, _d=_dealt(F.col("_r"), F.col("crossings"), F.col("_b")))
-    parts = F.filter(F.array(_ring_of(F.col("_d"), 0), _ring_of(F.col("_d"), 1)), lambda r: F.size(r) > 0)
+    # What doesn't cross the antimeridian is one part as it is.
+    crossed = F.size("crossings") > 0
+    some = step(some, _d=F.when(crossed, _dealt(F.col("_r"), F.col("crossings"), F.col("_b"))))
+    parts = F.filter(F.when(crossed, F.array(_ring_of(F.col("_d"), 0), _ring_of(F.col("_d"), 1))).otherwise(F.array(_ended(F.col("_r")))), lambda r: F.size(r) > 0)
     sides = {"west": F.exists("_r", lambda p: p["x"] < 0), "east": F.exists("_r", lambda p: p["x"] > 0)}
     return step(some, bridged=F.col("_b").isNotNull(), **sides, parts=F.when(F.col("_r").isNotNull(), parts)).drop("_r", "_b", "_d")
 
@@ -132,7 +147,7 @@ def roots(cut: DataFrame, scheme: str = T.GEOGRAPHIC) -> DataFrame:
 
 def _classed(nodes: DataFrame) -> DataFrame:
     """Nodes with their `status`; only one that is cut keeps its ring."""
-    told = nodes.select("*", F.inline(F.array(F.struct(clip_mode(G.opened(F.col("clip"))).alias("status")))))
+    told = nodes.select("*", F.inline(F.array(F.struct(G.let(G.opened(F.col("clip")), clip_mode).alias("status")))))
     return told.withColumn("clip", F.when(F.col("status") == "CLIP", F.col("clip")))
 
 

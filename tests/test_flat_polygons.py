@@ -129,3 +129,12 @@ def test_a_speck_in_split_tiles_ends_where_numbers_do(spark):
     speck = [(1e-13, 1e-13), (3e-13, 1e-13), (3e-13, 2e-13), (1e-13, 1e-13)]
     got = P.extents(P.roots(P.cut_at_antimeridian(frame(spark, [speck]))), split_to=6).collect()
     assert [(r.complete, r.to_l <= 30) for r in got] == [(False, True)]
+
+
+def test_only_rings_that_cross_are_dealt_to_two_parts(spark):
+    plan = P.cut_at_antimeridian(frame(spark, []))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (size(crossings" in plan
+    inside, beyond = [(130.0, 0.0), (179.0, 0.0), (-119.0, 5.0), (130.0, 0.0)], [(130.0, 0.0), (500.0, 0.0), (150.0, 5.0), (130.0, 0.0)]
+    got = parts(spark, [inside, beyond])
+    assert got[0].crossings == [] and [[tuple(p) for p in r] for r in got[0].parts] == [inside]
+    assert len(got[1].crossings) == 2 and len(got[1].parts) == 2
