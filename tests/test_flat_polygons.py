@@ -125,10 +125,11 @@ def test_extents_go_down_in_batches_as_children_do(spark, scheme):
     assert len(got) > 20 and ends > 10
 
 
-def test_a_speck_in_split_tiles_ends_where_numbers_do(spark):
-    speck = [(1e-13, 1e-13), (3e-13, 1e-13), (3e-13, 2e-13), (1e-13, 1e-13)]
-    got = P.extents(P.roots(P.cut_at_antimeridian(frame(spark, [speck]))), split_to=6).collect()
-    assert [(r.complete, r.to_l <= 30) for r in got] == [(False, True)]
+def test_specks_in_split_tiles_end_where_numbers_do(spark):
+    at = [(i * 7.3 - 100, i * 3.1 - 45) for i in range(30)]
+    specks = [[(x, y), (x + 2e-13, y), (x + 2e-13, y + 1e-13), (x, y)] for x, y in at]
+    got = P.extents(P.roots(P.cut_at_antimeridian(frame(spark, specks))), split_to=6).collect()
+    assert len(got) == 30 and {r.to_l for r in got} == {29, 30} and not any(r.complete for r in got)
 
 
 def test_only_rings_that_cross_are_dealt_to_two_parts(spark):
